@@ -18,6 +18,16 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value, fn) -> Column:
+    """Bind ``value`` once and use it in ``fn(v)``.
+
+    Inside higher-order functions Spark re-evaluates captured outer expressions
+    for every element; binding through a one-element ``transform`` evaluates
+    the value once per row and keeps array metrics linear in the map size.
+    """
+    return F.element_at(F.transform(F.array(_c(value)), fn), 1)
+
+
 def array_sum(arr) -> Column:
     return F.aggregate(_c(arr), F.lit(0.0), lambda acc, v: acc + v)
 
@@ -27,35 +37,38 @@ def channel_reduce(arr, channels: int) -> Column:
     a = _c(arr)
     if channels == 1:
         return a
-    n = (F.size(a) / F.lit(channels)).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.aggregate(F.slice(a, i * channels + 1, F.lit(channels)), F.lit(0.0),
-                              lambda acc, v: acc + v) / F.lit(float(channels)),
-    )
+
+    def reduce(m):
+        n = (F.size(m) / F.lit(channels)).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), n - 1),
+            lambda i: F.aggregate(F.slice(m, i * channels + 1, F.lit(channels)), F.lit(0.0),
+                                  lambda acc, v: acc + v) / F.lit(float(channels)))
+    return let(a, reduce)
 
 
 def normalized_abs(arr) -> Column:
     """p = |e| / (sum |e| + 1e-8)."""
-    a = F.transform(_c(arr), lambda v: F.abs(v))
-    total = array_sum(a)
-    return F.transform(a, lambda v: v / (total + F.lit(ENTROPY_EPS)))
+    def norm(a):
+        return let(array_sum(a), lambda total: F.transform(a, lambda v: v / (total + F.lit(ENTROPY_EPS))))
+    return let(F.transform(_c(arr), lambda v: F.abs(v)), norm)
 
 
 def entropy(arr) -> Column:
     """Complexity: -sum p ln(p + 1e-8) with p the normalized absolute map."""
-    p = normalized_abs(arr)
-    return -F.aggregate(p, F.lit(0.0), lambda acc, v: acc + v * F.log(v + F.lit(ENTROPY_EPS)))
+    return let(normalized_abs(arr), lambda p: -F.aggregate(
+        p, F.lit(0.0), lambda acc, v: acc + v * F.log(v + F.lit(ENTROPY_EPS))))
 
 
 def gini(arr) -> Column:
     """Sparseness: Gini index of the normalized absolute map, sorted ascending + 1e-7."""
-    s = F.transform(F.array_sort(normalized_abs(arr)), lambda v: v + F.lit(GINI_SHIFT))
-    n = F.size(s)
-    weighted = F.aggregate(
-        F.zip_with(s, F.sequence(F.lit(1), n), lambda v, i: (F.lit(2) * i - n - F.lit(1)) * v),
-        F.lit(0.0), lambda acc, v: acc + v)
-    return weighted / (array_sum(s) * n)
+    def g(s):
+        n = F.size(s)
+        weighted = F.aggregate(
+            F.zip_with(s, F.sequence(F.lit(1), n), lambda v, i: (F.lit(2) * i - n - F.lit(1)) * v),
+            F.lit(0.0), lambda acc, v: acc + v)
+        return weighted / (array_sum(s) * n)
+    return let(F.transform(F.array_sort(normalized_abs(arr)), lambda v: v + F.lit(GINI_SHIFT)), g)
 
 
 def to_long(df: DataFrame, array_col: str, value_name: str, keys=("sample_id",)) -> DataFrame:

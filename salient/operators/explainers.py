@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salient.functions.arrays import to_array
+from salient.functions.arrays import let, to_array
 from salient.functions.hashing import hash_normal
 from salient.operators.scoring import LinearSoftmaxModel
 
@@ -36,16 +36,21 @@ SOBOL = dict(nb_design=32, grid_size=11)
 # --- class-array helpers ---------------------------------------------------------
 
 def softmax_array(zs: Column) -> Column:
-    m = F.array_max(zs)
-    e = F.transform(zs, lambda v: F.exp(v - m))
-    s = F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(e, lambda v: v / s)
+    """Softmax of a logit array; max, exponentials and their sum are bound once."""
+    def with_max(z):
+        return let(F.array_max(z), lambda m: let(
+            F.transform(z, lambda v: F.exp(v - m)),
+            lambda e: let(F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v),
+                          lambda s: F.transform(e, lambda v: v / s))))
+    return let(zs, with_max)
 
 
 def grad_coefs(probs: Column, target: Column) -> Column:
     """``a_c = p_t ([c = t] - p_c)`` from a probability array and a 0-based target."""
-    pt = F.element_at(probs, target + 1)
-    return F.transform(probs, lambda p, i: pt * (F.when(i == target, 1.0).otherwise(0.0) - p))
+    def coefs(p):
+        return let(F.element_at(p, target + 1), lambda pt: F.transform(
+            p, lambda q, i: pt * (F.when(i == target, 1.0).otherwise(0.0) - q)))
+    return let(probs, coefs)
 
 
 def dot(a: Column, b: Column) -> Column:

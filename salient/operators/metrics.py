@@ -18,7 +18,7 @@ from salient.functions.hashing import hash_uniform
 from salient.operators.masking import (Shape, baseline_value, grid_cell, max_perturbed,
                                        step_thresholds)
 from salient.operators.perturb import BASE_CELL, cell_contributions, design_scores, with_base
-from salient.operators.scoring import LinearSoftmaxModel, target_probability
+from salient.operators.scoring import LinearSoftmaxModel, prob_from_relative, target_probability
 
 # Benchmark settings of the metrics (fixed values of the published benchmark).
 FIDELITY_STEPS = 200
@@ -90,19 +90,20 @@ def causal_curve(model: LinearSoftmaxModel, triplets: DataFrame, mode: str = "de
     rows = rows.withColumn("rank", rank)
     b = baseline_value(baseline, F.col("x"))
     start, delta = (F.col("x"), b - F.col("x")) if mode == "deletion" else (b, F.col("x") - b)
-    per_rank = (rows.select("sample_id", "target", "pos", "rank", start.alias("s"), delta.alias("d"))
-                .join(model.W(), "pos")
-                .groupBy("sample_id", "target", "cls", "rank")
-                .agg(F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * F.col("d")).alias("d")))
+    cols = rows.select("sample_id", "target", "pos", "rank", start.alias("s"), delta.alias("d"))
+    per_rank = model.relative_rows(cols).select(
+        "sample_id", "cls", "rank", (F.col("w") * F.col("s")).alias("s"), (F.col("w") * F.col("d")).alias("d"))
+    if channels > 1:  # the channels of one pixel share a rank
+        per_rank = per_rank.groupBy("sample_id", "cls", "rank").agg(F.sum("s").alias("s"), F.sum("d").alias("d"))
     w = Window.partitionBy("sample_id", "cls").orderBy("rank")
     cum = per_rank.select(
-        "sample_id", "target", "cls", "rank",
+        "sample_id", "cls", "rank",
         (F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
          + F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).alias("z"))
     n = n_features if n_features is not None else model.n_pos // channels
     thresholds = step_thresholds(spark, n, steps, max_pct)
-    z = cum.join(thresholds, cum["rank"] == thresholds["t"]).select("sample_id", "target", "k", "cls", "z")
-    return target_probability(z, ["sample_id", "k"])
+    return (cum.join(thresholds, cum["rank"] == thresholds["t"])
+            .groupBy("sample_id", "k").agg(prob_from_relative("z").alias("score")))
 
 
 def curve_auc(curve: DataFrame, steps: int) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salient.functions.arrays import to_long
+from salient.session import ensure_checkpoint_dir
 
 BROADCAST_ROWS = 4_000_000  # ~100 MB of (cls, pos, w) rows
 
@@ -43,9 +44,14 @@ class LinearSoftmaxModel:
         cls_layer = weights.filter(F.col("cls") >= 0).select("cls", "pos", "w")
         scales = (weights.filter(F.col("cls") < 0)
                   .groupBy("pos").agg(F.product("w").alias("s")))
-        self._W = (cls_layer.join(scales, "pos", "left")
-                   .select("cls", "pos",
-                           (F.lit(self.tau) * F.coalesce(F.col("s"), F.lit(1.0)) * F.col("w")).alias("w")))
+        W = (cls_layer.join(scales, "pos", "left")
+             .select("cls", "pos",
+                     (F.lit(self.tau) * F.coalesce(F.col("s"), F.lit(1.0)) * F.col("w")).alias("w")))
+        # The effective weights are the model: computed once and written to the
+        # shared checkpoint folder, so every later join reads a small table
+        # instead of recomputing it from the inputs (and survives lost executors).
+        ensure_checkpoint_dir(weights.sparkSession)
+        self._W = W.repartition(1).checkpoint(eager=True)
         shape = self._W.agg(F.count_distinct("cls").alias("c"), F.count_distinct("pos").alias("d"),
                             F.count(F.lit(1)).alias("n")).first()
         self.n_classes, self.n_pos, self.n_rows = int(shape["c"]), int(shape["d"]), int(shape["n"])
@@ -55,6 +61,23 @@ class LinearSoftmaxModel:
         """Effective weights ``(cls, pos, w)``, broadcast when the proven size allows."""
         return maybe_broadcast(self._W, self.n_rows)
 
+    def W_target(self) -> DataFrame:
+        """``(pos, target, wt)``: the weights of a row's own target class (join on both keys)."""
+        return maybe_broadcast(self._W.select("pos", F.col("cls").alias("target"), F.col("w").alias("wt")),
+                               self.n_rows)
+
+    def relative_rows(self, rows: DataFrame) -> DataFrame:
+        """Attach ``(cls, w)`` with ``w = w[cls, pos] - w[target, pos]`` to rows with ``pos`` and ``target``.
+
+        Logits relative to the target, ``r_c = z_c - z_t``, give the target
+        probability as ``1 / (1 + sum_{c != t} exp(r_c))`` — one hash aggregate
+        with no max-shift pass (an overflow to +inf correctly yields 0).  The
+        target's own class is dropped (its relative logit is always 0).
+        """
+        return (rows.join(self.W(), "pos").filter(F.col("cls") != F.col("target"))
+                .join(self.W_target(), ["pos", "target"])
+                .withColumn("w", F.col("w") - F.col("wt")).drop("wt"))
+
     def class_sums(self) -> DataFrame:
         """``(cls, wsum)`` = sum over positions, the logit of an all-ones input."""
         return F.broadcast(self._W.groupBy("cls").agg(F.sum("w").alias("wsum")))
@@ -110,6 +133,11 @@ def target_probability(z: DataFrame, keys, target_col: str = "target") -> DataFr
     return agg.select(*keys, (F.exp(F.col("_zt") - F.col("_m")) / denom).alias("score"))
 
 
+def prob_from_relative(r: str = "z") -> Column:
+    """Aggregate: target probability from relative logits of the other classes."""
+    return F.lit(1.0) / (F.lit(1.0) + F.coalesce(F.sum(F.exp(F.col(r))), F.lit(0.0)))
+
+
 def predictions(model: LinearSoftmaxModel, samples: DataFrame) -> DataFrame:
     """``(sample_id, pred, p_pred, one_hot)``; ties go to the lowest class."""
     z = model.logits(samples)
@@ -171,5 +199,5 @@ def numpy_linear_softmax(W: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
 
 __all__ = [
     "LinearSoftmaxModel", "weights_from_centroids", "class_probabilities", "target_probability",
-    "predictions", "target_scores", "udf_scorer", "numpy_linear_softmax", "one_hot_dot", "pd",
+    "predictions", "target_scores", "udf_scorer", "numpy_linear_softmax", "one_hot_dot",
 ]
