@@ -16,9 +16,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import numpy as np
 from salient.functions.arrays import let, to_array
 from salient.functions.hashing import hash_normal
-from salient.operators.scoring import LinearSoftmaxModel
+from salient.operators.designs import binary_design, sobol_ab, sobol_design, uniform_design
+from salient.operators.estimators import (constrained_shap, hsic_scores, jansen_total_index,
+                                          similarity_weights, solve_per_sample, weighted_ridge)
+from salient.operators.masking import Shape, bicubic_weights, grid_cell, patch_positions, resize_bicubic
+from salient.operators.perturb import (clean_scores, design_logits, design_scores,
+                                       relative_contributions)
+from salient.operators.scoring import LinearSoftmaxModel, prob_from_relative
 
 # Benchmark settings of the explainers (fixed values of the published benchmark).
 SMOOTHGRAD = dict(nb_samples=175, sigma=0.11)
@@ -209,3 +216,216 @@ def vargrad(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame,
     _, per_draw = _noisy_coefs(model, samples, targets, nb_samples, sigma, seed)
     g = _per_draw_gradients(model, samples, per_draw)
     return g.groupBy("sample_id", "pos").agg(F.var_pop("g").alias("e"))
+
+
+# --- perturbation family ------------------------------------------------------------------
+
+def _input_rows(samples: DataFrame, targets: DataFrame, shape: Shape) -> DataFrame:
+    """``(sample_id, target, pos, pix, x)``."""
+    return (samples.select("sample_id", "x").join(targets, "sample_id")
+            .select("sample_id", "target", F.posexplode("x").alias("pos", "x"))
+            .withColumn("pix", (F.col("pos") / F.lit(shape.c)).cast("int")))
+
+
+def _to_positions(cell_values: DataFrame, spark: SparkSession, shape: Shape, cell_of_pix, value: str) -> DataFrame:
+    """Spread ``(sample_id, cell, value)`` over the positions of each cell (broadcast map)."""
+    seg = (spark.range(shape.size).select(F.col("id").cast("int").alias("pos"))
+           .withColumn("cell", cell_of_pix((F.col("pos") / F.lit(shape.c)).cast("int"))))
+    return (cell_values.join(F.broadcast(seg), "cell")
+            .select("sample_id", "pos", F.col(value).alias("e")))
+
+
+def occlusion(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame, shape: Shape,
+              patch_size: int = 5, patch_stride: int = 3, occlusion_value: float = 0.0) -> DataFrame:
+    """Score drop of sliding patches, averaged over the patches covering a position (0 if none)."""
+    spark = samples.sparkSession
+    rows = _input_rows(samples, targets, shape)
+    patches = patch_positions(spark, shape, patch_size, patch_stride)
+    n_patches = len(range(0, shape.h - patch_size + 1, patch_stride)) * len(range(0, shape.w - patch_size + 1, patch_stride))
+    prow = rows.join(patches, "pos").withColumnRenamed("patch_id", "cell")
+    contrib = relative_contributions(model, prow, F.lit(float(occlusion_value)), base_rows=rows)
+    design = spark.range(n_patches).select(F.col("id").cast("int").alias("draw"),
+                                           F.col("id").cast("int").alias("cell"), F.lit(1.0).alias("drop"))
+    scores = design_scores(contrib, design, n_patches)
+    drops = (scores.join(clean_scores(contrib).withColumnRenamed("score", "base"), "sample_id")
+             .select("sample_id", "draw", (F.col("base") - F.col("score")).alias("v")))
+    covered = drops.join(patches.withColumnRenamed("patch_id", "draw"), "draw").select(
+        "sample_id", "pos", "v", F.lit(1).alias("n"))
+    zeros = rows.select("sample_id", "pos", F.lit(0.0).alias("v"), F.lit(0).alias("n"))
+    return (covered.unionByName(zeros).groupBy("sample_id", "pos")
+            .agg(F.coalesce(F.sum("v") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("e")))
+
+
+def rise(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame, shape: Shape,
+         nb_samples: int = 8000, grid_size: int = 10, preservation_probability: float = 0.5,
+         mask_value: float = 0.0, seed: int = 0) -> DataFrame:
+    """``map(pos) = sum_k m_k(pos) y_k / sum_k m_k(pos)`` over random cell masks."""
+    spark = samples.sparkSession
+    cell_of = lambda pix: grid_cell(pix, shape, grid_size)
+    rows = _input_rows(samples, targets, shape).withColumn("cell", cell_of(F.col("pix")))
+    design = binary_design(spark, nb_samples, grid_size * grid_size, preservation_probability, seed)
+    contrib = relative_contributions(model, rows, F.lit(float(mask_value)))
+    scores = design_scores(contrib, design.withColumn("drop", F.lit(1.0) - F.col("m")), nb_samples)
+    kept = F.broadcast(design.filter(F.col("m") == 1.0).select("draw", "cell"))
+    times_kept = F.broadcast(kept.groupBy("cell").agg(F.count(F.lit(1)).alias("k")))
+    num = (scores.join(kept, "draw").select("sample_id", "cell", "score")
+           .unionByName(rows.select("sample_id", "cell", F.lit(0.0).alias("score")))
+           .groupBy("sample_id", "cell").agg(F.sum("score").alias("num")))
+    cell_map = (num.join(times_kept, "cell", "left")
+                .select("sample_id", "cell", F.coalesce(F.col("num") / F.col("k"), F.lit(0.0)).alias("v")))
+    return _to_positions(cell_map, spark, shape, cell_of, "v")
+
+
+def _draw_arrays(design: DataFrame, name: str = "z") -> DataFrame:
+    """``(draw, z ARRAY)`` of a design, ordered by cell; broadcast (parameter-sized)."""
+    return F.broadcast(to_array(design, "m", name, keys=("draw",), pos_col="cell"))
+
+
+def lime(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame, shape: Shape,
+         nb_samples: int = 2000, grid_size: int | None = None, distance_mode: str = "cosine",
+         kernel_width: float = 46.0, alpha: float = 2.0, prob: float = 0.5, ref_value: float | None = None,
+         reference_sign: bool = False, seed: int = 0) -> DataFrame:
+    """Weighted ridge of the target score on binary cell samples (D7 -> D13 -> D10 -> E10a -> E10b).
+
+    ``ref_value`` defaults to 0.5 for 3-channel inputs and 0 otherwise.
+    Segments are a g x g grid (identity per pixel when ``grid_size`` is None).
+    """
+    spark = samples.sparkSession
+    grid = grid_size or shape.h
+    dims = grid * grid
+    ref = ref_value if ref_value is not None else (0.5 if shape.c == 3 else 0.0)
+    cell_of = lambda pix: grid_cell(pix, shape, grid)
+    rows = _input_rows(samples, targets, shape).withColumn("cell", cell_of(F.col("pix")))
+    design = binary_design(spark, nb_samples, dims, prob, seed)
+    contrib = relative_contributions(model, rows, F.lit(float(ref)))
+    scores = design_scores(contrib, design.withColumn("drop", F.lit(1.0) - F.col("m")), nb_samples)
+    sims = similarity_weights(lime_distance_sums(rows, design, ref, nb_samples),
+                              distance_mode, kernel_width, reference_sign)
+    fit_rows = scores.join(sims, ["sample_id", "draw"]).join(_draw_arrays(design), "draw")
+
+    def solver(pdf):
+        Z = np.stack(pdf["z"].to_numpy())
+        return weighted_ridge(Z, pdf["score"].to_numpy(), pdf["sim"].to_numpy(), alpha)
+
+    coefs = solve_per_sample(fit_rows, solver, dims)
+    return _to_positions(coefs, spark, shape, cell_of, "coef")
+
+
+def lime_distance_sums(rows: DataFrame, design: DataFrame, ref: float, draws: int) -> DataFrame:
+    """Per (sample, draw): squared distance, |x|^2, x.x' and |x'|^2 from per-cell sums."""
+    r = F.lit(float(ref))
+    cells = (rows.groupBy("sample_id", "cell")
+             .agg(F.sum((F.col("x") - r) ** 2).alias("dd"), F.sum(F.col("x") ** 2).alias("xx"),
+                  F.sum(F.col("x") * r).alias("xr"), F.sum(r * r).alias("rr")))
+    m = F.col("m")
+    return (cells.join(F.broadcast(design.select("draw", "cell", "m")), "cell")
+            .groupBy("sample_id", "draw")
+            .agg(F.sum((F.lit(1.0) - m) * F.col("dd")).alias("sq"), F.sum("xx").alias("xx"),
+                 F.sum(m * F.col("xx") + (F.lit(1.0) - m) * F.col("xr")).alias("xp"),
+                 F.sum(m * F.col("xx") + (F.lit(1.0) - m) * F.col("rr")).alias("pp")))
+
+
+def kernel_shap(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame, shape: Shape,
+                nb_samples: int = 400, grid_size: int | None = None, ref_value: float = 0.0,
+                seed: int = 0) -> DataFrame:
+    """Shapley-kernel weighted regression with the efficiency constraint.
+
+    Coalitions are Bernoulli(1/2) over cells; the empty and full coalitions
+    (infinite kernel weight) are scored separately and enter as the
+    constraint ``sum(phi) = f(x) - f(empty)``.
+    """
+    spark = samples.sparkSession
+    grid = grid_size or shape.h
+    dims = grid * grid
+    cell_of = lambda pix: grid_cell(pix, shape, grid)
+    rows = _input_rows(samples, targets, shape).withColumn("cell", cell_of(F.col("pix")))
+    coalitions = binary_design(spark, nb_samples, dims, 0.5, seed)
+    ends = _grid_design(spark, [nb_samples, nb_samples + 1], dims).withColumn(
+        "m", F.when(F.col("draw") == nb_samples, 0.0).otherwise(1.0))
+    design = coalitions.unionByName(ends)
+    contrib = relative_contributions(model, rows, F.lit(float(ref_value)))
+    scores = design_scores(contrib, design.withColumn("drop", F.lit(1.0) - F.col("m")), nb_samples + 2)
+    fit_rows = scores.join(_draw_arrays(design), "draw")
+
+    def solver(pdf):
+        Z = np.stack(pdf["z"].to_numpy())
+        y = pdf["score"].to_numpy()
+        d = pdf["draw"].to_numpy()
+        f_empty, f_full = y[d == nb_samples][0], y[d == nb_samples + 1][0]
+        body = d < nb_samples
+        return constrained_shap(Z[body], y[body], f_empty, f_full)
+
+    coefs = solve_per_sample(fit_rows, solver, dims)
+    return _to_positions(coefs, spark, shape, cell_of, "coef")
+
+
+def _grid_design(spark: SparkSession, draws: list[int], dims: int) -> DataFrame:
+    return (spark.createDataFrame([(d,) for d in draws], "draw INT")
+            .withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(dims - 1)))))
+
+
+def sobol_attribution(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame, shape: Shape,
+                      grid_size: int = 11, nb_design: int = 32, sampler: str = "sobol", seed: int = 0) -> DataFrame:
+    """Total-order Sobol indices of the cells (Jansen), bicubic-resized to the map.
+
+    A and C_i = A with cell i from B are scored (B itself is never used by the
+    estimator, R3).  Copy i of C differs from A in one cell, so its relative
+    logits are ``r_A + (a_i - b_i) * C_i`` with C_i the cell contribution;
+    the per-sample contribution map travels as one small map column.
+    """
+    if nb_design & (nb_design - 1):
+        raise ValueError("nb_design must be a power of two")
+    spark = samples.sparkSession
+    dims = grid_size * grid_size
+    cell_of = lambda pix: grid_cell(pix, shape, grid_size)
+    rows = _input_rows(samples, targets, shape).withColumn("cell", cell_of(F.col("pix")))
+    if sampler == "sobol":
+        a, b = sobol_ab(spark, nb_design, dims)
+    else:
+        a, b = uniform_design(spark, nb_design, dims, seed), uniform_design(spark, nb_design, dims, seed + 1)
+    contrib = relative_contributions(model, rows, F.lit(0.0))  # inpainting: x * m
+    za = design_logits(contrib, a.withColumn("drop", F.lit(1.0) - F.col("m")), nb_design)
+    cmap = (contrib.filter(F.col("cell") >= 0)
+            .groupBy("sample_id", "cls").agg(F.map_from_entries(F.collect_list(F.struct("cell", "c"))).alias("cm")))
+    delta = (a.select("draw", "cell", F.col("m").alias("ma"))
+             .join(b.select("draw", "cell", F.col("m").alias("mb")), ["draw", "cell"])
+             .select("draw", F.col("cell").alias("rep"), (F.col("ma") - F.col("mb")).alias("dl")))
+    zc = (za.join(cmap, ["sample_id", "cls"])
+          .join(F.broadcast(delta), "draw")
+          .select("sample_id", "draw", "rep", "cls", F.col("z").alias("za"),
+                  (F.col("z") + F.col("dl") * F.coalesce(F.element_at("cm", F.col("rep")), F.lit(0.0))).alias("zc")))
+    y = zc.groupBy("sample_id", "draw", "rep").agg(prob_from_relative("za").alias("ya"),
+                                                   prob_from_relative("zc").alias("yc"))
+    sti = (y.groupBy("sample_id", F.col("rep").alias("cell"))
+           .agg(jansen_total_index(F.col("ya"), F.col("yc"), nb_design).alias("v")))
+    heat = resize_bicubic(sti, bicubic_weights(spark, grid_size, shape))
+    return heat.select("sample_id", F.col("pix").alias("pos"), F.col("v").alias("e"))
+
+
+def hsic_attribution(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame, shape: Shape,
+                     grid_size: int = 11, nb_design: int = 500, kernel: str = "binary",
+                     sampler: str = "sobol", seed: int = 0) -> DataFrame:
+    """HSIC between each cell's mask and the target score, bicubic-resized to the map.
+
+    Binary masks (rounded Sobol points, or hash Bernoulli draws), inpainting
+    perturbation; the n x n kernel products of one sample run in
+    ``applyInPandas`` (the group is that sample's ``nb_design`` draws).
+    """
+    spark = samples.sparkSession
+    dims = grid_size * grid_size
+    cell_of = lambda pix: grid_cell(pix, shape, grid_size)
+    rows = _input_rows(samples, targets, shape).withColumn("cell", cell_of(F.col("pix")))
+    if sampler == "sobol":
+        design = sobol_design(spark, nb_design, dims, binary=True)
+    else:
+        design = binary_design(spark, nb_design, dims, 0.5, seed)
+    contrib = relative_contributions(model, rows, F.lit(0.0))
+    scores = design_scores(contrib, design.withColumn("drop", F.lit(1.0) - F.col("m")), nb_design)
+    fit_rows = scores.join(_draw_arrays(design), "draw")
+
+    def solver(pdf):
+        return hsic_scores(np.stack(pdf["z"].to_numpy()), pdf["score"].to_numpy(), kernel)
+
+    cells = solve_per_sample(fit_rows, solver, dims, out_value="v")
+    heat = resize_bicubic(cells, bicubic_weights(spark, grid_size, shape))
+    return heat.select("sample_id", F.col("pix").alias("pos"), F.col("v").alias("e"))

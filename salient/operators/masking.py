@@ -200,3 +200,23 @@ def box_blur(long_x: DataFrame, shape: Shape, radius: int = 1) -> DataFrame:
     return (long_x.join(F.broadcast(nb), "pos")
             .groupBy("sample_id", "dst").agg(F.avg("x").alias("blur"))
             .withColumnRenamed("dst", "pos"))
+
+
+def prefix_masks(ranked: DataFrame, n_features: int, steps: int, mode: str = "deletion", baseline=0.0,
+                 max_pct: float = 1.0) -> DataFrame:
+    """D4 (explicit form): the input at every step of the ranked path, ``(sample_id, k, pos, v)``.
+
+    ``ranked`` has ``(sample_id, pos, x, rank)``.  Steps come from a generator
+    (no join): ``t_k = k * (max_n - 1) div (S - 1)``; positions with ``rank <= t_k``
+    are switched (to the baseline for deletion, to ``x`` for insertion).  Used by
+    general scorers; the linear scorer uses the running-sum form instead.
+    """
+    if mode not in ("insertion", "deletion"):
+        raise ValueError(f"causal_mode must be in ['insertion', 'deletion'] but got {mode}")
+    max_n = max_perturbed(n_features, max_pct)
+    b = baseline_value(baseline, F.col("x"))
+    k = F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("k")
+    t = F.expr(f"div(k * {max_n - 1}, {steps - 1})")
+    on, off = (b, F.col("x")) if mode == "deletion" else (F.col("x"), b)
+    return (ranked.select("sample_id", "pos", "x", "rank", k)
+            .select("sample_id", "k", "pos", F.when(F.col("rank") <= t, on).otherwise(off).alias("v")))

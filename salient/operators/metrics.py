@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from salient.functions.arrays import channel_reduce, entropy, gini
 from salient.functions.hashing import hash_uniform
+from salient.operators.designs import off_class, random_grid_mask
 from salient.operators.masking import (Shape, baseline_value, grid_cell, max_perturbed,
                                        step_thresholds)
-from salient.operators.perturb import BASE_CELL, cell_contributions, design_scores, with_base
+from salient.operators.perturb import clean_scores, design_logits, relative_contributions
 from salient.operators.scoring import LinearSoftmaxModel, prob_from_relative, target_probability
 
 # Benchmark settings of the metrics (fixed values of the published benchmark).
@@ -147,52 +148,40 @@ def ordinal_spearman(df: DataFrame, a: str, b: str, keys=("sample_id",), order:
                                   / (F.col("n") * (F.col("n") * F.col("n") - 1))).alias("score")))
 
 
-# --- D6 / M7 MuFidelity ------------------------------------------------------------------
-
-def random_grid_design(spark: SparkSession, grid: int, subset_percent: float, draws: int,
-                       seed: int = 0) -> DataFrame:
-    """``(draw, cell, drop)``; a cell goes to the baseline when ``u <= p`` (kept if u > p)."""
-    cells = grid * grid
-    d = spark.range(draws * cells).select((F.col("id") / F.lit(cells)).cast("int").alias("draw"),
-                                          (F.col("id") % F.lit(cells)).cast("int").alias("cell"))
-    keep = hash_uniform(seed, F.col("draw"), F.col("cell")) > F.lit(float(subset_percent))
-    return d.withColumn("drop", F.when(keep, 0.0).otherwise(1.0))
-
+# --- M7 MuFidelity ----------------------------------------------------------------------
 
 def mu_fidelity(model: LinearSoftmaxModel, triplets: DataFrame, shape: Shape, grid_size: int | None = 8,
                 subset_percent: float = 0.2, baseline=0.0, nb_samples: int = 200, seed: int = 0) -> DataFrame:
     """M7: Spearman(sum of the map over dropped cells, f(x) - f(x with dropped cells at baseline)).
 
-    One seeded design serves the whole job.  Cells are joined to the design
-    (R2), never the positions.
+    One seeded design (D6) serves the whole job.  The attribution mass of a
+    draw rides through the same design join as the logits, as an extra
+    pseudo class, so scores and masses come out of one aggregation.
     """
     spark = triplets.sparkSession
     grid = grid_size or shape.h
     rows = _long_triplets(triplets, shape.c).withColumn("cell", grid_cell(F.col("pix"), shape, grid))
-    design = random_grid_design(spark, grid, subset_percent, nb_samples, seed)
-    b = baseline_value(baseline, F.col("x"))
-    contrib = (rows.select("sample_id", "cell", "pos", (b - F.col("x")).alias("d"))
-               .join(model.W(), "pos")
-               .groupBy("sample_id", "cell", "cls").agg(F.sum(F.col("w") * F.col("d")).alias("c")))
-    base_z = model.logits_long(rows.select("sample_id", "pos", "x"))
-    targets = triplets.select("sample_id", "target")
-    scores = design_scores(with_base(contrib, base_z), design, nb_samples, targets)
-    base = target_probability(base_z.join(targets, "sample_id"), ["sample_id"]).withColumnRenamed("score", "base")
-    # attribution mass of each draw's dropped cells (pixel map, one value per pixel)
-    e_cells = (rows.filter(F.col("pos") % F.lit(shape.c) == 0)
-               .groupBy("sample_id", "cell").agg(F.sum("e").alias("c"))
-               .unionByName(triplets.select("sample_id", F.lit(BASE_CELL).alias("cell"), F.lit(0.0).alias("c"))))
-    dsg = design.filter(F.col("drop") != 0).unionByName(
-        spark.range(nb_samples).select(F.col("id").cast("int").alias("draw"), F.lit(BASE_CELL).alias("cell"),
-                                       F.lit(1.0).alias("drop")))
-    attr = (e_cells.join(F.broadcast(dsg), "cell").groupBy("sample_id", "draw")
-            .agg(F.sum(F.col("drop") * F.col("c")).alias("attr")))
-    pairs = (scores.join(base, "sample_id").join(attr, ["sample_id", "draw"])
-             .select("sample_id", F.col("draw").alias("idx"), "attr",
-                     (F.col("base") - F.col("score")).alias("delta")))
+    design = random_grid_mask(spark, grid, subset_percent, nb_samples, seed).withColumn(
+        "drop", F.lit(1.0) - F.col("m"))
+    contrib = relative_contributions(model, rows, baseline_value(baseline, F.col("x")))
+    mass = (rows.filter(F.col("pos") % F.lit(shape.c) == 0)
+            .groupBy("sample_id", "cell").agg(F.sum("e").alias("c"))
+            .select("sample_id", "cell", F.lit(ATTR_CLASS).alias("cls"), "c"))
+    z = design_logits(contrib.unionByName(mass), design, nb_samples)
+    per_draw = (z.groupBy("sample_id", "draw")
+                .agg(F.sum(F.when(F.col("cls") == ATTR_CLASS, F.col("z"))).alias("attr"),
+                     (F.lit(1.0) / (F.lit(1.0) + F.coalesce(
+                         F.sum(F.when(F.col("cls") != ATTR_CLASS, F.exp(F.col("z")))), F.lit(0.0)))).alias("score")))
+    base = clean_scores(contrib).withColumnRenamed("score", "base")
+    pairs = per_draw.join(base, "sample_id").select(
+        "sample_id", F.col("draw").alias("idx"), F.coalesce(F.col("attr"), F.lit(0.0)).alias("attr"),
+        (F.col("base") - F.col("score")).alias("delta"))
     return ordinal_spearman(pairs, "attr", "delta")
 
 
+ATTR_CLASS = -2  # pseudo class carrying the attribution mass through the design join
+
+
 # --- M9 SSIM --------------------------------------------------------------------------------
 
 def gaussian_window(size: int, sigma: float) -> list[float]:
@@ -256,6 +245,82 @@ def spearman_maps(pairs: DataFrame, channels: int = 1) -> DataFrame:
 
 __all__ = [
     "metric_triplets", "complexity", "sparseness", "causal_curve", "curve_auc", "deletion", "insertion",
-    "ordinal_spearman", "random_grid_design", "mu_fidelity", "ssim", "spearman_maps", "max_perturbed",
-    "cell_contributions",
+    "ordinal_spearman", "mu_fidelity", "ssim", "spearman_maps", "max_perturbed",
+    "random_logit", "randomize_layers", "model_randomization", "subsample_first", "off_class",
 ]
+
+
+# --- M10 random logit ----------------------------------------------------------------------
+
+def random_logit(explainer, model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame,
+                 maps_long: DataFrame, shape: Shape, seed: int = RANDOM_LOGIT_SEED, win: int = 11,
+                 sigma: float = 1.5) -> DataFrame:
+    """SSIM between the map of the predicted class and the map of a random other class.
+
+    ``explainer(model, samples, targets) -> (sample_id, pos, e)`` is rerun with
+    the off-class targets (D15); maps are compared as given (channels kept).
+    """
+    off = targets.select("sample_id", off_class(F.col("target"), model.n_classes, seed,
+                                                F.col("sample_id")).alias("target"))
+    other = explainer(model, samples, off)
+    pairs = (maps_long.select("sample_id", "pos", F.col("e").alias("a"))
+             .join(other.select("sample_id", "pos", F.col("e").alias("b")), ["sample_id", "pos"]))
+    return ssim(pairs, shape, win, sigma)
+
+
+# --- M11 / M12 model randomization ------------------------------------------------------
+
+def randomize_layers(weights: DataFrame, stop, reverse: bool = False, seed: int = 0) -> DataFrame:
+    """Replace the weights of the first ``stop`` layers (in layer order) by U[0, 1).
+
+    ``stop`` is a layer name (first match), an index, a fraction of the layer
+    count (``int(n * f)``) or a list of names/indices (the smallest index);
+    ``reverse`` walks the layers from the last one.  The layer list comes from
+    the (small) table of distinct layers.
+    """
+    layers = sorted({(r["layer_idx"], r["layer_name"]) for r in
+                     weights.select("layer_idx", "layer_name").distinct().collect()})
+    order = layers[::-1] if reverse else layers
+    names = [n for _, n in order]
+
+    def index_of(elem):
+        if isinstance(elem, str):
+            if elem not in names:
+                raise ValueError(f"Layer '{elem}' not found.")
+            return names.index(elem)
+        return int(elem)
+
+    if isinstance(stop, bool) or not isinstance(stop, (str, int, float, list)):
+        raise TypeError("stop_layer must be str, int, float, or list.")
+    if isinstance(stop, float):
+        stop_index = int(len(order) * stop)
+    elif isinstance(stop, list):
+        for e in stop:
+            if not isinstance(e, (str, int)):
+                raise TypeError("List elements must be str or int.")
+        stop_index = min(index_of(e) for e in stop)
+    else:
+        stop_index = index_of(stop)
+    chosen = [idx for idx, _ in order[:stop_index]]
+    if not chosen:
+        return weights
+    u = hash_uniform(seed, F.col("layer_idx"), F.col("cls"), F.col("pos"))
+    return weights.withColumn("w", F.when(F.col("layer_idx").isin(chosen), u).otherwise(F.col("w")))
+
+
+def model_randomization(explainer, model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame,
+                        maps_long: DataFrame, stop=0.25, reverse: bool = False, seed: int = 42,
+                        channels: int = 1) -> DataFrame:
+    """Spearman between each map and the map of the same class under randomized weights."""
+    randomized = model.with_weights(randomize_layers(model.weights, stop, reverse, seed))
+    other = explainer(randomized, samples, targets)
+    pairs = (maps_long.select("sample_id", "pos", F.col("e").alias("a"))
+             .join(other.select("sample_id", "pos", F.col("e").alias("b")), ["sample_id", "pos"]))
+    return spearman_maps(pairs, channels)
+
+
+# --- P7 --------------------------------------------------------------------------------------
+
+def subsample_first(df: DataFrame, n: int = RANDOMIZATION_SUBSET, key: str = "sample_id") -> DataFrame:
+    """The first ``n`` samples by key (a top-n, planned as TakeOrderedAndProject)."""
+    return df.orderBy(key).limit(n)

@@ -3,14 +3,18 @@
 For the linear-softmax scorer the logit of a perturbed copy is the clean logit
 plus the contribution of the changed positions.  Masks are constant inside a
 cell, so contributions are summed per (sample, cell, class) once and designs
-are joined to *cells* instead of positions:
-
-    z(sample, draw, cls) = z0(sample, cls) + sum_cell drop(draw, cell) * C(sample, cell, cls)
-    C(sample, cell, cls) = sum_{pos in cell} w[cls, pos] * (replacement[pos] - x[pos])
-
-The clean logit enters as an always-on pseudo cell (``BASE_CELL``) that every
-draw joins, so each (sample, draw) appears even when a draw changes nothing,
-and every step stays inside the ``sample_id`` partitioning (one shuffle).
+are joined to *cells* instead of positions (R2):
+
+    r(sample, draw, c) = r0(sample, c) + sum_cell drop(draw, cell) * C(sample, cell, c)
+    C(sample, cell, c) = sum_{pos in cell} (w[c, pos] - w[t, pos]) * (replacement[pos] - x[pos])
+
+Logits are kept relative to the sample's target class ``t`` so the target
+probability of every copy is ``1 / (1 + sum_{c != t} exp r_c)``, a plain hash
+aggregate.  The clean logit enters as an always-on pseudo cell
+(``BASE_CELL``) that every draw joins, so each (sample, draw) appears even when
+a draw changes nothing, and every step stays inside the ``sample_id``
+partitioning (the design is broadcast; its size is ``draws x cells``, fixed by
+the parameters).
 """
 
 from __future__ import annotations
@@ -18,31 +22,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salient.functions.arrays import to_long
-from salient.operators.scoring import LinearSoftmaxModel, target_probability
+from salient.operators.scoring import LinearSoftmaxModel, prob_from_relative
 
 BASE_CELL = -1
 
 
-def long_inputs(samples: DataFrame, channels: int = 1, x_col: str = "x") -> DataFrame:
-    """``(sample_id, pos, pix, x)``; ``pix`` groups the channels of one pixel."""
-    return (to_long(samples, x_col, "x")
-            .withColumn("pix", (F.col("pos") / F.lit(channels)).cast("int")))
-
-
-def cell_contributions(model: LinearSoftmaxModel, long_x: DataFrame, cells: DataFrame,
-                       replacement: Column) -> DataFrame:
-    """R2: ``(sample_id, cell, cls, c)`` for ``replacement`` written over ``x`` in a cell."""
-    return (long_x.join(cells, "pos")
-            .withColumn("d", replacement - F.col("x"))
-            .join(model.W(), "pos")
-            .groupBy("sample_id", "cell", "cls").agg(F.sum(F.col("w") * F.col("d")).alias("c")))
+def relative_contributions(model: LinearSoftmaxModel, rows: DataFrame, replacement: Column,
+                           base_rows: DataFrame | None = None) -> DataFrame:
+    """``(sample_id, cell, cls, c)`` plus the clean relative logits as ``BASE_CELL``.
 
-
-def with_base(contrib: DataFrame, base_z: DataFrame) -> DataFrame:
-    """Add the clean logits as the always-on pseudo cell."""
-    return contrib.unionByName(base_z.select("sample_id", F.lit(BASE_CELL).alias("cell"), "cls",
-                                             F.col("z").alias("c")))
+    ``rows`` has ``(sample_id, target, pos, cell, x)``; ``replacement`` is the
+    value written over ``x`` when the cell is dropped (baseline, blur, ...).
+    When a position belongs to several cells (sliding patches) or to none,
+    ``base_rows(sample_id, target, pos, x)`` gives every position once.
+    """
+    rel = model.relative_rows(rows.select("sample_id", "target", "pos", "cell", "x",
+                                          (replacement - F.col("x")).alias("d")))
+    contrib = (rel.groupBy("sample_id", "cell", "cls")
+               .agg(F.sum(F.col("w") * F.col("d")).alias("c")))
+    src = rel if base_rows is None else model.relative_rows(base_rows.select("sample_id", "target", "pos", "x"))
+    base = (src.groupBy("sample_id", "cls").agg(F.sum(F.col("w") * F.col("x")).alias("c"))
+            .select("sample_id", F.lit(BASE_CELL).alias("cell"), "cls", "c"))
+    return contrib.unionByName(base)
 
 
 def design_with_base(design: DataFrame, draws: int) -> DataFrame:
@@ -56,14 +57,19 @@ def design_with_base(design: DataFrame, draws: int) -> DataFrame:
     return F.broadcast(design.filter(F.col("drop") != 0).select("draw", "cell", "drop").unionByName(base))
 
 
-def design_logits(contrib_with_base: DataFrame, design: DataFrame, draws: int) -> DataFrame:
-    """``(sample_id, draw, cls, z)`` for every draw of a shared design."""
-    return (contrib_with_base.join(design_with_base(design, draws), "cell")
+def design_logits(contrib: DataFrame, design: DataFrame, draws: int) -> DataFrame:
+    """``(sample_id, draw, cls, z)``: relative logits of every copy of a shared design."""
+    return (contrib.join(design_with_base(design, draws), "cell")
             .groupBy("sample_id", "draw", "cls").agg(F.sum(F.col("drop") * F.col("c")).alias("z")))
 
 
-def design_scores(contrib_with_base: DataFrame, design: DataFrame, draws: int,
-                  targets: DataFrame) -> DataFrame:
+def design_scores(contrib: DataFrame, design: DataFrame, draws: int) -> DataFrame:
     """``(sample_id, draw, score)``: target probability of every perturbed copy."""
-    z = design_logits(contrib_with_base, design, draws).join(targets, "sample_id")
-    return target_probability(z, ["sample_id", "draw"])
+    return (design_logits(contrib, design, draws)
+            .groupBy("sample_id", "draw").agg(prob_from_relative("z").alias("score")))
+
+
+def clean_scores(contrib: DataFrame) -> DataFrame:
+    """``(sample_id, score)``: target probability of the unperturbed input."""
+    return (contrib.filter(F.col("cell") == BASE_CELL)
+            .groupBy("sample_id").agg(prob_from_relative("c").alias("score")))

@@ -122,3 +122,7 @@ def q_deletion_by_label(spark, sf_dir):
     smp, scores = _flagship(spark, sf_dir)
     return (scores.join(smp.select("sample_id", "label"), "sample_id")
             .groupBy("label").agg(rounded(F.avg("score")).alias("mean_score"), F.count(F.lit(1)).alias("n")))
+
+
+# The remaining operators register themselves from these modules.
+from salient.plans import core_queries  # noqa: E402,F401
