@@ -72,3 +72,38 @@ auc AS (SELECT sample_id,
 
 def r6(expr: str) -> str:
     return f"(round(CAST({expr} AS DOUBLE), 6) + 0.0)"
+
+
+def softmax_target_cte(name: str, src: str, keys: list[str], targets: str = "tg") -> str:
+    """``name(sample_id, keys..., score)``: target probability from ``src(sample_id, keys..., cls, z)``."""
+    ks = ", ".join(keys)
+    sk = ", ".join(f"s.{k}" for k in keys)
+    return f"""{name}_m AS (SELECT sample_id, {ks}, max(z) AS m FROM {src} GROUP BY sample_id, {ks}),
+{name} AS (SELECT s.sample_id, {sk},
+       sum(CASE WHEN s.cls = t.target THEN exp(s.z - m.m) END) / sum(exp(s.z - m.m)) AS score
+       FROM {src} s JOIN {name}_m m USING (sample_id, {ks}) JOIN {targets} t USING (sample_id)
+       GROUP BY s.sample_id, {sk})"""
+
+
+def softmax_probs_cte(name: str, src: str, keys: list[str]) -> str:
+    """``name(sample_id, keys..., cls, p)`` from ``src(sample_id, keys..., cls, z)``."""
+    ks = ", ".join(keys)
+    return f"""{name}_m AS (SELECT sample_id, {ks}, max(z) AS m FROM {src} GROUP BY sample_id, {ks}),
+{name} AS (SELECT sample_id, {ks}, cls,
+       exp(z - m) / sum(exp(z - m)) OVER (PARTITION BY sample_id, {ks}) AS p
+       FROM {src} JOIN {name}_m USING (sample_id, {ks}))"""
+
+
+def draw_coef_cte(name: str, probs: str, keys: list[str], targets: str = "tg") -> str:
+    """``name(sample_id, keys..., cls, a)`` with ``a_c = p_t ([c = t] - p_c)`` per draw."""
+    on = " AND ".join([f"pt.{k} = p.{k}" for k in keys])
+    pk = ", ".join(f"p.{k}" for k in keys)
+    return f"""{name} AS (SELECT p.sample_id, {pk}, p.cls,
+       pt.p * (CASE WHEN p.cls = t.target THEN 1.0 ELSE 0.0 END - p.p) AS a
+       FROM {probs} p JOIN {targets} t USING (sample_id)
+       JOIN {probs} pt ON pt.sample_id = p.sample_id AND {on} AND pt.cls = t.target)"""
+
+
+def cell_sql(grid: int, h: int = 8, w: int = 8, pix: str = "pos") -> str:
+    return (f"CAST(floor((floor({pix} / {w}) + 0.5) * {grid} / {h}) * {grid} "
+            f"+ floor((({pix} % {w}) + 0.5) * {grid} / {w}) AS INTEGER)")
