@@ -127,3 +127,4 @@ def q_deletion_by_label(spark, sf_dir):
 # The remaining operators register themselves from these modules.
 from salient.plans import core_queries  # noqa: E402,F401
 from salient.plans import explainer_queries  # noqa: E402,F401
+from salient.plans import metric_queries  # noqa: E402,F401

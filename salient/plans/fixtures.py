@@ -41,3 +41,8 @@ def setup(spark: SparkSession, sf_dir: str):
     smp = samples(spark, sf_dir)
     mdl = model(smp)
     return smp, mdl, targets(mdl, smp)
+
+
+def weights_from_samples(smp: DataFrame) -> DataFrame:
+    """The raw layer table of the centroid scorer (layer 0 scale, layer 1 centroids)."""
+    return weights_from_centroids(smp)

@@ -26,19 +26,19 @@ tg AS (SELECT sample_id, cls AS target FROM (
        WHERE rn = 1)"""
 
 
-def grad_coef_cte(name: str = "co", probs: str = "pp") -> str:
+def grad_coef_cte(name: str = "co", probs: str = "pp", targets: str = "tg") -> str:
     """``a_c = p_t ([c = t] - p_c)`` per (sample, cls)."""
     return f"""
 {name} AS (SELECT p.sample_id, p.cls, pt.p * (CASE WHEN p.cls = t.target THEN 1.0 ELSE 0.0 END - p.p) AS a
-       FROM {probs} p JOIN tg t USING (sample_id)
+       FROM {probs} p JOIN {targets} t USING (sample_id)
        JOIN {probs} pt ON pt.sample_id = p.sample_id AND pt.cls = t.target)"""
 
 
-def project_cte(name: str, coef: str, value: str) -> str:
+def project_cte(name: str, coef: str, value: str, weights: str = "wt") -> str:
     """Map ``e = value`` with ``g = sum_c a_c w_c`` (``value`` may use x and g)."""
     return f"""
 {name}_g AS (SELECT l.sample_id, l.pos, l.x, sum(c.a * w.w) AS g
-       FROM lx l JOIN {coef} c USING (sample_id) JOIN wt w ON w.pos = l.pos AND w.cls = c.cls
+       FROM lx l JOIN {coef} c USING (sample_id) JOIN {weights} w ON w.pos = l.pos AND w.cls = c.cls
        GROUP BY l.sample_id, l.pos, l.x),
 {name} AS (SELECT sample_id, pos, {value} AS e FROM {name}_g)"""
 
