@@ -49,7 +49,7 @@ def list_paths(paths: DataFrame, path_col: str = "path", depth: int = 2, root: s
     df = paths.filter(parts == F.lit(depth))
     if suffixes:
         df = df.filter(F.regexp_extract(F.col(path_col), r"\.([^./]*)$", 1).isin(list(suffixes)))
-    return df.select(F.col(path_col).alias("path"))
+    return df
 
 
 def list_files(spark: SparkSession, root: str, depth: int = 2, suffixes=IMAGE_SUFFIXES) -> DataFrame:
@@ -63,11 +63,11 @@ def list_files(spark: SparkSession, root: str, depth: int = 2, suffixes=IMAGE_SU
 
 
 def url_paths(pages: DataFrame) -> DataFrame:
-    """Fixture view: ``(image, label)`` from a URL column — query, fragment and trailing '/' removed,
-    keyed by the full URL (last parts repeat)."""
+    """Fixture view of a URL table as a file listing: ``(url, path)`` with the URL path
+    (host dropped; query, fragment and trailing '/' removed).  Last parts repeat,
+    so the full URL stays the image key."""
     path = F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://[^/]+([^?#]*)", 1), "/+$", "")
-    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
-    return pages.select(F.concat(host, path).alias("path"), "url")
+    return pages.select("url", path.alias("path"))
 
 
 # --- K2 label index ---------------------------------------------------------------------
@@ -98,22 +98,27 @@ def hash_split(df: DataFrame, key: str, test_fraction: float, seed: int = SPLIT_
 
 
 def recognition_manifest(train: DataFrame, test: DataFrame | None = None, test_fraction: float = 0.0,
-                         path_col: str = "path", check: bool = True) -> tuple[DataFrame, DataFrame]:
+                         path_col: str = "path", image_col: str | None = None,
+                         check: bool = True) -> tuple[DataFrame, DataFrame]:
     """K3: ``(split, image, label)`` rows and ``(num_classes, indices_2_labels)``.
 
-    The class of an image is its parent folder; the label index is built from
-    the training folders and broadcast.  A test image whose folder is not a
-    training class is an error (reported by an anti join when ``check``).
+    The class of an image is the parent folder of ``path_col``; ``image_col``
+    (default: the path) is the image key.  The label index is built from the
+    training folders and broadcast (one row per class).  A test image whose
+    folder is not a training class is an error (found by an anti join).
+    With no test set, ``test_fraction`` of the training images is split off (K4).
     """
-    tr = train.select(F.col(path_col).alias("image"), parent_name(F.col(path_col)).alias("raw_label"))
+    image_col = image_col or path_col
+
+    def prep(df):
+        return df.select(F.col(image_col).alias("image"), parent_name(F.col(path_col)).alias("raw_label"))
+    tr = prep(train)
     index = label_index(tr, "raw_label")
     if test is not None:
-        te = test.select(F.col(path_col).alias("image"), parent_name(F.col(path_col)).alias("raw_label"))
+        te = prep(test)
         rows = tr.withColumn("split", F.lit("train")).unionByName(te.withColumn("split", F.lit("test")))
-        if check:
-            unknown = te.join(F.broadcast(index), "raw_label", "left_anti").limit(1).count()
-            if unknown:
-                raise KeyError("test images with a label not seen in training")
+        if check and te.join(F.broadcast(index), "raw_label", "left_anti").limit(1).count():
+            raise KeyError("test images with a label not seen in training")
     elif test_fraction > 0:
         rows = hash_split(tr, "image", test_fraction)
     else:
@@ -309,13 +314,21 @@ def encode_box_labels(objects: DataFrame, train_filter: Column | None = None) ->
 
 # --- K15 ordinal labels ---------------------------------------------------------------------
 
-def assign_labels_by_ordinal(files: DataFrame, label_lines: DataFrame, path_col: str = "path") -> tuple[DataFrame, DataFrame]:
+def assign_labels_by_ordinal(files: DataFrame, label_lines: DataFrame, path_col: str = "path",
+                             min_files: int = UNSTRUCTURED_MIN_FILES) -> tuple[DataFrame, DataFrame]:
     """The i-th label line belongs to file number i (``ILSVRC2012_val_000NNNNN.JPEG``).
 
-    ``label_lines(line_no, label)`` with 1-based numbers.  Returns ``(path, label)``
-    and the label lines whose file is missing (the reference stops on the first).
+    ``label_lines(line_no, label)`` with 1-based numbers.  Only a folder with
+    more than ``min_files`` files is unstructured; otherwise nothing is
+    assigned.  Returns ``(path, label)`` and the label lines whose file is
+    missing (the reference stops at the first one).  Files are not moved.
     """
+    n_files = files.count()
     num = F.regexp_extract(basename(F.col(path_col)), ORDINAL_NAME_PATTERN, 1)
-    f = files.select(F.col(path_col).alias("path"), num.cast("bigint").alias("line_no")).filter(F.col("line_no").isNotNull())
+    f = (files.select(F.col(path_col).alias("path"), F.nullif(num, F.lit("")).cast("bigint").alias("line_no"))
+         .filter(F.col("line_no").isNotNull()))
     lab = label_lines.select(F.col("line_no").cast("bigint"), F.trim("label").alias("label"))
+    if n_files <= min_files:
+        f = f.limit(0)
+        lab = lab.limit(0)
     return f.join(lab, "line_no").select("path", "label"), lab.join(f, "line_no", "left_anti")

@@ -128,3 +128,4 @@ def q_deletion_by_label(spark, sf_dir):
 from salient.plans import core_queries  # noqa: E402,F401
 from salient.plans import explainer_queries  # noqa: E402,F401
 from salient.plans import metric_queries  # noqa: E402,F401
+from salient.plans import manifest_queries  # noqa: E402,F401
