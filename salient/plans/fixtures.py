@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from salient.operators.masking import Shape
 from salient.operators.scoring import LinearSoftmaxModel, predictions, weights_from_centroids
+from salient.session import materialize
 from salient.sources.tables import read_samples
 
 TAU = 10.0  # fixed: temperature of the centroid scorer
@@ -38,9 +39,15 @@ def targets(mdl: LinearSoftmaxModel, smp: DataFrame) -> DataFrame:
 
 
 def setup(spark: SparkSession, sf_dir: str):
+    """Samples, scorer and predicted targets.
+
+    As in the reference's prepared dataset (P4 + P5), inputs and predictions are
+    materialized once; every later branch reads the written table.
+    """
     smp = samples(spark, sf_dir)
     mdl = model(smp)
-    return smp, mdl, targets(mdl, smp)
+    prepared = materialize(smp.join(targets(mdl, smp), "sample_id"))
+    return prepared.select("sample_id", "x", "label"), mdl, prepared.select("sample_id", "target")
 
 
 def weights_from_samples(smp: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from salient.operators import explainers as E
 from salient.operators import metrics as M
 from salient.plans import fixtures as fx
 from salient.plans.catalog import per_sample, register
+from salient.session import materialize
 from salient.plans.core_queries import GI_MAP_SQL, SAL_MAP_SQL
 from salient.plans.explainer_queries import _design_sql, _masked_scores_sql
 from salient.plans.oracle import (base_ctes, causal_ctes, cell_sql, grad_coef_cte, project_cte, r6,
@@ -19,7 +20,7 @@ from salient.plans.oracle import (base_ctes, causal_ctes, cell_sql, grad_coef_ct
 def _triplets(spark, sf_dir, explainer):
     smp, mdl, tgt = fx.setup(spark, sf_dir)
     maps = explainer(mdl, smp, tgt)
-    trip = M.metric_triplets(smp, tgt.withColumnRenamed("target", "pred"), to_array(maps, "e", "e"))
+    trip = materialize(M.metric_triplets(smp, tgt.withColumnRenamed("target", "pred"), to_array(maps, "e", "e")))
     return smp, mdl, tgt, maps, trip
 
 

@@ -17,19 +17,35 @@ SAMPLE_SCHEMA = "sample_id BIGINT, x ARRAY<DOUBLE>, label INT"
 MAP_SCHEMA = "sample_id BIGINT, e ARRAY<DOUBLE>, model STRING, explainer STRING"
 
 
+SAMPLES_PER_PARTITION = 2000  # each sample expands to draws x cells x classes rows downstream
+
+
+def sample_partitions(spark: SparkSession, n_samples: int) -> int:
+    """Partition count for sample-keyed work: at least one per task slot of the cluster,
+    and enough that a partition holds at most ``SAMPLES_PER_PARTITION`` samples.
+
+    The work per input byte is large (every sample is scored in many perturbed
+    copies), so partitions are sized by sample count, not by input bytes.
+    """
+    slots = spark.sparkContext.defaultParallelism
+    return max(slots, -(-n_samples // SAMPLES_PER_PARTITION))
+
+
 def read_samples(spark: SparkSession, path: str, id_col: str = "vec_id", x_col: str = "embedding",
                  label_col: str = "label", partitions: int | None = None) -> DataFrame:
     """Load ``(sample_id, x, label)``; inputs are widened to DOUBLE.
 
-    The table is hash-partitioned by ``sample_id`` once here; every later
-    window, join and group-by in this library is keyed by ``sample_id`` and
-    reuses this partitioning instead of shuffling again.
+    The table is hash-partitioned by ``sample_id`` once here, into an explicit
+    number of partitions (:func:`sample_partitions`, from the row count in the
+    Parquet footers) that AQE keeps; every later window, join and group-by of
+    this library is keyed by ``sample_id`` and reuses this partitioning.
     """
-    df = (spark.read.parquet(path)
-          .select(F.col(id_col).cast("bigint").alias("sample_id"),
-                  F.col(x_col).cast("array<double>").alias("x"),
-                  F.col(label_col).cast("int").alias("label")))
-    return df.repartition(partitions, "sample_id") if partitions else df.repartition("sample_id")
+    raw = spark.read.parquet(path)
+    df = raw.select(F.col(id_col).cast("bigint").alias("sample_id"),
+                    F.col(x_col).cast("array<double>").alias("x"),
+                    F.col(label_col).cast("int").alias("label"))
+    n = partitions or sample_partitions(spark, raw.count())
+    return df.repartition(n, "sample_id")
 
 
 def write_explanations(maps: DataFrame, path: str, mode: str = "overwrite") -> None:
