@@ -3,8 +3,9 @@
 Spark side: the similarity kernel of LIME (E10a) and the Jansen total index
 (E11a) are group-by expressions.  Python side: the per-sample d x d weighted
 least-squares solves (E9, E10b) and the n x n HSIC kernel products (E12a)
-run in ``applyInPandas`` grouped by ``sample_id``; a group holds one sample's
-design draws, whose count is a parameter (never a data-dependent size).
+run in ``mapInPandas`` over rows partitioned and sorted by ``sample_id``
+(:func:`solve_per_sample`); one solve sees one sample's design draws, whose
+count is a parameter (never a data-dependent size).
 """
 
 from __future__ import annotations
@@ -82,14 +83,50 @@ def constrained_shap(Z: np.ndarray, y: np.ndarray, f_empty: float, f_full: float
     return np.append(phi, total - phi.sum())
 
 
+def complete_samples(batches, key: str = "sample_id"):
+    """Regroup sorted Arrow batches into frames of complete samples.
+
+    Rows arrive clustered and sorted by ``key``; a sample cut by a batch
+    boundary is carried to the next batch, so memory holds one batch plus one
+    sample.
+    """
+    carry = None
+    for pdf in batches:
+        if carry is not None:
+            pdf = pd.concat([carry, pdf], ignore_index=True)
+        if pdf.empty:
+            carry = None
+            continue
+        last = pdf[key].iloc[-1]
+        tail = pdf[key].to_numpy() == last
+        carry = pdf[tail]
+        done = pdf[~tail]
+        if len(done):
+            yield done
+    if carry is not None and len(carry):
+        yield carry
+
+
 def solve_per_sample(rows: DataFrame, solver, dims: int, out_value: str = "coef") -> DataFrame:
-    """Run ``solver(pdf) -> coefficients[dims]`` once per sample with ``applyInPandas``."""
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("draw")
-        coef = solver(pdf)
-        return pd.DataFrame({"sample_id": np.repeat(pdf["sample_id"].iloc[0], dims),
-                             "cell": np.arange(dims, dtype=np.int32), out_value: coef.astype(float)})
-    return rows.groupBy("sample_id").applyInPandas(fit, f"sample_id long, cell int, {out_value} double")
+    """Run ``solver(pdf) -> coefficients[dims]`` once per sample.
+
+    Rows are hash-partitioned by ``sample_id`` and sorted by (sample, draw)
+    inside each partition; ``mapInPandas`` then walks complete samples batch by
+    batch (see :func:`complete_samples`), so there is no per-group task or
+    Arrow round trip, and no group larger than one sample's draws is formed.
+    """
+    def run(batches):
+        for frame in complete_samples(batches):
+            ids, outs = [], []
+            for sid, pdf in frame.groupby("sample_id", sort=False):
+                ids.append(np.full(dims, sid, dtype=np.int64))
+                outs.append(np.asarray(solver(pdf), dtype=float))
+            yield pd.DataFrame({"sample_id": np.concatenate(ids),
+                                "cell": np.tile(np.arange(dims, dtype=np.int32), len(ids)),
+                                out_value: np.concatenate(outs)})
+
+    ordered = rows.repartition("sample_id").sortWithinPartitions("sample_id", "draw")
+    return ordered.mapInPandas(run, f"sample_id long, cell int, {out_value} double")
 
 
 # --- E11a Jansen -------------------------------------------------------------------------
