@@ -38,15 +38,25 @@ def targets(mdl: LinearSoftmaxModel, smp: DataFrame) -> DataFrame:
     return predictions(mdl, smp).select("sample_id", F.col("pred").alias("target"))
 
 
+_PREPARED: dict[tuple[str, str], tuple] = {}
+
+
 def setup(spark: SparkSession, sf_dir: str):
     """Samples, scorer and predicted targets.
 
-    As in the reference's prepared dataset (P4 + P5), inputs and predictions are
-    materialized once; every later branch reads the written table.
+    As with the reference's prepared dataset (P4 + P5: built once per model,
+    then reused by every explainer and metric run), the scorer and the
+    (input, prediction) table are built once per input folder and Spark
+    application and checkpointed; later queries of the same application read
+    the written tables.  Explanation maps are never shared between queries.
     """
-    smp = samples(spark, sf_dir)
-    mdl = model(smp)
-    prepared = materialize(smp.join(targets(mdl, smp), "sample_id"))
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PREPARED:
+        smp = samples(spark, sf_dir)
+        mdl = model(smp)
+        prepared = materialize(smp.join(targets(mdl, smp), "sample_id"))
+        _PREPARED[key] = (prepared, mdl)
+    prepared, mdl = _PREPARED[key]
     return prepared.select("sample_id", "x", "label"), mdl, prepared.select("sample_id", "target")
 
 
