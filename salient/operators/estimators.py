@@ -107,13 +107,17 @@ def complete_samples(batches, key: str = "sample_id"):
         yield carry
 
 
-def solve_per_sample(rows: DataFrame, solver, dims: int, out_value: str = "coef") -> DataFrame:
+def solve_per_sample(rows: DataFrame, solver, dims: int, out_value: str = "coef",
+                     design_arrays: DataFrame | None = None) -> DataFrame:
     """Run ``solver(pdf) -> coefficients[dims]`` once per sample.
 
-    Rows are hash-partitioned by ``sample_id`` and sorted by (sample, draw)
-    inside each partition; ``mapInPandas`` then walks complete samples batch by
-    batch (see :func:`complete_samples`), so there is no per-group task or
-    Arrow round trip, and no group larger than one sample's draws is formed.
+    ``rows`` holds the small per-draw values (scores, weights).  They are
+    hash-partitioned by ``sample_id`` (the only shuffle, of scalar rows), the
+    parameter-sized ``design_arrays(draw, z)`` are attached afterwards by a
+    broadcast join, and rows are sorted by (sample, draw) inside each partition.
+    ``mapInPandas`` then walks complete samples batch by batch (see
+    :func:`complete_samples`): no per-group task or Arrow round trip, and no
+    group larger than one sample's draws is formed.
     """
     def run(batches):
         for frame in complete_samples(batches):
@@ -125,7 +129,10 @@ def solve_per_sample(rows: DataFrame, solver, dims: int, out_value: str = "coef"
                                 "cell": np.tile(np.arange(dims, dtype=np.int32), len(ids)),
                                 out_value: np.concatenate(outs)})
 
-    ordered = rows.repartition("sample_id").sortWithinPartitions("sample_id", "draw")
+    ordered = rows.repartition("sample_id")
+    if design_arrays is not None:
+        ordered = ordered.join(F.broadcast(design_arrays), "draw")
+    ordered = ordered.sortWithinPartitions("sample_id", "draw")
     return ordered.mapInPandas(run, f"sample_id long, cell int, {out_value} double")
 
 

@@ -23,7 +23,7 @@ from salient.operators.designs import binary_design, sobol_ab, sobol_design, uni
 from salient.operators.estimators import (constrained_shap, hsic_scores, jansen_total_index,
                                           similarity_weights, solve_per_sample, weighted_ridge)
 from salient.operators.masking import Shape, bicubic_weights, grid_cell, patch_positions, resize_bicubic
-from salient.operators.perturb import (clean_scores, design_logits, design_scores,
+from salient.operators.perturb import (BASE_CELL, clean_scores, design_logits, design_scores,
                                        relative_contributions)
 from salient.operators.scoring import LinearSoftmaxModel, prob_from_relative
 
@@ -298,31 +298,54 @@ def lime(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame, shap
     rows = _input_rows(samples, targets, shape).withColumn("cell", cell_of(F.col("pix")))
     design = binary_design(spark, nb_samples, dims, prob, seed)
     contrib = relative_contributions(model, rows, F.lit(float(ref)))
-    scores = design_scores(contrib, design.withColumn("drop", F.lit(1.0) - F.col("m")), nb_samples)
-    sims = similarity_weights(lime_distance_sums(rows, design, ref, nb_samples),
-                              distance_mode, kernel_width, reference_sign)
-    fit_rows = scores.join(sims, ["sample_id", "draw"]).join(_draw_arrays(design), "draw")
+    per_draw = _scores_with_sums(contrib, lime_cell_sums(rows, ref),
+                                 design.withColumn("drop", F.lit(1.0) - F.col("m")), nb_samples)
+    sims = similarity_weights(per_draw, distance_mode, kernel_width, reference_sign)
+    fit_rows = per_draw.select("sample_id", "draw", "score").join(sims, ["sample_id", "draw"])
 
     def solver(pdf):
         Z = np.stack(pdf["z"].to_numpy())
         return weighted_ridge(Z, pdf["score"].to_numpy(), pdf["sim"].to_numpy(), alpha)
 
-    coefs = solve_per_sample(fit_rows, solver, dims)
+    coefs = solve_per_sample(fit_rows, solver, dims, design_arrays=_draw_arrays(design))
     return _to_positions(coefs, spark, shape, cell_of, "coef")
 
 
-def lime_distance_sums(rows: DataFrame, design: DataFrame, ref: float, draws: int) -> DataFrame:
-    """Per (sample, draw): squared distance, |x|^2, x.x' and |x'|^2 from per-cell sums."""
+# Pseudo classes carrying the distance sums of LIME through the design aggregation.
+SUM_CLASSES = {"sq": -2, "xp": -3, "pp": -4, "xx": -5}
+
+
+def lime_cell_sums(rows: DataFrame, ref: float) -> DataFrame:
+    """Per-cell terms of the distance sums as pseudo-class contributions.
+
+    Every sum is linear in the drops: ``sq = sum drop*(x-r)^2``,
+    ``x.x' = |x|^2 - sum drop*(x^2 - x r)``, ``|x'|^2 = |x|^2 - sum drop*(x^2 - r^2)``.
+    The base (always-on) cell carries ``|x|^2`` for the last two and for
+    ``xx`` itself (no cell term: dropping cells does not change ``|x|^2``).
+    """
     r = F.lit(float(ref))
     cells = (rows.groupBy("sample_id", "cell")
-             .agg(F.sum((F.col("x") - r) ** 2).alias("dd"), F.sum(F.col("x") ** 2).alias("xx"),
-                  F.sum(F.col("x") * r).alias("xr"), F.sum(r * r).alias("rr")))
-    m = F.col("m")
-    return (cells.join(F.broadcast(design.select("draw", "cell", "m")), "cell")
-            .groupBy("sample_id", "draw")
-            .agg(F.sum((F.lit(1.0) - m) * F.col("dd")).alias("sq"), F.sum("xx").alias("xx"),
-                 F.sum(m * F.col("xx") + (F.lit(1.0) - m) * F.col("xr")).alias("xp"),
-                 F.sum(m * F.col("xx") + (F.lit(1.0) - m) * F.col("rr")).alias("pp")))
+             .agg(F.sum((F.col("x") - r) ** 2).alias("sq"),
+                  F.sum(F.col("x") * r - F.col("x") ** 2).alias("xp"),
+                  F.sum(r * r - F.col("x") ** 2).alias("pp")))
+    parts = [cells.select("sample_id", "cell", F.lit(SUM_CLASSES[n]).alias("cls"), F.col(n).alias("c"))
+             for n in ("sq", "xp", "pp")]
+    xx = rows.groupBy("sample_id").agg(F.sum(F.col("x") ** 2).alias("xx"))
+    parts += [xx.select("sample_id", F.lit(BASE_CELL).alias("cell"), F.lit(SUM_CLASSES[n]).alias("cls"),
+                        F.col("xx").alias("c")) for n in ("xp", "pp", "xx")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _scores_with_sums(contrib: DataFrame, sums: DataFrame, design: DataFrame, draws: int) -> DataFrame:
+    """``(sample_id, draw, score, sq, xx, xp, pp)`` from one design aggregation."""
+    z = design_logits(contrib.unionByName(sums), design, draws)
+    real = F.col("cls") >= 0
+    aggs = [(F.lit(1.0) / (F.lit(1.0) + F.coalesce(F.sum(F.when(real, F.exp(F.col("z")))), F.lit(0.0)))).alias("score")]
+    aggs += [F.coalesce(F.sum(F.when(F.col("cls") == k, F.col("z"))), F.lit(0.0)).alias(n) for n, k in SUM_CLASSES.items()]
+    return z.groupBy("sample_id", "draw").agg(*aggs)
 
 
 def kernel_shap(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame, shape: Shape,
@@ -344,8 +367,7 @@ def kernel_shap(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFram
         "m", F.when(F.col("draw") == nb_samples, 0.0).otherwise(1.0))
     design = coalitions.unionByName(ends)
     contrib = relative_contributions(model, rows, F.lit(float(ref_value)))
-    scores = design_scores(contrib, design.withColumn("drop", F.lit(1.0) - F.col("m")), nb_samples + 2)
-    fit_rows = scores.join(_draw_arrays(design), "draw")
+    fit_rows = design_scores(contrib, design.withColumn("drop", F.lit(1.0) - F.col("m")), nb_samples + 2)
 
     def solver(pdf):
         Z = np.stack(pdf["z"].to_numpy())
@@ -355,7 +377,7 @@ def kernel_shap(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFram
         body = d < nb_samples
         return constrained_shap(Z[body], y[body], f_empty, f_full)
 
-    coefs = solve_per_sample(fit_rows, solver, dims)
+    coefs = solve_per_sample(fit_rows, solver, dims, design_arrays=_draw_arrays(design))
     return _to_positions(coefs, spark, shape, cell_of, "coef")
 
 
@@ -385,15 +407,20 @@ def sobol_attribution(model: LinearSoftmaxModel, samples: DataFrame, targets: Da
         a, b = uniform_design(spark, nb_design, dims, seed), uniform_design(spark, nb_design, dims, seed + 1)
     contrib = relative_contributions(model, rows, F.lit(0.0))  # inpainting: x * m
     za = design_logits(contrib, a.withColumn("drop", F.lit(1.0) - F.col("m")), nb_design)
+    # one map per sample, keyed by cls * dims + cell (classes x cells entries): joined on
+    # sample_id alone, so it meets the design logits in their own partitioning
     cmap = (contrib.filter(F.col("cell") >= 0)
-            .groupBy("sample_id", "cls").agg(F.map_from_entries(F.collect_list(F.struct("cell", "c"))).alias("cm")))
+            .groupBy("sample_id")
+            .agg(F.map_from_entries(F.collect_list(F.struct((F.col("cls") * dims + F.col("cell")).alias("k"), "c")))
+                 .alias("cm")))
     delta = (a.select("draw", "cell", F.col("m").alias("ma"))
-             .join(b.select("draw", "cell", F.col("m").alias("mb")), ["draw", "cell"])
+             .join(F.broadcast(b.select("draw", "cell", F.col("m").alias("mb"))), ["draw", "cell"])
              .select("draw", F.col("cell").alias("rep"), (F.col("ma") - F.col("mb")).alias("dl")))
-    zc = (za.join(cmap, ["sample_id", "cls"])
+    ci = F.element_at("cm", F.col("cls") * dims + F.col("rep"))
+    zc = (za.join(cmap, "sample_id")
           .join(F.broadcast(delta), "draw")
           .select("sample_id", "draw", "rep", "cls", F.col("z").alias("za"),
-                  (F.col("z") + F.col("dl") * F.coalesce(F.element_at("cm", F.col("rep")), F.lit(0.0))).alias("zc")))
+                  (F.col("z") + F.col("dl") * F.coalesce(ci, F.lit(0.0))).alias("zc")))
     y = zc.groupBy("sample_id", "draw", "rep").agg(prob_from_relative("za").alias("ya"),
                                                    prob_from_relative("zc").alias("yc"))
     sti = (y.groupBy("sample_id", F.col("rep").alias("cell"))
@@ -420,12 +447,11 @@ def hsic_attribution(model: LinearSoftmaxModel, samples: DataFrame, targets: Dat
     else:
         design = binary_design(spark, nb_design, dims, 0.5, seed)
     contrib = relative_contributions(model, rows, F.lit(0.0))
-    scores = design_scores(contrib, design.withColumn("drop", F.lit(1.0) - F.col("m")), nb_design)
-    fit_rows = scores.join(_draw_arrays(design), "draw")
+    fit_rows = design_scores(contrib, design.withColumn("drop", F.lit(1.0) - F.col("m")), nb_design)
 
     def solver(pdf):
         return hsic_scores(np.stack(pdf["z"].to_numpy()), pdf["score"].to_numpy(), kernel)
 
-    cells = solve_per_sample(fit_rows, solver, dims, out_value="v")
+    cells = solve_per_sample(fit_rows, solver, dims, out_value="v", design_arrays=_draw_arrays(design))
     heat = resize_bicubic(cells, bicubic_weights(spark, grid_size, shape))
     return heat.select("sample_id", F.col("pix").alias("pos"), F.col("v").alias("e"))

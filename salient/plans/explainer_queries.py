@@ -179,11 +179,13 @@ SELECT sample_id, draw, {r6('CASE WHEN sum(sim) OVER (PARTITION BY sample_id) =
 
 
 def _lime_sim_spark(spark, sf_dir, mode, width):
+    """E10a on the production path: distance sums ride through the design aggregation."""
     smp, mdl, tgt = fx.setup(spark, sf_dir)
     rows = (E._input_rows(smp, tgt, fx.MAP)
             .withColumn("cell", E.grid_cell(F.col("pix"), fx.MAP, LIME_GRID)))
-    design = E.binary_design(spark, LIME_DRAWS, LIME_GRID ** 2, 0.5, 0)
-    sums = E.lime_distance_sums(rows, design, 0.0, LIME_DRAWS)
+    design = E.binary_design(spark, LIME_DRAWS, LIME_GRID ** 2, 0.5, 0).withColumn("drop", F.lit(1.0) - F.col("m"))
+    contrib = E.relative_contributions(mdl, rows, F.lit(0.0))
+    sums = E._scores_with_sums(contrib, E.lime_cell_sums(rows, 0.0), design, LIME_DRAWS)
     return X.similarity_weights(sums, mode, width).select("sample_id", "draw", rounded("sim").alias("sim"))
 
 
