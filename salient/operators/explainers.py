@@ -22,7 +22,8 @@ from salient.functions.hashing import hash_normal
 from salient.operators.designs import binary_design, sobol_ab, sobol_design, uniform_design
 from salient.operators.estimators import (constrained_shap, hsic_scores, jansen_total_index,
                                           similarity_weights, solve_per_sample, weighted_ridge)
-from salient.operators.masking import Shape, bicubic_weights, grid_cell, patch_positions, resize_bicubic
+from salient.operators.masking import (Shape, bicubic_weights, box_blur, grid_cell, patch_positions,
+                                      resize_bicubic)
 from salient.operators.perturb import (BASE_CELL, clean_scores, design_logits, design_scores,
                                        relative_contributions)
 from salient.operators.scoring import LinearSoftmaxModel, prob_from_relative
@@ -386,8 +387,23 @@ def _grid_design(spark: SparkSession, draws: list[int], dims: int) -> DataFrame:
             .withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(dims - 1)))))
 
 
+def perturbation_rows(rows: DataFrame, shape: Shape, perturbation: str):
+    """D10/D11 for the GSA explainers: ``(rows, replacement)`` for ``x*m + replacement*(1-m)``.
+
+    ``inpainting`` and ``amplitude`` scale the input by the mask (replacement 0);
+    ``blurring`` replaces dropped cells by the 3x3 box blur of the input.
+    """
+    if perturbation in ("inpainting", "amplitude"):
+        return rows, F.lit(0.0)
+    if perturbation == "blurring":
+        blur = box_blur(rows.select("sample_id", "pos", "x"), shape, 1)
+        return rows.join(blur, ["sample_id", "pos"]), F.col("blur")
+    raise ValueError("Only 'inpainting', 'blurring' and 'amplitude' are supported.")
+
+
 def sobol_attribution(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame, shape: Shape,
-                      grid_size: int = 11, nb_design: int = 32, sampler: str = "sobol", seed: int = 0) -> DataFrame:
+                      grid_size: int = 11, nb_design: int = 32, sampler: str = "sobol", seed: int = 0,
+                      perturbation: str = "inpainting") -> DataFrame:
     """Total-order Sobol indices of the cells (Jansen), bicubic-resized to the map.
 
     A and C_i = A with cell i from B are scored (B itself is never used by the
@@ -405,7 +421,8 @@ def sobol_attribution(model: LinearSoftmaxModel, samples: DataFrame, targets: Da
         a, b = sobol_ab(spark, nb_design, dims)
     else:
         a, b = uniform_design(spark, nb_design, dims, seed), uniform_design(spark, nb_design, dims, seed + 1)
-    contrib = relative_contributions(model, rows, F.lit(0.0))  # inpainting: x * m
+    rows, replacement = perturbation_rows(rows, shape, perturbation)
+    contrib = relative_contributions(model, rows, replacement)
     za = design_logits(contrib, a.withColumn("drop", F.lit(1.0) - F.col("m")), nb_design)
     # one map per sample, keyed by cls * dims + cell (classes x cells entries): joined on
     # sample_id alone, so it meets the design logits in their own partitioning
@@ -431,7 +448,7 @@ def sobol_attribution(model: LinearSoftmaxModel, samples: DataFrame, targets: Da
 
 def hsic_attribution(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame, shape: Shape,
                      grid_size: int = 11, nb_design: int = 500, kernel: str = "binary",
-                     sampler: str = "sobol", seed: int = 0) -> DataFrame:
+                     sampler: str = "sobol", seed: int = 0, perturbation: str = "inpainting") -> DataFrame:
     """HSIC between each cell's mask and the target score, bicubic-resized to the map.
 
     Binary masks (rounded Sobol points, or hash Bernoulli draws), inpainting
@@ -446,7 +463,8 @@ def hsic_attribution(model: LinearSoftmaxModel, samples: DataFrame, targets: Dat
         design = sobol_design(spark, nb_design, dims, binary=True)
     else:
         design = binary_design(spark, nb_design, dims, 0.5, seed)
-    contrib = relative_contributions(model, rows, F.lit(0.0))
+    rows, replacement = perturbation_rows(rows, shape, perturbation)
+    contrib = relative_contributions(model, rows, replacement)
     fit_rows = design_scores(contrib, design.withColumn("drop", F.lit(1.0) - F.col("m")), nb_design)
 
     def solver(pdf):

@@ -217,6 +217,8 @@ def q_kernel_shap(spark, sf_dir):
 
 
 SOBOL_GRID, SOBOL_N = 4, 16
+BLUR_CTE = """bl AS (SELECT a.sample_id, a.pos, avg(b.x) AS blur FROM lx a JOIN lx b ON a.sample_id = b.sample_id
+ AND abs(floor(a.pos / 8) - floor(b.pos / 8)) <= 1 AND abs((a.pos % 8) - (b.pos % 8)) <= 1 GROUP BY a.sample_id, a.pos)"""
 
 
 def _sobol_ab_sql(draws: int, dims: int) -> str:
@@ -228,10 +230,14 @@ sa AS (SELECT draw, cell, m FROM sab WHERE cell < {dims}),
 sb AS (SELECT draw, cell - {dims} AS cell, m FROM sab WHERE cell >= {dims})"""
 
 
-SOBOL_SQL = f"""WITH {base_ctes()},
+def _sobol_sql(blur: bool = False) -> str:
+    repl = "b.blur" if blur else "0.0"
+    blur_join = "JOIN bl b ON b.sample_id = l.sample_id AND b.pos = l.pos" if blur else ""
+    return f"""WITH {base_ctes()},
+{BLUR_CTE},
 {_sobol_ab_sql(SOBOL_N, SOBOL_GRID ** 2)},
-cc AS (SELECT l.sample_id, {cell_sql(SOBOL_GRID, pix='l.pos')} AS cell, w.cls, sum(w.w * (0.0 - l.x)) AS c
-       FROM lx l JOIN wt w ON w.pos = l.pos GROUP BY ALL),
+cc AS (SELECT l.sample_id, {cell_sql(SOBOL_GRID, pix='l.pos')} AS cell, w.cls, sum(w.w * ({repl} - l.x)) AS c
+       FROM lx l {blur_join} JOIN wt w ON w.pos = l.pos GROUP BY ALL),
 dza AS (SELECT c.sample_id, a.draw, c.cls, sum((1.0 - a.m) * c.c) AS dz FROM cc c JOIN sa a USING (cell)
        GROUP BY c.sample_id, a.draw, c.cls),
 zA AS (SELECT z.sample_id, a.draw, z.cls, z.z + a.dz AS z FROM zz z JOIN dza a USING (sample_id, cls)),
@@ -248,6 +254,9 @@ sm AS (SELECT sample_id, pix AS pos, sum(weight * v) AS e FROM st JOIN bw USING
 """
 
 
+SOBOL_SQL = _sobol_sql()
+
+
 @register("sobol", _maps_sql(SOBOL_SQL, "sm"))
 def q_sobol(spark, sf_dir):
     """E11 + E11a + D8/D9/D14: Sobol total indices (Jansen), 16 Sobol designs on a 4x4 grid."""
@@ -306,3 +315,40 @@ def q_hsic_sobolev(spark, sf_dir):
     """HSIC with the Sobolev (order 1) input kernel."""
     return _run(spark, sf_dir, E.hsic_attribution, shape=fx.MAP, grid_size=HSIC_GRID, nb_design=HSIC_N,
                 kernel="sobolev")
+
+
+@register("sobol_blurring", _maps_sql(_sobol_sql(blur=True), "sm"))
+def q_sobol_blurring(spark, sf_dir):
+    """E11 + D11: Sobol total indices with the blurring perturbation (dropped cells take the 3x3 box blur)."""
+    return _run(spark, sf_dir, E.sobol_attribution, shape=fx.MAP, grid_size=SOBOL_GRID, nb_design=SOBOL_N,
+                perturbation="blurring")
+
+
+def _ig_mean_sql(steps: int) -> str:
+    n = steps - 1
+    return f"""WITH {base_ctes()},
+cm AS (SELECT pos % 4 AS ch, avg(x) AS b FROM lx GROUP BY pos % 4),
+bp AS (SELECT DISTINCT l.pos, c.b FROM lx l JOIN cm c ON c.ch = l.pos % 4),
+zb AS (SELECT w.cls, sum(w.w * bp.b) AS zb FROM wt w JOIN bp USING (pos) GROUP BY w.cls),
+iz AS (SELECT z.sample_id, k.range AS k, z.cls,
+              b.zb + (CAST(k.range AS DOUBLE) / {float(n)!r}) * (z.z - b.zb) AS z
+       FROM zz z JOIN zb b USING (cls), range({steps}) k),
+{softmax_probs_cte('ip', 'iz', ['k'])},
+{draw_coef_cte('ia', 'ip', ['k'])},
+ic AS (SELECT sample_id, cls,
+       sum(CASE WHEN k = 0 OR k = {n} THEN {0.5 / n!r} ELSE {1.0 / n!r} END * a) AS a FROM ia GROUP BY sample_id, cls),
+{project_cte('ig0', 'ic', 'g')},
+ig AS (SELECT i.sample_id, i.pos, (l.x - bp.b) * i.e AS e FROM ig0 i JOIN lx l USING (sample_id, pos) JOIN bp USING (pos))
+"""
+
+
+@register("integrated_gradients_mean_baseline", _maps_sql(_ig_mean_sql(IG_STEPS), "ig"))
+def q_integrated_gradients_mean_baseline(spark, sf_dir):
+    """E3 + D1 + P10: integrated gradients from the per-channel dataset mean (inputs viewed as 4x4x4)."""
+    smp, mdl, tgt = fx.setup(spark, sf_dir)
+    c = fx.MAP_CH.c
+    means = (smp.select(F.posexplode("x").alias("pos", "x"))
+             .groupBy((F.col("pos") % c).alias("ch")).agg(F.avg("x").alias("b")))
+    positions = smp.sparkSession.range(mdl.n_pos).select(F.col("id").cast("int").alias("pos"))
+    baseline = positions.join(F.broadcast(means), (F.col("pos") % c) == F.col("ch")).select("pos", "b")
+    return long_map(E.integrated_gradients(mdl, smp, tgt, steps=IG_STEPS, baseline=baseline))
