@@ -157,18 +157,40 @@ def read_captions(spark: SparkSession, path: str, fmt: str = "tsv") -> DataFrame
     raise ValueError(f"unknown caption format {fmt!r}")
 
 
+def rank_within_key(df: DataFrame, key: str, order: str, out: str = "rn",
+                    partitions: int | None = None) -> DataFrame:
+    """``row_number() over (partition by key order by order)`` without a key in one task.
+
+    Rows are range-partitioned on ``(key, order)``, so a key holding a large
+    share of the rows spans several partitions.  Each (partition, key) piece is
+    ranked locally; a piece's offset is the count of the same key's rows in
+    earlier partitions, a prefix sum over the small (partition, key, count)
+    table (at most one row per partition for a key).  ``order`` must be unique
+    within a key.
+    """
+    n = partitions or 2 * df.sparkSession.sparkContext.defaultParallelism
+    pieces = df.repartitionByRange(n, key, order).withColumn("_pid", F.spark_partition_id())
+    local = pieces.withColumn("_lr", F.row_number().over(Window.partitionBy("_pid", key).orderBy(order)))
+    counts = pieces.groupBy("_pid", key).agg(F.count(F.lit(1)).alias("_c"))
+    offsets = counts.select("_pid", key, F.coalesce(F.sum("_c").over(
+        Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    return (local.join(offsets, ["_pid", key])
+            .withColumn(out, F.col("_lr") + F.col("_off")).drop("_pid", "_lr", "_off"))
+
+
 def match_captions(images: DataFrame, captions: DataFrame) -> DataFrame:
     """K6: round robin — every image's first caption in image order, then every second, ...
 
     ``images(image, image_pos)``, ``captions(image, caption, line)`` keyed by basename.
     Images without captions are dropped.  Output ``(image, caption, rn, image_pos)``:
     the manifest order is ``(rn, image_pos)``, applied by the sink's global
-    (range-partitioned) sort, never by a single-partition window.
+    (range-partitioned) sort.  The per-image caption number comes from
+    :func:`rank_within_key`, so an image with very many captions is split
+    across tasks.
     """
     cap = captions.select(basename(F.col("image")).alias("key"), "caption", "line")
-    rn = F.row_number().over(Window.partitionBy("key").orderBy("line"))
     img = images.select("image", "image_pos", basename(F.col("image")).alias("key"))
-    return img.join(cap.withColumn("rn", rn), "key").select("image", "caption", "rn", "image_pos")
+    return img.join(rank_within_key(cap, "key", "line"), "key").select("image", "caption", "rn", "image_pos")
 
 
 def caption_manifest_lines(train: DataFrame, test: DataFrame, base_path: str = "") -> DataFrame:

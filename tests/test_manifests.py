@@ -117,3 +117,14 @@ def test_hash_split_is_stable(spark):
     b = {r["k"]: r["split"] for r in K.hash_split(df.repartition(7), "k", 0.3).collect()}
     assert a == b
     assert 200 < sum(v == "test" for v in a.values()) < 400
+
+
+def test_rank_within_key_splits_hot_key(spark):
+    rows = [("hot", i) for i in range(500)] + [("a", 3), ("a", 1), ("b", 7)]
+    df = spark.createDataFrame(rows, "key STRING, line INT")
+    got = {(r["key"], r["line"]): r["rn"] for r in K.rank_within_key(df, "key", "line", partitions=7).collect()}
+    assert all(got[("hot", i)] == i + 1 for i in range(500))
+    assert got[("a", 1)] == 1 and got[("a", 3)] == 2 and got[("b", 7)] == 1
+    pieces = (df.repartitionByRange(7, "key", "line").withColumn("p", F.spark_partition_id())
+              .filter(F.col("key") == "hot").select("p").distinct().count())
+    assert pieces > 1  # the hot key really is spread over several tasks
