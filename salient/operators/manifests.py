@@ -246,11 +246,14 @@ def read_box_text(spark: SparkSession, path: str) -> DataFrame:
 
 def coco_boxes(images: DataFrame, annotations: DataFrame, categories: DataFrame,
                target_ids: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """COCO boxes per image as ``(image, label[], bbox[][])`` with boxes [top, left, bottom, right] in 0..1.
+    """COCO boxes per image as ``(image_id, image, label[], bbox[][])``, boxes
+    [top, left, bottom, right] in 0..1.
 
     Crowd annotations and categories outside ``target_ids`` are dropped; image
-    sizes come from a join on ``image_id``; the objects of one image are
-    ordered by ``ann_order``.  Second result: ``indices_2_labels`` (one map).
+    sizes come from a join on ``image_id`` and the objects are grouped by the
+    same key, so the join's partitioning serves the grouping (one shuffle).
+    Objects of one image are ordered by ``ann_order``.  Second result:
+    ``indices_2_labels`` (one map, one entry per category).
     """
     ann = annotations
     if target_ids is not None:
@@ -259,21 +262,26 @@ def coco_boxes(images: DataFrame, annotations: DataFrame, categories: DataFrame,
     j = ann.join(images.select("image_id", F.col("file_name").alias("image"), "width", "height"), "image_id")
     x, y, w, h = (F.element_at("bbox", i) for i in (1, 2, 3, 4))
     box = F.array(y / F.col("height"), x / F.col("width"), (y + h) / F.col("height"), (x + w) / F.col("width"))
-    objs = (j.select("image", "ann_order", F.col("category_id").alias("label"), box.alias("box"))
-            .groupBy("image").agg(F.array_sort(F.collect_list(F.struct("ann_order", "label", "box"))).alias("o"))
-            .select("image", F.transform("o", lambda s: s["label"]).alias("label"),
+    objs = (j.select("image_id", "image", "ann_order", F.col("category_id").alias("label"), box.alias("box"))
+            .groupBy("image_id")  # the file name depends on the id only
+            .agg(F.max("image").alias("image"),
+                 F.array_sort(F.collect_list(F.struct("ann_order", "label", "box"))).alias("o"))
+            .select("image_id", "image", F.transform("o", lambda s: s["label"]).alias("label"),
                     F.transform("o", lambda s: s["box"]).alias("bbox")))
     i2l = categories.agg(F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("int"), "name")))
                          .alias("indices_2_labels"))
     return objs, i2l
 
 
-def add_backgrounds(images: DataFrame, matched: DataFrame) -> DataFrame:
-    """Images without objects appended with empty label and box arrays (anti join + union)."""
-    bg = images.select("image").join(matched.select("image"), "image", "left_anti")
-    return matched.unionByName(bg.select("image", F.array().cast("array<int>").alias("label"),
-                                         F.array().cast("array<array<double>>").alias("bbox")),
-                               allowMissingColumns=False)
+def add_backgrounds(images: DataFrame, matched: DataFrame, key: str = "image") -> DataFrame:
+    """Images without objects appended with empty label and box arrays (anti join + union).
+
+    ``key`` is the join key (``image_id`` keeps the partitioning of :func:`coco_boxes`).
+    """
+    cols = [c for c in matched.columns if c not in ("label", "bbox")]
+    bg = images.select(*cols).join(matched.select(key), key, "left_anti")
+    return matched.unionByName(bg.select(*cols, F.array().cast("array<int>").alias("label"),
+                                         F.array().cast("array<array<double>>").alias("bbox")))
 
 
 def convert_box(b: Column, fmt: str) -> Column:

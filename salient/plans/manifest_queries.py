@@ -274,7 +274,7 @@ def q_add_backgrounds(spark, sf_dir):
     """Every image with its object count; images without boxes appended as backgrounds."""
     images, anns, cats = _coco(spark, sf_dir)
     objs, _ = K.coco_boxes(images, anns, cats)
-    full = K.add_backgrounds(images.select(F.col("file_name").alias("image")), objs)
+    full = K.add_backgrounds(images.select("image_id", F.col("file_name").alias("image")), objs, "image_id")
     return full.select("image", F.size("label").cast("bigint").alias("n_objects"))
 
 
@@ -286,7 +286,8 @@ def q_detection_manifest(spark, sf_dir):
     """Detection manifest rows (split, image, objects) incl. backgrounds, 20 % hashed test split."""
     images, anns, cats = _coco(spark, sf_dir)
     objs, _ = K.coco_boxes(images, anns, cats)
-    full = K.hash_split(K.add_backgrounds(images.select(F.col("file_name").alias("image")), objs), "image", 0.2)
+    full = K.hash_split(K.add_backgrounds(images.select("image_id", F.col("file_name").alias("image")), objs,
+                                          "image_id"), "image", 0.2)
     o = full.select("split", "image", F.posexplode_outer(F.arrays_zip("label", "bbox")).alias("obj_idx", "o"))
     return o.select("split", "image", F.col("obj_idx").cast("int"), F.col("o.label").cast("int").alias("label"),
                     *[rounded(F.element_at("o.bbox", i)).alias(n) for i, n in ((1, "top"), (2, "lft"), (3, "bottom"), (4, "rgt"))])

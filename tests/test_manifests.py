@@ -82,7 +82,7 @@ def test_coco_boxes_and_backgrounds(spark):
     assert r["image"] == "a.jpg" and r["label"] == [5]
     assert r["bbox"][0] == pytest.approx([0.1, 0.1, 0.3, 0.4])
     assert dict(i2l.first()["indices_2_labels"]) == {5: "x", 6: "y"}
-    full = K.add_backgrounds(images.select(F.col("file_name").alias("image")), objs)
+    full = K.add_backgrounds(images.select("image_id", F.col("file_name").alias("image")), objs, "image_id")
     assert {x["image"]: len(x["label"]) for x in full.collect()} == {"a.jpg": 1, "b.jpg": 0}
 
 
