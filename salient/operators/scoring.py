@@ -78,10 +78,6 @@ class LinearSoftmaxModel:
                 .join(self.W_target(), ["pos", "target"])
                 .withColumn("w", F.col("w") - F.col("wt")).drop("wt"))
 
-    def class_sums(self) -> DataFrame:
-        """``(cls, wsum)`` = sum over positions, the logit of an all-ones input."""
-        return F.broadcast(self._W.groupBy("cls").agg(F.sum("w").alias("wsum")))
-
     def with_weights(self, weights: DataFrame) -> "LinearSoftmaxModel":
         return LinearSoftmaxModel(weights, self.tau)
 
