@@ -324,3 +324,29 @@ def model_randomization(explainer, model: LinearSoftmaxModel, samples: DataFrame
 def subsample_first(df: DataFrame, n: int = RANDOMIZATION_SUBSET, key: str = "sample_id") -> DataFrame:
     """The first ``n`` samples by key (a top-n, planned as TakeOrderedAndProject)."""
     return df.orderBy(key).limit(n)
+
+
+# --- M3 with a general scorer ---------------------------------------------------------------
+
+def causal_curve_scored(fn, triplets: DataFrame, mode: str = "deletion", baseline=0.0, steps: int = 10,
+                        max_pct: float = 1.0, channels: int = 1, n_features: int | None = None) -> DataFrame:
+    """M3 for any batch scorer ``fn(X[n, d]) -> probs[n, c]`` (S3): the ranked path is
+    materialized as explicit copies (D4) and scored in ``mapInPandas``.
+
+    Each copy is one sample's input at one step (an array bounded by the map
+    size), assembled by a group-by on (sample, step); the linear scorer never
+    needs this path (see :func:`causal_curve`).
+    """
+    from salient.functions.arrays import to_array
+    from salient.operators.masking import prefix_masks
+    from salient.operators.scoring import udf_scorer
+    rows = _long_triplets(triplets, channels)
+    rank = F.dense_rank().over(Window.partitionBy("sample_id").orderBy(F.col("e").desc(), F.col("pix"))) - 1
+    ranked = rows.withColumn("rank", rank).select("sample_id", "pos", "x", "rank")
+    if n_features is None:  # the map size (one scalar read)
+        n_features = triplets.select((F.size("x") / F.lit(channels)).cast("int").alias("n")).first()["n"]
+    copies = prefix_masks(ranked, n_features, steps, mode, baseline, max_pct)
+    arrays = to_array(copies, "v", "x", keys=("sample_id", "k"))
+    scored = udf_scorer(arrays.join(triplets.select("sample_id", "target"), "sample_id"), fn,
+                        keys=("sample_id", "k"))
+    return scored

@@ -201,3 +201,49 @@ def q_model_randomization(spark, sf_dir):
     maps = E.gradient_input(mdl, smp, tgt)
     return per_sample(M.model_randomization(E.gradient_input, mdl, smp, tgt, maps, stop=1, seed=42))
 
+
+
+def numpy_scorer(mdl):
+    """The scorer's weights as a NumPy batch function (a user model for S3); size-checked."""
+    import numpy as np
+    from salient.operators.scoring import BROADCAST_ROWS, numpy_linear_softmax
+    if mdl.n_rows > BROADCAST_ROWS:
+        raise ValueError("model too large to ship to Python workers")
+    w = mdl._W.toPandas()
+    W = np.zeros((mdl.n_classes, mdl.n_pos))
+    W[w["cls"].to_numpy(), w["pos"].to_numpy()] = w["w"].to_numpy()
+    return numpy_linear_softmax(W)
+
+
+@register("deletion_udf_scorer", _score_sql(GI_MAP_SQL + "," + causal_ctes("gi", "deletion", 20)))
+def q_deletion_udf_scorer(spark, sf_dir):
+    """M3 + M5 + D4 + S3: deletion AUC (20 steps) of gradient x input maps with the path materialized
+    and scored by a NumPy model in mapInPandas (the general-scorer path)."""
+    _, mdl, _, _, trip = _triplets(spark, sf_dir, E.gradient_input)
+    curve = M.causal_curve_scored(numpy_scorer(mdl), trip, "deletion", 0.0, 20, n_features=mdl.n_pos)
+    return per_sample(M.curve_auc(curve, 20))
+
+
+@register("scores_json_roundtrip", f"""WITH {base_ctes()},
+{grad_coef_cte()},
+{project_cte('gi', 'co', 'x * g')},
+ga AS (SELECT sample_id, list(abs(e) ORDER BY pos) AS a FROM gi GROUP BY sample_id),
+gs AS (SELECT sample_id, list_transform(a, lambda v: v / (list_sum(a) + 1e-8)) AS p FROM ga),
+sc AS (SELECT -list_sum(list_transform(p, lambda v: v * ln(v + 1e-8))) AS score FROM gs)
+SELECT 'centroid' AS model, 'gradient_input' AS explainer, 'complexity' AS metric,
+       {r6('avg(score)')} AS mean_score, count(*) AS n, CAST(0 AS BIGINT) AS n_undefined FROM sc""")
+def q_scores_json_roundtrip(spark, sf_dir):
+    """Per-sample complexity scores of gradient x input maps written as JSON (partitioned by
+    model / explainer / metric), read back and summarized."""
+    from salient.functions.arrays import rounded as rnd
+    from salient.session import scratch_path
+    from salient.sources import tables as T
+    _, _, _, maps, _ = _triplets(spark, sf_dir, E.gradient_input)
+    scores = (M.complexity(to_array(maps, "e", "e"))
+              .select("sample_id", "score", F.lit("centroid").alias("model"),
+                      F.lit("gradient_input").alias("explainer"), F.lit("complexity").alias("metric")))
+    path = scratch_path(spark, "scores")
+    T.write_scores(scores, path)
+    back = spark.read.schema("sample_id BIGINT, score DOUBLE, model STRING, explainer STRING, metric STRING").json(path)
+    s = T.summarize_scores(back)
+    return s.select("model", "explainer", "metric", rnd("mean_score").alias("mean_score"), "n", "n_undefined")
