@@ -357,3 +357,20 @@ def assign_labels_by_ordinal(files: DataFrame, label_lines: DataFrame, path_col:
         f = f.limit(0)
         lab = lab.limit(0)
     return f.join(lab, "line_no").select("path", "label"), lab.join(f, "line_no", "left_anti")
+
+
+# --- manifest sinks -------------------------------------------------------------------------
+
+def write_manifest_json(rows: DataFrame, info: DataFrame, path: str) -> None:
+    """K3/K14 sink: manifest rows as JSON lines partitioned by split, plus a one-row info record.
+
+    Rows are written in parallel (one file per task); the info record (class
+    count and index map, one entry per class) goes to ``path/info``.
+    """
+    rows.write.mode("overwrite").partitionBy("split").json(f"{path}/rows")
+    info.coalesce(1).write.mode("overwrite").json(f"{path}/info")
+
+
+def read_manifest_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Read the rows of a manifest written by :func:`write_manifest_json`."""
+    return spark.read.schema(schema).json(f"{path}/rows")

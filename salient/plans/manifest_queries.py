@@ -324,3 +324,34 @@ def _ordinal_inputs(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents")
     lines = docs.select((F.col("doc_id") + 1).alias("line_no"), F.col("source").alias("label"))
     return files, lines
+
+
+@register("recognition_manifest_json", f"""
+WITH p AS (SELECT url, regexp_extract(path, '([^/]*)/[^/]*$', 1) AS raw_label FROM ({PATHS_SQL})),
+ix AS (SELECT raw_label, CAST(dense_rank() OVER (ORDER BY raw_label) - 1 AS INTEGER) AS label_id
+       FROM (SELECT DISTINCT raw_label FROM p))
+SELECT CASE WHEN {sql_uniform(42, 'url')} < 0.2 THEN 'test' ELSE 'train' END AS split, url AS image, label_id AS label
+FROM p JOIN ix USING (raw_label)""")
+def q_recognition_manifest_json(spark, sf_dir):
+    """K3 sink: the recognition manifest written as JSON lines (split folders + info) and read back."""
+    from salient.session import scratch_path
+    rows, info = K.recognition_manifest(_listing(spark, sf_dir), test_fraction=0.2, path_col="path", image_col="url")
+    path = scratch_path(spark, "recognition")
+    K.write_manifest_json(rows, info, path)
+    return K.read_manifest_json(spark, path, "image STRING, label INT, split STRING").select("split", "image", "label")
+
+
+@register("caption_manifest_tsv", f"""
+WITH m AS ({MATCHED_SQL}),
+s AS (SELECT *, CASE WHEN {sql_uniform(42, 'image')} < 0.25 THEN 3 ELSE 1 END AS section FROM m)
+SELECT 'base_path' || chr(9) AS value
+UNION ALL SELECT 'TEST' || chr(9) || 'TEST'
+UNION ALL SELECT image || chr(9) || regexp_replace(regexp_replace(caption, chr(9), ' ', 'g'), chr(10), '', 'g') FROM s""")
+def q_caption_manifest_tsv(spark, sf_dir):
+    """K7 sink: caption manifest lines written as globally ordered text and read back."""
+    from salient.session import scratch_path
+    m = K.hash_split(_matched(spark, sf_dir), "image", 0.25)
+    lines = K.caption_manifest_lines(m.filter(F.col("split") == "train"), m.filter(F.col("split") == "test"))
+    path = scratch_path(spark, "captions")
+    K.write_lines(lines, path)
+    return spark.read.text(path)

@@ -128,3 +128,15 @@ def test_rank_within_key_splits_hot_key(spark):
     pieces = (df.repartitionByRange(7, "key", "line").withColumn("p", F.spark_partition_id())
               .filter(F.col("key") == "hot").select("p").distinct().count())
     assert pieces > 1  # the hot key really is spread over several tasks
+
+
+def test_write_lines_global_order(spark, tmp_path):
+    rows = [(1, rn, pos, f"img{pos}\tc{rn}") for rn in (1, 2) for pos in range(30)]
+    rows += [(0, 0, 0, "base_path\t"), (2, 0, 0, "TEST\tTEST"), (3, 1, 5, "t5\tx")]
+    df = spark.createDataFrame(rows, "section INT, rn BIGINT, image_pos BIGINT, line STRING").repartition(5)
+    path = str(tmp_path / "tsv")
+    K.write_lines(df, path)
+    parts = sorted(p for p in os.listdir(path) if p.startswith("part-"))
+    text = [ln for p in parts for ln in open(os.path.join(path, p)).read().splitlines()]
+    want = ["base_path\t"] + [f"img{pos}\tc{rn}" for rn in (1, 2) for pos in range(30)] + ["TEST\tTEST", "t5\tx"]
+    assert text == want
