@@ -28,14 +28,15 @@ def exp_kernel(distance: Column, width: float) -> Column:
     return F.exp(-(distance * distance) / F.lit(max(w * w, KERNEL_WIDTH_EPS)))
 
 
-def similarity_weights(draw_sums: DataFrame, mode: str, width: float, reference_sign: bool = False) -> DataFrame:
+def similarity_weights(draw_sums: DataFrame, mode: str, width: float, reference_sign: bool = False,
+                       keep=()) -> DataFrame:
     """``(sample_id, draw, sim)`` from per-draw sums.
 
     ``draw_sums`` carries ``sq`` (squared euclidean distance), ``xx`` (|x|^2),
     ``xp`` (x . x') and ``pp`` (|x'|^2).  Cosine distance is ``1 - cos`` (or
     ``1 + cos`` with ``reference_sign``, the sign convention of a loss-style
     cosine similarity).  When all similarities of a sample are 0 every weight
-    becomes 1.
+    becomes 1.  ``keep`` columns are carried along (a window, not a join).
     """
     if mode == "euclidean":
         dist = F.sqrt(F.greatest(F.col("sq"), F.lit(0.0)))
@@ -46,7 +47,7 @@ def similarity_weights(draw_sums: DataFrame, mode: str, width: float, reference_
         raise ValueError("distance_mode must be either 'cosine' or 'euclidean'.")
     sim = exp_kernel(dist, width)
     total = F.sum(sim).over(Window.partitionBy("sample_id"))
-    return draw_sums.select("sample_id", "draw", F.when(total == 0, F.lit(1.0)).otherwise(sim).alias("sim"))
+    return draw_sums.select("sample_id", "draw", *keep, F.when(total == 0, F.lit(1.0)).otherwise(sim).alias("sim"))
 
 
 # --- E10b / E9 weighted least squares ------------------------------------------------------

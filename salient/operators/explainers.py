@@ -13,7 +13,7 @@ Perturbation family (E7-E12) scores designs through :mod:`salient.operators.pert
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import numpy as np
@@ -301,8 +301,7 @@ def lime(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame, shap
     contrib = relative_contributions(model, rows, F.lit(float(ref)))
     per_draw = _scores_with_sums(contrib, lime_cell_sums(rows, ref),
                                  design.withColumn("drop", F.lit(1.0) - F.col("m")), nb_samples)
-    sims = similarity_weights(per_draw, distance_mode, kernel_width, reference_sign)
-    fit_rows = per_draw.select("sample_id", "draw", "score").join(sims, ["sample_id", "draw"])
+    fit_rows = similarity_weights(per_draw, distance_mode, kernel_width, reference_sign, keep=("score",))
 
     def solver(pdf):
         Z = np.stack(pdf["z"].to_numpy())
@@ -321,23 +320,25 @@ def lime_cell_sums(rows: DataFrame, ref: float) -> DataFrame:
 
     Every sum is linear in the drops: ``sq = sum drop*(x-r)^2``,
     ``x.x' = |x|^2 - sum drop*(x^2 - x r)``, ``|x'|^2 = |x|^2 - sum drop*(x^2 - r^2)``.
-    The base (always-on) cell carries ``|x|^2`` for the last two and for
-    ``xx`` itself (no cell term: dropping cells does not change ``|x|^2``).
+    One aggregation per (sample, cell) feeds all of them; ``|x|^2`` (a window
+    sum over the sample's cells, no extra shuffle) enters once per sample as
+    always-on rows for ``xp``, ``pp`` and ``xx``.
     """
     r = F.lit(float(ref))
     cells = (rows.groupBy("sample_id", "cell")
              .agg(F.sum((F.col("x") - r) ** 2).alias("sq"),
                   F.sum(F.col("x") * r - F.col("x") ** 2).alias("xp"),
-                  F.sum(r * r - F.col("x") ** 2).alias("pp")))
-    parts = [cells.select("sample_id", "cell", F.lit(SUM_CLASSES[n]).alias("cls"), F.col(n).alias("c"))
-             for n in ("sq", "xp", "pp")]
-    xx = rows.groupBy("sample_id").agg(F.sum(F.col("x") ** 2).alias("xx"))
-    parts += [xx.select("sample_id", F.lit(BASE_CELL).alias("cell"), F.lit(SUM_CLASSES[n]).alias("cls"),
-                        F.col("xx").alias("c")) for n in ("xp", "pp", "xx")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+                  F.sum(r * r - F.col("x") ** 2).alias("pp"),
+                  F.sum(F.col("x") ** 2).alias("xc")))
+    w = Window.partitionBy("sample_id")
+    cells = (cells.withColumn("xx", F.sum("xc").over(w))
+             .withColumn("first", F.col("cell") == F.min("cell").over(w)))
+    per_cell = [F.struct(F.col("cell").alias("cell"), F.lit(SUM_CLASSES[n]).alias("cls"), F.col(n).alias("c"))
+                for n in ("sq", "xp", "pp")]
+    base = [F.struct(F.lit(BASE_CELL).alias("cell"), F.lit(SUM_CLASSES[n]).alias("cls"), F.col("xx").alias("c"))
+            for n in ("xp", "pp", "xx")]
+    items = F.when(F.col("first"), F.array(*per_cell, *base)).otherwise(F.array(*per_cell))
+    return cells.select("sample_id", F.explode(items).alias("t")).select("sample_id", "t.cell", "t.cls", "t.c")
 
 
 def _scores_with_sums(contrib: DataFrame, sums: DataFrame, design: DataFrame, draws: int) -> DataFrame:
