@@ -19,7 +19,7 @@ the parameters).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salient.operators.scoring import LinearSoftmaxModel, prob_from_relative
@@ -38,12 +38,26 @@ def relative_contributions(model: LinearSoftmaxModel, rows: DataFrame, replaceme
     """
     rel = model.relative_rows(rows.select("sample_id", "target", "pos", "cell", "x",
                                           (replacement - F.col("x")).alias("d")))
-    contrib = (rel.groupBy("sample_id", "cell", "cls")
-               .agg(F.sum(F.col("w") * F.col("d")).alias("c")))
-    src = rel if base_rows is None else model.relative_rows(base_rows.select("sample_id", "target", "pos", "x"))
-    base = (src.groupBy("sample_id", "cls").agg(F.sum(F.col("w") * F.col("x")).alias("c"))
-            .select("sample_id", F.lit(BASE_CELL).alias("cell"), "cls", "c"))
-    return contrib.unionByName(base)
+    if base_rows is not None:
+        contrib = (rel.groupBy("sample_id", "cell", "cls")
+                   .agg(F.sum(F.col("w") * F.col("d")).alias("c")))
+        src = model.relative_rows(base_rows.select("sample_id", "target", "pos", "x"))
+        base = (src.groupBy("sample_id", "cls").agg(F.sum(F.col("w") * F.col("x")).alias("c"))
+                .select("sample_id", F.lit(BASE_CELL).alias("cell"), "cls", "c"))
+        return contrib.unionByName(base)
+    # One aggregation per (sample, cell, class); the clean logit is the window sum of
+    # the cells' x-terms, emitted once per (sample, class): a single pass over the
+    # inputs and no extra shuffle (the window reuses the sample partitioning).
+    per_cell = (rel.groupBy("sample_id", "cell", "cls")
+                .agg(F.sum(F.col("w") * F.col("d")).alias("c"), F.sum(F.col("w") * F.col("x")).alias("s")))
+    w = Window.partitionBy("sample_id", "cls")
+    per_cell = (per_cell.withColumn("base", F.sum("s").over(w))
+                .withColumn("first", F.col("cell") == F.min("cell").over(w)))
+    one = F.struct(F.col("cell").alias("cell"), F.col("c").alias("c"))
+    both = F.array(one, F.struct(F.lit(BASE_CELL).alias("cell"), F.col("base").alias("c")))
+    items = F.when(F.col("first"), both).otherwise(F.array(one))
+    return (per_cell.select("sample_id", "cls", F.explode(items).alias("t"))
+            .select("sample_id", "t.cell", "cls", "t.c"))
 
 
 def design_with_base(design: DataFrame, draws: int) -> DataFrame:
@@ -71,5 +85,5 @@ def design_scores(contrib: DataFrame, design: DataFrame, draws: int) -> DataFram
 
 def clean_scores(contrib: DataFrame) -> DataFrame:
     """``(sample_id, score)``: target probability of the unperturbed input."""
-    return (contrib.filter(F.col("cell") == BASE_CELL)
-            .groupBy("sample_id").agg(prob_from_relative("c").alias("score")))
+    base = contrib.filter(F.col("cell") == BASE_CELL).groupBy("sample_id", "cls").agg(F.sum("c").alias("c"))
+    return base.groupBy("sample_id").agg(prob_from_relative("c").alias("score"))
