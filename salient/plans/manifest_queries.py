@@ -355,3 +355,23 @@ def q_caption_manifest_tsv(spark, sf_dir):
     path = scratch_path(spark, "captions")
     K.write_lines(lines, path)
     return spark.read.text(path)
+
+
+@register("detection_manifest_json", f"""WITH {COCO_SQL}
+SELECT CASE WHEN {sql_uniform(42, 'i.image')} < 0.2 THEN 'test' ELSE 'train' END AS split, i.image, o.obj_idx, o.label,
+       {', '.join(f'round(o.{c}, 6) + 0.0 AS {c}' for c in ('top', 'lft', 'bottom', 'rgt'))}
+FROM im i LEFT JOIN ob o USING (image)""")
+def q_detection_manifest_json(spark, sf_dir):
+    """K14 sink: the detection manifest (objects nested per image) written as JSON lines by split and read back."""
+    from salient.session import scratch_path
+    images, anns, cats = _coco(spark, sf_dir)
+    objs, i2l = K.coco_boxes(images, anns, cats)
+    full = K.hash_split(K.add_backgrounds(images.select("image_id", F.col("file_name").alias("image")), objs,
+                                          "image_id"), "image", 0.2)
+    info = i2l.select(F.size("indices_2_labels").alias("num_categories"), "indices_2_labels")
+    path = scratch_path(spark, "detection")
+    K.write_manifest_json(full.select("split", "image", "label", "bbox"), info, path)
+    back = K.read_manifest_json(spark, path, "image STRING, label ARRAY<INT>, bbox ARRAY<ARRAY<DOUBLE>>, split STRING")
+    o = back.select("split", "image", F.posexplode_outer(F.arrays_zip("label", "bbox")).alias("obj_idx", "o"))
+    return o.select("split", "image", F.col("obj_idx").cast("int"), F.col("o.label").cast("int").alias("label"),
+                    *[rounded(F.element_at("o.bbox", i)).alias(n) for i, n in ((1, "top"), (2, "lft"), (3, "bottom"), (4, "rgt"))])
