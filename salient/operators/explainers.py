@@ -26,7 +26,7 @@ from salient.operators.masking import (Shape, bicubic_weights, box_blur, grid_ce
                                       resize_bicubic)
 from salient.operators.perturb import (BASE_CELL, clean_scores, design_logits, design_scores,
                                        relative_contributions)
-from salient.operators.scoring import LinearSoftmaxModel, prob_from_relative
+from salient.operators.scoring import LinearSoftmaxModel, maybe_broadcast, prob_from_relative
 
 # Benchmark settings of the explainers (fixed values of the published benchmark).
 SMOOTHGRAD = dict(nb_samples=175, sigma=0.11)
@@ -66,8 +66,11 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def weights_by_pos(model: LinearSoftmaxModel) -> DataFrame:
-    """``(pos, wv)``: the weight column of each position, ordered by class; broadcast."""
-    return F.broadcast(to_array(model._W, "w", "wv", keys=("pos",), pos_col="cls"))
+    """``(pos, wv)``: the weight column of each position, ordered by class.
+
+    Broadcast under the same proven size bound as the weight table itself.
+    """
+    return maybe_broadcast(to_array(model._W, "w", "wv", keys=("pos",), pos_col="cls"), model.n_rows)
 
 
 def _field(name: str):

@@ -5,7 +5,8 @@ step is a DataFrame transformation: listings are path tables, label maps are
 window ranks over distinct labels, pairing is an equi-join, unmatched items are
 anti joins, per-image objects are ordered ``collect_list`` groups (bounded by
 the objects of one image) and sinks are ordinary writers.  Nothing is gathered
-on the driver; label maps are small (one row per class) and broadcast.
+on the driver.  Label indices and image tables are data-derived, so they get no
+broadcast hint: Spark's size check (and AQE at run time) picks the join.
 """
 
 from __future__ import annotations
@@ -98,8 +99,8 @@ def recognition_manifest(train: DataFrame, test: DataFrame | None = None, test_f
     """K3: ``(split, image, label)`` rows and ``(num_classes, indices_2_labels)``.
 
     The class of an image is the parent folder of ``path_col``; ``image_col``
-    (default: the path) is the image key.  The label index is built from the
-    training folders and broadcast (one row per class).  A test image whose
+    (default: the path) is the image key.  The label index (one row per class)
+    is built from the training folders.  A test image whose
     folder is not a training class is an error (found by an anti join).
     With no test set, ``test_fraction`` of the training images is split off (K4).
     """
@@ -112,13 +113,13 @@ def recognition_manifest(train: DataFrame, test: DataFrame | None = None, test_f
     if test is not None:
         te = prep(test)
         rows = tr.withColumn("split", F.lit("train")).unionByName(te.withColumn("split", F.lit("test")))
-        if check and te.join(F.broadcast(index), "raw_label", "left_anti").limit(1).count():
+        if check and te.join(index, "raw_label", "left_anti").limit(1).count():
             raise KeyError("test images with a label not seen in training")
     elif test_fraction > 0:
         rows = hash_split(tr, "image", test_fraction)
     else:
         rows = tr.withColumn("split", F.lit("train"))
-    out = rows.join(F.broadcast(index), "raw_label").select("split", "image", F.col("label_id").alias("label"))
+    out = rows.join(index, "raw_label").select("split", "image", F.col("label_id").alias("label"))
     info = index.agg(F.count(F.lit(1)).alias("num_classes"),
                      F.map_from_entries(F.collect_list(F.struct("label_id", "raw_label"))).alias("indices_2_labels"))
     return out, info
@@ -148,7 +149,7 @@ def read_captions(spark: SparkSession, path: str, fmt: str = "tsv") -> DataFrame
                                                                     F.col("i.file_name").alias("image"))
         anns = raw.select(F.posexplode("annotations").alias("line", "a")).select(
             "line", F.col("a.image_id").alias("image_id"), F.col("a.caption").alias("caption"))
-        return anns.join(F.broadcast(images), "image_id").select("image", "caption", "line")
+        return anns.join(images, "image_id").select("image", "caption", "line")
     raise ValueError(f"unknown caption format {fmt!r}")
 
 
@@ -310,7 +311,7 @@ def encode_box_labels(objects: DataFrame, train_filter: Column | None = None) ->
 
     The digit test is one scalar aggregate over the distinct training labels
     (one row per class).  Non-digit labels are encoded by exploding the
-    objects, an equi-join with the broadcast class index and an ordered regroup.
+    objects, an equi-join with the class index and an ordered regroup.
     Returns the objects with integer labels and ``(num_classes, indices_2_labels)``.
     """
     train = objects if train_filter is None else objects.filter(train_filter)
@@ -325,7 +326,7 @@ def encode_box_labels(objects: DataFrame, train_filter: Column | None = None) ->
                               .cast("int").alias("label_id"))
         keys = [c for c in objects.columns if c != "label"]
         ex = objects.select(*keys, F.posexplode_outer("label").alias("li", "raw_label"))
-        enc = ex.join(F.broadcast(index), "raw_label", "left").select(
+        enc = ex.join(index, "raw_label", "left").select(
             *keys, "li", F.coalesce("label_id", F.lit(-1)).alias("label_id"))
         out = (enc.groupBy(*keys)
                .agg(F.array_sort(F.collect_list(F.struct("li", "label_id"))).alias("o"))
