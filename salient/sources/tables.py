@@ -17,18 +17,20 @@ SAMPLE_SCHEMA = "sample_id BIGINT, x ARRAY<DOUBLE>, label INT"
 MAP_SCHEMA = "sample_id BIGINT, e ARRAY<DOUBLE>, model STRING, explainer STRING"
 
 
-SAMPLES_PER_PARTITION = 2000  # each sample expands to draws x cells x classes rows downstream
+VALUES_PER_PARTITION = 2_000_000  # input values (16 MB of doubles) per partition, before expansion
 
 
-def sample_partitions(spark: SparkSession, n_samples: int) -> int:
-    """Partition count for sample-keyed work: at least one per task slot of the cluster,
-    and enough that a partition holds at most ``SAMPLES_PER_PARTITION`` samples.
+def sample_partitions(spark: SparkSession, n_values: int) -> int:
+    """Partition count for sample-keyed work: at least one per task slot of the
+    cluster, and at most ``VALUES_PER_PARTITION`` input values per partition.
 
-    The work per input byte is large (every sample is scored in many perturbed
-    copies), so partitions are sized by sample count, not by input bytes.
+    Work per input byte is large (every sample is scored in many perturbed
+    copies), so partitions are sized well below the usual input split size;
+    the size of a sample (a 64-value map or a 150k-value image) is accounted
+    for through the value count.
     """
     slots = spark.sparkContext.defaultParallelism
-    return max(slots, -(-n_samples // SAMPLES_PER_PARTITION))
+    return max(slots, -(-n_values // VALUES_PER_PARTITION))
 
 
 def read_samples(spark: SparkSession, path: str, id_col: str = "vec_id", x_col: str = "embedding",
@@ -36,16 +38,18 @@ def read_samples(spark: SparkSession, path: str, id_col: str = "vec_id", x_col:
     """Load ``(sample_id, x, label)``; inputs are widened to DOUBLE.
 
     The table is hash-partitioned by ``sample_id`` once here, into an explicit
-    number of partitions (:func:`sample_partitions`, from the row count in the
-    Parquet footers) that AQE keeps; every later window, join and group-by of
-    this library is keyed by ``sample_id`` and reuses this partitioning.
+    number of partitions (:func:`sample_partitions`, from one aggregate of the
+    value count) that AQE keeps; every later window, join and group-by of this
+    library is keyed by ``sample_id`` and reuses this partitioning.
     """
     raw = spark.read.parquet(path)
     df = raw.select(F.col(id_col).cast("bigint").alias("sample_id"),
                     F.col(x_col).cast("array<double>").alias("x"),
                     F.col(label_col).cast("int").alias("label"))
-    n = partitions or sample_partitions(spark, raw.count())
-    return df.repartition(n, "sample_id")
+    if not partitions:
+        n_values = raw.agg(F.sum(F.size(x_col))).first()[0] or 0
+        partitions = sample_partitions(spark, int(n_values))
+    return df.repartition(partitions, "sample_id")
 
 
 def write_explanations(maps: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -112,3 +112,31 @@ def test_result_independent_of_partitioning(spark):
     many = {(r["sample_id"], r["pos"]): r["e"] for r in E.gradient_input(mdl, a.repartition(13, "sample_id"), tgt).collect()}
     assert one.keys() == many.keys()
     assert all(abs(one[k] - many[k]) < 1e-12 for k in one)
+
+
+def test_contracts(spark):
+    from salient.operators import explainers as E
+    from salient.operators.masking import Shape, step_thresholds
+    from tests.helpers import arrays_df
+    rng = np.random.default_rng(9)
+    W, X = rng.normal(size=(2, 4)), rng.normal(size=(2, 4))
+    mdl, smp, tgt = model(spark, W), samples_df(spark, X), targets_df(spark, [0, 1])
+    trip = smp.join(tgt, "sample_id").join(arrays_df(spark, X), "sample_id")
+    with pytest.raises(ValueError):
+        M.causal_curve(mdl, trip, "sideways")
+    with pytest.raises(ValueError):
+        step_thresholds(spark, 4, 5, max_pct=0.0)
+    with pytest.raises(ValueError):
+        step_thresholds(spark, 4, 1)
+    with pytest.raises(ValueError):
+        E.sobol_attribution(mdl, smp, tgt, Shape(2, 2, 1), grid_size=2, nb_design=6)
+    with pytest.raises(ValueError):
+        E.integrated_gradients(mdl, smp, tgt, steps=1)
+    with pytest.raises(ValueError):
+        E.sobol_attribution(mdl, smp, tgt, Shape(2, 2, 1), grid_size=2, nb_design=4, perturbation="melting")
+
+
+def test_sample_partitions_scale_with_values(spark):
+    slots = spark.sparkContext.defaultParallelism
+    assert T.sample_partitions(spark, 10) == slots
+    assert T.sample_partitions(spark, 50_000 * 150_528) == -(-50_000 * 150_528 // T.VALUES_PER_PARTITION)
