@@ -236,7 +236,7 @@ def parse_box_text(files: DataFrame, path_col: str = "path", text_col: str = "va
 
 def read_box_text(spark: SparkSession, path: str) -> DataFrame:
     """K9 reader: one row per label file (``wholetext``), parsed by :func:`parse_box_text`."""
-    files = spark.read.option("wholetext", True).text(path).withColumn("path", F.input_file_name())
+    files = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
     return parse_box_text(files)
 
 

@@ -140,3 +140,31 @@ def test_write_lines_global_order(spark, tmp_path):
     text = [ln for p in parts for ln in open(os.path.join(path, p)).read().splitlines()]
     want = ["base_path\t"] + [f"img{pos}\tc{rn}" for rn in (1, 2) for pos in range(30)] + ["TEST\tTEST", "t5\tx"]
     assert text == want
+
+
+def test_caption_readers(spark, tmp_path):
+    import json
+    tsv = tmp_path / "caps.tsv"
+    tsv.write_text("a.jpg#0\tfirst a\na.jpg#1\tsecond a\nb.jpg#0\tonly b\n")
+    got = sorted((r["image"], r["caption"]) for r in K.read_captions(spark, str(tsv), "tsv").collect())
+    assert got == [("a.jpg", "first a"), ("a.jpg", "second a"), ("b.jpg", "only b")]
+    js = tmp_path / "caps.json"
+    js.write_text(json.dumps([{"image": "x/a.jpg", "caption": "c1"}, {"image": "x/b.jpg", "caption": "c2"}]))
+    got = sorted((r["image"], r["caption"]) for r in K.read_captions(spark, str(js), "json").collect())
+    assert got == [("x/a.jpg", "c1"), ("x/b.jpg", "c2")]
+    coco = tmp_path / "coco.json"
+    coco.write_text(json.dumps({"images": [{"id": 1, "file_name": "a.jpg"}, {"id": 2, "file_name": "b.jpg"}],
+                                "annotations": [{"image_id": 2, "caption": "bb"}, {"image_id": 1, "caption": "aa"},
+                                                {"image_id": 2, "caption": "bb2"}]}))
+    got = sorted((r["image"], r["caption"], r["line"]) for r in K.read_captions(spark, str(coco), "coco").collect())
+    assert got == [("a.jpg", "aa", 1), ("b.jpg", "bb", 0), ("b.jpg", "bb2", 2)]
+
+
+def test_read_box_text_files(spark, tmp_path):
+    d = tmp_path / "labels"
+    d.mkdir()
+    (d / "img1.txt").write_text("car 0.1 0.2 0.3 0.4\nbus 0.5 0.6 0.7 0.8\n")
+    (d / "img2.txt").write_text("car 1 1 2 2\n")
+    got = {os.path.basename(r["path"]): (r["label"], r["bbox"]) for r in K.read_box_text(spark, str(d)).collect()}
+    assert got["img1.txt"] == (["car", "bus"], [[0.1, 0.2, 0.3, 0.4], [0.5, 0.6, 0.7, 0.8]])
+    assert got["img2.txt"] == (["car"], [[1.0, 1.0, 2.0, 2.0]])
