@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from salient.functions.hashing import hash_uniform
+from salient.session import materialize
 
 # Fixed values of the manifest tools.
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "JPEG")
@@ -161,11 +162,14 @@ def rank_within_key(df: DataFrame, key: str, order: str, out: str = "rn",
     share of the rows spans several partitions.  Each (partition, key) piece is
     ranked locally; a piece's offset is the count of the same key's rows in
     earlier partitions, a prefix sum over the small (partition, key, count)
-    table (at most one row per partition for a key).  ``order`` must be unique
-    within a key.
+    table (at most one row per partition for a key).  Ties in ``order`` get
+    distinct, arbitrary numbers.  The range-partitioned pieces are
+    checkpointed, since their ids depend on sampled range bounds.
     """
     n = partitions or 2 * df.sparkSession.sparkContext.defaultParallelism
-    pieces = df.repartitionByRange(n, key, order).withColumn("_pid", F.spark_partition_id())
+    # The piece id depends on run-time range bounds, so the pieces are written
+    # once (shared checkpoint folder): both branches below then read the same ids.
+    pieces = materialize(df.repartitionByRange(n, key, order).withColumn("_pid", F.spark_partition_id()))
     local = pieces.withColumn("_lr", F.row_number().over(Window.partitionBy("_pid", key).orderBy(order)))
     counts = pieces.groupBy("_pid", key).agg(F.count(F.lit(1)).alias("_c"))
     offsets = counts.select("_pid", key, F.coalesce(F.sum("_c").over(
@@ -240,16 +244,18 @@ def read_box_text(spark: SparkSession, path: str) -> DataFrame:
     return parse_box_text(files)
 
 
-def coco_boxes(images: DataFrame, annotations: DataFrame, categories: DataFrame,
-               target_ids: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """COCO boxes per image as ``(image_id, image, label[], bbox[][])``, boxes
-    [top, left, bottom, right] in 0..1.
-
-    Crowd annotations and categories outside ``target_ids`` are dropped; image
-    sizes come from a join on ``image_id`` and the objects are grouped by the
-    same key, so the join's partitioning serves the grouping (one shuffle).
-    Objects of one image are ordered by ``ann_order``.  Second result:
-    ``indices_2_labels`` (one map, one entry per category).
+COCO_BOX = ("top", "lft", "bottom", "rgt")
+
+
+def coco_objects(images: DataFrame, annotations: DataFrame, target_ids: list[int] | None = None) -> DataFrame:
+    """K10, long form: one row per kept object,
+    ``(image_id, image, obj_idx, label, top, lft, bottom, rgt)`` with the box normalized to 0..1.
+
+    Crowd annotations and categories outside ``target_ids`` are dropped and
+    image sizes come from a join on ``image_id``.  The object number follows
+    ``(ann_order, label, box)`` within the image and comes from
+    :func:`rank_within_key`, so an image with a huge share of the annotations
+    is never gathered in one task.
     """
     ann = annotations
     if target_ids is not None:
@@ -257,16 +263,39 @@ def coco_boxes(images: DataFrame, annotations: DataFrame, categories: DataFrame,
     ann = ann.filter(~F.coalesce(F.col("iscrowd").cast("boolean"), F.lit(False)))
     j = ann.join(images.select("image_id", F.col("file_name").alias("image"), "width", "height"), "image_id")
     x, y, w, h = (F.element_at("bbox", i) for i in (1, 2, 3, 4))
-    box = F.array(y / F.col("height"), x / F.col("width"), (y + h) / F.col("height"), (x + w) / F.col("width"))
-    objs = (j.select("image_id", "image", "ann_order", F.col("category_id").alias("label"), box.alias("box"))
-            .groupBy("image_id")  # the file name depends on the id only
-            .agg(F.max("image").alias("image"),
-                 F.array_sort(F.collect_list(F.struct("ann_order", "label", "box"))).alias("o"))
-            .select("image_id", "image", F.transform("o", lambda s: s["label"]).alias("label"),
-                    F.transform("o", lambda s: s["box"]).alias("bbox")))
+    coords = [y / F.col("height"), x / F.col("width"), (y + h) / F.col("height"), (x + w) / F.col("width")]
+    rows = j.select("image_id", "image", "ann_order", F.col("category_id").alias("label"),
+                    *[c.alias(n) for c, n in zip(coords, COCO_BOX)])
+    rows = rows.withColumn("_o", F.struct("ann_order", "label", *COCO_BOX))
+    ranked = rank_within_key(rows, "image_id", "_o", out="_rn")
+    return ranked.select("image_id", "image", (F.col("_rn") - 1).cast("int").alias("obj_idx"), "label", *COCO_BOX)
+
+
+def coco_boxes(images: DataFrame, annotations: DataFrame, categories: DataFrame,
+               target_ids: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """K10, nested manifest form: ``(image_id, image, label[], bbox[][])`` per image, boxes
+    [top, left, bottom, right] in 0..1, plus ``indices_2_labels`` (one entry per category).
+
+    The nesting is the manifest record format (one record per image); queries
+    and joins use :func:`coco_objects`, which never groups an image.
+    """
+    objs = coco_objects(images, annotations, target_ids)
+    nested = (objs.groupBy("image_id")
+              .agg(F.max("image").alias("image"),
+                   F.array_sort(F.collect_list(F.struct("obj_idx", "label", F.array(*COCO_BOX).alias("box")))).alias("o"))
+              .select("image_id", "image", F.transform("o", lambda s: s["label"]).alias("label"),
+                      F.transform("o", lambda s: s["box"]).alias("bbox")))
     i2l = categories.agg(F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("int"), "name")))
                          .alias("indices_2_labels"))
-    return objs, i2l
+    return nested, i2l
+
+
+def add_background_rows(images: DataFrame, objects: DataFrame, key: str = "image_id") -> DataFrame:
+    """K11, long form: images with no object get one row with NULL object fields (anti join + union)."""
+    cols = [c for c in objects.columns if c in images.columns]
+    bg = images.select(*cols).join(objects.select(key), key, "left_anti")
+    fill = [F.lit(None).cast(t).alias(c) for c, t in objects.dtypes if c not in cols]
+    return objects.unionByName(bg.select(*cols, *fill))
 
 
 def add_backgrounds(images: DataFrame, matched: DataFrame, key: str = "image") -> DataFrame:

@@ -254,28 +254,29 @@ ob AS (SELECT image, CAST(row_number() OVER (PARTITION BY image ORDER BY ann_ord
               label, top, lft, bottom, rgt FROM bx)"""
 
 
-def _coco_long(objs):
-    o = objs.select("image", F.posexplode_outer(F.arrays_zip("label", "bbox")).alias("obj_idx", "o"))
-    return o.select("image", F.col("obj_idx").cast("int"), F.col("o.label").cast("int").alias("label"),
-                    *[rounded(F.element_at("o.bbox", i)).alias(n) for i, n in ((1, "top"), (2, "lft"), (3, "bottom"), (4, "rgt"))])
+def _objects_out(objs, *lead):
+    return objs.select(*lead, "image", F.col("obj_idx").cast("int"), F.col("label").cast("int"),
+                       *[rounded(c).alias(c) for c in K.COCO_BOX])
 
 
 @register("coco_boxes", f"""WITH {COCO_SQL}
 SELECT image, obj_idx, label, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in ('top', 'lft', 'bottom', 'rgt'))} FROM ob""")
 def q_coco_boxes(spark, sf_dir):
     """COCO-style annotations (crowd dropped) -> per-image boxes [top, left, bottom, right] in 0..1."""
-    objs, _ = K.coco_boxes(*_coco(spark, sf_dir))
-    return _coco_long(objs)
+    images, anns, _ = _coco(spark, sf_dir)
+    return _objects_out(K.coco_objects(images, anns))
 
 
 @register("add_backgrounds", f"""WITH {COCO_SQL}
 SELECT i.image, CAST(count(o.obj_idx) AS BIGINT) AS n_objects FROM im i LEFT JOIN ob o USING (image) GROUP BY i.image""")
 def q_add_backgrounds(spark, sf_dir):
     """Every image with its object count; images without boxes appended as backgrounds."""
-    images, anns, cats = _coco(spark, sf_dir)
-    objs, _ = K.coco_boxes(images, anns, cats)
-    full = K.add_backgrounds(images.select("image_id", F.col("file_name").alias("image")), objs, "image_id")
-    return full.select("image", F.size("label").cast("bigint").alias("n_objects"))
+    images, anns, _ = _coco(spark, sf_dir)
+    full = K.add_background_rows(images.select("image_id", F.col("file_name").alias("image")),
+                                 K.coco_objects(images, anns))
+    return (full.groupBy("image_id").agg(F.max("image").alias("image"),
+                                         F.count("obj_idx").cast("bigint").alias("n_objects"))
+            .select("image", "n_objects"))
 
 
 @register("detection_manifest", f"""WITH {COCO_SQL}
@@ -284,13 +285,10 @@ SELECT CASE WHEN {sql_uniform(42, 'i.image')} < 0.2 THEN 'test' ELSE 'train' END
 FROM im i LEFT JOIN ob o USING (image)""")
 def q_detection_manifest(spark, sf_dir):
     """Detection manifest rows (split, image, objects) incl. backgrounds, 20 % hashed test split."""
-    images, anns, cats = _coco(spark, sf_dir)
-    objs, _ = K.coco_boxes(images, anns, cats)
-    full = K.hash_split(K.add_backgrounds(images.select("image_id", F.col("file_name").alias("image")), objs,
-                                          "image_id"), "image", 0.2)
-    o = full.select("split", "image", F.posexplode_outer(F.arrays_zip("label", "bbox")).alias("obj_idx", "o"))
-    return o.select("split", "image", F.col("obj_idx").cast("int"), F.col("o.label").cast("int").alias("label"),
-                    *[rounded(F.element_at("o.bbox", i)).alias(n) for i, n in ((1, "top"), (2, "lft"), (3, "bottom"), (4, "rgt"))])
+    images, anns, _ = _coco(spark, sf_dir)
+    full = K.add_background_rows(images.select("image_id", F.col("file_name").alias("image")),
+                                 K.coco_objects(images, anns))
+    return _objects_out(K.hash_split(full, "image", 0.2), "split")
 
 
 ORD_NAME_SQL = "'ILSVRC2012_val_' || lpad(CAST(doc_id + 1 AS VARCHAR), 8, '0') || '.JPEG'"

@@ -168,3 +168,18 @@ def test_read_box_text_files(spark, tmp_path):
     got = {os.path.basename(r["path"]): (r["label"], r["bbox"]) for r in K.read_box_text(spark, str(d)).collect()}
     assert got["img1.txt"] == (["car", "bus"], [[0.1, 0.2, 0.3, 0.4], [0.5, 0.6, 0.7, 0.8]])
     assert got["img2.txt"] == (["car"], [[1.0, 1.0, 2.0, 2.0]])
+
+
+def test_coco_objects_hot_image(spark):
+    images = spark.createDataFrame([(1, "hot.jpg", 10.0, 10.0), (2, "a.jpg", 10.0, 10.0), (3, "bg.jpg", 5.0, 5.0)],
+                                   "image_id INT, file_name STRING, width DOUBLE, height DOUBLE")
+    anns = [(1, 7, [float(i), 0.0, 1.0, 1.0], 0, i) for i in range(300)] + [(2, 8, [1.0, 1.0, 2.0, 2.0], 0, 0)]
+    anns = spark.createDataFrame(anns, "image_id INT, category_id INT, bbox ARRAY<DOUBLE>, iscrowd INT, ann_order INT")
+    objs = K.coco_objects(images, anns)
+    hot = sorted((r["obj_idx"], r["lft"]) for r in objs.filter(F.col("image_id") == 1).collect())
+    assert [o for o, _ in hot] == list(range(300))
+    assert [l for _, l in hot] == pytest.approx([i / 10.0 for i in range(300)])
+    full = K.add_background_rows(images.select("image_id", F.col("file_name").alias("image")), objs)
+    bg = full.filter(F.col("image_id") == 3).collect()
+    assert len(bg) == 1 and bg[0]["obj_idx"] is None and bg[0]["image"] == "bg.jpg"
+    assert full.count() == 302
