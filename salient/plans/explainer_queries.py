@@ -11,7 +11,7 @@ from salient.operators import explainers as E
 from salient.plans import fixtures as fx
 from salient.plans.catalog import long_map, register
 from salient.plans.core_queries import GI_MAP_SQL, SAL_MAP_SQL, _sobol_values_sql, bicubic_sql
-from salient.plans.oracle import (base_ctes, cell_sql, draw_coef_cte, grad_coef_cte, project_cte, r6,
+from salient.plans.oracle import (base_ctes, cell_sql, draw_coef_cte, project_cte, r6,
                                   softmax_probs_cte, softmax_target_cte)
 from salient.operators import designs as D
 
