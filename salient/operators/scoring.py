@@ -50,7 +50,7 @@ class LinearSoftmaxModel:
         # shared checkpoint folder, so every later join reads a small table
         # instead of recomputing it from the inputs (and survives lost executors).
         ensure_checkpoint_dir(weights.sparkSession)
-        self._W = W.repartition(1).checkpoint(eager=True)
+        self._W = W.checkpoint(eager=True)
         shape = self._W.agg(F.count_distinct("cls").alias("c"), F.count_distinct("pos").alias("d"),
                             F.count(F.lit(1)).alias("n")).first()
         self.n_classes, self.n_pos, self.n_rows = int(shape["c"]), int(shape["d"]), int(shape["n"])
