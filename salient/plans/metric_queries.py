@@ -20,7 +20,8 @@ from salient.plans.oracle import (base_ctes, causal_ctes, cell_sql, grad_coef_ct
 def _triplets(spark, sf_dir, explainer):
     smp, mdl, tgt = fx.setup(spark, sf_dir)
     maps = explainer(mdl, smp, tgt)
-    trip = materialize(M.metric_triplets(smp, tgt.withColumnRenamed("target", "pred"), to_array(maps, "e", "e")))
+    trip = materialize(M.metric_triplets(smp, tgt.withColumnRenamed("target", "pred"), to_array(maps, "e", "e")),
+                       key="sample_id", partitions=smp.rdd.getNumPartitions())
     return smp, mdl, tgt, maps, trip
 
 

@@ -65,16 +65,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df):
+def materialize(df, key: str | None = None, partitions: int | None = None):
     """Write ``df`` to the shared checkpoint folder and continue from the written copy.
 
     Used where the reference itself materializes (the prepared dataset of inputs
-    and predictions, the explanation maps before scoring): the lineage is cut,
-    lost executors re-read the files instead of recomputing, and the
-    ``sample_id`` partitioning of the checkpointed plan is kept.
+    and predictions, the explanation maps before scoring): the lineage is cut
+    and lost executors re-read the files instead of recomputing.  With ``key``
+    the table is hash-partitioned by it first and the checkpoint keeps that
+    partitioning, so later key-based joins, windows and aggregates need no
+    shuffle.  (The write itself runs without adaptive re-planning: a plan
+    re-planned at run time does not pass its partitioning on to the
+    checkpointed table.)
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if key is not None:
+        df = df.repartition(partitions or spark.sparkContext.defaultParallelism, key)
+    previous = spark.conf.get("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", previous)
 
 
 _SHIPPED: set[str] = set()
