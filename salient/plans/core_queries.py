@@ -404,3 +404,15 @@ def q_off_class(spark, sf_dir):
     smp, mdl, tgt = fx.setup(spark, sf_dir)
     return tgt.select("sample_id", F.col("target").cast("int"),
                       D.off_class(F.col("target"), mdl.n_classes, 42, F.col("sample_id")).cast("int").alias("off"))
+
+
+@register("target_score_one_hot", f"""WITH {base_ctes()}
+SELECT t.sample_id, {r6('p.p')} AS score FROM tg t JOIN pp p ON p.sample_id = t.sample_id AND p.cls = t.target""")
+def q_target_score_one_hot(spark, sf_dir):
+    """S1 (array form) + P4: sum_c f(x)_c * y_c with y the one-hot prediction array."""
+    smp = fx.samples(spark, sf_dir)
+    mdl = fx.model(smp)
+    probs = to_array(S.class_probabilities(mdl.logits(smp)), "p", "probs", pos_col="cls")
+    pred = S.predictions(mdl, smp).select("sample_id", "one_hot")
+    out = probs.join(pred, "sample_id").select("sample_id", S.one_hot_dot(F.col("probs"), F.col("one_hot")).alias("score"))
+    return per_sample(out)
