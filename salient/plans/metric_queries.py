@@ -248,3 +248,14 @@ def q_scores_json_roundtrip(spark, sf_dir):
     back = spark.read.schema("sample_id BIGINT, score DOUBLE, model STRING, explainer STRING, metric STRING").json(path)
     s = T.summarize_scores(back)
     return s.select("model", "explainer", "metric", rnd("mean_score").alias("mean_score"), "n", "n_undefined")
+
+
+@register("deletion_channels", _score_sql(f"""WITH {base_ctes()},
+em AS (SELECT sample_id, pos // 4 AS pos, avg(x) AS e FROM lx GROUP BY sample_id, pos // 4),
+""" + causal_ctes("em", "deletion", 10, channels=4).lstrip("\n") + "\n"))
+def q_deletion_channels(spark, sf_dir):
+    """M5 + P11 with channels: inputs and maps viewed as 4x4x4; the map is channel-averaged, ranked per
+    pixel, and all channels of a pixel go to the baseline together (10 steps)."""
+    smp, mdl, tgt = fx.setup(spark, sf_dir)
+    trip = M.metric_triplets(smp, tgt.withColumnRenamed("target", "pred"), smp.select("sample_id", F.col("x").alias("e")))
+    return per_sample(M.deletion(mdl, trip, steps=10, channels=fx.MAP_CH.c))

@@ -43,21 +43,27 @@ def project_cte(name: str, coef: str, value: str, weights: str = "wt") -> str:
 {name} AS (SELECT sample_id, pos, {value} AS e FROM {name}_g)"""
 
 
-def causal_ctes(maps: str, mode: str, steps: int, baseline: float = 0.0, max_pct: float = 1.0) -> str:
-    """Curve ``cv(sample_id, k, score)`` and AUC ``auc(sample_id, score)`` for a long map table."""
+def causal_ctes(maps: str, mode: str, steps: int, baseline: float = 0.0, max_pct: float = 1.0,
+                channels: int = 1) -> str:
+    """Curve ``cv(sample_id, k, score)`` and AUC ``auc(sample_id, score)`` for a long map table.
+
+    With ``channels`` > 1 the map is per pixel (``pos`` = pixel) and every
+    channel of a pixel is switched with it.
+    """
     b = f"CAST({float(baseline)!r} AS DOUBLE)"
     start, delta = ("l.x", f"{b} - l.x") if mode == "deletion" else (b, f"l.x - {b}")
+    on = "USING (sample_id, pos)" if channels == 1 else f"ON l.sample_id = r.sample_id AND l.pos // {channels} = r.pos"
     return f"""
 rk AS (SELECT sample_id, pos, dense_rank() OVER (PARTITION BY sample_id ORDER BY e DESC, pos) - 1 AS rank
        FROM {maps}),
 pr AS (SELECT r.sample_id, w.cls, r.rank, sum(w.w * {start}) AS s, sum(w.w * ({delta})) AS d
-       FROM rk r JOIN lx l USING (sample_id, pos) JOIN wt w ON w.pos = l.pos
+       FROM rk r JOIN lx l {on} JOIN wt w ON w.pos = l.pos
        GROUP BY r.sample_id, w.cls, r.rank),
 cu AS (SELECT sample_id, cls, rank,
               sum(s) OVER (PARTITION BY sample_id, cls)
               + sum(d) OVER (PARTITION BY sample_id, cls ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS z
        FROM pr),
-mx AS (SELECT CAST(floor(n * {float(max_pct)!r}) AS BIGINT) AS mn FROM nf),
+mx AS (SELECT CAST(floor((n // {channels}) * {float(max_pct)!r}) AS BIGINT) AS mn FROM nf),
 st AS (SELECT CAST(k.range AS INTEGER) AS k, (k.range * (mx.mn - 1)) // {steps - 1} AS t FROM range({steps}) k, mx),
 cz AS (SELECT c.sample_id, s.k, c.cls, c.z FROM cu c JOIN st s ON c.rank = s.t),
 cm AS (SELECT sample_id, k, max(z) AS m FROM cz GROUP BY sample_id, k),
