@@ -3,9 +3,10 @@
 The benchmark starts from recognition, caption and detection manifests.  Each
 step is a DataFrame transformation: listings are path tables, label maps are
 window ranks over distinct labels, pairing is an equi-join, unmatched items are
-anti joins, per-image objects are ordered ``collect_list`` groups (bounded by
-the objects of one image) and sinks are ordinary writers.  Nothing is gathered
-on the driver.  Label indices and image tables are data-derived, so they get no
+anti joins, ranks within a data key (captions and objects of one image) come
+from :func:`rank_within_key`, which splits a hot key over several tasks, and
+sinks are ordinary writers (only a nested output record groups one image's
+objects, or one label file's lines).  Nothing is gathered on the driver.  Label indices and image tables are data-derived, so they get no
 broadcast hint: Spark's size check (and AQE at run time) picks the join.
 """
 
