@@ -99,6 +99,9 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[0x41:0x5B] += 32
 _LOWER += _U(1)
+_EXACT = (np.arange(256, dtype=np.uint64) + _U(1)) * _U(0x9E3779B97F4A7C15)
+_GAP = np.zeros(256, bool)
+_GAP[[0x20, 0x0A]] = True
 _LOWER = _LOWER * _U(0x9E3779B97F4A7C15)  # spread the byte values over 64 bits
 _RADIX = _U(0xD6E8FEB86659FD93)
 _RADIX_INV = _U(pow(int(_RADIX), -1, 1 << 64))
@@ -134,46 +137,71 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     0x20 and 0x09-0x0D, with A-Z lower-cased.  Returns (hashes, bounds): the
     words of document i are ``hashes[bounds[i]:bounds[i + 1]]``.
     """
+    hashes, start, _ = _runs(data, offsets, _SPACE, _LOWER)
+    return hashes, np.searchsorted(start, offsets)
+
+
+def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of bytes between single spaces and line feeds, each with the one before it.
+
+    Returns (hashes, starts, ends, bounds).  A run takes the space or line feed
+    before it; its hash tells the three cases (space, line feed, start of the
+    document) apart.  Bytes are told apart by case.
+    """
+    hashes, start, end = _runs(data, offsets, _GAP, _EXACT)
+    bounds = np.searchsorted(start, offsets)
+    lead = np.zeros(len(start), np.uint64)
+    inner = np.ones(len(start), bool)
+    at = bounds[:-1][np.diff(bounds) > 0]
+    inner[at] = start[at] > offsets[:-1][np.diff(bounds) > 0]
+    before = start[inner] - 1
+    lead[inner] = data[before]
+    return mix(hashes + lead * _U(0xA24BAED4963EE407)), start - inner, end, bounds
+
+
+def _runs(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of the runs of bytes outside ``gap``, which never cross a document's border."""
     lo, hi = int(offsets[0]), int(offsets[-1])
-    hashes, starts = [], []
+    hashes, starts, ends = [], [], []
     at = lo
     while at < hi:
         end = min(at + _SEGMENT, hi)
-        if end < hi:  # cut between words
+        if end < hi:  # cut between runs
             stop = end
             while stop < hi:
-                part = _SPACE[data[stop:stop + 4096]]
-                if part.any():
-                    stop += int(part.argmax())
-                    break
-                nxt = np.searchsorted(offsets, stop, "right")
-                if nxt < len(offsets) and offsets[nxt] <= stop + len(part):
-                    stop = int(offsets[nxt])
+                part = gap[data[stop:stop + 4096]]
+                nxt = int(offsets[np.searchsorted(offsets, stop)])
+                cut = stop + int(part.argmax()) if part.any() else hi
+                if min(cut, nxt) <= stop + len(part):
+                    stop = min(cut, nxt)
                     break
                 stop += len(part)
             end = min(stop, hi)
         seg = data[at:end]
-        word = ~_SPACE[seg]
+        word = ~gap[seg]
         begin = word.copy()
         begin[1:] &= ~word[:-1]
         a, b = np.searchsorted(offsets, (at, end))
-        cuts = offsets[a:b] - at  # a document's first byte starts a word
+        cuts = offsets[a:b] - at  # a document's first byte starts a run
         begin[cuts[word[cuts]]] = True
         first = np.flatnonzero(begin)
         if len(first):
             power, inverse = _powers(len(seg))
             sums = np.zeros(len(seg) + 1, _U)
-            values = _LOWER[seg] * power[:len(seg)]
-            values[~word] = 0
-            np.cumsum(values, out=sums[1:])
-            after = np.append(first[1:], len(seg))  # bytes between words add nothing
+            weighed = values[seg] * power[:len(seg)]
+            weighed[~word] = 0
+            np.cumsum(weighed, out=sums[1:])
+            after = np.append(first[1:], len(seg))  # bytes between runs add nothing
             hashes.append((sums[after] - sums[first]) * inverse[first])
             starts.append(first + at)
+            last = word.copy()
+            last[:-1] &= ~word[1:]
+            last[cuts[cuts > 0] - 1] |= word[cuts[cuts > 0] - 1]
+            ends.append(np.flatnonzero(last) + at + 1)
         at = end
     if not hashes:
-        return np.zeros(0, _U), np.zeros(len(offsets), np.int64)
-    start = np.concatenate(starts)
-    return mix(np.concatenate(hashes)), np.searchsorted(start, offsets)
+        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return mix(np.concatenate(hashes)), np.concatenate(starts), np.concatenate(ends)
 
 
 def arrow_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -206,3 +234,64 @@ def shingle_hashes(words: np.ndarray, n: int = 5) -> np.ndarray:
     for i in range(n):
         h = h * _U(0xA24BAED4963EE407) + words[i:len(words) - n + 1 + i]
     return np.unique(mix(h + _U(n)))
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indexes of consecutive ranges laid one after the other."""
+    total = int(lengths.sum())
+    shift = np.cumsum(lengths) - lengths
+    return np.repeat(starts - shift, lengths) + np.arange(total)
+
+
+class StretchCache:
+    """Records made once for each distinct stretch of a run of texts, bounded in size.
+
+    ``make(text)`` gives a stretch's record: a tuple of byte strings.  A record
+    is kept under its 64-bit hash; at ``limit`` entries the cache starts anew.
+    """
+
+    def __init__(self, make, limit: int = 800_000):
+        self.make, self.limit = make, limit
+        self.kept: dict[int, tuple] = {}
+
+    def records(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[tuple], np.ndarray]:
+        """The distinct stretches' records, and each stretch's place among them."""
+        distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+        keys = distinct.tolist()
+        found = list(map(self.kept.get, keys))
+        if len(self.kept) > self.limit:
+            self.kept.clear()
+        for i, got in enumerate(found):
+            if got is None:
+                j = first[i]
+                found[i] = self.kept[keys[i]] = self.make(data[starts[j]:ends[j]].tobytes().decode())
+        return found, place
+
+
+def is_plain(data: np.ndarray, offsets: np.ndarray, latin: bool) -> np.ndarray:
+    """Documents whose only white space is single spaces and line feeds within the text.
+
+    Documents with other control characters, no-break spaces or (with ``latin``)
+    characters beyond U+024F are not plain.  Empty ones are not either.
+    """
+    lo, hi = int(offsets[0]), int(offsets[-1])
+    seg = data[lo:hi]
+    gap = _GAP[seg]
+    bad = _CONTROL[seg]
+    bad[1:] |= gap[1:] & gap[:-1]
+    second = seg[1:]
+    bad[1:] |= (seg[:-1] == 0xC2) & (second <= 0xA0)
+    if latin:
+        bad |= seg >= 0xC9
+    else:
+        bad |= seg >= 0xE0  # may be a space of another script, or the space mark itself
+    counts = np.concatenate([[0], np.cumsum(bad)])
+    o = offsets - lo
+    plain = (counts[o[1:]] == counts[o[:-1]]) & (o[1:] > o[:-1])
+    some = np.flatnonzero(plain)
+    plain[some] &= ~gap[o[:-1][some]] & ~gap[o[1:][some] - 1]
+    return plain
+
+
+_CONTROL = np.zeros(256, bool)
+_CONTROL[[*range(0x00, 0x0A), *range(0x0B, 0x20), 0x7F]] = True

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from salient.llm.fingerprints import op10_fingerprints
+from salient.llm.sentencepiece_spans import op9_sentencepiece
+from salient.llm.token_planes import op3_token_planes
 from salient.llm.url_lm import op1_url_lm
 
 QUERIES = {
     "op1_url_lm": op1_url_lm,
+    "op3_token_planes": op3_token_planes,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_fingerprints": op10_fingerprints,
 }
 
