@@ -107,6 +107,19 @@ class UrlModel:
         self.total = table.sum(2)
         self.kinds = (table > 0).sum(2)
 
+    def __getstate__(self):
+        """Only the counts above 0 travel to the workers."""
+        flat = self.pair.reshape(-1)
+        cell = np.flatnonzero(flat)
+        return cell.astype(np.int32), flat[cell], self.threshold
+
+    def __setstate__(self, state):
+        cell, n, self.threshold = state
+        self.pair = np.zeros(2 * (MAX_ORDER + 1) * CONTEXTS * SYMBOLS, np.int64)
+        self.pair[cell] = n
+        self.pair = self.pair.reshape(2, -1)
+        self.__post_init__()
+
     def scores(self, urls: pa.Array) -> np.ndarray:
         """(log P accepted - log P rejected) / symbols; 0 for an empty URL only if both models agree."""
         pairs, contexts, count = _cells(urls)
