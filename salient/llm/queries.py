@@ -6,12 +6,16 @@ from salient.llm.fingerprints import op10_fingerprints
 from salient.llm.sentencepiece_spans import op9_sentencepiece
 from salient.llm.token_planes import op3_token_planes
 from salient.llm.url_lm import op1_url_lm
+from salient.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
     "op1_url_lm": op1_url_lm,
     "op3_token_planes": op3_token_planes,
+    "op5_warc": op5_warc,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_warc": OP5_SQL,
+}
