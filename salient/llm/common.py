@@ -45,6 +45,11 @@ def fold(doc_id: Column, k: int) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % k
 
 
+def row_key() -> list[Column]:
+    """Two hashes of ``doc_id`` and ``text`` that stand for a document row (rows equal in both are one)."""
+    return [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(7), "doc_id").alias("k2")]
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

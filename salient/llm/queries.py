@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from salient.llm.decontam import op4_decontam
 from salient.llm.fingerprints import op10_fingerprints
+from salient.llm.line_spread import OP6_SQL, op6_line_spread
 from salient.llm.sentencepiece_spans import op9_sentencepiece
 from salient.llm.token_planes import op3_token_planes
 from salient.llm.url_lm import op1_url_lm
@@ -11,11 +13,14 @@ from salient.llm.warc import OP5_SQL, op5_warc
 QUERIES = {
     "op1_url_lm": op1_url_lm,
     "op3_token_planes": op3_token_planes,
+    "op4_decontam": op4_decontam,
     "op5_warc": op5_warc,
+    "op6_line_spread": op6_line_spread,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLES: dict[str, str] = {
     "op5_warc": OP5_SQL,
+    "op6_line_spread": OP6_SQL,
 }
