@@ -7,11 +7,13 @@ from salient.llm.fingerprints import op10_fingerprints
 from salient.llm.line_spread import OP6_SQL, op6_line_spread
 from salient.llm.sentencepiece_spans import op9_sentencepiece
 from salient.llm.token_planes import op3_token_planes
+from salient.llm.toxicity import op2_toxicity
 from salient.llm.url_lm import op1_url_lm
 from salient.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
     "op1_url_lm": op1_url_lm,
+    "op2_toxicity": op2_toxicity,
     "op3_token_planes": op3_token_planes,
     "op4_decontam": op4_decontam,
     "op5_warc": op5_warc,
