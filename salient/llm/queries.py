@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from salient.llm.bottomk_dedup import op8_bottomk_dedup
 from salient.llm.decontam import op4_decontam
 from salient.llm.fingerprints import op10_fingerprints
 from salient.llm.line_spread import OP6_SQL, op6_line_spread
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_decontam": op4_decontam,
     "op5_warc": op5_warc,
     "op6_line_spread": op6_line_spread,
+    "op8_bottomk_dedup": op8_bottomk_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_fingerprints": op10_fingerprints,
 }
