@@ -6,6 +6,7 @@ from salient.llm.bottomk_dedup import op8_bottomk_dedup
 from salient.llm.decontam import op4_decontam
 from salient.llm.fingerprints import op10_fingerprints
 from salient.llm.line_spread import OP6_SQL, op6_line_spread
+from salient.llm.maxent_lm import op7_maxent_lm
 from salient.llm.sentencepiece_spans import op9_sentencepiece
 from salient.llm.token_planes import op3_token_planes
 from salient.llm.toxicity import op2_toxicity
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_decontam": op4_decontam,
     "op5_warc": op5_warc,
     "op6_line_spread": op6_line_spread,
+    "op7_maxent_lm": op7_maxent_lm,
     "op8_bottomk_dedup": op8_bottomk_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_fingerprints": op10_fingerprints,
