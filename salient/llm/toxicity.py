@@ -27,8 +27,11 @@ BEGINNINGS, ENDINGS = (4, 5, 6), (4, 5)
 SHARED = (2, 3)
 #: Training rows expected at most; beyond, rows are drawn by a hash of their id.
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 10_000
-#: Features kept at most: those that tell positives from unlabelled texts most surely, with at least MIN_Z standard errors.
-FEATURES, MIN_Z = 2048, 5.0
+#: Features kept at most: those that tell positives from unlabelled texts most surely, by at least MIN_Z standard
+#: errors (were both alike), in at least MIN_POSITIVE positive texts and MIN_SHARE of them.
+FEATURES, MIN_Z, MIN_POSITIVE, MIN_SHARE = 2048, 6.0, 5, 0.02
+#: Share of a step that goes against the gradient where the risk's part for negatives is below zero.
+BACK = 0.05
 #: Classifiers trained on different parts of the sample and averaged.
 MEMBERS = 3
 THRESHOLD = 0.3
@@ -99,8 +102,10 @@ def choose_features(pos: list[np.ndarray], unl: list[np.ndarray]) -> np.ndarray:
     for total, rows in ((p, pos), (u, unl)):
         for r in rows:
             total[r] += 1
+    often = p >= max(MIN_POSITIVE, MIN_SHARE * n_p)
     p, u = p / n_p, u / n_u
-    z = (p - u) / np.sqrt(p * (1 - p) / n_p + u * (1 - u) / n_u + 1.0 / n_p / n_u)
+    z = (p - u) / np.sqrt(np.maximum(u, 1 / n_u) * (1 - u) * (1 / n_p + 1 / n_u) + 1e-12)
+    z[~often] = 0
     order = np.argsort(-z, kind="stable")[:FEATURES]
     return np.sort(order[z[order] >= MIN_Z])
 
@@ -110,7 +115,7 @@ def train_member(pos: list[np.ndarray], unl: list[np.ndarray], width: int, prior
     """Minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic loss by Adam.
 
     Rows are arrays of feature places.  Where the part for negatives is below
-    zero, the step goes against its gradient instead.
+    zero, a share BACK of the step goes against its gradient instead.
     """
     w = np.zeros(width + 1)
     w[-1] = np.log(prior / (1 - prior))
@@ -135,7 +140,7 @@ def train_member(pos: list[np.ndarray], unl: list[np.ndarray], width: int, prior
         if all_lost - prior * lost >= 0:
             g = prior * up + all_down - prior * down
         else:
-            g = prior * down - all_down
+            g = BACK * (prior * down - all_down)
         g[:-1] += l2 * w[:-1]
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
