@@ -85,7 +85,7 @@ def bucket_of(key: Column, starts: list[int]) -> Column:
     """Index of the last start not above the key (null keys in the first range)."""
     spots = F.array(*[F.lit(int(s)) for s in starts]) if len(starts) <= 64 else None
     if spots is not None:
-        return F.coalesce(F.size(F.filter(spots, lambda s: s <= key)) - 1, F.lit(0))
+        return F.greatest(F.size(F.filter(spots, lambda s: s <= key)) - 1, F.lit(0))
 
     @F.pandas_udf("int")
     def find(k):
