@@ -44,7 +44,7 @@ def similarity_weights(draw_sums: DataFrame, mode: str, width: float, reference_
         cos = F.coalesce(F.col("xp") / F.nullif(F.sqrt(F.col("xx")) * F.sqrt(F.col("pp")), F.lit(0.0)), F.lit(0.0))
         dist = (F.lit(1.0) + cos) if reference_sign else (F.lit(1.0) - cos)
     else:
-        raise ValueError("distance_mode must be either 'cosine' or 'euclidean'.")
+        raise ValueError(f"unknown distance {mode!r}: cosine or euclidean")
     sim = exp_kernel(dist, width)
     total = F.sum(sim).over(Window.partitionBy("sample_id"))
     return draw_sums.select("sample_id", "draw", *keep, F.when(total == 0, F.lit(1.0)).otherwise(sim).alias("sim"))

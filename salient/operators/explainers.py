@@ -285,21 +285,37 @@ def _draw_arrays(design: DataFrame, name: str = "z") -> DataFrame:
     return F.broadcast(to_array(design, "m", name, keys=("draw",), pos_col="cell"))
 
 
+def _segmented(rows: DataFrame, shape: Shape, grid_size: int | None, segments: list[int] | None):
+    """``(cell_of, number of cells, rows with their cell)`` for a grid, given segments, or single pixels.
+
+    ``segments`` is a parameter of the explainer: one number from 0 on for each
+    of the ``h * w`` pixels.
+    """
+    if segments is not None:
+        if len(segments) != shape.h * shape.w:
+            raise ValueError(f"{len(segments)} segment numbers for {shape.h * shape.w} pixels")
+        numbers = F.array(*[F.lit(int(c)) for c in segments])
+        cell_of, dims = (lambda pix: F.element_at(numbers, pix.cast("int") + 1)), max(segments) + 1
+    elif grid_size:
+        cell_of, dims = (lambda pix: grid_cell(pix, shape, grid_size)), grid_size * grid_size
+    else:
+        cell_of, dims = (lambda pix: pix.cast("int")), shape.h * shape.w
+    return cell_of, dims, rows.withColumn("cell", cell_of(F.col("pix")))
+
+
 def lime(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame, shape: Shape,
          nb_samples: int = 2000, grid_size: int | None = None, distance_mode: str = "cosine",
          kernel_width: float = 46.0, alpha: float = 2.0, prob: float = 0.5, ref_value: float | None = None,
-         reference_sign: bool = False, seed: int = 0) -> DataFrame:
+         reference_sign: bool = False, seed: int = 0, segments: list[int] | None = None) -> DataFrame:
     """Weighted ridge of the target score on binary cell samples (D7 -> D13 -> D10 -> E10a -> E10b).
 
     ``ref_value`` defaults to 0.5 for 3-channel inputs and 0 otherwise.
-    Segments are a g x g grid (identity per pixel when ``grid_size`` is None).
+    Segments are a g x g grid, or the given segment number of every pixel, or
+    (by default) every pixel by itself, whatever the shape of the input.
     """
     spark = samples.sparkSession
-    grid = grid_size or shape.h
-    dims = grid * grid
+    cell_of, dims, rows = _segmented(_input_rows(samples, targets, shape), shape, grid_size, segments)
     ref = ref_value if ref_value is not None else (0.5 if shape.c == 3 else 0.0)
-    cell_of = lambda pix: grid_cell(pix, shape, grid)
-    rows = _input_rows(samples, targets, shape).withColumn("cell", cell_of(F.col("pix")))
     design = binary_design(spark, nb_samples, dims, prob, seed)
     contrib = relative_contributions(model, rows, F.lit(float(ref)))
     per_draw = _scores_with_sums(contrib, lime_cell_sums(rows, ref),
@@ -355,18 +371,15 @@ def _scores_with_sums(contrib: DataFrame, sums: DataFrame, design: DataFrame, dr
 
 def kernel_shap(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame, shape: Shape,
                 nb_samples: int = 400, grid_size: int | None = None, ref_value: float = 0.0,
-                seed: int = 0) -> DataFrame:
-    """Shapley-kernel weighted regression with the efficiency constraint.
+                seed: int = 0, segments: list[int] | None = None) -> DataFrame:
+    """Shapley-kernel weighted regression with the efficiency constraint (segments as in :func:`lime`).
 
     Coalitions are Bernoulli(1/2) over cells; the empty and full coalitions
     (infinite kernel weight) are scored separately and enter as the
     constraint ``sum(phi) = f(x) - f(empty)``.
     """
     spark = samples.sparkSession
-    grid = grid_size or shape.h
-    dims = grid * grid
-    cell_of = lambda pix: grid_cell(pix, shape, grid)
-    rows = _input_rows(samples, targets, shape).withColumn("cell", cell_of(F.col("pix")))
+    cell_of, dims, rows = _segmented(_input_rows(samples, targets, shape), shape, grid_size, segments)
     coalitions = binary_design(spark, nb_samples, dims, 0.5, seed)
     ends = _grid_design(spark, [nb_samples, nb_samples + 1], dims).withColumn(
         "m", F.when(F.col("draw") == nb_samples, 0.0).otherwise(1.0))
@@ -402,7 +415,7 @@ def perturbation_rows(rows: DataFrame, shape: Shape, perturbation: str):
     if perturbation == "blurring":
         blur = box_blur(rows.select("sample_id", "pos", "x"), shape, 1)
         return rows.join(blur, ["sample_id", "pos"]), F.col("blur")
-    raise ValueError("Only 'inpainting', 'blurring' and 'amplitude' are supported.")
+    raise ValueError(f"unknown perturbation {perturbation!r}: inpainting, blurring or amplitude")
 
 
 def sobol_attribution(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame, shape: Shape,
@@ -475,5 +488,7 @@ def hsic_attribution(model: LinearSoftmaxModel, samples: DataFrame, targets: Dat
         return hsic_scores(np.stack(pdf["z"].to_numpy()), pdf["score"].to_numpy(), kernel)
 
     cells = solve_per_sample(fit_rows, solver, dims, out_value="v", design_arrays=_draw_arrays(design))
+    # an undefined score (output kernel of width 0) is NULL, so that summaries count it as undefined
+    cells = cells.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
     heat = resize_bicubic(cells, bicubic_weights(spark, grid_size, shape))
     return heat.select("sample_id", F.col("pix").alias("pos"), F.col("v").alias("e"))

@@ -12,18 +12,19 @@ broadcast hint: Spark's size check (and AQE at run time) picks the join.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from salient.functions.hashing import hash_uniform
-from salient.session import materialize
+from salient.session import materialize, partitions_for
 
 # Fixed values of the manifest tools.
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "JPEG")
 TEST_MARKER = ("TEST", "TEST")
 SPLIT_SEED = 42
 ORDINAL_NAME_PATTERN = r"ILSVRC2012_val_0*([0-9]+)\.JPEG$"
-UNSTRUCTURED_MIN_FILES = 5000
 BOX_FORMATS = ("yxyx", "xyxy", "yxhw", "xywh", "cycxhw", "cxcywh")
 
 
@@ -47,7 +48,10 @@ def list_paths(paths: DataFrame, path_col: str = "path", depth: int = 2, root: s
 
     Order is made deterministic by path (the reference shuffles).
     """
-    rel = F.regexp_replace(F.col(path_col), "^" + root.rstrip("/") + "/?", "") if root else F.col(path_col)
+    rel, base = F.col(path_col), root.rstrip("/")
+    if base:  # the root is plain text, not a pattern; paths outside it are no files of it
+        paths = paths.filter(rel.startswith(base + "/"))
+        rel = F.substr(rel, F.lit(len(base) + 2))
     parts = F.size(F.split(F.regexp_replace(rel, "^/", ""), "/"))
     df = paths.filter(parts == F.lit(depth))
     if suffixes:
@@ -138,9 +142,11 @@ def parse_caption_rows(raw: DataFrame, image_col: str = "image", caption_col: st
 def read_captions(spark: SparkSession, path: str, fmt: str = "tsv") -> DataFrame:
     """K5: read captions from TSV (``image#k<TAB>caption``), a JSON list or COCO JSON."""
     if fmt == "tsv":
-        raw = (spark.read.option("sep", "\t").option("quote", "").csv(path)
+        # order within a file: its blocks by their start, the lines of a block as read
+        raw = (spark.read.option("sep", "\t").option("quote", "").schema("_c0 STRING, _c1 STRING").csv(path)
                .select(F.col("_c0").alias("image"), F.col("_c1").alias("caption"),
-                       F.monotonically_increasing_id().alias("line")))
+                       F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                F.monotonically_increasing_id().alias("at")).alias("line")))
         return parse_caption_rows(raw)
     if fmt == "json":
         raw = spark.read.option("multiLine", True).json(path)
@@ -167,7 +173,7 @@ def rank_within_key(df: DataFrame, key: str, order: str, out: str = "rn",
     distinct, arbitrary numbers.  The range-partitioned pieces are
     checkpointed, since their ids depend on sampled range bounds.
     """
-    n = partitions or 2 * df.sparkSession.sparkContext.defaultParallelism
+    n = partitions or partitions_for(df, 2)
     # The piece id depends on run-time range bounds, so the pieces are written
     # once (shared checkpoint folder): both branches below then read the same ids.
     pieces = materialize(df.repartitionByRange(n, key, order).withColumn("_pid", F.spark_partition_id()))
@@ -191,7 +197,16 @@ def match_captions(images: DataFrame, captions: DataFrame) -> DataFrame:
     """
     cap = captions.select(basename(F.col("image")).alias("key"), "caption", "line")
     img = images.select("image", "image_pos", basename(F.col("image")).alias("key"))
-    return img.join(rank_within_key(cap, "key", "line"), "key").select("image", "caption", "rn", "image_pos")
+    # of images that share a basename the first takes the captions; duplicate_images() reports the others
+    first = img.groupBy("key").agg(F.min(F.struct("image_pos", "image")).alias("i")).select("key", "i.image", "i.image_pos")
+    return first.join(rank_within_key(cap, "key", "line"), "key").select("image", "caption", "rn", "image_pos")
+
+
+def duplicate_images(images: DataFrame) -> DataFrame:
+    """K6 report: ``(key, n_images, image)`` for each basename that several images share; ``image`` takes the captions."""
+    img = images.select("image", "image_pos", basename(F.col("image")).alias("key"))
+    return (img.groupBy("key").agg(F.count(F.lit(1)).alias("n_images"), F.min(F.struct("image_pos", "image"))["image"].alias("image"))
+            .filter("n_images > 1"))
 
 
 def caption_manifest_lines(train: DataFrame, test: DataFrame, base_path: str = "") -> DataFrame:
@@ -311,23 +326,24 @@ def add_backgrounds(images: DataFrame, matched: DataFrame, key: str = "image") -
 
 
 def convert_box(b: Column, fmt: str) -> Column:
-    """K12 on one box: ``fmt`` -> ``[top, left, bottom, right]``."""
-    e = [F.element_at(b, i) for i in (1, 2, 3, 4)]
-    if fmt == "yxyx":
-        return b
-    if fmt == "xyxy":
-        return F.array(e[1], e[0], e[3], e[2])
-    if fmt == "yxhw":
-        return F.array(e[0], e[1], e[0] + e[2], e[1] + e[3])
-    if fmt == "xywh":
-        return F.array(e[1], e[0], e[1] + e[3], e[0] + e[2])
-    if fmt == "cycxhw":
-        top, left = e[0] - e[2] / 2, e[1] - e[3] / 2
-        return F.array(top, left, top + e[2], left + e[3])
-    if fmt == "cxcywh":
-        top, left = e[1] - e[3] / 2, e[0] - e[2] / 2
-        return F.array(top, left, top + e[3], left + e[2])
-    raise ValueError(f"bbox_source_format must be one of {BOX_FORMATS}")
+    """K12 on one box: ``fmt`` -> ``[top, left, bottom, right]``.
+
+    A format's name lists what its four numbers are: ``x`` and ``y`` (a corner
+    on that axis), ``cx`` and ``cy`` (the centre), ``w`` and ``h`` (the extent).
+    Per axis, the low edge is the first corner or half an extent before the
+    centre, the high edge the second corner or one extent after the low edge.
+    """
+    if fmt not in BOX_FORMATS:
+        raise ValueError(f"unknown box format {fmt!r}; known are {', '.join(BOX_FORMATS)}")
+    said = [(name, F.element_at(b, i + 1)) for i, name in enumerate(re.findall("c?[xy]|[wh]", fmt))]
+
+    def edges(axis: str, extent: str) -> tuple[Column, Column]:
+        corners, centre, size = ([v for n, v in said if n == what] for what in (axis, "c" + axis, extent))
+        low = corners[0] if corners else centre[0] - size[0] / 2
+        return low, corners[1] if len(corners) > 1 else low + size[0]
+
+    (top, bottom), (left, right) = edges("y", "h"), edges("x", "w")
+    return F.array(top, left, bottom, right)
 
 
 def convert_boxes(objects: DataFrame, fmt: str = "yxyx", col: str = "bbox") -> DataFrame:
@@ -339,9 +355,10 @@ def encode_box_labels(objects: DataFrame, train_filter: Column | None = None) ->
     """String labels -> ints.  All-digit labels keep their value (num_classes = max + 1);
     otherwise the sorted training labels are numbered and unknown labels become -1.
 
-    The digit test is one scalar aggregate over the distinct training labels
-    (one row per class).  Non-digit labels are encoded by exploding the
-    objects, an equi-join with the class index and an ordered regroup.
+    The digit test is one scalar aggregate over the distinct training labels.
+    Records get a number of their own, so equal records stay apart; only that
+    number, the position and the label are exploded, joined with the class
+    table and brought together again, and boxes stay where they are.
     Returns the objects with integer labels and ``(num_classes, indices_2_labels)``.
     """
     train = objects if train_filter is None else objects.filter(train_filter)
@@ -354,14 +371,12 @@ def encode_box_labels(objects: DataFrame, train_filter: Column | None = None) ->
     else:
         index = labels.select("raw_label", (F.dense_rank().over(Window.orderBy("raw_label")) - 1)
                               .cast("int").alias("label_id"))
-        keys = [c for c in objects.columns if c != "label"]
-        ex = objects.select(*keys, F.posexplode_outer("label").alias("li", "raw_label"))
-        enc = ex.join(index, "raw_label", "left").select(
-            *keys, "li", F.coalesce("label_id", F.lit(-1)).alias("label_id"))
-        out = (enc.groupBy(*keys)
-               .agg(F.array_sort(F.collect_list(F.struct("li", "label_id"))).alias("o"))
-               .select(*keys, F.transform(F.filter("o", lambda s: s["li"].isNotNull()),
-                                          lambda s: s["label_id"]).alias("label")))
+        # written once: both branches below must see the same numbers
+        rows = materialize(objects.withColumn("_rec", F.monotonically_increasing_id()))
+        ids = (rows.select("_rec", F.posexplode("label").alias("li", "raw_label")).join(index, "raw_label", "left")
+               .groupBy("_rec").agg(F.array_sort(F.collect_list(F.struct("li", F.coalesce("label_id", F.lit(-1)).alias("id")))).alias("_ids")))
+        out = rows.join(ids, "_rec", "left").withColumn("label", F.coalesce(
+            F.transform("_ids", lambda s: s["id"]), F.when(F.col("label").isNotNull(), F.array().cast("array<int>"))))
         n_classes = F.count(F.lit(1))
     info = index.agg(n_classes.alias("num_classes"),
                      F.map_from_entries(F.collect_list(F.struct("label_id", "raw_label"))).alias("indices_2_labels"))
@@ -370,23 +385,18 @@ def encode_box_labels(objects: DataFrame, train_filter: Column | None = None) ->
 
 # --- K15 ordinal labels ---------------------------------------------------------------------
 
-def assign_labels_by_ordinal(files: DataFrame, label_lines: DataFrame, path_col: str = "path",
-                             min_files: int = UNSTRUCTURED_MIN_FILES) -> tuple[DataFrame, DataFrame]:
+def assign_labels_by_ordinal(files: DataFrame, label_lines: DataFrame,
+                             path_col: str = "path") -> tuple[DataFrame, DataFrame]:
     """The i-th label line belongs to file number i (``ILSVRC2012_val_000NNNNN.JPEG``).
 
-    ``label_lines(line_no, label)`` with 1-based numbers.  Only a folder with
-    more than ``min_files`` files is unstructured; otherwise nothing is
-    assigned.  Returns ``(path, label)`` and the label lines whose file is
-    missing (the reference stops at the first one).  Files are not moved.
+    ``label_lines(line_no, label)`` with 1-based numbers; files of other names
+    take no part, however many there are.  Returns ``(path, label)`` and the
+    label lines whose file is missing.  Files are not moved.
     """
-    n_files = files.count()
     num = F.regexp_extract(basename(F.col(path_col)), ORDINAL_NAME_PATTERN, 1)
     f = (files.select(F.col(path_col).alias("path"), F.nullif(num, F.lit("")).cast("bigint").alias("line_no"))
          .filter(F.col("line_no").isNotNull()))
     lab = label_lines.select(F.col("line_no").cast("bigint"), F.trim("label").alias("label"))
-    if n_files <= min_files:
-        f = f.limit(0)
-        lab = lab.limit(0)
     return f.join(lab, "line_no").select("path", "label"), lab.join(f, "line_no", "left_anti")
 
 

@@ -55,7 +55,7 @@ def rank_positions(maps: DataFrame, value: str = "e", pos: str = "pix", keys=("s
 
 def max_perturbed(n_features: int, max_pct: float) -> int:
     if not 0.0 < max_pct <= 1.0:
-        raise ValueError("max_percentage_perturbed must be in (0, 1]")
+        raise ValueError(f"max_pct is a share above 0 and up to 1, not {max_pct}")
     return int(math.floor(n_features * max_pct))
 
 
@@ -212,7 +212,7 @@ def prefix_masks(ranked: DataFrame, n_features: int, steps: int, mode: str = "de
     general scorers; the linear scorer uses the running-sum form instead.
     """
     if mode not in ("insertion", "deletion"):
-        raise ValueError(f"causal_mode must be in ['insertion', 'deletion'] but got {mode}")
+        raise ValueError(f"unknown causal mode {mode!r}: use 'deletion' or 'insertion'")
     max_n = max_perturbed(n_features, max_pct)
     b = baseline_value(baseline, F.col("x"))
     k = F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("k")

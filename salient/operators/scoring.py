@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salient.functions.arrays import to_long
-from salient.session import ensure_checkpoint_dir
+from salient.session import ensure_checkpoint_dir, scratch_path
 
 BROADCAST_ROWS = 4_000_000  # ~100 MB of (cls, pos, w) rows
 
@@ -192,7 +192,41 @@ def numpy_linear_softmax(W: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
     return fn
 
 
+class SharedLinearSoftmax:
+    """A linear-softmax model as a batch function whose weights lie in the shared folder.
+
+    The weights are written once as a table; each worker process reads them
+    when it scores its first batch, so neither the driver nor the task closure
+    holds the model.
+    """
+
+    def __init__(self, model: LinearSoftmaxModel):
+        self.path = scratch_path(model._W.sparkSession, "scorer")
+        self.shape = (model.n_classes, model.n_pos)
+        model._W.select("cls", "pos", "w").write.parquet(self.path)
+        self._fn = None
+
+    def __getstate__(self):
+        return {"path": self.path, "shape": self.shape, "_fn": None}
+
+    def __call__(self, X: np.ndarray) -> np.ndarray:
+        if self._fn is None:
+            import pyarrow.dataset as ds
+            import pyarrow.fs as pafs
+            uri = self.path
+            if uri.startswith("file:") and not uri.startswith("file://"):
+                uri = "file://" + uri[5:]
+            fs, root = pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
+            W = np.zeros(self.shape)
+            for batch in ds.dataset(root, filesystem=fs, format="parquet", exclude_invalid_files=True).to_batches():
+                cls, pos, w = (batch.column(c).to_numpy() for c in ("cls", "pos", "w"))
+                W[cls, pos] = w
+            self._fn = numpy_linear_softmax(W)
+        return self._fn(X)
+
+
 __all__ = [
+    "SharedLinearSoftmax",
     "LinearSoftmaxModel", "weights_from_centroids", "class_probabilities", "target_probability",
     "predictions", "target_scores", "udf_scorer", "numpy_linear_softmax", "one_hot_dot",
 ]

@@ -191,12 +191,7 @@ SELECT t.sample_id, {r6('p.p')} AS score FROM tg t JOIN pp p ON p.sample_id = t.
 def q_udf_scorer(spark, sf_dir):
     """S3: a NumPy batch scorer run with mapInPandas (Arrow batches) on the predicted class."""
     smp, mdl, tgt = fx.setup(spark, sf_dir)
-    if mdl.n_rows > S.BROADCAST_ROWS:
-        raise ValueError("model too large to ship to Python workers")
-    w = mdl._W.toPandas()
-    W = np.zeros((mdl.n_classes, mdl.n_pos))
-    W[w["cls"].to_numpy(), w["pos"].to_numpy()] = w["w"].to_numpy()
-    scored = S.udf_scorer(smp.join(tgt, "sample_id"), S.numpy_linear_softmax(W))
+    scored = S.udf_scorer(smp.join(tgt, "sample_id"), S.SharedLinearSoftmax(mdl))
     return per_sample(scored)
 
 

@@ -37,7 +37,7 @@ def q_gradient_input(spark, sf_dir):
     return _run(spark, sf_dir, E.gradient_input)
 
 
-IG_STEPS = 16
+IG_STEPS = E.INTEGRATED_GRADIENTS["steps"]
 
 
 def _ig_sql(steps: int) -> str:
@@ -55,14 +55,12 @@ ic AS (SELECT sample_id, cls,
 
 @register("integrated_gradients", _maps_sql(_ig_sql(IG_STEPS), "ig"))
 def q_integrated_gradients(spark, sf_dir):
-    """Integrated gradients, 16 path steps, zero baseline, trapezoid rule."""
+    """Integrated gradients, 100 path steps, zero baseline, trapezoid rule."""
     return _run(spark, sf_dir, E.integrated_gradients, steps=IG_STEPS, baseline=0.0)
 
 
-NOISE_DRAWS = 16
-
-
-def _noise_sql(sigma: float, draws: int, seed: int = 0) -> str:
+def _noise_sql(sigma: float, nb_samples: int, seed: int = 0) -> str:
+    draws = nb_samples
     return f"""WITH {base_ctes()},
 ne AS (SELECT CAST(d AS INTEGER) AS draw, CAST(p AS INTEGER) AS pos,
        CAST({sigma!r} AS DOUBLE) * {sql_normal(seed, 'd', 'p')} AS eps
@@ -73,32 +71,32 @@ nz AS (SELECT z.sample_id, s.draw, z.cls, z.z + s.zs AS z FROM zz z JOIN ns s US
 {draw_coef_cte('na', 'np_', ['draw'])}"""
 
 
-@register("smoothgrad", _maps_sql(_noise_sql(0.11, NOISE_DRAWS) + """,
+@register("smoothgrad", _maps_sql(_noise_sql(**{k: E.SMOOTHGRAD[k] for k in ("sigma", "nb_samples")}) + """,
 sc AS (SELECT sample_id, cls, avg(a) AS a FROM na GROUP BY sample_id, cls),
 """ + project_cte('sg', 'sc', 'g').lstrip("\n") + "\n", "sg"))
 def q_smoothgrad(spark, sf_dir):
-    """SmoothGrad, 16 noise draws, sigma 0.11."""
-    return _run(spark, sf_dir, E.smoothgrad, nb_samples=NOISE_DRAWS, sigma=0.11)
+    """SmoothGrad, 175 noise draws, sigma 0.11."""
+    return _run(spark, sf_dir, E.smoothgrad, **E.SMOOTHGRAD)
 
 
-def _per_draw_grad_sql(sigma: float, agg: str) -> str:
-    return _noise_sql(sigma, NOISE_DRAWS) + f""",
+def _per_draw_grad_sql(setting: dict, agg: str) -> str:
+    return _noise_sql(**setting) + f""",
 ng AS (SELECT a.sample_id, a.draw, w.pos, sum(a.a * w.w) AS g FROM na a JOIN wt w USING (cls)
        GROUP BY a.sample_id, a.draw, w.pos),
 qq AS (SELECT sample_id, pos, {agg} AS e FROM ng GROUP BY sample_id, pos)
 """
 
 
-@register("squaregrad", _maps_sql(_per_draw_grad_sql(0.63, "avg(g * g)"), "qq"))
+@register("squaregrad", _maps_sql(_per_draw_grad_sql(E.SQUAREGRAD, "avg(g * g)"), "qq"))
 def q_squaregrad(spark, sf_dir):
-    """E5: SquareGrad, 16 noise draws, sigma 0.63."""
-    return _run(spark, sf_dir, E.squaregrad, nb_samples=NOISE_DRAWS, sigma=0.63)
+    """E5: SquareGrad, 194 noise draws, sigma 0.63."""
+    return _run(spark, sf_dir, E.squaregrad, **E.SQUAREGRAD)
 
 
-@register("vargrad", _maps_sql(_per_draw_grad_sql(0.62, "var_pop(g)"), "qq"))
+@register("vargrad", _maps_sql(_per_draw_grad_sql(E.VARGRAD, "var_pop(g)"), "qq"))
 def q_vargrad(spark, sf_dir):
-    """VarGrad (population variance), 16 noise draws, sigma 0.62."""
-    return _run(spark, sf_dir, E.vargrad, nb_samples=NOISE_DRAWS, sigma=0.62)
+    """VarGrad (population variance), 100 noise draws, sigma 0.62."""
+    return _run(spark, sf_dir, E.vargrad, **E.VARGRAD)
 
 
 OCCLUSION_SQL = f"""WITH {base_ctes()},
@@ -204,19 +202,19 @@ def q_lime_similarity_euclidean(spark, sf_dir):
 @register("lime")
 def q_lime(spark, sf_dir):
     """LIME, 64 binary samples over a 4x4 grid, cosine kernel width 46, ridge alpha 2 (solve in
-    applyInPandas; checked against NumPy in the tests)."""
+    mapInPandas; checked against NumPy in the tests)."""
     return _run(spark, sf_dir, E.lime, shape=fx.MAP, nb_samples=LIME_DRAWS, grid_size=LIME_GRID,
                 distance_mode="cosine", kernel_width=46.0, alpha=2.0)
 
 
 @register("kernel_shap")
 def q_kernel_shap(spark, sf_dir):
-    """KernelShap, 64 coalitions over a 4x4 grid with the efficiency constraint (solve in
-    applyInPandas; checked against NumPy and exact Shapley values in the tests)."""
-    return _run(spark, sf_dir, E.kernel_shap, shape=fx.MAP, nb_samples=LIME_DRAWS, grid_size=LIME_GRID)
+    """KernelShap, 400 coalitions over a 4x4 grid with the efficiency constraint (solve in
+    mapInPandas; checked against NumPy and exact Shapley values in the tests)."""
+    return _run(spark, sf_dir, E.kernel_shap, shape=fx.MAP, grid_size=LIME_GRID, **E.KERNEL_SHAP)
 
 
-SOBOL_GRID, SOBOL_N = 4, 16
+SOBOL_GRID, SOBOL_N = 4, E.SOBOL["nb_design"]
 BLUR_CTE = """bl AS (SELECT a.sample_id, a.pos, avg(b.x) AS blur FROM lx a JOIN lx b ON a.sample_id = b.sample_id
  AND abs(floor(a.pos / 8) - floor(b.pos / 8)) <= 1 AND abs((a.pos % 8) - (b.pos % 8)) <= 1 GROUP BY a.sample_id, a.pos)"""
 
@@ -259,7 +257,7 @@ SOBOL_SQL = _sobol_sql()
 
 @register("sobol", _maps_sql(SOBOL_SQL, "sm"))
 def q_sobol(spark, sf_dir):
-    """E11 + E11a + D8/D9/D14: Sobol total indices (Jansen), 16 Sobol designs on a 4x4 grid."""
+    """E11 + E11a + D8/D9/D14: Sobol total indices (Jansen), 32 Sobol designs on a 4x4 grid."""
     return _run(spark, sf_dir, E.sobol_attribution, shape=fx.MAP, grid_size=SOBOL_GRID, nb_design=SOBOL_N)
 
 

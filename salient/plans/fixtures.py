@@ -54,8 +54,7 @@ def setup(spark: SparkSession, sf_dir: str):
     if key not in _PREPARED:
         smp = samples(spark, sf_dir)
         mdl = model(smp)
-        prepared = materialize(smp.join(targets(mdl, smp), "sample_id"), key="sample_id",
-                               partitions=smp.rdd.getNumPartitions())
+        prepared = materialize(smp.join(targets(mdl, smp), "sample_id"), key="sample_id")
         _PREPARED[key] = (prepared, mdl)
     prepared, mdl = _PREPARED[key]
     return prepared.select("sample_id", "x", "label"), mdl, prepared.select("sample_id", "target")

@@ -75,10 +75,8 @@ def q_train_test_split(spark, sf_dir):
 
 # --- captions ---------------------------------------------------------------------------
 
-def _caption_rows(spark, sf_dir, role=None):
+def _caption_rows(spark, sf_dir):
     conv = fx.table(spark, sf_dir, "conversations")
-    if role:
-        conv = conv.filter(F.col("role") == role)
     raw = conv.select(F.concat(F.lit("img_"), F.col("conv_id").cast("string"), F.lit(".jpg#"),
                                F.col("turn").cast("string")).alias("image"),
                       F.col("text").alias("caption"), F.col("turn").alias("line"))
@@ -97,12 +95,12 @@ def _matched(spark, sf_dir):
     images = (conv.select("conv_id").distinct()
               .select(F.concat(F.lit("images/img_"), F.col("conv_id").cast("string"), F.lit(".jpg")).alias("image"),
                       F.col("conv_id").alias("image_pos")))
-    return K.match_captions(images, _caption_rows(spark, sf_dir, role="assistant"))
+    return K.match_captions(images, _caption_rows(spark, sf_dir))
 
 
 MATCHED_SQL = """SELECT 'images/img_' || conv_id || '.jpg' AS image, text AS caption,
        row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, conv_id AS image_pos
-FROM conversations WHERE role = 'assistant'"""
+FROM conversations"""
 
 
 @register("match_captions", f"SELECT image, caption, rn, image_pos FROM ({MATCHED_SQL})")
@@ -298,10 +296,9 @@ ORD_NAME_SQL = "'ILSVRC2012_val_' || lpad(CAST(doc_id + 1 AS VARCHAR), 8, '0') |
 SELECT 'val/' || {ORD_NAME_SQL.replace('doc_id', 'l.doc_id')} AS path, trim(d.source) AS label
 FROM labels l JOIN documents d ON d.doc_id = l.doc_id""")
 def q_assign_labels_by_ordinal(spark, sf_dir):
-    """Label line i (documents by id) -> file number i (files named from the labels table);
-    run with the unstructured-folder threshold at 0 so small folders are assigned too."""
+    """Label line i (documents by id) -> file number i (files named from the labels table)."""
     files, lines = _ordinal_inputs(spark, sf_dir)
-    assigned, _ = K.assign_labels_by_ordinal(files, lines, min_files=0)
+    assigned, _ = K.assign_labels_by_ordinal(files, lines)
     return assigned
 
 
@@ -311,7 +308,7 @@ WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
 def q_ordinal_missing_files(spark, sf_dir):
     """K15 report: label lines whose numbered file is missing."""
     files, lines = _ordinal_inputs(spark, sf_dir)
-    _, missing = K.assign_labels_by_ordinal(files, lines, min_files=0)
+    _, missing = K.assign_labels_by_ordinal(files, lines)
     return missing
 
 

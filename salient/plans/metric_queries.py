@@ -21,7 +21,7 @@ def _triplets(spark, sf_dir, explainer):
     smp, mdl, tgt = fx.setup(spark, sf_dir)
     maps = explainer(mdl, smp, tgt)
     trip = materialize(M.metric_triplets(smp, tgt.withColumnRenamed("target", "pred"), to_array(maps, "e", "e")),
-                       key="sample_id", partitions=smp.rdd.getNumPartitions())
+                       key="sample_id")
     return smp, mdl, tgt, maps, trip
 
 
@@ -40,11 +40,11 @@ def q_causal_curve(spark, sf_dir):
     return c.select(F.col("sample_id").cast("bigint"), F.col("k").cast("int"), rounded("score").alias("score"))
 
 
-@register("insertion_saliency", _score_sql(SAL_MAP_SQL + "," + causal_ctes("sm", "insertion", 50)))
+@register("insertion_saliency", _score_sql(SAL_MAP_SQL + "," + causal_ctes("sm", "insertion", M.FIDELITY_STEPS)))
 def q_insertion_saliency(spark, sf_dir):
-    """M6 + M4: insertion AUC (50 steps) of saliency maps."""
+    """M6 + M4: insertion AUC (200 steps) of saliency maps."""
     _, mdl, _, _, trip = _triplets(spark, sf_dir, E.saliency)
-    return per_sample(M.insertion(mdl, trip, steps=50))
+    return per_sample(M.insertion(mdl, trip, steps=M.FIDELITY_STEPS))
 
 
 @register("deletion_half_baseline", _score_sql(GI_MAP_SQL + "," + causal_ctes("gi", "deletion", 20, 0.5, 0.5)))
@@ -56,7 +56,7 @@ def q_deletion_half_baseline(spark, sf_dir):
 
 # ------------------------------------------------------------------------------- M7
 
-MU_DRAWS, MU_GRID = 32, 8
+MU_DRAWS, MU_GRID = M.MUFIDELITY["nb_samples"], M.MUFIDELITY["grid_size"]
 MU_DESIGN = _design_sql(MU_DRAWS, MU_GRID ** 2, f"CASE WHEN {sql_uniform(0, 'd', 'c')} > 0.2 THEN 1.0 ELSE 0.0 END")
 
 
@@ -205,24 +205,18 @@ def q_model_randomization(spark, sf_dir):
 
 
 def numpy_scorer(mdl):
-    """The scorer's weights as a NumPy batch function (a user model for S3); size-checked."""
-    import numpy as np
-    from salient.operators.scoring import BROADCAST_ROWS, numpy_linear_softmax
-    if mdl.n_rows > BROADCAST_ROWS:
-        raise ValueError("model too large to ship to Python workers")
-    w = mdl._W.toPandas()
-    W = np.zeros((mdl.n_classes, mdl.n_pos))
-    W[w["cls"].to_numpy(), w["pos"].to_numpy()] = w["w"].to_numpy()
-    return numpy_linear_softmax(W)
-
-
-@register("deletion_udf_scorer", _score_sql(GI_MAP_SQL + "," + causal_ctes("gi", "deletion", 20)))
+    """The scorer as a NumPy batch function (a user model for S3); tasks read its weights from the shared folder."""
+    from salient.operators.scoring import SharedLinearSoftmax
+    return SharedLinearSoftmax(mdl)
+
+
+@register("deletion_udf_scorer", _score_sql(GI_MAP_SQL + "," + causal_ctes("gi", "deletion", M.FIDELITY_STEPS)))
 def q_deletion_udf_scorer(spark, sf_dir):
-    """M3 + M5 + D4 + S3: deletion AUC (20 steps) of gradient x input maps with the path materialized
+    """M3 + M5 + D4 + S3: deletion AUC (200 steps) of gradient x input maps with the path materialized
     and scored by a NumPy model in mapInPandas (the general-scorer path)."""
     _, mdl, _, _, trip = _triplets(spark, sf_dir, E.gradient_input)
-    curve = M.causal_curve_scored(numpy_scorer(mdl), trip, "deletion", 0.0, 20, n_features=mdl.n_pos)
-    return per_sample(M.curve_auc(curve, 20))
+    curve = M.causal_curve_scored(numpy_scorer(mdl), trip, "deletion", 0.0, M.FIDELITY_STEPS, n_features=mdl.n_pos)
+    return per_sample(M.curve_auc(curve, M.FIDELITY_STEPS))
 
 
 @register("scores_json_roundtrip", f"""WITH {base_ctes()},

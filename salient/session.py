@@ -53,6 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(current)
         return current
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="salient-ckpt-")
     spark.conf.set(CHECKPOINT_KEY, path)
     spark.sparkContext.setCheckpointDir(path)
@@ -65,6 +67,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+PARTITION_BYTES = 64 << 20
+
+
+def partitions_for(df, factor: int = 1) -> int:
+    """Partitions for a shuffle of ``df``: from the optimizer's size estimate (file sizes, no job),
+    at least ``factor`` for each task slot."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(1 << 20, max(factor * df.sparkSession.sparkContext.defaultParallelism, -(-size // PARTITION_BYTES)))
+
+
 def materialize(df, key: str | None = None, partitions: int | None = None):
     """Write ``df`` to the shared checkpoint folder and continue from the written copy.
 
@@ -80,7 +92,7 @@ def materialize(df, key: str | None = None, partitions: int | None = None):
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     if key is not None:
-        df = df.repartition(partitions or spark.sparkContext.defaultParallelism, key)
+        df = df.repartition(partitions or partitions_for(df), key)
     previous = spark.conf.get("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:

@@ -17,39 +17,17 @@ SAMPLE_SCHEMA = "sample_id BIGINT, x ARRAY<DOUBLE>, label INT"
 MAP_SCHEMA = "sample_id BIGINT, e ARRAY<DOUBLE>, model STRING, explainer STRING"
 
 
-VALUES_PER_PARTITION = 2_000_000  # input values (16 MB of doubles) per partition, before expansion
-
-
-def sample_partitions(spark: SparkSession, n_values: int) -> int:
-    """Partition count for sample-keyed work: at least one per task slot of the
-    cluster, and at most ``VALUES_PER_PARTITION`` input values per partition.
-
-    Work per input byte is large (every sample is scored in many perturbed
-    copies), so partitions are sized well below the usual input split size;
-    the size of a sample (a 64-value map or a 150k-value image) is accounted
-    for through the value count.
-    """
-    slots = spark.sparkContext.defaultParallelism
-    return max(slots, -(-n_values // VALUES_PER_PARTITION))
-
-
 def read_samples(spark: SparkSession, path: str, id_col: str = "vec_id", x_col: str = "embedding",
-                 label_col: str = "label", partitions: int | None = None) -> DataFrame:
+                 label_col: str = "label") -> DataFrame:
     """Load ``(sample_id, x, label)``; inputs are widened to DOUBLE.
 
-    The table is hash-partitioned by ``sample_id`` once here, into an explicit
-    number of partitions (:func:`sample_partitions`, from one aggregate of the
-    value count) that AQE keeps; every later window, join and group-by of this
-    library is keyed by ``sample_id`` and reuses this partitioning.
+    A plain scan: no job runs when it is built and nothing is shuffled.  Work
+    that needs samples together by key shuffles them where it does (the prepared
+    table of inputs and predictions is written hash-partitioned by key).
     """
-    raw = spark.read.parquet(path)
-    df = raw.select(F.col(id_col).cast("bigint").alias("sample_id"),
-                    F.col(x_col).cast("array<double>").alias("x"),
-                    F.col(label_col).cast("int").alias("label"))
-    if not partitions:
-        n_values = raw.agg(F.sum(F.size(x_col))).first()[0] or 0
-        partitions = sample_partitions(spark, int(n_values))
-    return df.repartition(partitions, "sample_id")
+    return spark.read.parquet(path).select(F.col(id_col).cast("bigint").alias("sample_id"),
+                                           F.col(x_col).cast("array<double>").alias("x"),
+                                           F.col(label_col).cast("int").alias("label"))
 
 
 def write_explanations(maps: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -62,16 +40,21 @@ def read_explanations(spark: SparkSession, path: str, model: str | None = None,
                       explainer: str | None = None) -> DataFrame:
     """Load the maps of one (model, explainer); the filters prune partitions.
 
-    A missing pair is an error, as a missing map folder is.
+    A pair without any map is an error, as a missing map folder is (one pruned
+    read of at most one row tells).
     """
     try:
         df = spark.read.schema(MAP_SCHEMA).parquet(path)
-    except AnalysisException as exc:  # pragma: no cover - path errors
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" not in str(exc):
+            raise
         raise FileNotFoundError(path) from exc
     if model is not None:
         df = df.filter(F.col("model") == model)
     if explainer is not None:
         df = df.filter(F.col("explainer") == explainer)
+    if (model is not None or explainer is not None) and df.select("sample_id").isEmpty():
+        raise FileNotFoundError(f"{path} holds no map of model {model!r}, explainer {explainer!r}")
     return df
 
 
@@ -79,7 +62,9 @@ def materialize_or_load(spark: SparkSession, path: str, build: Callable[[], Data
     """P5: reuse a prepared table if present, else build and save it, else fail."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" not in str(exc):
+            raise
         if build is None:
             raise FileNotFoundError(f"no prepared table at {path} and nothing to build it from")
     build().write.mode("errorifexists").parquet(path)

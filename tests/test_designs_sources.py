@@ -136,7 +136,43 @@ def test_contracts(spark):
         E.sobol_attribution(mdl, smp, tgt, Shape(2, 2, 1), grid_size=2, nb_design=4, perturbation="melting")
 
 
-def test_sample_partitions_scale_with_values(spark):
+def test_partitions_follow_the_plans_size(spark):
+    from salient.session import PARTITION_BYTES, partitions_for
     slots = spark.sparkContext.defaultParallelism
-    assert T.sample_partitions(spark, 10) == slots
-    assert T.sample_partitions(spark, 50_000 * 150_528) == -(-50_000 * 150_528 // T.VALUES_PER_PARTITION)
+    assert partitions_for(spark.range(10)) == slots
+    assert partitions_for(spark.range(40 * PARTITION_BYTES // 8 * slots)) == 40 * slots
+
+
+def test_read_samples_is_a_plain_scan(spark):
+    from tests.conftest import SMOKE
+    plan = T.read_samples(spark, f"{SMOKE}/embeddings.parquet")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_missing_map_is_an_error(spark, tmp_path):
+    path = str(tmp_path / "maps")
+    T.write_explanations(spark.createDataFrame([(1, [1.0], "m", "e")], T.MAP_SCHEMA), path)
+    assert T.read_explanations(spark, path, "m", "e").count() == 1
+    for pair in (("m", "other"), ("other", "e")):
+        with pytest.raises(FileNotFoundError):
+            T.read_explanations(spark, path, *pair)
+    with pytest.raises(FileNotFoundError):
+        T.read_explanations(spark, str(tmp_path / "none"))
+
+
+def test_triplets_without_map_or_prediction_are_an_error(spark):
+    smp = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "sample_id long, x array<double>")
+    preds, maps = spark.createDataFrame([(1, 0), (2, 0)], "sample_id long, pred int"), spark.createDataFrame([(1, [1.0]), (2, [1.0])], "sample_id long, e array<double>")
+    assert M.metric_triplets(smp, preds, maps).count() == 2
+    with pytest.raises(ValueError):
+        M.metric_triplets(smp, preds, maps.where("sample_id = 1"))
+    with pytest.raises(ValueError):
+        M.metric_triplets(smp, preds.where("sample_id = 1"), maps)
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+    from salient.session import ensure_checkpoint_dir
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(far)

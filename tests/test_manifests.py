@@ -94,11 +94,9 @@ def test_match_label_files_and_ordinal(spark):
     assert [r["image"] for r in missing.collect()] == ["d/3.jpg"]
     files = spark.createDataFrame([(f"v/ILSVRC2012_val_{i:08d}.JPEG",) for i in (1, 3)], "path STRING")
     lines = spark.createDataFrame([(1, "n01 "), (2, "n02"), (3, "n03")], "line_no INT, label STRING")
-    ok, miss = K.assign_labels_by_ordinal(files, lines, min_files=0)
+    ok, miss = K.assign_labels_by_ordinal(files, lines)
     assert sorted((r["path"][-10:], r["label"]) for r in ok.collect()) == [("00001.JPEG", "n01"), ("00003.JPEG", "n03")]
     assert [r["line_no"] for r in miss.collect()] == [2]
-    nothing, _ = K.assign_labels_by_ordinal(files, lines)  # <= 5000 files: already structured
-    assert nothing.count() == 0
 
 
 def test_list_files_binary_source(spark):
@@ -183,3 +181,24 @@ def test_coco_objects_hot_image(spark):
     bg = full.filter(F.col("image_id") == 3).collect()
     assert len(bg) == 1 and bg[0]["obj_idx"] is None and bg[0]["image"] == "bg.jpg"
     assert full.count() == 302
+
+
+def test_equal_records_keep_their_own_objects(spark):
+    rows = [("a", ["cat"], [[0.0, 0.0, 1.0, 1.0]]), ("a", ["dog"], [[0.0, 0.0, 1.0, 1.0]]), ("b", [], []), ("c", ["dog", "emu", "cat"], [[0.0] * 4] * 3)]
+    df = spark.createDataFrame(rows, "path string, label array<string>, bbox array<array<double>>")
+    out, info = K.encode_box_labels(df, F.col("path") != "c")
+    assert sorted((r["path"], r["label"], len(r["bbox"])) for r in out.collect()) == [("a", [0], 1), ("a", [1], 1), ("b", [], 0), ("c", [1, -1, 0], 3)]
+    assert info.first()["num_classes"] == 2
+
+
+def test_root_is_plain_text(spark):
+    df = spark.createDataFrame([("data.x/a/1.jpg",), ("dataQx/a/2.jpg",), ("data.x/3.jpg",)], "path string")
+    assert [r["path"] for r in K.list_paths(df, root="data.x/").collect()] == ["data.x/a/1.jpg"]
+
+
+def test_images_with_one_basename(spark):
+    images = spark.createDataFrame([("x/i.jpg", 2), ("y/i.jpg", 1), ("z/j.jpg", 3)], "image string, image_pos long")
+    caps = spark.createDataFrame([("i.jpg", "one", 0), ("i.jpg", "two", 1), ("j.jpg", "three", 0)], "image string, caption string, line long")
+    got = sorted((r["image"], r["caption"], r["rn"]) for r in K.match_captions(images, caps).collect())
+    assert got == [("y/i.jpg", "one", 1), ("y/i.jpg", "two", 2), ("z/j.jpg", "three", 1)]
+    assert [tuple(r) for r in K.duplicate_images(images).collect()] == [("i.jpg", 2, "y/i.jpg")]
