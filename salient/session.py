@@ -71,10 +71,21 @@ PARTITION_BYTES = 64 << 20
 
 
 def partitions_for(df, factor: int = 1) -> int:
-    """Partitions for a shuffle of ``df``: from the optimizer's size estimate (file sizes, no job),
-    at least ``factor`` for each task slot."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(1 << 20, max(factor * df.sparkSession.sparkContext.defaultParallelism, -(-size // PARTITION_BYTES)))
+    """Partitions for a shuffle of ``df``: from the size of its inputs, without a job, at least ``factor`` for each task slot.
+
+    Files and local rows count by the optimizer's estimate, checkpointed inputs
+    by their own number of partitions.  (An estimate for the plan as a whole
+    would multiply the sides of joins.)
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    n = 0
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRDD":
+            n += leaf.rdd().getNumPartitions()
+        else:
+            n += -(-int(str(leaf.stats().sizeInBytes())) // PARTITION_BYTES)
+    return max(factor * df.sparkSession.sparkContext.defaultParallelism, min(n, 1 << 20))
 
 
 def materialize(df, key: str | None = None, partitions: int | None = None):
