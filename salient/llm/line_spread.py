@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from salient.llm.common import prepare, row_key
+from salient.llm.common import prepare, row_key, written
 
 #: Sites from which a line is boilerplate.
 MIN_SITES = 8
@@ -45,7 +45,7 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     sketched = lines.groupBy("h1", "h2").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("about"),
         F.min(F.struct("doc_id", "pos")).alias("first"))
-    some = sketched.where(F.col("about") >= min_sites * (1 - NEAR))
+    some = written(sketched.where(F.col("about") >= min_sites * (1 - NEAR)), "spread-lines")
     near = some.where(F.col("about") <= min_sites * (1 + NEAR)).select("h1", "h2")
     exact = (lines.where(F.col("site").isNotNull()).join(near, ["h1", "h2"], "left_semi")
              .select("h1", "h2", "site").distinct().groupBy("h1", "h2").agg(F.count("*").alias("sites")))
@@ -73,7 +73,8 @@ def remove_spread_lines(docs: DataFrame, site: str = "source", min_sites: int =
     """
     prepare(docs.sparkSession)
     lines = occurrences(docs, site)
-    flagged = spread_lines(lines, min_sites)
+    # written, so that the join below shuffles both sides and a very common line's rows can be split
+    flagged = written(spread_lines(lines, min_sites), "boilerplate")
     drops = (lines.select("k1", "k2", "doc_id", "pos", "h1", "h2").join(flagged, ["h1", "h2"])
              .where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))))
              .groupBy("k1", "k2").agg(F.collect_set("pos").alias("drop")))
