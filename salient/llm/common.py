@@ -249,28 +249,42 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class StretchCache:
-    """Records made once for each distinct stretch of a run of texts, bounded in size.
+    """Numbers made once for each distinct stretch of many texts, under its 64-bit hash, in sorted arrays.
 
-    ``make(text)`` gives a stretch's record: a tuple of byte strings.  A record
-    is kept under its 64-bit hash; at ``limit`` entries the cache starts anew.
+    ``make(text)`` gives a stretch's 32-bit numbers as one byte string for each
+    of ``columns`` columns, all of one length.  About 50 bytes an entry and column;
+    at ``limit`` entries the cache starts anew.
     """
 
-    def __init__(self, make, limit: int = 800_000):
-        self.make, self.limit = make, limit
-        self.kept: dict[int, tuple] = {}
+    def __init__(self, make, columns: int = 1, limit: int = 2_000_000):
+        self.make, self.columns, self.limit = make, columns, limit
+        self._clear()
 
-    def records(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[tuple], np.ndarray]:
-        """The distinct stretches' records, and each stretch's place among them."""
+    def _clear(self) -> None:
+        self.keys, self.start, self.size = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.store = [np.zeros(0, np.uint32) for _ in range(self.columns)]
+
+    def numbers(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """(the numbers of all stretches one after the other, by column; how many each stretch has)."""
         distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        found = list(map(self.kept.get, keys))
-        if len(self.kept) > self.limit:
-            self.kept.clear()
-        for i, got in enumerate(found):
-            if got is None:
-                j = first[i]
-                found[i] = self.kept[keys[i]] = self.make(data[starts[j]:ends[j]].tobytes().decode())
-        return found, place
+        if len(self.keys) > self.limit:
+            self._clear()
+        spot = np.searchsorted(self.keys, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = spot < len(self.keys)
+        new[inside] = self.keys[spot[inside]] != distinct[inside]
+        new = np.flatnonzero(new)
+        if len(new):
+            made = [self.make(data[a:b].tobytes().decode()) for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
+            size = np.fromiter((len(m[0]) for m in made), np.int64, len(made)) // 4
+            self.start = np.insert(self.start, spot[new], len(self.store[0]) + np.cumsum(size) - size)
+            self.size = np.insert(self.size, spot[new], size)
+            self.keys = np.insert(self.keys, spot[new], distinct[new])
+            self.store = [np.concatenate([old, np.frombuffer(b"".join([m[i] for m in made]), np.uint32)]) for i, old in enumerate(self.store)]
+            spot = np.searchsorted(self.keys, distinct)
+        length = self.size[spot][place].astype(np.int64)
+        at = ragged(self.start[spot][place], length)
+        return [s[at] for s in self.store], length
 
 
 def is_plain(data: np.ndarray, offsets: np.ndarray, latin: bool) -> np.ndarray:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salient.llm.common import StretchCache, arrow_bytes, is_plain, prepare, ragged, stretches, text_or_empty
+from salient.llm.common import StretchCache, arrow_bytes, is_plain, prepare, stretches, text_or_empty
 
 MARK = "▁"
 PART_BYTES = 8 << 20
@@ -59,12 +60,11 @@ class CharacterMap:
 
 @dataclass
 class Encoded:
-    """A text's ids and each piece's original byte span; ``csv`` is the ids joined by commas."""
+    """A text's ids and each piece's original byte span."""
 
     ids: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
-    csv: bytes
 
 
 class PieceEncoder:
@@ -99,7 +99,8 @@ class PieceEncoder:
         self.cuts = (model.trainer_spec.model_type == pb.TrainerSpec.BPE and model.trainer_spec.byte_fallback
                      and not any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces)
                      and self.charmap is None and self.prefix and not self.trim and self.escape)
-        self.kept = StretchCache(self._record)
+        self.kept = StretchCache(self._record, columns=2)
+        self.digits = np.array([b"%d" % i for i in range(len(pieces))], object)
 
     # -- normalisation with alignment
 
@@ -145,24 +146,24 @@ class PieceEncoder:
             sizes = [len(p.surface.encode()) for p in proto.pieces]
         return sizes
 
-    def _record(self, text: str) -> tuple[bytes, bytes, bytes]:
-        """A stretch's ids, original bytes of each of its pieces, and ids as text with a comma after each."""
+    def _record(self, text: str) -> tuple[bytes, bytes]:
+        """A stretch's ids and the original bytes of each of its pieces."""
         bare = text.replace(" ", MARK) if text[:1] in " \n" else MARK + text
         ids = self.bare.encode(bare)
         sizes = self._lengths(ids, bare)
         sizes[0] -= 2 if text[0] == " " else 3 * (text[0] != "\n")  # the mark stands for one byte, or none at the start
-        return np.asarray(ids, np.int32).tobytes(), np.asarray(sizes, np.int32).tobytes(), "".join(f"{i}," for i in ids).encode()
+        return array("i", ids).tobytes(), array("i", sizes).tobytes()
 
     def _whole(self, text: str) -> Encoded:
         if not text:
             none = np.zeros(0, np.int64)
-            return Encoded(none.astype(np.int32), none, none, b"")
+            return Encoded(none.astype(np.int32), none, none)
         bare, origin = self.normalise(text)
         ids = self.bare.encode(bare)
         ends = np.cumsum(np.asarray(self._lengths(ids, bare), np.int64))
         stops = np.concatenate([[0], ends])
         spans = origin[np.minimum(stops, len(origin) - 1)]
-        return Encoded(np.asarray(ids, np.int32), spans[:-1], spans[1:], ",".join(map(str, ids)).encode())
+        return Encoded(np.asarray(ids, np.int32), spans[:-1], spans[1:])
 
     def encode(self, texts: pa.Array) -> Iterator[Encoded]:
         """Each text of a column."""
@@ -177,26 +178,21 @@ class PieceEncoder:
         plain = is_plain(data, offsets, latin=False) & self.cuts
         hashes, starts, ends, bounds = stretches(data, offsets)
         use = np.repeat(plain, np.diff(bounds))
-        records, place = self.kept.records(data, hashes[use], starts[use], ends[use])
-        store = np.frombuffer(b"".join([r[0] for r in records]), np.int32)
-        widths = np.frombuffer(b"".join([r[1] for r in records]), np.int32)
-        size = np.asarray([len(r[0]) // 4 for r in records], np.int64)
-        length = size[place] if len(size) else np.zeros(0, np.int64)
-        spots = ragged((np.cumsum(size) - size)[place], length) if len(size) else length
-        ids, covered = store[spots], np.cumsum(widths[spots], dtype=np.int64)
-        csv = [r[2] for r in records]
-        units = np.concatenate([[0], np.cumsum(np.where(plain, np.diff(bounds), 0))])
-        stop = np.concatenate([[0], np.cumsum(length)])[units]
-        place = place.tolist()
+        (ids, widths), length = self.kept.numbers(data, hashes[use], starts[use], ends[use])
+        ids, covered = ids.view(np.int32), np.cumsum(widths, dtype=np.int64)
+        stop = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(np.where(plain, np.diff(bounds), 0))])]
         for i in range(len(plain)):
             if plain[i]:
                 a, b = int(stop[i]), int(stop[i + 1])
                 over = covered[a:b] - (covered[a - 1] if a else 0)
-                yield Encoded(ids[a:b], np.concatenate([[0], over[:-1]]), over,
-                              b"".join([csv[p] for p in place[units[i]:units[i + 1]]])[:-1])
+                yield Encoded(ids[a:b], np.concatenate([[0], over[:-1]]), over)
             else:
                 yield self._whole(data[offsets[i]:offsets[i + 1]].tobytes().decode())
 
+    def csv(self, ids: np.ndarray) -> bytes:
+        """Decimal ids joined by commas."""
+        return b",".join(self.digits[ids].tolist())
+
     def decode(self, ids: np.ndarray) -> str:
         return self.full.decode(ids.tolist()) if len(ids) else ""
 
@@ -258,7 +254,7 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             enc = piece_encoder(model)
-            rows = [(len(e.ids), hashlib.sha256(e.csv).hexdigest(), hashlib.sha256(enc.decode(e.ids).encode()).hexdigest(), int(e.ends[-1]) if len(e.ends) else 0)
+            rows = [(len(e.ids), hashlib.sha256(enc.csv(e.ids)).hexdigest(), hashlib.sha256(enc.decode(e.ids).encode()).hexdigest(), int(e.ends[-1]) if len(e.ends) else 0)
                     for e in enc.encode(batch.column("text"))]
             n, ids, text, end = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string()), pa.array(end, pa.int64())],

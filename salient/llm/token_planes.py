@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salient.llm.common import (arrow_bytes, bucket_of, filesystem, is_plain, prepare, ragged, range_starts,
+from salient.llm.common import (StretchCache, arrow_bytes, bucket_of, filesystem, is_plain, prepare, range_starts,
                                 stretches, text_or_empty)
 from salient.session import scratch_path
 
@@ -168,7 +168,7 @@ class ByteBpe:
         keep = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}  # bytes that stand for themselves
         self.table = {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in keep)}
         self.words: dict[str, bytes] = {}
-        self.kept = IdCache(lambda text: b"".join(map(self._word, self.split(text))))
+        self.kept = StretchCache(lambda text: (b"".join(map(self._word, self.split(text))),))
 
     def _library(self, text: str) -> np.ndarray:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -202,7 +202,7 @@ class ByteBpe:
                         plain[i] = False
         hashes, starts, ends, bounds = stretches(data, offsets)
         use = np.repeat(plain, np.diff(bounds))
-        ids, length = self.kept.ids(data, hashes[use], starts[use], ends[use])
+        (ids,), length = self.kept.numbers(data, hashes[use], starts[use], ends[use])
         stop = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(np.where(plain, np.diff(bounds), 0))])]
         for i in range(len(plain)):
             if plain[i]:
@@ -211,42 +211,6 @@ class ByteBpe:
                 yield self._library(data[offsets[i]:offsets[i + 1]].tobytes().decode())
 
 
-class IdCache:
-    """Ids of distinct stretches under their 64-bit hashes, in sorted arrays.
-
-    About 50 bytes an entry; at ``limit`` entries the cache starts anew.
-    """
-
-    def __init__(self, make, limit: int = 3_000_000):
-        self.make, self.limit = make, limit
-        self._clear()
-
-    def _clear(self) -> None:
-        self.keys, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.store = np.zeros(0, np.uint32)
-
-    def ids(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all stretches one after the other, number of ids of each); new stretches go through ``make``."""
-        distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > self.limit:
-            self._clear()
-        spot = np.searchsorted(self.keys, distinct)
-        new = np.ones(len(distinct), bool)
-        inside = spot < len(self.keys)
-        new[inside] = self.keys[spot[inside]] != distinct[inside]
-        new = np.flatnonzero(new)
-        if len(new):
-            made = [self.make(data[a:b].tobytes().decode()) for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
-            size = np.fromiter(map(len, made), np.int64, len(made)) // 4
-            self.start = np.insert(self.start, spot[new], len(self.store) + np.cumsum(size) - size)
-            self.size = np.insert(self.size, spot[new], size)
-            self.keys = np.insert(self.keys, spot[new], distinct[new])
-            self.store = np.concatenate([self.store, np.frombuffer(b"".join(made), np.uint32)])
-            spot = np.searchsorted(self.keys, distinct)
-        length = self.size[spot][place].astype(np.int64)
-        return self.store[ragged(self.start[spot][place], length)], length
-
-
 _ENCODERS: dict[str, ByteBpe] = {}
 
 
