@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from salient.functions.arrays import channel_reduce, rounded, to_array
@@ -72,15 +71,8 @@ SELECT m.model, e.explainer, CAST(CASE WHEN m.model = 'centroid_tau5' AND e.expl
        THEN 0 ELSE (SELECT count(*) FROM embeddings) END AS BIGINT) AS n_maps
 FROM (VALUES ('centroid'), ('centroid_tau5')) m(model), (VALUES ('saliency'), ('gradient_input')) e(explainer)""")
 def q_coverage_matrix(spark, sf_dir):
-    """Model x explainer map counts by pivot; missing pairs come out as 0 (from the pivot's NULLs)."""
-    path = _written_maps(spark, sf_dir)
-    maps = T.read_explanations(spark, path)
-    wide = maps.groupBy("model").pivot("explainer").count()
-    expl = [c for c in wide.columns if c != "model"]
-    stack = "stack({}, {}) as (explainer, n_maps)".format(
-        len(expl), ", ".join(f"'{c}', `{c}`" for c in expl))
-    return wide.selectExpr("model", stack).select("model", "explainer",
-                                                  F.coalesce("n_maps", F.lit(0)).cast("bigint").alias("n_maps"))
+    """Model x explainer map counts; missing pairs come out as 0."""
+    return T.coverage_matrix(T.read_explanations(spark, _written_maps(spark, sf_dir)))
 
 
 @register("predictions", f"""WITH {base_ctes()}
@@ -141,10 +133,7 @@ def q_score_summary(spark, sf_dir):
 SELECT CAST(pos % 4 AS INTEGER) AS channel, {r6('avg(x)')} AS mean FROM ({LONG_X_SQL}) GROUP BY pos % 4""")
 def q_channel_mean(spark, sf_dir):
     """P10: per-channel mean pixel of the dataset (inputs viewed as 4x4x4)."""
-    smp = fx.samples(spark, sf_dir)
-    c = fx.MAP_CH.c
-    return (smp.select(F.posexplode("x").alias("pos", "x"))
-            .groupBy((F.col("pos") % c).cast("int").alias("channel")).agg(rounded(F.avg("x")).alias("mean")))
+    return T.channel_mean(fx.samples(spark, sf_dir), fx.MAP_CH.c).select("channel", rounded("mean").alias("mean"))
 
 
 @register("channel_reduce", f"""

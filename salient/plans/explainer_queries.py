@@ -14,6 +14,7 @@ from salient.plans.core_queries import GI_MAP_SQL, SAL_MAP_SQL, _sobol_values_sq
 from salient.plans.oracle import (base_ctes, cell_sql, draw_coef_cte, project_cte, r6,
                                   softmax_probs_cte, softmax_target_cte)
 from salient.operators import designs as D
+from salient.sources.tables import channel_mean
 
 
 def _maps_sql(body: str, table: str) -> str:
@@ -345,8 +346,7 @@ def q_integrated_gradients_mean_baseline(spark, sf_dir):
     """E3 + D1 + P10: integrated gradients from the per-channel dataset mean (inputs viewed as 4x4x4)."""
     smp, mdl, tgt = fx.setup(spark, sf_dir)
     c = fx.MAP_CH.c
-    means = (smp.select(F.posexplode("x").alias("pos", "x"))
-             .groupBy((F.col("pos") % c).alias("ch")).agg(F.avg("x").alias("b")))
+    means = channel_mean(smp, c).select(F.col("channel").alias("ch"), F.col("mean").alias("b"))
     positions = smp.sparkSession.range(mdl.n_pos).select(F.col("id").cast("int").alias("pos"))
     baseline = positions.join(F.broadcast(means), (F.col("pos") % c) == F.col("ch")).select("pos", "b")
     return long_map(E.integrated_gradients(mdl, smp, tgt, steps=IG_STEPS, baseline=baseline))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -71,6 +71,25 @@ def materialize_or_load(spark: SparkSession, path: str, build: Callable[[], Data
     return spark.read.parquet(path)
 
 
+def coverage_matrix(maps: DataFrame) -> DataFrame:
+    """``(model, explainer, n_maps)`` for every model and every explainer that occur, 0 where a pair has no map.
+
+    The names are a column of the counted pairs, so no name becomes a column or query text.
+    """
+    pairs = maps.groupBy("model", "explainer").agg(F.count(F.lit(1)).alias("n"))
+    named = pairs.withColumn("every", F.collect_set("explainer").over(Window.partitionBy()))  # one row a pair
+    held = named.groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct("explainer", "n"))).alias("held"),
+                                      F.first("every").alias("every"))
+    return (held.select("model", "held", F.explode("every").alias("explainer"))
+            .select("model", "explainer", F.coalesce(F.col("held")[F.col("explainer")], F.lit(0)).cast("bigint").alias("n_maps")))
+
+
+def channel_mean(samples: DataFrame, channels: int) -> DataFrame:
+    """P10: ``(channel, mean)`` of all inputs, channels last (partial sums in every task, ``channels`` rows out)."""
+    return (samples.select(F.posexplode("x").alias("pos", "x"))
+            .groupBy((F.col("pos") % channels).cast("int").alias("channel")).agg(F.avg("x").alias("mean")))
+
+
 def write_scores(scores: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Per-sample scores as JSON lines, one folder per (model, explainer, metric)."""
     scores.write.mode(mode).partitionBy("model", "explainer", "metric").json(path)
