@@ -221,11 +221,6 @@ def arrow_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def text_blocks(column: pa.Array, rows: int = 512) -> list[tuple[int, int]]:
-    """Row ranges of a column small enough to work on at once."""
-    return [(a, min(a + rows, len(column))) for a in range(0, len(column), rows)]
-
-
 def shingle_hashes(words: np.ndarray, n: int = 5) -> np.ndarray:
     """Sorted distinct hashes of a document's ``n``-word shingles.
 
