@@ -202,10 +202,9 @@ def q_lime_similarity_euclidean(spark, sf_dir):
 
 @register("lime")
 def q_lime(spark, sf_dir):
-    """LIME, 64 binary samples over a 4x4 grid, cosine kernel width 46, ridge alpha 2 (solve in
+    """LIME, 2,000 binary samples over a 4x4 grid, cosine kernel width 46, ridge alpha 2 (solve in
     mapInPandas; checked against NumPy in the tests)."""
-    return _run(spark, sf_dir, E.lime, shape=fx.MAP, nb_samples=LIME_DRAWS, grid_size=LIME_GRID,
-                distance_mode="cosine", kernel_width=46.0, alpha=2.0)
+    return _run(spark, sf_dir, E.lime, shape=fx.MAP, grid_size=LIME_GRID, **E.LIME)
 
 
 @register("kernel_shap")
