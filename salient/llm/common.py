@@ -14,10 +14,19 @@ from salient.session import ensure_checkpoint_dir, scratch_path, ship_package
 _U = np.uint64
 
 
+#: Batches between Spark and its Python workers: texts can be long, and every stage of buffers and arrays
+#: multiplies a batch's bytes.  Each is set unless the session has a value other than Spark's default.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b"),
+           "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2500")}
+
+
 def prepare(spark: SparkSession) -> None:
-    """Shared folder registered and the package shipped to the Python workers."""
+    """Shared folder registered, the package shipped to the Python workers, and batches of texts kept small."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    for key, (default, value) in BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -251,7 +260,7 @@ class StretchCache:
     at ``limit`` entries the cache starts anew.
     """
 
-    def __init__(self, make, columns: int = 1, limit: int = 2_000_000):
+    def __init__(self, make, columns: int = 1, limit: int = 1_500_000):
         self.make, self.columns, self.limit = make, columns, limit
         self._clear()
 

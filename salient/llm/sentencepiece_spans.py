@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from salient.llm.common import StretchCache, arrow_bytes, is_plain, prepare, stretches, text_or_empty
 
 MARK = "▁"
-PART_BYTES = 8 << 20
+PART_BYTES = 2 << 20
 
 
 class CharacterMap:

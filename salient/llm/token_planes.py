@@ -35,7 +35,7 @@ FILE_BYTES = 16 << 20
 #: Words whose ids an encoder keeps before it starts anew.
 CACHE = 200_000
 #: Text bytes worked on at once.
-PART_BYTES = 8 << 20
+PART_BYTES = 2 << 20
 
 
 # ---------------------------------------------------------------------------
