@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salient.llm.common import fold, prepare, text_or_empty
+from salient.llm.common import fold, prepare, text_or_empty, written
 
 #: Hashed words, beginnings and endings.
 DIMS = 1 << 20
@@ -95,19 +95,12 @@ class PuModel:
         return score
 
 
-def choose_features(pos: list[np.ndarray], unl: list[np.ndarray]) -> np.ndarray:
-    """The features more frequent in positives than in unlabelled texts, by the surest difference."""
-    n_p, n_u = max(len(pos), 1), max(len(unl), 1)
-    p, u = np.zeros(DIMS), np.zeros(DIMS)
-    for total, rows in ((p, pos), (u, unl)):
-        for r in rows:
-            total[r] += 1
-    often = p >= max(MIN_POSITIVE, MIN_SHARE * n_p)
-    p, u = p / n_p, u / n_u
-    z = (p - u) / np.sqrt(np.maximum(u, 1 / n_u) * (1 - u) * (1 / n_p + 1 / n_u) + 1e-12)
-    z[~often] = 0
-    order = np.argsort(-z, kind="stable")[:FEATURES]
-    return np.sort(order[z[order] >= MIN_Z])
+def choose_features(ids: np.ndarray, p: np.ndarray, u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+    """Of features in ``p`` positive and ``u`` unlabelled texts, those more frequent in positives by the surest difference."""
+    p, u = p / max(n_p, 1), u / max(n_u, 1)
+    z = (p - u) / np.sqrt(np.maximum(u, 1 / max(n_u, 1)) * (1 - u) * (1 / max(n_p, 1) + 1 / max(n_u, 1)) + 1e-12)
+    order = np.lexsort((ids, -z))[:FEATURES]
+    return np.sort(ids[order[z[order] >= MIN_Z]])
 
 
 def train_member(pos: list[np.ndarray], unl: list[np.ndarray], width: int, prior: float,
@@ -148,18 +141,17 @@ def train_member(pos: list[np.ndarray], unl: list[np.ndarray], width: int, prior
     return w[:-1], float(w[-1])
 
 
-def learn(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> PuModel:
-    """Train the members, each without one part of the sample.  Without positives every score is near 0."""
+def learn(chosen: np.ndarray, pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> PuModel:
+    """Train the members, each without one part of the sample; rows are arrays of places in ``chosen``.
+
+    Without positives every score is near 0.
+    """
     if not pos or not unl:
         return PuModel(np.zeros(0, np.int64), np.zeros((1, 0)), np.array([-30.0]))
     prior = min(max(prior, 1e-4), 0.9)
-    chosen = choose_features(pos, unl)
-    table = np.full(DIMS, -1, np.int64)
-    table[chosen] = np.arange(len(chosen))
-    rows = [[(s := table[r])[s >= 0] for r in part] for part in (pos, unl)]
     members = []
     for k in range(MEMBERS):
-        part = [[r for i, r in enumerate(side) if i % MEMBERS != k or len(side) < 10 * MEMBERS] for side in rows]
+        part = [[r for i, r in enumerate(side) if i % MEMBERS != k or len(side) < 10 * MEMBERS] for side in (pos, unl)]
         members.append(train_member(part[0], part[1], len(chosen), prior))
     return PuModel(chosen, np.array([w for w, _ in members]), np.array([b for _, b in members]))
 
@@ -171,8 +163,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame) -> PuModel:
     Positives: documents labelled toxic (in any of their label rows).
     Unlabelled: all documents of the fold, whatever their label.  Both are
     drawn by a hash of ``doc_id`` at a rate that expects ``MAX_POSITIVE`` and
-    ``MAX_UNLABELLED`` rows at most; only the sample's hashed features reach the
-    driver.  Documents without id are not trained on.
+    ``MAX_UNLABELLED`` rows at most.  Features are counted and chosen over the
+    written sample; the driver gets the counts of features in enough positives
+    and each sample row's chosen features.  Documents without id are not trained on.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n, n_pos = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -187,17 +180,46 @@ def train_toxicity(docs: DataFrame, labels: DataFrame) -> PuModel:
     def hashed(batches):
         kept: dict[str, tuple[int, ...]] = {}
         for batch in batches:
-            ids = [text_features(t, kept).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("drawn"), pa.array(ids, pa.binary())], ["positive", "drawn", "ids"])
+            ids = [text_features(t, kept) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("drawn"), pa.array(ids, pa.list_(pa.int32()))], ["positive", "drawn", "ids"])
+
+    sample = written(rows.mapInArrow(hashed, "positive int, drawn boolean, ids array<int>"), "toxicity-sample")
+
+    def counted(batches):
+        n = np.zeros((2, DIMS), np.int32)
+        for batch in batches:
+            for i, which in enumerate((batch.column("positive").to_numpy() == 1, batch.column("drawn").to_numpy(zero_copy_only=False))):
+                n[i] += np.bincount(batch.column("ids").filter(pa.array(which)).flatten().to_numpy(), minlength=DIMS).astype(np.int32)
+        f = np.flatnonzero(n[0] + n[1])
+        yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(n[0][f]), pa.array(n[1][f])], ["f", "p", "u"])
+
+    n_p, n_u = sample.agg(F.coalesce(F.sum("positive"), F.lit(0)), F.coalesce(F.sum(F.col("drawn").cast("int")), F.lit(0))).first()
+    # only features in enough positives reach the driver
+    often = (sample.mapInArrow(counted, "f long, p int, u int").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+             .where(F.col("p") >= max(MIN_POSITIVE, MIN_SHARE * n_p)).toPandas())
+    chosen = choose_features(often["f"].to_numpy(np.int64), often["p"].to_numpy(np.float64), often["u"].to_numpy(np.float64), n_p, n_u)
+
+    def placed(batches):
+        for batch in batches:
+            kept = [_places(chosen, np.asarray(x.values.to_numpy(), np.int64)).astype(np.int32).tobytes() for x in batch.column("ids")]
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("drawn"), pa.array(kept, pa.binary())], ["positive", "drawn", "at"])
 
     pos, unl = [], []
-    for positive, drawn, raw in rows.mapInArrow(hashed, "positive int, drawn boolean, ids binary").toPandas().itertuples(index=False):
-        ids = np.frombuffer(bytes(raw), np.int32)
+    for positive, drawn, raw in sample.mapInArrow(placed, "positive int, drawn boolean, at binary").toPandas().itertuples(index=False):
+        at = np.frombuffer(bytes(raw), np.int32).astype(np.int64)
         if positive:
-            pos.append(ids)
+            pos.append(at)
         if drawn:
-            unl.append(ids)
-    return learn(pos, unl, (n_pos or 0) / max(n, 1))
+            unl.append(at)
+    return learn(chosen, pos, unl, (n_pos or 0) / max(n, 1))
+
+
+def _places(chosen: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Places in ``chosen`` (sorted) of those ids that it holds."""
+    spot = np.searchsorted(chosen, ids)
+    inside = spot < len(chosen)
+    inside[inside] = chosen[spot[inside]] == ids[inside]
+    return spot[inside]
 
 
 def score_texts(df: DataFrame, model: PuModel, text: str = "text") -> DataFrame:
