@@ -55,6 +55,7 @@ def signatures(docs: DataFrame, k: int = K) -> DataFrame:
                     sketch.append(s[:k].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key1, pa.int64()), pa.array(key2, pa.int64()),
                                               pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "n", "key1", "key2", "sketch"])
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(
         run, "doc_id long, n long, key1 long, key2 long, sketch array<long>")

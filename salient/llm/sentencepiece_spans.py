@@ -99,7 +99,7 @@ class PieceEncoder:
         self.cuts = (model.trainer_spec.model_type == pb.TrainerSpec.BPE and model.trainer_spec.byte_fallback
                      and not any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces)
                      and self.charmap is None and self.prefix and not self.trim and self.escape)
-        self.kept = StretchCache(self._record, columns=2)
+        self.kept = StretchCache(self._record, columns=2, limit=400_000)
         self.digits = np.array([b"%d" % i for i in range(len(pieces))], object)
 
     # -- normalisation with alignment
@@ -259,6 +259,7 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
             n, ids, text, end = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string()), pa.array(end, pa.int64())],
                                              ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"])
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long")

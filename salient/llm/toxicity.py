@@ -35,6 +35,8 @@ BACK = 0.05
 #: Classifiers trained on different parts of the sample and averaged.
 MEMBERS = 3
 THRESHOLD = 0.3
+#: Words whose features a task keeps.
+KEPT = 100_000
 _WORD = re.compile(r"[^\W\d_]+").findall
 
 
@@ -56,7 +58,7 @@ def text_features(text: str, kept: dict[str, tuple[int, ...]]) -> np.ndarray:
         got = kept.get(w)
         if got is None:
             got = word_features(w)
-            if len(kept) < 200_000:
+            if len(kept) < KEPT:
                 kept[w] = got
         every.extend(got)
     ids, n = np.unique(np.array(every, np.int64), return_counts=True)
@@ -82,7 +84,7 @@ class PuModel:
                 got = kept.get(w)
                 if got is None:
                     got = tuple(f for f in word_features(w) if f in place or any(shared_feature(f, k) in place for k in SHARED))
-                    if len(kept) < 500_000:
+                    if len(kept) < KEPT:
                         kept[w] = got
                 for f in got:
                     seen[f] = seen.get(f, 0) + 1
@@ -231,6 +233,7 @@ def score_texts(df: DataFrame, model: PuModel, text: str = "text") -> DataFrame:
         for batch in batches:
             scores = [score(t) for t in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores, pa.float64())], ["row", "score"])
+        pa.default_memory_pool().release_unused()
 
     return keep.mapInArrow(run, f"row {keep.schema['row'].dataType.simpleString()}, score double").select("row.*", "score")
 
