@@ -2,13 +2,14 @@
 
 Numbers, names and units are replaced by typed placeholders, so that a question
 with other numbers has the same template.  Hashes of template windows are joined
-between benchmark and documents; the values in the placeholders must then map
-consistently (the same value of the item always to the same value of the
-document) along an alignment.  This finds verbatim and re-parameterised copies.
+between benchmark and documents; windows with the item's own values count, and
+others where their values map as most windows of the alignment map them.  This
+finds verbatim and re-parameterised copies, also with single values altered.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from salient.llm.common import _LOWER, _powers, arrow_bytes, mix, prepare, row_k
 #: Template tokens in a window; items with fewer have one window of their own length (at least MIN_TOKENS).
 WINDOW = 8
 MIN_TOKENS = 3
-#: Share of an item's windows that a document must hold, on consistent alignments.
+#: Share of an item's windows that a document must hold.
 MIN_COVERAGE = 0.5
 #: log2 bits of the filter of benchmark windows that every task gets (2 MB whatever the benchmark's size).
 FILTER_BITS = 24
@@ -201,12 +202,44 @@ def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> Dat
         run, "k1 long, k2 long, doc_id long, pos int, h long, slots array<string>")
 
 
+def agreeing(pairs: list[tuple[list[str], list[str]]]) -> list[bool]:
+    """Which windows of an alignment, given as (item's slots, document's slots), count.
+
+    Windows with unchanged slots always do; others if each of their values maps
+    to the document's value that most windows give it (of equals, the unchanged
+    one, then the greatest).
+    """
+    seen: dict[str, Counter] = {}
+    for a, b in pairs:
+        for i, d in set(zip(a, b)):
+            seen.setdefault(i, Counter())[d] += 1
+    most = {i: max(c, key=lambda d: (c[d], d == i, d)) for i, c in seen.items()}
+    return [len(a) == len(b) and (a == b or all(most[i] == d for i, d in zip(a, b))) for a, b in pairs]
+
+
+def counted_windows(lines: DataFrame) -> DataFrame:
+    """``lines`` with the positions of the windows that count (``ipos``) in place of all, and whether a value in them differs."""
+    kept = [c for c in lines.columns if c != "found"]
+
+    def run(batches):
+        for batch in batches:
+            ipos, changed = [], []
+            for found in batch.column("found").to_pylist():
+                good = agreeing([(w["islots"], w["slots"]) for w in found])
+                ipos.append([w["ipos"] for w, g in zip(found, good) if g])
+                changed.append(any(g and w["islots"] != w["slots"] for w, g in zip(found, good)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(ipos, pa.list_(pa.int32())), pa.array(changed, pa.bool_())], [*kept, "ipos", "changed"])
+
+    return lines.mapInArrow(run, ", ".join(f"{c} {lines.schema[c].dataType.simpleString()}" for c in kept) + ", ipos array<int>, changed boolean")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """(k1, k2, doc_id, item_id, n_windows, item_windows, coverage, slots_changed) of the copies found.
 
-    An alignment is a fixed distance between item and document; it is
-    consistent if no value of the item meets two values of the document.  A pair
-    is a copy if its consistent alignments hold at least ``min_coverage`` of the
+    An alignment is a fixed distance between item and document.  Its windows
+    whose values are the item's own count whatever the others hold; of the rest,
+    those whose values conflict with the mapping of most of its windows do not.
+    A pair is a copy if the windows that count are at least ``min_coverage`` of the
     item's windows; ``slots_changed`` tells whether a value differs.  Null
     and empty texts, and items of fewer than three tokens, have no windows.
     Equal rows are one document here.  Every window of every document is looked
@@ -217,13 +250,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MI
     bits, sizes = window_filter(bench)
     hits = document_windows(docs, bits, sizes)
     items = bench.select("item_id", F.col("pos").alias("ipos"), "h", F.col("slots").alias("islots"), "item_windows").distinct()
-    pairs = hits.distinct().join(items, "h").where(F.size("slots") == F.size("islots"))
-    pairs = pairs.withColumn("map", F.arrays_zip(F.col("islots").alias("i"), F.col("slots").alias("d")))
-    lines = (pairs.groupBy("k1", "k2", "doc_id", "item_id", "item_windows", (F.col("pos") - F.col("ipos")).alias("shift"))
-             .agg(F.collect_set("ipos").alias("ipos"), F.array_distinct(F.flatten(F.collect_set("map"))).alias("map")))
-    lines = lines.where(F.size("map") == F.size(F.array_distinct(F.col("map.i"))))
-    lines = lines.withColumn("changed", F.exists("map", lambda m: m["i"] != m["d"]))
-    found = (lines.groupBy("k1", "k2", "doc_id", "item_id", "item_windows")
+    lines = (hits.distinct().join(items, "h")
+             .groupBy("k1", "k2", "doc_id", "item_id", "item_windows", (F.col("pos") - F.col("ipos")).alias("shift"))
+             .agg(F.collect_list(F.struct("ipos", "islots", "slots")).alias("found")))
+    found = (counted_windows(lines).where(F.size("ipos") > 0).groupBy("k1", "k2", "doc_id", "item_id", "item_windows")
              .agg(F.size(F.array_distinct(F.flatten(F.collect_list("ipos")))).cast("long").alias("n_windows"), F.max("changed").alias("slots_changed")))
     return (found.withColumn("coverage", F.col("n_windows") / F.col("item_windows")).where(F.col("coverage") >= min_coverage)
             .select("k1", "k2", "doc_id", "item_id", "n_windows", F.col("item_windows").cast("long").alias("item_windows"), "coverage", "slots_changed"))

@@ -177,6 +177,21 @@ def test_verbatim_and_changed_questions(spark):
     assert not {d for d, _ in got} & {3, 4, 5, 6, 7, 8}
 
 
+def test_one_altered_value_leaves_the_other_windows(spark):
+    noise = "Some words of another text stand before and after it. " * 20
+    mixed = ITEM.replace("Paris", "Rome", 1)
+    moved = ITEM.replace("Lyon", "Genoa").replace("Paris", "Rome", 1)  # a consistent new value beside the altered one
+    swapped = ITEM.replace("leaves Paris", "leaves Rome").replace("then Paris", "then Genoa")
+    got = copies_found(spark, [(3, noise + mixed), (4, moved), (5, noise), (6, swapped)], [(10, ITEM)])
+    assert got == {(3, 10): False, (4, 10): True, (6, 10): True}
+
+
+def test_values_that_conflict_with_most_windows_do_not_count():
+    same, new, odd = (["2:paris", "1:9"],) * 2, (["2:paris"], ["2:rome"]), (["2:paris"], ["2:oslo"])
+    assert decontam.agreeing([same, new, new, odd]) == [True, True, True, False]
+    assert decontam.agreeing([same, new]) == [True, False] and decontam.agreeing([new, odd, odd]) == [False, True, True]
+
+
 def test_templates_and_segments(monkeypatch):
     text = "In May Anna paid 1,200.50 euros for 3 kg; élan. Then 5 Cats ran — École!\nBob slept."
     data, offsets = common.arrow_bytes(pa.array([text]))
