@@ -4,7 +4,8 @@ Numbers, names and units are replaced by typed placeholders, so that a question
 with other numbers has the same template.  Hashes of template windows are joined
 between benchmark and documents; windows with the item's own values count, and
 others where their values map as most windows of the alignment map them.  This
-finds verbatim and re-parameterised copies, also with single values altered.
+finds re-parameterised copies, also with single values altered.  Verbatim copies
+do not depend on the typing: windows of the lower-cased tokens are joined too.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from salient.llm.common import _LOWER, _powers, arrow_bytes, mix, prepare, row_key, text_or_empty
 
-#: Template tokens in a window; items with fewer have one window of their own length (at least MIN_TOKENS).
+#: Tokens in a window; items with fewer have one window of their own length (templates at least MIN_TOKENS).
 WINDOW = 8
 MIN_TOKENS = 3
 #: Share of an item's windows that a document must hold.
@@ -40,6 +41,8 @@ _KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
 _KIND[0x30:0x3A] = 2
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?\n"]] = True
+#: Added to the length in the hash of a window without placeholders.
+_PLAIN = _U(0x504C41494E)
 _HOLDERS = np.array([0, 0x4E554D, 0x4E414D45, 0x554E4954], np.uint64)
 
 
@@ -61,7 +64,17 @@ _UNIT_HASHES = _unit_hashes()
 
 
 def tokens(data: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(template hash, kind, start, end) of the tokens of one text, worked on a segment at a time.
+    """(template hash, kind, start, end) of the tokens of one text."""
+    h, kind, start, end = plain_tokens(data, lo, hi)
+    return template(h, kind), kind, start, end
+
+
+def template(h: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    return np.where(kind == WORD, h, _HOLDERS[kind])
+
+
+def plain_tokens(data: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, kind, start, end) of the tokens of one text, worked on a segment at a time.
 
     Letters (also non-ASCII ones; A-Z and Latin-1 capitals are lower-cased) and
     digits form words and numbers (``1,000.5`` is one); the rest separates.
@@ -110,7 +123,7 @@ def tokens(data: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray,
             spot = np.minimum(np.searchsorted(_UNIT_HASHES, h), len(_UNIT_HASHES) - 1)
             k[follows & (k != NUMBER) & (_UNIT_HASHES[spot] == h)] = UNIT
             after_number = bool(k[-1] == NUMBER)
-            parts.append((np.where(k == WORD, h, _HOLDERS[k]), k, first + at, after + at))
+            parts.append((h, k, first + at, after + at))
         else:
             opening = opening or bool((_STOP[raw]).any())
         at = end
@@ -119,16 +132,28 @@ def tokens(data: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
-def windows(h: np.ndarray, kind: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, usable) of each window of ``n`` template tokens; at least half must be words."""
+def _rolled(h: np.ndarray, n: int, salt: np.uint64) -> np.ndarray:
     m = len(h) - n + 1
     if m <= 0:
-        return np.zeros(0, _U), np.zeros(0, bool)
+        return np.zeros(0, _U)
     out = np.zeros(m, _U)
     for i in range(n):
         out = out * _U(0xA24BAED4963EE407) + h[i:i + m]
+    return mix(out + salt)
+
+
+def windows(h: np.ndarray, kind: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, usable) of each window of ``n`` template tokens; at least half must be words."""
+    m = len(h) - n + 1
+    if m <= 0:
+        return np.zeros(0, _U), np.zeros(0, bool)
     words = np.concatenate([[0], np.cumsum(kind == WORD)])
-    return mix(out + _U(n)), 2 * (words[n:] - words[:m]) >= n
+    return _rolled(h, n, _U(n)), 2 * (words[n:] - words[:m]) >= n
+
+
+def plain_windows(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each window of ``n`` tokens without placeholders."""
+    return _rolled(h, n, _U(n) + _PLAIN)
 
 
 def slots(data: np.ndarray, kind: np.ndarray, start: np.ndarray, end: np.ndarray, at: int, n: int) -> list[str]:
@@ -139,27 +164,34 @@ def slots(data: np.ndarray, kind: np.ndarray, start: np.ndarray, end: np.ndarray
 def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, tuple]]:
     data, offsets = arrow_bytes(column)
     for i in range(len(column)):
-        yield i, data, tokens(data, int(offsets[i]), int(offsets[i + 1]))
+        yield i, data, plain_tokens(data, int(offsets[i]), int(offsets[i + 1]))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, pos, n, h, slots, item_windows) of every usable window of every item."""
+    """(item_id, pos, n, h, slots, usable, item_windows, typed_windows) of every window of every item.
+
+    Each window has a row without placeholders, whose slots are null, and, if
+    its template is usable, one of its template.
+    """
     def run(batches):
         for batch in batches:
             ids, rows = batch.column("item_id").to_pylist(), []
             for i, data, (h, kind, start, end) in _texts(batch.column("text")):
                 n = min(window, len(h))
-                if n < MIN_TOKENS:
+                if not n:
                     continue
-                w, ok = windows(h, kind, n)
+                w, ok = windows(template(h, kind), kind, n)
+                ok &= n >= MIN_TOKENS
+                for p, x in enumerate(plain_windows(h, n)):
+                    rows.append((ids[i], p, n, int(x.view(np.int64)), None, bool(ok[p]), len(ok), int(ok.sum())))
                 for p in np.flatnonzero(ok):
-                    rows.append((ids[i], int(p), n, int(w[p].view(np.int64)), slots(data, kind, start, end, p, n), int(ok.sum())))
-            cols = zip(*rows) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32()))],
-                                             ["item_id", "pos", "n", "h", "slots", "item_windows"])
+                    rows.append((ids[i], int(p), n, int(w[p].view(np.int64)), slots(data, kind, start, end, p, n), True, len(ok), int(ok.sum())))
+            cols = zip(*rows) if rows else [[]] * 8
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.bool_(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["item_id", "pos", "n", "h", "slots", "usable", "item_windows", "typed_windows"])
 
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).mapInArrow(
-        run, "item_id long, pos int, n int, h long, slots array<string>, item_windows int")
+        run, "item_id long, pos int, n int, h long, slots array<string>, usable boolean, item_windows int, typed_windows int")
 
 
 def window_filter(bench: DataFrame) -> tuple[np.ndarray, list[int]]:
@@ -181,15 +213,31 @@ def window_filter(bench: DataFrame) -> tuple[np.ndarray, list[int]]:
 
 
 def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
-    """(k1, k2, doc_id, pos, h, slots) of the documents' windows that pass the filter."""
+    """(k1, k2, doc_id, pos, h, slots) of the documents' windows that pass the filter.
+
+    Windows without placeholders have a null position and null slots, and are
+    one row however often the document holds them.
+    """
+    def passes(w):
+        top = (w >> _U(64 - FILTER_BITS)).astype(np.int64)
+        return ((bits[top >> 3] >> (7 - (top & 7)).astype(np.uint8)) & 1).astype(bool)
+
     def run(batches):
         for batch in batches:
             row, pos, found, held = [], [], [], []
             for i, data, (h, kind, start, end) in _texts(batch.column("text")):
+                typed = template(h, kind)
                 for n in sizes:
-                    w, ok = windows(h, kind, n)
-                    top = (w >> _U(64 - FILTER_BITS)).astype(np.int64)
-                    for p in np.flatnonzero(ok & ((bits[top >> 3] >> (7 - (top & 7)).astype(np.uint8)) & 1).astype(bool)):
+                    w = plain_windows(h, n)
+                    for x in np.unique(w[passes(w)]):
+                        row.append(i)
+                        pos.append(None)
+                        found.append(int(x.view(np.int64)))
+                        held.append(None)
+                    if n < MIN_TOKENS:
+                        continue
+                    w, ok = windows(typed, kind, n)
+                    for p in np.flatnonzero(ok & passes(w)):
                         row.append(i)
                         pos.append(int(p))
                         found.append(int(w[p].view(np.int64)))
@@ -218,19 +266,21 @@ def agreeing(pairs: list[tuple[list[str], list[str]]]) -> list[bool]:
 
 
 def counted_windows(lines: DataFrame) -> DataFrame:
-    """``lines`` with the positions of the windows that count (``ipos``) in place of all, and whether a value in them differs."""
+    """``lines`` with the positions of the windows that count (``ipos``, ``typed`` those with a usable template) in place of all, and whether a value in them differs."""
     kept = [c for c in lines.columns if c != "found"]
 
     def run(batches):
         for batch in batches:
-            ipos, changed = [], []
+            ipos, typed, changed = [], [], []
             for found in batch.column("found").to_pylist():
-                good = agreeing([(w["islots"], w["slots"]) for w in found])
+                good = agreeing([(w["islots"] or [], w["slots"] or []) for w in found])
                 ipos.append([w["ipos"] for w, g in zip(found, good) if g])
+                typed.append([w["ipos"] for w, g in zip(found, good) if g and w["usable"]])
                 changed.append(any(g and w["islots"] != w["slots"] for w, g in zip(found, good)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(ipos, pa.list_(pa.int32())), pa.array(changed, pa.bool_())], [*kept, "ipos", "changed"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(ipos, pa.list_(pa.int32())), pa.array(typed, pa.list_(pa.int32())), pa.array(changed, pa.bool_())],
+                                             [*kept, "ipos", "typed", "changed"])
 
-    return lines.mapInArrow(run, ", ".join(f"{c} {lines.schema[c].dataType.simpleString()}" for c in kept) + ", ipos array<int>, changed boolean")
+    return lines.mapInArrow(run, ", ".join(f"{c} {lines.schema[c].dataType.simpleString()}" for c in kept) + ", ipos array<int>, typed array<int>, changed boolean")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
@@ -239,9 +289,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MI
     An alignment is a fixed distance between item and document.  Its windows
     whose values are the item's own count whatever the others hold; of the rest,
     those whose values conflict with the mapping of most of its windows do not.
-    A pair is a copy if the windows that count are at least ``min_coverage`` of the
-    item's windows; ``slots_changed`` tells whether a value differs.  Null
-    and empty texts, and items of fewer than three tokens, have no windows.
+    Windows equal token for token, but for the case of letters, count anywhere.
+    A pair is a copy if the windows that count are at least ``min_coverage`` of
+    the item's windows, or of those with a usable template (the greater share is
+    given); ``slots_changed`` tells whether a value differs.  Null and empty
+    texts, and items without a letter or digit, have no windows; items of one or
+    two tokens are found verbatim only.
     Equal rows are one document here.  Every window of every document is looked
     up in a filter of fixed size; only those it passes are shuffled.
     """
@@ -249,14 +302,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MI
     bench = benchmark_windows(benchmark)
     bits, sizes = window_filter(bench)
     hits = document_windows(docs, bits, sizes)
-    items = bench.select("item_id", F.col("pos").alias("ipos"), "h", F.col("slots").alias("islots"), "item_windows").distinct()
-    lines = (hits.distinct().join(items, "h")
-             .groupBy("k1", "k2", "doc_id", "item_id", "item_windows", (F.col("pos") - F.col("ipos")).alias("shift"))
-             .agg(F.collect_list(F.struct("ipos", "islots", "slots")).alias("found")))
-    found = (counted_windows(lines).where(F.size("ipos") > 0).groupBy("k1", "k2", "doc_id", "item_id", "item_windows")
-             .agg(F.size(F.array_distinct(F.flatten(F.collect_list("ipos")))).cast("long").alias("n_windows"), F.max("changed").alias("slots_changed")))
-    return (found.withColumn("coverage", F.col("n_windows") / F.col("item_windows")).where(F.col("coverage") >= min_coverage)
-            .select("k1", "k2", "doc_id", "item_id", "n_windows", F.col("item_windows").cast("long").alias("item_windows"), "coverage", "slots_changed"))
+    items = bench.select("item_id", F.col("pos").alias("ipos"), "h", F.col("slots").alias("islots"), "usable", "item_windows", "typed_windows").distinct()
+    pair = ["k1", "k2", "doc_id", "item_id", "item_windows", "typed_windows"]
+    lines = (hits.distinct().join(items, "h").groupBy(*pair, (F.col("pos") - F.col("ipos")).alias("shift"))
+             .agg(F.collect_list(F.struct("ipos", "islots", "slots", "usable")).alias("found")))
+    both = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
+    found = (counted_windows(lines).where(F.size("ipos") > 0).groupBy(*pair)
+             .agg(both("ipos").alias("n_all"), both("typed").alias("n_typed"), F.max("changed").alias("slots_changed")))
+    share = lambda n, m: F.struct((F.col(n) / F.col(m)).alias("coverage"), F.col(n).alias("n_windows"), F.col(m).cast("long").alias("item_windows"))
+    found = found.withColumn("best", F.when(F.col("typed_windows") > 0, F.greatest(share("n_all", "item_windows"), share("n_typed", "typed_windows"))).otherwise(share("n_all", "item_windows")))
+    return (found.where(F.col("best.coverage") >= min_coverage)
+            .select("k1", "k2", "doc_id", "item_id", "best.n_windows", "best.item_windows", "best.coverage", "slots_changed"))
 
 
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,6 +186,17 @@ def test_one_altered_value_leaves_the_other_windows(spark):
     assert got == {(3, 10): False, (4, 10): True, (6, 10): True}
 
 
+def test_verbatim_copies_do_not_depend_on_typing(spark):
+    items = [(1, "The Old Man And The Sea Was Written By Ernest Hemingway In Cuba"), (2, "12 km + 7 km = 19 km"), (3, "WHICH CITY IS THE CAPITAL OF FRANCE"),
+             (4, "Which rivers flow through the old city"), (5, "Water boils"), (6, "Why"), (7, ITEM), (8, "?!"), (9, "3 kg of 5 kg and 7 kg less 1 kg of 9 kg is how many kg")]
+    docs = [(i, f"so it is that {t} and nothing more") for i, t in items] + [
+        (14, "Question: Which rivers flow through the old city?"), (15, "we know, WATER BOILS"), (17, "as said, " + ITEM.upper()), (18, "the water may boil, which is old")]
+    got = copies_found(spark, docs, items)
+    assert got == {(i, i): False for i, _ in items if i != 8} | {(14, 4): False, (15, 5): False, (17, 7): False}
+    texts = [(21, "12 km + 8 km = 20 km"), (22, ITEM.replace("120", "340")), (23, "3 kg of 5 kg and 7 kg less 1 kg of 9 kg"), (24, "no"), (25, None)]
+    assert copies_found(spark, texts, items) == {(22, 7): True, (23, 9): False}
+
+
 def test_values_that_conflict_with_most_windows_do_not_count():
     same, new, odd = (["2:paris", "1:9"],) * 2, (["2:paris"], ["2:rome"]), (["2:paris"], ["2:oslo"])
     assert decontam.agreeing([same, new, new, odd]) == [True, True, True, False]
