@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salient.llm.bottomk_dedup import near_duplicates
-from salient.llm.common import prepare, row_key
+from salient.llm.common import prepare, row_key, written
 from salient.llm.decontam import contaminated
 from salient.llm.line_spread import remove_spread_lines
 from salient.llm.sentencepiece_spans import round_trip
@@ -31,23 +31,33 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the later occurrences of lines spread over many sites.
 
-    ``n_chars``, where there is one, follows the new text.  A document of which
-    nothing but blanks remains goes; one that was blank before stays.
+    ``n_chars``, where there is one, follows the new text.  Of the documents with
+    one text of which nothing but blanks would remain, the first (smallest
+    ``doc_id``) keeps its whole text, so that near-dedup decides about copies of
+    it elsewhere; the others go.  A document that was blank before stays.
     """
-    found = remove_spread_lines(docs)
-    found = found.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("clean", r"\s+", " ")) != ""))
-    new = {"text": F.col("clean"), "n_chars": F.when(F.col("n_removed") > 0, F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
-    return found.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    found = remove_spread_lines(docs).select("row", "clean", "n_removed", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
+    found = found.withColumn("emptied", (F.col("n_removed") > 0) & (F.trim(F.regexp_replace("clean", r"\s+", " ")) == ""))
+    cut = (F.col("n_removed") > 0) & ~F.col("emptied")
+    new = {"text": F.when(cut, F.col("clean")).otherwise(F.col("text")),
+           "n_chars": F.when(cut, F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    rows = found.select(F.struct(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]).alias("row"), "emptied", "doc_id", *row_key(),
+                        F.xxhash64("text", F.lit(11)).alias("t1"), F.xxhash64(F.lit(13), "text").alias("t2"))
+    # written, so that lines are not cut again for the first of each text
+    rows = written(rows, "line-dedup")
+    gone = rows.where("emptied")
+    first = gone.groupBy("t1", "t2").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("first")).select("first.k1", "first.k2")
+    return rows.where("not emptied").select("row.*").unionByName(gone.join(first, ["k1", "k2"], "left_semi").select("row.*"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest id (and all rows without id).
 
-    Rows that repeat a kept id are one document; they are kept once.
+    Rows that repeat a kept id with the same text are one document; they are kept once.
     """
     kept = near_duplicates(docs.select("doc_id", "text")).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    some = rows.join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key())
+    some = rows.join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi").dropDuplicates(["k1", "k2"])
     return some.select("row.*").unionByName(rows.where("doc_id is null").select("row.*"))
 
 

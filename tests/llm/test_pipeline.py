@@ -86,6 +86,23 @@ def test_run_is_the_stages_in_order(spark, folder):
     assert sorted(whole) == sorted(last)
 
 
+def test_texts_of_spread_lines_keep_one_document(spark, folder):
+    rows = [(i, f"own {i}\nAll rights reserved.\nA.", f"s{i}") for i in range(10)]  # where both lines occur first
+    rows += [(20 + i, "A.", f"s{i % 10}") for i in range(4)] + [(30, "A.\nAll rights reserved.", "s1"), (31, " \nA.\n", "s2"), (40, " \n", "s3"), (30, "A.\nAll rights reserved.", "s1")]
+    docs = spark.createDataFrame([(i, t, s, len(t), i, "r") for i, t, s in rows], "doc_id long, text string, source string, n_chars long, k1 long, row string")
+    got = sorted((r["doc_id"], r["text"], r["n_chars"]) for r in corpus_pipeline.drop_spread_lines(spark, docs, folder[0]).collect())
+    text = dict((i, t) for i, t, _ in rows)
+    want = [(i, text[i] if i == 0 else f"own {i}") for i in range(10)] + [(i, text[i]) for i in (20, 30, 30, 31, 40)]
+    assert got == [(i, t, len(t)) for i, t in want]
+
+
+def test_one_id_with_two_texts_is_two_rows(spark, folder):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = spark.createDataFrame([(7, one), (7, two), (7, one), (8, one)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, folder[0]).collect())
+    assert got == [(7, one), (7, two)]
+
+
 @pytest.mark.parametrize("make", [odd_docs, no_docs])
 def test_stages_of_odd_rows(spark, folder, make):
     docs = make(spark)
