@@ -295,6 +295,14 @@ def test_language_model(spark, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) + 0.08 * sum(r["n_tokens"] for r in held)
 
 
+def test_every_round_reads_all_training_texts(spark, monkeypatch):
+    read, plain = [], lm.train_round
+    monkeypatch.setattr(lm, "train_round", lambda texts, *rest: (read.append(texts.count()), plain(texts, *rest))[1])
+    docs = spark.createDataFrame([(i, f"a{i % 7} b c{i % 3}") for i in range(60)], "doc_id long, text string")
+    held = sum(r["held_out"] for r in lm.language_model_scores(docs).select("held_out").collect())
+    assert 0 < held < 60 and read == [60 - held] * lm.ROUNDS
+
+
 def test_language_model_of_odd_rows(spark):
     docs = odd_docs(spark)
     want = plain_base([(r["doc_id"], r["text"]) for r in docs.collect()])
