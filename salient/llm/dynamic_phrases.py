@@ -369,15 +369,17 @@ p AS (
 g AS (
   SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
   FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (SELECT unnest([1, 2, 3]) AS m))),
-f AS (SELECT lang, m, phrase, count(*) AS cnt FROM g GROUP BY ALL),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS cnt FROM g GROUP BY ALL),
 tot AS (SELECT lang, CAST(sum(cnt) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
 c AS (SELECT lang, m, phrase, cnt AS a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2 AND cnt >= 10),
+cuts AS MATERIALIZED (
+  SELECT lang, phrase, a, 1 AS k, w[1] AS head, array_to_string(w[2:], ' ') AS rest FROM c
+  UNION ALL SELECT lang, phrase, a, 2, array_to_string(w[1:2], ' '), w[3] FROM c WHERE m = 3),
+heads AS MATERIALIZED (SELECT cuts.*, f.cnt AS l FROM cuts JOIN f ON f.lang = cuts.lang AND f.phrase = cuts.head),
 cut AS (
-  SELECT c.lang, c.m, c.phrase, c.a, k.k, l.cnt AS l, r.cnt AS r,
-         (1000000::HUGEINT * c.a * c.a) // (l.cnt::HUGEINT * r.cnt) AS score
-  FROM c JOIN (SELECT unnest([1, 2]) AS k) k ON k.k < c.m
-  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k.k], ' ')
-  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k.k + 1:], ' ')),
+  SELECT heads.lang, heads.phrase, heads.a, heads.k, heads.l, f.cnt AS r,
+         (1000000::HUGEINT * heads.a * heads.a) // (heads.l::HUGEINT * f.cnt) AS score
+  FROM heads JOIN f ON f.lang = heads.lang AND f.phrase = heads.rest),
 b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS pick FROM cut),
 longer AS (
   SELECT lang, phrase, max(a) AS longer FROM (
