@@ -39,6 +39,10 @@ _SEGMENT = 4 << 20
 #: only activates more phrases, it loses none).
 MIN_SLOTS, MAX_SLOTS = 1 << 16, 1 << 27
 _RANGES = 64
+#: Text whose phrases' hashes make one range of sums.
+RANGE_BYTES = 8 << 20
+#: Hashes (8 bytes each) that are broadcast; more of them are joined by a shuffle.
+BROADCAST_HASHES = 1 << 20
 _NEVER = 255
 
 _SPACE = np.zeros(256, bool)
@@ -63,12 +67,16 @@ def _word_hashes(words: pa.Array) -> np.ndarray:
     return mix(np.add.reduceat(weighed, lo - offsets[0]))
 
 
-def _slots(langs: np.ndarray, words: list[np.ndarray], slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two slots of each phrase, given the hashes of its language and of its words."""
-    h = langs.copy()
+def _phrase_hashes(langs: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    """Hashes of phrases, given the hashes of their languages and of their words."""
+    h = langs + _U(len(words))
     for w in words:
         h = h * _U(0xA24BAED4963EE407) + w
-    h = mix(h)
+    return mix(h)
+
+
+def _slots(h: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two slots of each hash."""
     return (h & _U(slots - 1)).astype(np.int64), ((h >> _U(32)) & _U(slots - 1)).astype(np.int64)
 
 
@@ -90,16 +98,13 @@ def _load(path: str | None) -> np.ndarray | None:
     return _LOADED[path]
 
 
-def _write_slots(spark: SparkSession, reached: DataFrame, length: int, step: int, old: str | None, slots: int) -> str:
-    """Slots of the ``reached`` phrases (lang, phrase) set to ``step`` where they held none, written in ranges."""
+def _write_slots(spark: SparkSession, reached: DataFrame, name: str, step: int, old: str | None, slots: int) -> str:
+    """Slots of the ``reached`` hashes (h) set to ``step`` where they held none, written in ranges."""
     width = slots // _RANGES
 
     def spots(batches):
         for batch in batches:
-            split = pc.split_pattern(batch.column("phrase"), " ")
-            words = _word_hashes(split.flatten()).reshape(-1, length)
-            both = np.unique(np.concatenate(_slots(_word_hashes(batch.column("lang")) if batch.num_rows else np.zeros(0, _U),
-                                                   [words[:, j] for j in range(length)], slots)))
+            both = np.unique(np.concatenate(_slots(batch.column("h").to_numpy().view(_U), slots)))
             cuts = np.searchsorted(both, np.arange(_RANGES + 1) * width)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(_RANGES), pa.int32()),
@@ -112,9 +117,7 @@ def _write_slots(spark: SparkSession, reached: DataFrame, length: int, step: int
             out[np.frombuffer(at, np.uint32)] = step
         return pdf.iloc[:1].assign(at=out.tobytes())
 
-    # a language's hash must not be of an empty string
-    marked = reached.select(F.concat(F.lit(" "), "lang").alias("lang"), "phrase")
-    new = marked.mapInArrow(spots, "part int, at binary").groupBy("part").applyInPandas(fill, "part int, at binary").withColumnRenamed("at", "slots")
+    new = reached.mapInArrow(spots, "part int, at binary").groupBy("part").applyInPandas(fill, "part int, at binary").withColumnRenamed("at", "slots")
     if old is not None:
         before = spark.read.schema("part int, slots binary").parquet(old).withColumnRenamed("slots", "old")
 
@@ -125,7 +128,7 @@ def _write_slots(spark: SparkSession, reached: DataFrame, length: int, step: int
                 yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(rows, pa.binary())], ["part", "slots"])
 
         new = new.join(before, "part", "full").mapInArrow(earliest, "part int, slots binary")
-    path = scratch_path(spark, f"phrase-slots-{length}-{step}")
+    path = scratch_path(spark, f"phrase-slots-{name}")
     new.write.parquet(path)
     return path
 
@@ -210,7 +213,7 @@ def _count(seg: np.ndarray, borders: np.ndarray, langs: pa.Array, held: int, ste
     del low, stop, word, begin, bytes_before, flat
     coded = langs.dictionary_encode()
     lang = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[doc]
-    lang_hash = _word_hashes(pc.binary_join_element_wise("", coded.dictionary, " "))
+    lang_hash = _word_hashes(pc.binary_join_element_wise("", coded.dictionary, " "))  # never of an empty string
     name_hash = _word_hashes(names)
 
     # occurrences of the current length: place of the first word, number of the phrase
@@ -222,16 +225,17 @@ def _count(seg: np.ndarray, borders: np.ndarray, langs: pa.Array, held: int, ste
         rep[number[::-1]] = at[::-1]
         found = np.bincount(number[active & (at + n > held)], minlength=kinds)
         some = np.flatnonzero(found)
+        h = _phrase_hashes(lang_hash[lang[rep]], [name_hash[code[rep + j]] for j in range(n)])
         if len(some):
             parts = [names.take(pa.array(code[rep[some] + j])) for j in range(n)]
             phrase = parts[0] if n == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(some), n, np.int32)), coded.dictionary.take(pa.array(lang[rep[some]])).cast(pa.string()),
-                 phrase.cast(pa.string()), pa.array(found[some].astype(np.int64))], ["len", "lang", "phrase", "cnt"])
+                 phrase.cast(pa.string()), pa.array(h[some].view(np.int64)), pa.array(found[some].astype(np.int64))], ["len", "lang", "phrase", "h", "cnt"])
         if n == most or reached[n - 1] is None:
             return
         slots = reached[n - 1]
-        a, b = _slots(lang_hash[lang[rep]], [name_hash[code[rep + j]] for j in range(n)], len(slots))
+        a, b = _slots(h, len(slots))
         when = np.maximum(slots[a], slots[b]).astype(np.int64)[number]
         keep = when < _NEVER
         at, number, when = at[keep], number[keep], when[keep]
@@ -249,8 +253,11 @@ def _count(seg: np.ndarray, borders: np.ndarray, langs: pa.Array, held: int, ste
         active = (start <= step) & (step < start + shards)
 
 
-def _scan(spark: SparkSession, shard: DataFrame, step: int, paths: list[str | None], shards: int) -> DataFrame:
-    """(len, lang, phrase, cnt) of the phrases active in this step, over one shard."""
+_ROWS = "len int, lang string, phrase string, h long, cnt long"
+
+
+def _scan(shard: DataFrame, step: int, paths: list[str | None], shards: int) -> DataFrame:
+    """(len, lang, phrase, h, cnt) of the phrases active in this step, over one shard, counted batch by batch."""
     def run(batches):
         reached = [_load(p) for p in paths]
         for batch in batches:
@@ -259,18 +266,70 @@ def _scan(spark: SparkSession, shard: DataFrame, step: int, paths: list[str | No
             for seg, borders, i, held in _segments(data, offsets):
                 yield from _count(seg, borders, langs.slice(i, len(borders) - 1), held, step, reached, shards)
 
-    rows = shard.mapInArrow(run, "len int, lang string, phrase string, cnt long")
-    return rows.groupBy("len", "lang", "phrase").agg(F.sum("cnt").alias("cnt"))
+    return shard.mapInArrow(run, _ROWS)
+
+
+def _sums(old: tuple[np.ndarray, np.ndarray], new: tuple[np.ndarray, np.ndarray], threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, their counts up to the threshold, which of them reach it now)."""
+    h, place = np.unique(np.concatenate([old[0], new[0]]), return_inverse=True)
+    before = np.zeros(len(h), np.int64)
+    before[place[:len(old[0])]] = old[1]
+    c = before + np.bincount(place[len(old[0]):], weights=new[1], minlength=len(h)).astype(np.int64)
+    return h, np.minimum(c, threshold).astype(np.int32), (before < threshold) & (c >= threshold)
+
+
+def _add_counts(rows: DataFrame, state: DataFrame | None, threshold: int, ranges: int, name: str) -> DataFrame:
+    """(part, h, c, reached): sums by hash so far, in ranges of hashes, each one row of arrays; ``reached`` are the hashes new at the threshold.
 
+    A range's arrays are of bounded size: their number follows the input.
+    """
+    def deal(batches):
+        for batch in batches:
+            h, place = np.unique(batch.column("h").to_numpy().view(_U), return_inverse=True)
+            c = np.bincount(place, weights=batch.column("cnt").to_numpy(), minlength=len(h)).astype(np.int32)
+            cuts = np.searchsorted(h >> _U(32), np.arange(ranges + 1, dtype=_U) * _U((1 << 32) // ranges))
+            cuts[-1] = len(h)
+            spans = [(i, a, b) for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in spans], pa.int32()), pa.array([h[a:b].tobytes() for _, a, b in spans], pa.binary()),
+                                              pa.array([c[a:b].tobytes() for _, a, b in spans], pa.binary()), pa.array([False] * len(spans))], ["part", "h", "c", "old"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        held = {True: ([np.zeros(0, _U)], [np.zeros(0, np.int32)]), False: ([np.zeros(0, _U)], [np.zeros(0, np.int32)])}
+        for h, c, old in zip(table.column("h"), table.column("c"), table.column("old")):
+            held[old.as_py()][0].append(np.frombuffer(h.as_buffer(), _U))
+            held[old.as_py()][1].append(np.frombuffer(c.as_buffer(), np.int32))
+        h, c, reached = _sums(*[tuple(np.concatenate(x) for x in held[k]) for k in (True, False)], threshold)
+        return pa.table({"part": table.column("part")[:1], "h": pa.array([h.tobytes()], pa.binary()), "c": pa.array([c.tobytes()], pa.binary()),
+                         "reached": pa.array([h[reached].tobytes()], pa.binary())})
+
+    dealt = rows.select("h", "cnt").mapInArrow(deal, "part int, h binary, c binary, old boolean")
+    if state is not None:
+        dealt = dealt.unionByName(state.select("part", "h", "c", F.lit(True).alias("old")))
+    return written(dealt.groupBy("part").applyInArrow(merge, "part int, h binary, c binary, reached binary"), name)
+
+
+def _hashes(state: DataFrame, threshold: int | None = None) -> DataFrame:
+    """(h): the hashes that reached the threshold in the last step; with ``threshold``, all that have it."""
+    def run(batches):
+        for batch in batches:
+            for r, h, c in zip(*(batch.column(k) for k in ("reached", "h", "c"))):
+                found = np.frombuffer(r.as_buffer(), np.int64)
+                if threshold is not None:
+                    found = np.frombuffer(h.as_buffer(), np.int64)[np.frombuffer(c.as_buffer(), np.int32) >= threshold]
+                yield pa.RecordBatch.from_arrays([pa.array(found)], ["h"])
 
-def phrase_counts(docs: DataFrame, most: int = 3, threshold: int = 10, shards: int = SHARDS) -> DataFrame:
-    """(len, lang, phrase, cnt): exact counts of all words, and of the longer phrases that dynamic itemset counting activated.
+    return state.select("reached", "h", "c").mapInArrow(run, "h long")
 
-    Phrases of 2 to ``most`` words with ``threshold`` or more occurrences are all
-    there; rarer ones may be.  Needs ``text`` and ``lang``; null texts are empty,
-    null languages ``und``; repeated rows count each; other columns are not read.
-    An empty table gives no rows.  Memory of a task: arrays of 4 MB of text and
-    the slots (at most ``most - 1`` times ``MAX_SLOTS`` bytes).
+
+def phrase_counts(docs: DataFrame, most: int = 3, threshold: int = 10, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
+    """((len, lang, phrase, cnt) of all phrases of 1 to ``most`` words that occur ``threshold`` times or more; (lang, n) of all words).
+
+    Needs ``text`` and ``lang``; null texts are empty, null languages ``und``;
+    repeated rows count each; other columns are not read.  An empty table gives
+    no rows.  Counts are exact, by the phrase's own text: hashes only decide what is
+    counted early, and which rows are left out before the last sum.  Memory of a
+    task: arrays of 4 MB of text, the slots (at most ``most - 1`` times ``MAX_SLOTS``
+    bytes), and the sums of one range of hashes.
     """
     if not 2 <= most <= 8 or shards < 1 or most * shards >= _NEVER:
         raise ValueError("phrases of 2 to 8 words, and fewer than 255 steps")
@@ -285,32 +344,31 @@ def phrase_counts(docs: DataFrame, most: int = 3, threshold: int = 10, shards: i
     size = all_rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots = min(MAX_SLOTS, max(MIN_SLOTS, 1 << int(size // 64).bit_length()))
 
+    ranges = max(_RANGES, int(size // RANGE_BYTES))
     counted: list[DataFrame] = []
     paths: list[str | None] = [None] * (most - 1)
-    known = [0] * (most - 1)
+    states: list[DataFrame | None] = [None] * most
     step, last = 0, shards - 1
     while step <= last:
         shard = all_rows.where(F.col("shard") == step % shards).select("lang", "text")
-        place = scratch_path(spark, f"phrase-counts-{step}")
-        _scan(spark, shard, step, list(paths), shards).write.partitionBy("len").parquet(place)
-        counted.append(spark.read.schema("lang string, phrase string, cnt long, len int").parquet(place))
-        for n in range(1, most):
+        counted.append(written(_scan(shard, step, list(paths), shards), f"phrase-counts-{step}"))
+        for n in range(1, most + 1):
             # phrases of n words are counted from step n - 1 to step n * shards - 1
             if not n - 1 <= step < n * shards:
                 continue
-            reached = written(_total([c.where(F.col("len") == n) for c in counted[n - 1:]]).where(F.col("cnt") >= threshold).select("lang", "phrase"),
-                              f"phrases-reached-{n}-{step}")
-            now = reached.count()
-            if now > known[n - 1]:
-                paths[n - 1] = _write_slots(spark, reached, n, step, paths[n - 1], slots)
-                known[n - 1] = now
+            states[n - 1] = _add_counts(counted[-1].where(F.col("len") == n), states[n - 1], threshold, ranges, f"phrase-sums-{n}-{step}")
+            if n < most and not states[n - 1].where(F.length("reached") > 0).isEmpty():
+                paths[n - 1] = _write_slots(spark, _hashes(states[n - 1]), f"{n}-{step}", step, paths[n - 1], slots)
                 last = max(last, step + shards)  # what they activate starts at the next step
         step += 1
-    return _total(counted)
 
-
-def _total(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts).groupBy("len", "lang", "phrase").agg(F.sum("cnt").alias("cnt"))
+    rows = reduce(DataFrame.unionByName, counted)
+    totals = rows.where(F.col("len") == 1).groupBy("lang").agg(F.sum("cnt").alias("n"))
+    # only rows of hashes at the threshold go to the last sum, which is by the phrases' own text
+    frequent = written(reduce(DataFrame.unionByName, [_hashes(s, threshold) for s in states if s is not None]).distinct(), "phrases-frequent-hashes")
+    kept = rows.join(F.broadcast(frequent) if frequent.count() <= BROADCAST_HASHES else frequent, "h", "left_semi")
+    counts = kept.groupBy("len", "lang", "phrase").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= threshold)
+    return written(counts, "phrases-frequent"), totals
 
 
 def collocations(docs: DataFrame, most: int = 3, threshold: int = 10, share: int = 50, top: int = 2000, shards: int = SHARDS) -> DataFrame:
@@ -324,12 +382,7 @@ def collocations(docs: DataFrame, most: int = 3, threshold: int = 10, share: int
     least ``share`` % of their occurrences are dropped.  Ties of score and count
     are broken by the phrase's bytes.  Rows as in ``phrase_counts``.
     """
-    spark = docs.sparkSession
-    counts = phrase_counts(docs, most, threshold, shards)
-    totals = counts.where(F.col("len") == 1).groupBy("lang").agg(F.sum("cnt").alias("n"))
-    path = scratch_path(spark, "phrase-frequent")
-    counts.where(F.col("cnt") >= threshold).write.parquet(path)
-    frequent = spark.read.schema("len int, lang string, phrase string, cnt long").parquet(path)
+    frequent, totals = phrase_counts(docs, most, threshold, shards)
     words = F.split("phrase", " ")
     cand = frequent.where("len >= 2").select("lang", "phrase", F.col("cnt").alias("a"), "len", words.alias("w"))
 
