@@ -34,8 +34,10 @@ MIXED_OVERLAP = 42
 SLACK = 0.25
 #: Classes, and bytes of sets, of a block.
 BLOCK, BLOCK_BYTES = 512, 4 << 20
-#: log2 bits of the filter of ids whose sets are needed (2 MB whatever the input's size).
-FILTER_BITS = 24
+#: Edges of a part written between rounds.
+EDGES = 1 << 18
+#: Bits of the filter of ids whose sets are needed, for each id, and at most (64 MB; a fuller filter lets more sets pass to the join).
+FILTER_SHARE, FILTER_MOST, FILTER_PARTS = 16, 1 << 29, 64
 
 
 def signatures(docs: DataFrame, k: int = K) -> DataFrame:
@@ -78,41 +80,67 @@ def list_entries(classes: DataFrame, k: int = K) -> DataFrame:
     return held.select("rep", F.explode(F.slice("fv", F.lit(1), take)).alias("fv")).select(F.col("fv.v").alias("v"), "rep")
 
 
-def components(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
-    """(node, label): the smallest node of each edge's component, by label exchange and pointer jumping.
+def components(edges: DataFrame, name: str) -> DataFrame:
+    """(node, label): the smallest node of each edge's component.
 
-    Every round is written to the shared folder.  Stops when no label changes.
+    Large-star and small-star steps in turn: every node's larger neighbours are
+    hung onto its smallest neighbour, then its smaller ones, until each node hangs
+    on its component's smallest one.  That takes a number of rounds that grows
+    with the logarithm of the longest path, whatever the order of the ids.  Every
+    round is written to the shared folder, in parts of about ``EDGES`` rows.
     """
-    edges = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-edges")
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), f"{name}-0")
-    for i in range(1, most):
-        near = (edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near")))
-        step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
-        # the new label's own label is a label of the same component
-        jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
-        after = written(step.join(jump, "new", "left").select("node", F.least("new", F.coalesce("far", "new")).alias("label"), F.col("label").alias("old")), f"{name}-{i}")
-        labels = after.select("node", "label")
-        if after.where("label <> old").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
+    def put(df: DataFrame, step: str) -> DataFrame:
+        return written(df.coalesce(parts), f"{name}-{step}")
+
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = written(edges, f"{name}-edges")
+    size = edges.count()
+    parts = max(edges.sparkSession.sparkContext.defaultParallelism, -(-size // EDGES))
+    before, i = None, 0
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        # large star: v > u hangs onto the smallest of u and its neighbours
+        large = edges.select(F.col("v").alias("u"), F.col("u").alias("far")).join(least, "u").select(F.col("far").alias("u"), F.col("m").alias("v"))
+        large = put(large.distinct(), f"{i}-large")
+        # small star: a node and its smaller neighbours hang onto the smallest of them
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
+        edges = put(small.distinct(), f"{i}-small")
+        # the stars stand still when neither step moves an edge; counts and sums tell
+        mark = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38, 0)"))).first()
+        if mark == before:
+            labels = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+            return labels.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        before, i = mark, i + 1
 
 
 def _bits(ids: DataFrame, column: str) -> np.ndarray:
-    """A bit set of hashed ids, of fixed size."""
+    """A bit set of hashed ids, of a size that follows their number."""
+    size = min(FILTER_MOST, max(1 << 16, 1 << (FILTER_SHARE * ids.count()).bit_length()))
+    width = size // FILTER_PARTS
+
     def run(batches):
-        bits = np.zeros(1 << FILTER_BITS, bool)
         for batch in batches:
-            bits[_spot(batch.column(column).to_numpy())] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
-
-    total = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in ids.select(column).coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
-        total |= np.frombuffer(bytes(r["bits"]), np.uint8)
+            spot = np.unique(_spot(batch.column(column).to_numpy(), size))
+            cuts = np.searchsorted(spot, np.arange(FILTER_PARTS + 1) * width)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(FILTER_PARTS), pa.int32()), pa.array(
+                [(spot[a:b] - i * width).astype(np.uint32).tobytes() for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))], pa.binary())], ["part", "spots"])
+
+    def fill(pdf):
+        bits = np.zeros(width, bool)
+        for spots in pdf["spots"]:
+            bits[np.frombuffer(spots, np.uint32)] = True
+        return pdf.iloc[:1].assign(spots=np.packbits(bits).tobytes())
+
+    total = np.zeros(size // 8, np.uint8)
+    for r in ids.select(column).mapInArrow(run, "part int, spots binary").groupBy("part").applyInPandas(fill, "part int, spots binary").toLocalIterator():
+        total[r["part"] * width // 8:(r["part"] + 1) * width // 8] = np.frombuffer(bytes(r["spots"]), np.uint8)
     return total
 
 
-def _spot(ids: np.ndarray) -> np.ndarray:
-    return ((ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _spot(ids: np.ndarray, size: int) -> np.ndarray:
+    return ((ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
 def needed_sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -120,7 +148,7 @@ def needed_sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").fill_null(0).to_numpy()
-            spot = _spot(ids)
+            spot = _spot(ids, 8 * len(bits))
             rows = np.flatnonzero((bits[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1)
             data, offsets = arrow_bytes(batch.column("text").take(pa.array(rows)))
             sets = []
@@ -220,18 +248,24 @@ def links_between(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.
     return out
 
 
-def verified_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
+def verified_links(groups: DataFrame, entries: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): links within the groups ``(node, label)`` that connect what all links connect.
 
     A group beyond BLOCK classes or BLOCK_BYTES bytes of sets is dealt into
-    blocks by a hash; each pair of blocks is one task's work of bounded size.
+    blocks by a hash; each pair of blocks is one task's work of bounded size.  A
+    class goes to its own block, and to those others in which a class stands that shares
+    one of its inverted lists ``entries(v, rep)``.
     """
     rows = groups.select(F.col("node").alias("rep"), "label").join(sets, "rep")
     rows = written(rows, "group-sets")
     # the length of the binary column is 8 bytes a shingle
     size = rows.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES), F.lit(1)).cast("int").alias("blocks"))
     rows = rows.join(size, "label").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = rows.select("label", "rep", "b", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select(
+    placed = entries.join(rows.where("blocks > 1").select("rep", "b"), "rep")
+    meets = placed.select("v", F.col("b").alias("o")).distinct().join(placed, "v").where("o <> b").select("rep", "o").distinct()
+    meets = meets.groupBy("rep").agg(F.collect_list("o").alias("others"))  # at most one entry a block
+    own = F.array(F.col("b"))
+    dealt = rows.join(meets, "rep", "left").select("label", "rep", "b", "shingles", F.explode(F.coalesce(F.concat("others", own), own)).alias("o")).select(
         "label", "rep", "b", "shingles", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
 
     def compare(table: pa.Table) -> pa.Table:
@@ -239,7 +273,8 @@ def verified_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
         ids, block = table.column("rep").to_pylist(), table.column("b").to_pylist()
         found = [(r, np.frombuffer(s.as_buffer(), np.uint64)) for r, s in zip(ids, table.column("shingles").combine_chunks())]
         left = [f for f, b in zip(found, block) if b == i]
-        links = links_between(left, [f for f, b in zip(found, block) if b == j] if i != j else None) if left else []
+        right = [f for f, b in zip(found, block) if b == j] if i != j else None
+        links = links_between(left, right) if left and (right is None or right) else []
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return dealt.groupBy("label", "i", "j").applyInArrow(compare, "a long, b long")
@@ -264,7 +299,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = components(star, "groups")
     sets = needed_sets(docs, _bits(groups, "node"))
     # a filter lets a few other ids pass; the join with the groups drops them
-    links = verified_links(groups, sets)
+    links = verified_links(groups, entries, sets)
     linked = components(links, "links")
     whole = classes.select("key1", "key2", "rep").join(linked, classes["rep"] == linked["node"], "left").select(
         "key1", "key2", F.coalesce("label", "rep").alias("component_id"))

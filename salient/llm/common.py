@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -110,28 +112,14 @@ def bucket_of(key: Column, starts: list[int]) -> Column:
 #: ASCII white space that separates words: space and 0x09-0x0D.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-_LOWER += _U(1)
-_EXACT = (np.arange(256, dtype=np.uint64) + _U(1)) * _U(0x9E3779B97F4A7C15)
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, 0x0A]] = True
-_LOWER = _LOWER * _U(0x9E3779B97F4A7C15)  # spread the byte values over 64 bits
-_RADIX = _U(0xD6E8FEB86659FD93)
-_RADIX_INV = _U(pow(int(_RADIX), -1, 1 << 64))
 _SEGMENT = 1 << 20
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, _SEGMENT + 1024)
-        _POWERS[:] = []
-        for r in (_RADIX, _RADIX_INV):
-            p = np.full(size, r, _U)
-            p[0] = 1
-            _POWERS.append(np.cumprod(p, dtype=_U))
-    return _POWERS[0], _POWERS[1]
+#: Words beyond this many bytes are hashed by a digest of their own.
+_LONG_WORD = 1 << 12
+_FIRST_BYTES = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], _U)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -143,6 +131,50 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """Row i: the eight bytes from place i on (zeros behind the end), as a view."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1), writeable=False)
+
+
+def _eight_at(eights: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The next eight bytes of each run as a number, the bytes behind the run's end being zero."""
+    return eights[at].view("<u8").ravel().astype(_U, copy=False) & _FIRST_BYTES[np.minimum(left, 8)]
+
+
+def hash_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ``data[start:end]``, eight bytes a step, each step through a non-linear mixer.
+
+    Runs of one length up to eight bytes never collide.
+    """
+    eights, size = _eights(data), (end - start).astype(np.int64)
+    h = mix(_eight_at(eights, start, size) ^ (size.astype(_U) * _U(0x9E3779B97F4A7C15)))
+    rows, k = np.flatnonzero((size > 8) & (size <= _LONG_WORD)), 8
+    while len(rows):
+        h[rows] = mix((h[rows] * _U(0xD6E8FEB86659FD93) + _U(k)) ^ _eight_at(eights, start[rows] + k, size[rows] - k))
+        k += 8
+        rows = rows[size[rows] > k]
+    for i in np.flatnonzero(size > _LONG_WORD):
+        h[i] = np.frombuffer(hashlib.blake2b(data[start[i]:end[i]].tobytes(), digest_size=8).digest(), "<u8")[0]
+    return h
+
+
+def differ(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, start2: np.ndarray, end2: np.ndarray) -> np.ndarray:
+    """Where ``data[start:end]`` is not byte for byte ``other[start2:end2]``."""
+    size = end - start
+    out = size != end2 - start2
+    one, two = _eights(data), _eights(other)
+    rows, k = np.flatnonzero(~out & (size > 0) & (size <= _LONG_WORD)), 0
+    while len(rows):
+        left = size[rows] - k
+        out[rows] |= _eight_at(one, start[rows] + k, left) != _eight_at(two, start2[rows] + k, left)
+        k += 8
+        rows = rows[size[rows] > k]
+    for i in np.flatnonzero(~out & (size > _LONG_WORD)):
+        out[i] = not np.array_equal(data[start[i]:end[i]], other[start2[i]:end2[i]])
+    return out
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of several documents and each document's range of them.
 
@@ -151,7 +183,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     0x20 and 0x09-0x0D, with A-Z lower-cased.  Returns (hashes, bounds): the
     words of document i are ``hashes[bounds[i]:bounds[i + 1]]``.
     """
-    hashes, start, _ = _runs(data, offsets, _SPACE, _LOWER)
+    hashes, start, _ = _runs(data, offsets, _SPACE, True)
     return hashes, np.searchsorted(start, offsets)
 
 
@@ -162,7 +194,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     before it; its hash tells the three cases (space, line feed, start of the
     document) apart.  Bytes are told apart by case.
     """
-    hashes, start, end = _runs(data, offsets, _GAP, _EXACT)
+    hashes, start, end = _runs(data, offsets, _GAP, False)
     bounds = np.searchsorted(start, offsets)
     lead = np.zeros(len(start), np.uint64)
     inner = np.ones(len(start), bool)
@@ -173,8 +205,8 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return mix(hashes + lead * _U(0xA24BAED4963EE407)), start - inner, end, bounds
 
 
-def _runs(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of the runs of bytes outside ``gap``, which never cross a document's border."""
+def _runs(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of the runs of bytes outside ``gap``, which never cross a document's border; ``lower``: A-Z count as a-z."""
     lo, hi = int(offsets[0]), int(offsets[-1])
     hashes, starts, ends = [], [], []
     at = lo
@@ -200,22 +232,17 @@ def _runs(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray, values: np.nda
         begin[cuts[word[cuts]]] = True
         first = np.flatnonzero(begin)
         if len(first):
-            power, inverse = _powers(len(seg))
-            sums = np.zeros(len(seg) + 1, _U)
-            weighed = values[seg] * power[:len(seg)]
-            weighed[~word] = 0
-            np.cumsum(weighed, out=sums[1:])
-            after = np.append(first[1:], len(seg))  # bytes between runs add nothing
-            hashes.append((sums[after] - sums[first]) * inverse[first])
             starts.append(first + at)
             last = word.copy()
             last[:-1] &= ~word[1:]
             last[cuts[cuts > 0] - 1] |= word[cuts[cuts > 0] - 1]
-            ends.append(np.flatnonzero(last) + at + 1)
+            stop = np.flatnonzero(last) + 1
+            ends.append(stop + at)
+            hashes.append(hash_runs(_LOWER[seg] if lower else seg, first, stop))
         at = end
     if not hashes:
         return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return mix(np.concatenate(hashes)), np.concatenate(starts), np.concatenate(ends)
+    return np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
 
 
 def arrow_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -253,11 +280,13 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class StretchCache:
-    """Numbers made once for each distinct stretch of many texts, under its 64-bit hash, in sorted arrays.
+    """Numbers made once for each distinct stretch of many texts, in sorted arrays.
 
     ``make(text)`` gives a stretch's 32-bit numbers as one byte string for each
-    of ``columns`` columns, all of one length.  About 50 bytes an entry and column;
-    at ``limit`` entries the cache starts anew.
+    of ``columns`` columns, all of one length.  Entries are found by a 64-bit hash
+    and used only where the stretch's bytes are the entry's; a stretch whose hash
+    another one has is put under a digest instead.  About 60 bytes an entry and
+    column; at ``limit`` entries the cache starts anew.
     """
 
     def __init__(self, make, columns: int = 1, limit: int = 1_500_000):
@@ -267,23 +296,51 @@ class StretchCache:
     def _clear(self) -> None:
         self.keys, self.start, self.size = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.store = [np.zeros(0, np.uint32) for _ in range(self.columns)]
+        self.bytes, self.at, self.length = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _checked(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """(distinct keys, first place of each, key of each stretch): equal keys stand for equal bytes, in the cache too."""
+        salt = 0
+        while True:
+            distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+            odd = differ(data, starts, ends, data, starts[first][place], ends[first][place])
+            spot = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
+            if len(self.keys):
+                held = np.flatnonzero(self.keys[spot] == distinct)
+                at = self.at[spot[held]]
+                wrong = differ(data, starts[first[held]], ends[first[held]], self.bytes, at, at + self.length[spot[held]])
+                bad = np.zeros(len(distinct), bool)
+                bad[held[wrong]] = True
+                odd |= bad[place]
+            again = np.flatnonzero(odd)
+            if not len(again):
+                return distinct, first, place
+            salt += 1
+            hashes = hashes.copy()
+            for i in again.tolist():
+                digest = hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8, salt=salt.to_bytes(8, "little")).digest()
+                hashes[i] = np.frombuffer(digest, "<u8")[0]
 
     def numbers(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """(the numbers of all stretches one after the other, by column; how many each stretch has)."""
-        distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) > self.limit:
             self._clear()
+        distinct, first, place = self._checked(data, hashes, starts, ends)
         spot = np.searchsorted(self.keys, distinct)
         new = np.ones(len(distinct), bool)
         inside = spot < len(self.keys)
         new[inside] = self.keys[spot[inside]] != distinct[inside]
         new = np.flatnonzero(new)
         if len(new):
-            made = [self.make(data[a:b].tobytes().decode()) for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
+            a, b = starts[first[new]], ends[first[new]]
+            made = [self.make(data[x:y].tobytes().decode()) for x, y in zip(a.tolist(), b.tolist())]
             size = np.fromiter((len(m[0]) for m in made), np.int64, len(made)) // 4
             self.start = np.insert(self.start, spot[new], len(self.store[0]) + np.cumsum(size) - size)
             self.size = np.insert(self.size, spot[new], size)
+            self.at = np.insert(self.at, spot[new], len(self.bytes) + np.cumsum(b - a) - (b - a))
+            self.length = np.insert(self.length, spot[new], b - a)
             self.keys = np.insert(self.keys, spot[new], distinct[new])
+            self.bytes = np.concatenate([self.bytes, data[ragged(a, b - a)]])
             self.store = [np.concatenate([old, np.frombuffer(b"".join([m[i] for m in made]), np.uint32)]) for i, old in enumerate(self.store)]
             spot = np.searchsorted(self.keys, distinct)
         length = self.size[spot][place].astype(np.int64)

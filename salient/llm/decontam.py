@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salient.llm.common import _LOWER, _powers, arrow_bytes, mix, prepare, row_key, text_or_empty
+from salient.llm.common import _LOWER, arrow_bytes, hash_runs, mix, prepare, row_key, text_or_empty
 
 #: Tokens in a window; items with fewer have one window of their own length (templates at least MIN_TOKENS).
 WINDOW = 8
@@ -46,18 +46,9 @@ _PLAIN = _U(0x504C41494E)
 _HOLDERS = np.array([0, 0x4E554D, 0x4E414D45, 0x554E4954], np.uint64)
 
 
-def _hash(raw: np.ndarray, first: np.ndarray, after: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    power, inverse = _powers(len(raw))
-    sums = np.zeros(len(raw) + 1, _U)
-    weighed = _LOWER[raw] * power[:len(raw)]
-    weighed[~inside] = 0
-    np.cumsum(weighed, out=sums[1:])
-    return mix((sums[after] - sums[first]) * inverse[first])
-
-
 def _unit_hashes() -> np.ndarray:
     data, offsets = arrow_bytes(pa.array(UNITS))
-    return np.sort(_hash(data, offsets[:-1], offsets[1:], np.ones(len(data), bool)))
+    return np.sort(hash_runs(data, offsets[:-1], offsets[1:]))
 
 
 _UNIT_HASHES = _unit_hashes()
@@ -112,7 +103,7 @@ def plain_tokens(data: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.nda
             last = kind > 0
             last[:-1] &= kind[1:] != kind[:-1]
             after = np.flatnonzero(last) + 1
-            h = _hash(raw, first, after, kind > 0)
+            h = hash_runs(_LOWER[raw], first, after)
             stops = np.concatenate([[0], np.cumsum(_STOP[raw] & (kind == 0))])
             fresh = np.empty(len(first), bool)
             fresh[0] = opening or stops[first[0]] > 0

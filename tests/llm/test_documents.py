@@ -117,6 +117,54 @@ def test_components_of_edges(spark):
     assert got == {**{i: 1 for i in range(1, 41)}, 90: 90, 95: 90, 100: 90}
 
 
+def test_components_of_a_long_chain(spark):
+    ids = list(range(1000))
+    random.Random(8).shuffle(ids)
+    chain = list(zip(ids, ids[1:]))
+    got = {r["node"]: r["label"] for r in bk.components(spark.createDataFrame(chain, "a long, b long"), "chain").collect()}
+    assert got == dict.fromkeys(range(1000), 0)
+    assert bk.components(spark.createDataFrame([], "a long, b long"), "none").count() == 0
+
+
+def test_a_chain_of_near_copies_is_one_component(spark):
+    words = [f"w{i}" for i in range(1000)]
+    ids = list(range(1, 301))
+    random.Random(9).shuffle(ids)
+    docs = [(d, " ".join(words[2 * i:2 * i + 60])) for i, d in enumerate(ids)]  # each is similar to its neighbours alone
+    got = bk.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {1} and [r["doc_id"] for r in got if r["kept"]] == [1]
+
+
+def twins(n=10):
+    """Two different words of 2^n letters whose polynomial hashes are equal modulo 2^64 for every odd radix."""
+    a = "a"
+    for _ in range(n):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_word_hashes_of_twins_differ(spark):
+    a, b = twins()
+    h, _ = common.word_hashes(*common.arrow_bytes(pa.array([a, b, a.upper()])))
+    assert h[0] != h[1] and h[0] == h[2]
+    docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert {r["component_id"] for r in bk.near_duplicates(docs).collect()} == {1, 2}
+    assert len({r["fingerprint"] for r in fp.with_fingerprint(docs).collect()}) == 2
+
+
+@pytest.mark.parametrize("size", [1, 7, 8, 9, 16, 17, 5000])
+def test_hashes_tell_words_apart_by_every_byte(size):
+    rnd = random.Random(size)
+    text = bytes(rnd.randrange(97, 123) for _ in range(size))
+    for i in rnd.sample(range(size), min(size, 40)):
+        other = text[:i] + bytes([text[i] ^ 1]) + text[i + 1:]
+        data = np.frombuffer(b"xy" + text + b" " + other + b" " + text, np.uint8)
+        at = np.array([2, 3 + size, 4 + 2 * size])
+        h = common.hash_runs(data, at, at + size)
+        assert h[0] != h[1] and h[0] == h[2]
+        assert common.differ(data, at[:1].repeat(2), at[:1].repeat(2) + size, data, at[1:], at[1:] + size).tolist() == [True, False]
+
+
 # ---- lines
 
 def plain_lines(rows, min_sites):
@@ -174,7 +222,8 @@ def test_verbatim_and_changed_questions(spark):
     items = [(10, ITEM), (11, "red blue green"), (12, "no"), (13, None), (14, ITEM)]
     got = copies_found(spark, docs, items)
     assert got[(1, 10)] is False and got[(1, 14)] is False and got[(2, 10)] is True and got[(9, 11)] is False
-    assert not {d for d, _ in got} & {3, 4, 5, 6, 7, 8}
+    assert got[(3, 10)] is False  # most of its windows are the item's, word for word
+    assert not {d for d, _ in got} & {4, 5, 6, 7, 8}
 
 
 def test_one_altered_value_leaves_the_other_windows(spark):
@@ -295,12 +344,46 @@ def test_language_model(spark, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) + 0.08 * sum(r["n_tokens"] for r in held)
 
 
-def test_every_round_reads_all_training_texts(spark, monkeypatch):
+def test_every_round_reads_all_training_tokens(spark, monkeypatch):
     read, plain = [], lm.train_round
-    monkeypatch.setattr(lm, "train_round", lambda texts, *rest: (read.append(texts.count()), plain(texts, *rest))[1])
+    monkeypatch.setattr(lm, "MOST", 3)
+    monkeypatch.setattr(lm, "train_round", lambda events, *rest: (read.append(events.agg({"times": "sum"}).first()[0]), plain(events, *rest))[1])
     docs = spark.createDataFrame([(i, f"a{i % 7} b c{i % 3}") for i in range(60)], "doc_id long, text string")
     held = sum(r["held_out"] for r in lm.language_model_scores(docs).select("held_out").collect())
-    assert 0 < held < 60 and read == [60 - held] * lm.ROUNDS
+    assert 0 < held < 60 and read == [4 * (60 - held)] * lm.ROUNDS
+
+
+def test_scores_equal_the_plain_sum(spark, monkeypatch):
+    """The score from the model's tables, token by token in plain Python."""
+    kept, plain = [], lm.train
+    monkeypatch.setattr(lm, "train", lambda *a: (kept.append((*plain(*a), a[1])), kept[-1][:2])[1])
+    monkeypatch.setattr(lm, "FREQUENT", 0.01)
+    rnd = random.Random(16)
+    docs = [(i, " ".join(rnd.choice("alpha beta gamma delta epsilon".split()) if rnd.random() < 0.8 else f"w{rnd.randint(0, 40)}" for _ in range(rnd.randint(0, 30)))) for i in range(80)]
+    got = {r["doc_id"]: r["score"] for r in lm.language_model_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    (model, norm, corpus), = kept
+    count = Counter(w for i, t in docs if zlib.crc32(str(i).encode()) % 5 != 1 for w in [*words(t), None])
+    kind = dict(zip(model.words.tolist(), model.kind.tolist()))
+    start = model.vocabulary + model.groups
+    wide, narrow = model.tables(model.weights.astype(np.float64))
+    assert abs(wide).max() > 0 and abs(narrow).max() > 0
+
+    def log10(two, one, t):
+        _, cb, wb = model.blocks(np.array([(two << 42) | (one << 21) | t]))
+        x = [sum(wide[r][j] for r in cb[0]) + model.class_bias[j] for j in range(model.classes)]
+        y = [sum(narrow[r][j] for r in wb[0]) + model.word_bias[t // lm.WIDTH][j] for j in range(lm.WIDTH)]
+        return (x[t // lm.WIDTH] - math.log(sum(map(math.exp, x))) + y[t % lm.WIDTH] - math.log(sum(map(math.exp, y)))) / math.log(10)
+
+    for i, text in docs:
+        h, g, _ = lm.token_hashes(*common.arrow_bytes(pa.array([text])))
+        total, two, one = 0.0, start, start
+        for w, x, y in zip([*words(text), None], h.tolist(), g.tolist()):
+            t = kind.get(x, model.vocabulary + (y * model.groups >> 8))
+            total += log10(two, one, t)
+            if t >= model.vocabulary:
+                total += math.log10(count[w] + 0.5) - norm[t - model.vocabulary]
+            two, one = one, t
+        assert abs(total - got[i]) < 1e-4 * max(1, abs(total))
 
 
 def test_language_model_of_odd_rows(spark):
@@ -313,29 +396,33 @@ def test_language_model_of_odd_rows(spark):
     assert lm.language_model_scores(no_docs(spark)).count() == 0
 
 
-def test_model_is_a_distribution_and_its_gradient_is_right():
+@pytest.mark.parametrize("tokens", [0, 10 ** 6, 10 ** 8, 10 ** 12])
+def test_model_is_a_distribution_and_its_gradient_is_right(tokens):
     rnd = np.random.default_rng(0)
-    h = np.sort(rnd.integers(1, 1 << 63, 500).astype(np.uint64) * np.uint64(2))
-    model = lm.initial_model(h, np.arange(500, 0, -1), np.full(lm.GROUPS, 7.0))
+    vocabulary, groups, bits = lm.sizes(tokens)
+    h = np.unique(rnd.integers(1, 1 << 63, 900).astype(np.uint64) * np.uint64(2))
+    model = lm.initial_model(h, np.arange(len(h), 0, -1), np.full(groups, 7.0), vocabulary, bits)
+    assert (model.types(h, np.zeros(len(h), np.uint16)) == np.arange(len(h))).all()  # no word of the vocabulary is lost
     model.weights[:] = rnd.normal(0, 0.3, len(model.weights))
-    t = rnd.integers(0, lm.START, 40)
+    top = vocabulary + groups
+    t = rnd.integers(0, top, 40)
     bounds = np.array([0, 3, 3, 40])
-    cb, _ = model.blocks(t, bounds)
-    total = 0.0
-    for k in range(lm.START):  # every possible fifth token
-        one = t.copy()
-        one[5] = k
-        c, w = model.blocks(one, bounds)
-        total += np.exp(model.forward(model.weights, one[5:6], c[5:6], w[5:6])[0][0])
-    assert abs(total - 1) < 1e-4
-    c, w = model.blocks(t, bounds)
-    g = lm.gradient(model, model.weights, t, c, w)
-    for spot in [int(c[5, 0]) + 3, int(w[7]) + 2, int(c[9, 2])]:
-        up, down = model.weights.astype(np.float64), model.weights.astype(np.float64)
-        up[spot] += 1e-3
-        down[spot] -= 1e-3
-        slope = (model.forward(up, t, c, w)[0].sum() - model.forward(down, t, c, w)[0].sum()) / 2e-3
-        assert abs(slope - g[spot]) < 1e-3
+    five = np.repeat(model.events(t, bounds)[5:6] >> 21 << 21, top) | np.arange(top)  # every possible sixth token
+    assert abs(np.exp(model.forward(model.weights, *model.blocks(five))[0]).sum() - 1) < 1e-4
+    assert abs((10 ** model.log10(five)).sum() - 1) < 1e-4
+    where = model.blocks(model.events(t, bounds))
+    times = rnd.integers(1, 5, len(t))
+    for k, rows, grad in lm.gradients(model, model.weights, *where, times):
+        spot, column = rnd.integers(len(rows)), rnd.integers(grad.shape[1])
+        slopes = []
+        for table_rows, table_grad in [(r, g) for kk, r, g in lm.gradients(model, model.weights, *where, times) if kk == k]:
+            slopes += table_grad[table_rows == rows[spot], column].tolist()  # one row can serve several features
+        value = []
+        for step in (1e-3, -1e-3):
+            w = model.weights.astype(np.float64)
+            model.tables(w)[k][rows[spot], column] += step
+            value.append((model.forward(w, *where)[0] * times).sum())
+        assert abs((value[0] - value[1]) / 2e-3 - sum(slopes)) < 2e-3
 
 
 # ---- fingerprints

@@ -164,3 +164,22 @@ def test_spans_table(spark):
     assert sps.round_trip(no_docs(spark), PIECES).count() == 0
     trip = sps.round_trip(docs, PIECES).join(docs.select("doc_id", "text").distinct(), "doc_id").collect()
     assert all(r["covered_bytes"] == len((r["text"] or "").encode()) for r in trip)
+
+
+def test_stretches_with_one_hash_keep_their_own_numbers():
+    from salient.llm.common import StretchCache
+
+    made = []
+
+    def make(text):
+        made.append(text)
+        return (np.frombuffer(text.encode(), np.uint8).astype(np.uint32).tobytes(),)
+
+    data = np.frombuffer(b"onetwosix" + b"x" * 5000 + b"y" + b"x" * 4999, np.uint8)
+    starts, ends = np.array([0, 3, 6, 0, 3, 9, 5009]), np.array([3, 6, 9, 3, 6, 5009, 10009])
+    cache = StretchCache(make)
+    for hashes in ([5] * 7, [5, 5, 7, 5, 5, 5, 5], [7, 5, 5, 7, 5, 7, 7]):  # in one batch, and against what is held
+        (ids,), length = cache.numbers(data, np.array(hashes, np.uint64), starts, ends)
+        assert length.tolist() == (ends - starts).tolist()
+        assert ids.astype(np.uint8).tobytes() == b"".join(data[a:b].tobytes() for a, b in zip(starts, ends))
+    assert len(set(made)) == 5
