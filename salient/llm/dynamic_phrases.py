@@ -12,8 +12,9 @@ What has reached the threshold is kept as a table of slots, one byte each: the
 step at which a phrase that hashes there first reached it.  Every task derives
 the step at which a phrase starts from the slots alone, so all tasks agree and
 each phrase is counted in exactly one full cycle.  Two phrases that share their
-slots only make one of them start early; counts and results stay exact, as all
-counts are kept under the phrase's own text.
+slots only make one of them start early.  Running counts are kept by hash, as
+arrays in the shared folder; the phrases that came to the threshold are at last
+counted by their own texts.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from salient.llm.common import arrow_bytes, filesystem, mix, prepare, text_or_empty, written
-from salient.session import scratch_path
+from salient.session import drop_scratch, scratch_path
 
 _U = np.uint64
 SHARDS = 4
@@ -39,10 +41,8 @@ _SEGMENT = 4 << 20
 #: only activates more phrases, it loses none).
 MIN_SLOTS, MAX_SLOTS = 1 << 16, 1 << 27
 _RANGES = 64
-#: Text whose phrases' hashes make one range of sums.
-RANGE_BYTES = 8 << 20
-#: Hashes (8 bytes each) that are broadcast; more of them are joined by a shuffle.
-BROADCAST_HASHES = 1 << 20
+#: Text whose phrases' hashes make one range of sums, and sums that a task holds before it deals them out.
+RANGE_BYTES, HELD = 16 << 20, 1 << 21
 _NEVER = 255
 
 _SPACE = np.zeros(256, bool)
@@ -189,9 +189,13 @@ def _numbered(keys: np.ndarray) -> tuple[np.ndarray, int]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
 
 
-def _count(seg: np.ndarray, borders: np.ndarray, langs: pa.Array, held: int, step: int, reached: list[np.ndarray | None], shards: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the active phrases of one segment; ``langs`` are its documents' languages."""
-    most = len(reached) + 1
+def _count(seg: np.ndarray, borders: np.ndarray, langs: pa.Array, held: int, most: int, reached: list[np.ndarray | None], step: int | None, shards: int) -> Iterator[tuple]:
+    """The phrases of one segment; ``langs`` are its documents' languages.
+
+    In a step: (length, hashes, counts) of the active phrases.  With ``step`` None:
+    (length, texts, languages, counts) of those whose slots in ``reached`` say that
+    they are frequent, and with length 0 the number of all words of each language.
+    """
     low = _LOWER[seg]
     stop = _BREAK[low]
     word = ~(stop | _SPACE[low])
@@ -216,27 +220,38 @@ def _count(seg: np.ndarray, borders: np.ndarray, langs: pa.Array, held: int, ste
     lang_hash = _word_hashes(pc.binary_join_element_wise("", coded.dictionary, " "))  # never of an empty string
     name_hash = _word_hashes(names)
 
+    if step is None:
+        fresh = np.bincount(lang[np.arange(len(lang)) >= held], minlength=len(coded.dictionary))
+        spoken = np.flatnonzero(fresh)
+        yield 0, pa.array([""] * len(spoken)), coded.dictionary.take(pa.array(spoken)).cast(pa.string()), fresh[spoken]
+
     # occurrences of the current length: place of the first word, number of the phrase
     at = np.arange(len(code))
     number, kinds = _numbered(lang * len(names) + code)
-    active = np.ones(len(at), bool) if step < shards else np.zeros(len(at), bool)
+    active = np.full(len(at), step is not None and step < shards)
     for n in range(1, most + 1):
         rep = np.zeros(kinds, np.int64)
         rep[number[::-1]] = at[::-1]
+        h = _phrase_hashes(lang_hash[lang[rep]], [name_hash[code[rep + j]] for j in range(n)])
+        slots = reached[n - 1] if n <= len(reached) else None
+        if slots is not None:
+            a, b = _slots(h, len(slots))
+            first_at = np.maximum(slots[a], slots[b]).astype(np.int64)
+        if step is None:
+            if slots is None:
+                return
+            active = (first_at < _NEVER)[number]
         found = np.bincount(number[active & (at + n > held)], minlength=kinds)
         some = np.flatnonzero(found)
-        h = _phrase_hashes(lang_hash[lang[rep]], [name_hash[code[rep + j]] for j in range(n)])
-        if len(some):
+        if len(some) and step is not None:
+            yield n, h[some], found[some]
+        elif len(some):
             parts = [names.take(pa.array(code[rep[some] + j])) for j in range(n)]
             phrase = parts[0] if n == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(some), n, np.int32)), coded.dictionary.take(pa.array(lang[rep[some]])).cast(pa.string()),
-                 phrase.cast(pa.string()), pa.array(h[some].view(np.int64)), pa.array(found[some].astype(np.int64))], ["len", "lang", "phrase", "h", "cnt"])
-        if n == most or reached[n - 1] is None:
+            yield n, phrase.cast(pa.string()), coded.dictionary.take(pa.array(lang[rep[some]])).cast(pa.string()), found[some]
+        if n == most or slots is None:
             return
-        slots = reached[n - 1]
-        a, b = _slots(h, len(slots))
-        when = np.maximum(slots[a], slots[b]).astype(np.int64)[number]
+        when = first_at[number]
         keep = when < _NEVER
         at, number, when = at[keep], number[keep], when[keep]
         if len(at) < 2:
@@ -250,75 +265,90 @@ def _count(seg: np.ndarray, borders: np.ndarray, langs: pa.Array, held: int, ste
         kept = at[left]
         number, kinds = _numbered(number[left] * len(names) + code[kept + n])
         at = kept
-        active = (start <= step) & (step < start + shards)
+        if step is not None:
+            active = (start <= step) & (step < start + shards)
+
 
+def _merged(h: list[np.ndarray], c: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in order and the sums of their counts, up to ``most``."""
+    keys, place = np.unique(np.concatenate(h), return_inverse=True)
+    return keys, np.minimum(np.bincount(place, weights=np.concatenate(c), minlength=len(keys)), most).astype(np.int32)
 
-_ROWS = "len int, lang string, phrase string, h long, cnt long"
 
+def _scan(shard: DataFrame, step: int, most: int, paths: list[str | None], shards: int, ranges: int, threshold: int) -> DataFrame:
+    """(n, part, h, c): counts of the phrases active in this step over one shard, by hash, as arrays of a range of hashes."""
+    bounds = np.arange(1, ranges, dtype=_U) * _U((1 << 64) // ranges)
 
-def _scan(shard: DataFrame, step: int, paths: list[str | None], shards: int) -> DataFrame:
-    """(len, lang, phrase, h, cnt) of the phrases active in this step, over one shard, counted batch by batch."""
     def run(batches):
         reached = [_load(p) for p in paths]
+        held: dict[int, tuple[list, list]] = {}
+        size = 0
+
+        def flush():
+            for n, (h, c) in held.items():
+                h, c = _merged(h, c, threshold)
+                cuts = [0, *np.searchsorted(h, bounds).tolist(), len(h)]
+                spans = [(i, a, b) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([n] * len(spans), pa.int32()), pa.array([i for i, _, _ in spans], pa.int32()),
+                    pa.array([h[a:b].tobytes() for _, a, b in spans], pa.binary()), pa.array([c[a:b].tobytes() for _, a, b in spans], pa.binary())], ["n", "part", "h", "c"])
+            held.clear()
+
         for batch in batches:
             data, offsets = arrow_bytes(batch.column("text"))
             langs = batch.column("lang")
-            for seg, borders, i, held in _segments(data, offsets):
-                yield from _count(seg, borders, langs.slice(i, len(borders) - 1), held, step, reached, shards)
+            for seg, borders, i, old in _segments(data, offsets):
+                for n, h, c in _count(seg, borders, langs.slice(i, len(borders) - 1), old, most, reached, step, shards):
+                    hs, cs = held.setdefault(n, ([], []))
+                    hs.append(h)
+                    cs.append(c)
+                    size += len(h)
+                if size > HELD:
+                    yield from flush()
+                    size = 0
+        yield from flush()
 
-    return shard.mapInArrow(run, _ROWS)
+    return shard.mapInArrow(run, "n int, part int, h binary, c binary")
 
 
-def _sums(old: tuple[np.ndarray, np.ndarray], new: tuple[np.ndarray, np.ndarray], threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, their counts up to the threshold, which of them reach it now)."""
-    h, place = np.unique(np.concatenate([old[0], new[0]]), return_inverse=True)
-    before = np.zeros(len(h), np.int64)
-    before[place[:len(old[0])]] = old[1]
-    c = before + np.bincount(place[len(old[0]):], weights=new[1], minlength=len(h)).astype(np.int64)
-    return h, np.minimum(c, threshold).astype(np.int32), (before < threshold) & (c >= threshold)
+_STATE = "h binary, c binary, reached binary, n int, part int"
 
 
-def _add_counts(rows: DataFrame, state: DataFrame | None, threshold: int, ranges: int, name: str) -> DataFrame:
-    """(part, h, c, reached): sums by hash so far, in ranges of hashes, each one row of arrays; ``reached`` are the hashes new at the threshold.
+def _add(rows: DataFrame, old: str | None, threshold: int, path: str) -> DataFrame:
+    """Sums by hash so far, one row of arrays a length and range, written to ``path``; ``reached``: the hashes that reach the threshold now.
 
-    A range's arrays are of bounded size: their number follows the input.
+    The sums so far are read where they are merged and not shuffled again.  A range's arrays are of
+    bounded size, since the number of ranges follows the input.
     """
-    def deal(batches):
-        for batch in batches:
-            h, place = np.unique(batch.column("h").to_numpy().view(_U), return_inverse=True)
-            c = np.bincount(place, weights=batch.column("cnt").to_numpy(), minlength=len(h)).astype(np.int32)
-            cuts = np.searchsorted(h >> _U(32), np.arange(ranges + 1, dtype=_U) * _U((1 << 32) // ranges))
-            cuts[-1] = len(h)
-            spans = [(i, a, b) for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in spans], pa.int32()), pa.array([h[a:b].tobytes() for _, a, b in spans], pa.binary()),
-                                              pa.array([c[a:b].tobytes() for _, a, b in spans], pa.binary()), pa.array([False] * len(spans))], ["part", "h", "c", "old"])
-
     def merge(table: pa.Table) -> pa.Table:
-        held = {True: ([np.zeros(0, _U)], [np.zeros(0, np.int32)]), False: ([np.zeros(0, _U)], [np.zeros(0, np.int32)])}
-        for h, c, old in zip(table.column("h"), table.column("c"), table.column("old")):
-            held[old.as_py()][0].append(np.frombuffer(h.as_buffer(), _U))
-            held[old.as_py()][1].append(np.frombuffer(c.as_buffer(), np.int32))
-        h, c, reached = _sums(*[tuple(np.concatenate(x) for x in held[k]) for k in (True, False)], threshold)
-        return pa.table({"part": table.column("part")[:1], "h": pa.array([h.tobytes()], pa.binary()), "c": pa.array([c.tobytes()], pa.binary()),
-                         "reached": pa.array([h[reached].tobytes()], pa.binary())})
-
-    dealt = rows.select("h", "cnt").mapInArrow(deal, "part int, h binary, c binary, old boolean")
-    if state is not None:
-        dealt = dealt.unionByName(state.select("part", "h", "c", F.lit(True).alias("old")))
-    return written(dealt.groupBy("part").applyInArrow(merge, "part int, h binary, c binary, reached binary"), name)
-
-
-def _hashes(state: DataFrame, threshold: int | None = None) -> DataFrame:
-    """(h): the hashes that reached the threshold in the last step; with ``threshold``, all that have it."""
+        n, part = table.column("n")[0].as_py(), table.column("part")[0].as_py()
+        h0, c0 = np.zeros(0, _U), np.zeros(0, np.int32)
+        if old is not None:
+            files, root = filesystem(f"{old}/n={n}/part={part}")
+            for f in files.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+                if f.path.endswith(".parquet"):
+                    held = pq.ParquetFile(files.open_input_file(f.path)).read(columns=["h", "c"])
+                    h0, c0 = np.frombuffer(held.column("h")[0].as_buffer(), _U), np.frombuffer(held.column("c")[0].as_buffer(), np.int32)
+        h, c = _merged([h0, *(np.frombuffer(x.as_buffer(), _U) for x in table.column("h"))], [c0, *(np.frombuffer(x.as_buffer(), np.int32) for x in table.column("c"))], threshold)
+        before = np.zeros(len(h), np.int32)
+        before[np.searchsorted(h, h0)] = c0
+        now = h[(c >= threshold) & (before < threshold)]
+        return pa.table({"h": pa.array([h.tobytes()], pa.binary()), "c": pa.array([c.tobytes()], pa.binary()), "reached": pa.array([now.tobytes()], pa.binary()),
+                         "n": pa.array([n], pa.int32()), "part": pa.array([part], pa.int32())})
+
+    merged = rows.groupBy("n", "part").applyInArrow(merge, _STATE)
+    merged.write.partitionBy("n", "part").parquet(path)
+    return rows.sparkSession.read.schema(_STATE).parquet(path)
+
+
+def _hashes(state: DataFrame, n: int) -> DataFrame:
+    """(h): the hashes of length ``n`` that reached the threshold in the last step."""
     def run(batches):
         for batch in batches:
-            for r, h, c in zip(*(batch.column(k) for k in ("reached", "h", "c"))):
-                found = np.frombuffer(r.as_buffer(), np.int64)
-                if threshold is not None:
-                    found = np.frombuffer(h.as_buffer(), np.int64)[np.frombuffer(c.as_buffer(), np.int32) >= threshold]
-                yield pa.RecordBatch.from_arrays([pa.array(found)], ["h"])
+            for r in batch.column("reached"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r.as_buffer(), np.int64))], ["h"])
 
-    return state.select("reached", "h", "c").mapInArrow(run, "h long")
+    return state.where(F.col("n") == n).select("reached").mapInArrow(run, "h long")
 
 
 def phrase_counts(docs: DataFrame, most: int = 3, threshold: int = 10, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
@@ -326,10 +356,10 @@ def phrase_counts(docs: DataFrame, most: int = 3, threshold: int = 10, shards: i
 
     Needs ``text`` and ``lang``; null texts are empty, null languages ``und``;
     repeated rows count each; other columns are not read.  An empty table gives
-    no rows.  Counts are exact, by the phrase's own text: hashes only decide what is
-    counted early, and which rows are left out before the last sum.  Memory of a
-    task: arrays of 4 MB of text, the slots (at most ``most - 1`` times ``MAX_SLOTS``
-    bytes), and the sums of one range of hashes.
+    no rows.  While the shards are scanned phrases are summed by hash; what
+    came to the threshold is then counted by its own text, so that phrases of one hash
+    are told apart and counts are exact.  Memory of a task: arrays of 4 MB of text,
+    the slots (at most ``most`` times ``MAX_SLOTS`` bytes), ``HELD`` sums, and the sums of one range of hashes.
     """
     if not 2 <= most <= 8 or shards < 1 or most * shards >= _NEVER:
         raise ValueError("phrases of 2 to 8 words, and fewer than 255 steps")
@@ -344,31 +374,44 @@ def phrase_counts(docs: DataFrame, most: int = 3, threshold: int = 10, shards: i
     size = all_rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots = min(MAX_SLOTS, max(MIN_SLOTS, 1 << int(size // 64).bit_length()))
 
-    ranges = max(_RANGES, int(size // RANGE_BYTES))
-    counted: list[DataFrame] = []
-    paths: list[str | None] = [None] * (most - 1)
-    states: list[DataFrame | None] = [None] * most
+    ranges = max(2 * spark.sparkContext.defaultParallelism, int(size // RANGE_BYTES))
+    paths: list[str | None] = [None] * most
+    state = None
     step, last = 0, shards - 1
     while step <= last:
         shard = all_rows.where(F.col("shard") == step % shards).select("lang", "text")
-        counted.append(written(_scan(shard, step, list(paths), shards), f"phrase-counts-{step}"))
-        for n in range(1, most + 1):
-            # phrases of n words are counted from step n - 1 to step n * shards - 1
-            if not n - 1 <= step < n * shards:
-                continue
-            states[n - 1] = _add_counts(counted[-1].where(F.col("len") == n), states[n - 1], threshold, ranges, f"phrase-sums-{n}-{step}")
-            if n < most and not states[n - 1].where(F.length("reached") > 0).isEmpty():
-                paths[n - 1] = _write_slots(spark, _hashes(states[n - 1]), f"{n}-{step}", step, paths[n - 1], slots)
+        # phrases of n words are counted from step n - 1 to step n * shards - 1; an empty row a range keeps its sums
+        lengths = [n for n in range(1, most + 1) if n - 1 <= step < n * shards]
+        none = (spark.range(len(lengths) * ranges)
+                .select(F.array(*map(F.lit, lengths))[(F.col("id") / ranges).cast("int")].alias("n"), (F.col("id") % ranges).cast("int").alias("part"),
+                        F.lit(b"").alias("h"), F.lit(b"").alias("c")))
+        rows = _scan(shard, step, most, paths[:most - 1], shards, ranges, threshold).unionByName(none)
+        now = scratch_path(spark, f"phrase-sums-{step}")
+        sums = _add(rows, state, threshold, now)
+        for n in sorted(r["n"] for r in sums.where(F.length("reached") > 0).select("n").distinct().collect()):
+            paths[n - 1] = _write_slots(spark, _hashes(sums, n), f"{n}-{step}", step, paths[n - 1], slots)
+            if n < most:
                 last = max(last, step + shards)  # what they activate starts at the next step
+        if state is not None:
+            drop_scratch(spark, state)
+        state = now
         step += 1
 
-    rows = reduce(DataFrame.unionByName, counted)
-    totals = rows.where(F.col("len") == 1).groupBy("lang").agg(F.sum("cnt").alias("n"))
-    # only rows of hashes at the threshold go to the last sum, which is by the phrases' own text
-    frequent = written(reduce(DataFrame.unionByName, [_hashes(s, threshold) for s in states if s is not None]).distinct(), "phrases-frequent-hashes")
-    kept = rows.join(F.broadcast(frequent) if frequent.count() <= BROADCAST_HASHES else frequent, "h", "left_semi")
-    counts = kept.groupBy("len", "lang", "phrase").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= threshold)
-    return written(counts, "phrases-frequent"), totals
+    def texts(batches):
+        held = [_load(p) for p in paths]
+        for batch in batches:
+            data, offsets = arrow_bytes(batch.column("text"))
+            langs = batch.column("lang")
+            for seg, borders, i, old in _segments(data, offsets):
+                for n, phrase, lang, count in _count(seg, borders, langs.slice(i, len(borders) - 1), old, most, held, None, shards):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(count), n, np.int32)), lang, phrase, pa.array(count.astype(np.int64))], ["len", "lang", "phrase", "cnt"])
+
+    # the frequent phrases' texts, counted once more by the texts themselves; length 0: all words of a language
+    found = all_rows.select("lang", "text").mapInArrow(texts, "len int, lang string, phrase string, cnt long")
+    counts = written(found.groupBy("len", "lang", "phrase").agg(F.sum("cnt").alias("cnt")).where((F.col("cnt") >= threshold) | (F.col("len") == 0)), "phrases-frequent")
+    for used in (state, path):
+        drop_scratch(spark, used)
+    return counts.where("len > 0"), counts.where("len = 0").select("lang", F.col("cnt").alias("n"))
 
 
 def collocations(docs: DataFrame, most: int = 3, threshold: int = 10, share: int = 50, top: int = 2000, shards: int = SHARDS) -> DataFrame:

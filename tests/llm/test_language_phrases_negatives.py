@@ -153,12 +153,19 @@ def test_long_texts_are_cut_between_words(monkeypatch):
     langs = pa.array(["en"] * len(texts))
     data, offsets = dp.arrow_bytes(pa.array(texts))
     slots = np.zeros(1 << 8, np.uint8)  # all reached at step 0
-    got = Counter()
-    for step in (0, 1):
-        for seg, borders, i, held in dp._segments(data, offsets):
-            for batch in dp._count(seg, borders, langs.slice(i, len(borders) - 1), held, step, [slots, slots], 1):
-                for n, _, phrase, _, c in zip(*batch.to_pydict().values()):
-                    got[(n, phrase)] += c
+    got, hashed = Counter(), Counter()
+    for seg, borders, i, held in dp._segments(data, offsets):
+        part = langs.slice(i, len(borders) - 1)
+        for n, phrases, _, counts in dp._count(seg, borders, part, held, 3, [slots] * 3, None, 1):
+            for phrase, c in zip(phrases.to_pylist(), counts):
+                got[(n, phrase)] += c
+        for step in (0, 1):
+            for n, h, counts in dp._count(seg, borders, part, held, 3, [slots, slots], step, 1):
+                assert (n > 1) == (step == 1)
+                for x, c in zip(h.tolist(), counts):
+                    hashed[(n, x)] += c
+    assert got.pop((0, "")) == sum(c for (n, _), c in got.items() if n == 1)
+    assert sorted((n, c) for (n, _), c in hashed.items()) == sorted((n, c) for (n, _), c in got.items())
     want = Counter()
     for t in texts:
         for piece in re.split(r"[.,;:!?\n\x0b\x0c\r]", t):
