@@ -63,8 +63,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{qualified(spark, ensure_checkpoint_dir(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme, so that readers outside Spark find it where Spark writes it: a bare path belongs to the default file system."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return str(hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString())
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a written table of the shared folder that no later step reads."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 PARTITION_BYTES = 64 << 20
