@@ -24,7 +24,7 @@ from salient.llm.common import fold, prepare, text_or_empty
 DICTIONARY, SHARE = 64 << 10, 2 << 10
 #: Distinct training texts of a language that are sampled: those of odd rank (by hash) go into the
 #: dictionary until it is full, those of even rank calibrate the score.
-SAMPLE = 512
+SAMPLE, SHARES = 512, 32
 #: Bytes that are encoded at once, so that a long text is judged by the dictionaries all the way through.
 BLOCK = 4 << 10
 LEVEL = 9
@@ -119,7 +119,10 @@ def learn_dictionaries(train: DataFrame) -> Dictionaries:
     if not langs:
         return Dictionaries((), ())
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    few = rows.groupBy("lang", "h").count().withColumn("rank", rank).where(F.col("rank") <= SAMPLE).groupBy("lang").agg(F.max("h").alias("last"))
+    # first within shares of a language, so that a common one is not ranked in one task
+    share = F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(SHARES))).orderBy("h"))
+    few = rows.groupBy("lang", "h").count().withColumn("rank", share).where(F.col("rank") <= SAMPLE)
+    few = few.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).groupBy("lang").agg(F.max("h").alias("last"))
     last = {r["lang"]: r["last"] for r in few.collect()}
     bound = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(last[lang]))])
     sample = rows.where(F.col("h") <= bound[F.col("lang")]).dropDuplicates(["lang", "h"]).withColumn("rank", rank)
