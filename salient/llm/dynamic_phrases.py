@@ -36,13 +36,13 @@ from salient.session import drop_scratch, scratch_path
 _U = np.uint64
 SHARDS = 4
 #: Bytes of text whose words are held as arrays at once.
-_SEGMENT = 4 << 20
+_SEGMENT = 1 << 20
 #: Slots for each reached length: one for each 64 bytes of text, within these bounds (a fuller table
 #: only activates more phrases, it loses none).
 MIN_SLOTS, MAX_SLOTS = 1 << 16, 1 << 27
 _RANGES = 64
 #: Text whose phrases' hashes make one range of sums, and sums that a task holds before it deals them out.
-RANGE_BYTES, HELD = 16 << 20, 1 << 21
+RANGE_BYTES, HELD = 16 << 20, 1 << 19
 _NEVER = 255
 
 _SPACE = np.zeros(256, bool)
@@ -88,7 +88,7 @@ def _load(path: str | None) -> np.ndarray | None:
     if path is None:
         return None
     if path not in _LOADED:
-        if len(_LOADED) > 4:
+        if len(_LOADED) > 3:
             _LOADED.clear()
         files, root = filesystem(path)
         table = pq.read_table(root, filesystem=files, columns=["part", "slots"])
@@ -307,6 +307,7 @@ def _scan(shard: DataFrame, step: int, most: int, paths: list[str | None], shard
                     yield from flush()
                     size = 0
         yield from flush()
+        pa.default_memory_pool().release_unused()
 
     return shard.mapInArrow(run, "n int, part int, h binary, c binary")
 
@@ -358,7 +359,7 @@ def phrase_counts(docs: DataFrame, most: int = 3, threshold: int = 10, shards: i
     repeated rows count each; other columns are not read.  An empty table gives
     no rows.  While the shards are scanned phrases are summed by hash; what
     came to the threshold is then counted by its own text, so that phrases of one hash
-    are told apart and counts are exact.  Memory of a task: arrays of 4 MB of text,
+    are told apart and counts are exact.  Memory of a task: arrays of 1 MB of text,
     the slots (at most ``most`` times ``MAX_SLOTS`` bytes), ``HELD`` sums, and the sums of one range of hashes.
     """
     if not 2 <= most <= 8 or shards < 1 or most * shards >= _NEVER:
