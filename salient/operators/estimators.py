@@ -1,11 +1,11 @@
 """Estimators of the perturbation explainers (E9, E10a, E10b, E11a, E12a-c).
 
-Spark side: the similarity kernel of LIME (E10a) and the Jansen total index
-(E11a) are group-by expressions.  Python side: the per-sample d x d weighted
-least-squares solves (E9, E10b) and the n x n HSIC kernel products (E12a)
-run in ``mapInPandas`` over rows partitioned and sorted by ``sample_id``
-(:func:`solve_per_sample`); one solve sees one sample's design draws, whose
-count is a parameter (never a data-dependent size).
+Each works on a block of samples at once: ``y`` is (samples, draws), the scores
+of every sample's copies, and ``z`` (draws, cells) the design they share.  What
+depends on the design alone (the Shapley solve, the centred mask signs, input
+kernels) is worked out once for a block; what depends on a sample is a product
+of its scores with that.  The similarity kernel and the Jansen index also exist
+as column expressions.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,17 +49,36 @@ def similarity_weights(draw_sums: DataFrame, mode: str, width: float, reference_
     return draw_sums.select("sample_id", "draw", *keep, F.when(total == 0, F.lit(1.0)).otherwise(sim).alias("sim"))
 
 
+def similarity_arrays(mode: str, width: float, sq: np.ndarray, xx: np.ndarray, xp: np.ndarray, pp: np.ndarray,
+                      reference_sign: bool = False) -> np.ndarray:
+    """E10a on (samples, draws) sums, as :func:`similarity_weights`."""
+    if mode == "euclidean":
+        dist = np.sqrt(np.maximum(sq, 0.0))
+    elif mode == "cosine":
+        size = np.sqrt(xx) * np.sqrt(np.maximum(pp, 0.0))
+        cos = np.divide(xp, size, out=np.zeros(np.broadcast(xp, size).shape), where=size != 0)
+        dist = 1.0 + cos if reference_sign else 1.0 - cos
+    else:
+        raise ValueError(f"unknown distance {mode!r}: cosine or euclidean")
+    w = float(width) if width > 0 else KERNEL_WIDTH_EPS
+    sim = np.exp(-(dist * dist) / max(w * w, KERNEL_WIDTH_EPS))
+    return np.where(sim.sum(1, keepdims=True) == 0, 1.0, sim)
+
+
 # --- E10b / E9 weighted least squares ------------------------------------------------------
 
-def weighted_ridge(Z: np.ndarray, y: np.ndarray, w: np.ndarray, alpha: float) -> np.ndarray:
-    """Ridge with a free intercept and sample weights (centred normal equations)."""
-    W = w.sum()
-    zbar = (w[:, None] * Z).sum(0) / W
-    ybar = (w * y).sum() / W
-    Zc, yc = Z - zbar, y - ybar
-    A = (Zc * w[:, None]).T @ Zc + alpha * np.eye(Z.shape[1])
-    b = (Zc * w[:, None]).T @ yc
-    return np.linalg.solve(A, b)
+def weighted_ridge(z: np.ndarray, y: np.ndarray, w: np.ndarray, alpha: float) -> np.ndarray:
+    """(samples, cells) ridge coefficients with a free intercept and sample weights ``w`` (samples, draws).
+
+    Each sample's sufficient statistics (weighted means, ``Z'WZ`` and ``Z'Wy``) are
+    centred normal equations, solved for all samples of the block together.
+    """
+    total = w.sum(1)
+    wz = w @ z
+    zbar, ybar = wz / total[:, None], (w * y).sum(1) / total
+    gram = np.matmul(z.T[None, :, :] * w[:, None, :], z) - wz[:, :, None] * zbar[:, None, :]
+    right = (w * y) @ z - wz * ybar[:, None]
+    return np.linalg.solve(gram + alpha * np.eye(z.shape[1]), right[:, :, None])[:, :, 0]
 
 
 def shapley_kernel_weight(m: int, k: np.ndarray) -> np.ndarray:
@@ -69,72 +87,43 @@ def shapley_kernel_weight(m: int, k: np.ndarray) -> np.ndarray:
     return (m - 1) / (comb * k * (m - k))
 
 
-def constrained_shap(Z: np.ndarray, y: np.ndarray, f_empty: float, f_full: float) -> np.ndarray:
-    """Shapley-kernel WLS with ``sum(phi) = f(x) - f(empty)`` (last coefficient eliminated)."""
-    m = Z.shape[1]
-    k = Z.sum(1)
-    keep = (k > 0) & (k < m)
-    Z, y, k = Z[keep], y[keep], k[keep]
-    w = shapley_kernel_weight(m, k)
+def shapley_solution(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the design alone decides: (draws that count, the solve as one matrix, their last column).
+
+    The last coefficient is eliminated by the constraint, so the others are
+    ``solve @ (y - f_empty - last * total)``.
+    """
+    m = z.shape[1]
+    k = z.sum(1)
+    use = (k > 0) & (k < m)
+    body, w = z[use], shapley_kernel_weight(m, k[use])
+    a = body[:, :-1] - body[:, -1:]
+    # weights span many orders of magnitude; their scale cancels
+    w = w / w.max() if len(w) else w
+    return use, np.linalg.lstsq((a * w[:, None]).T @ a, (a * w[:, None]).T, rcond=None)[0] if len(w) else np.zeros((m - 1, 0)), body[:, -1]
+
+
+def constrained_shap(z: np.ndarray, y: np.ndarray, f_empty: np.ndarray, f_full: np.ndarray) -> np.ndarray:
+    """(samples, cells) Shapley-kernel coefficients with ``sum(phi) = f(x) - f(empty)``."""
+    use, solve, last = shapley_solution(z)
     total = f_full - f_empty
-    A = Z[:, :-1] - Z[:, -1:]
-    t = y - f_empty - Z[:, -1] * total
-    G = (A * w[:, None]).T @ A
-    phi = np.linalg.lstsq(G, (A * w[:, None]).T @ t, rcond=None)[0]
-    return np.append(phi, total - phi.sum())
+    phi = (y[:, use] - f_empty[:, None] - last * total[:, None]) @ solve.T
+    return np.concatenate([phi, (total - phi.sum(1))[:, None]], axis=1)
 
 
-def complete_samples(batches, key: str = "sample_id"):
-    """Regroup sorted Arrow batches into frames of complete samples.
+# --- M8 ----------------------------------------------------------------------------------
 
-    Rows arrive clustered and sorted by ``key``; a sample cut by a batch
-    boundary is carried to the next batch, so memory holds one batch plus one
-    sample.
-    """
-    carry = None
-    for pdf in batches:
-        if carry is not None:
-            pdf = pd.concat([carry, pdf], ignore_index=True)
-        if pdf.empty:
-            carry = None
-            continue
-        last = pdf[key].iloc[-1]
-        tail = pdf[key].to_numpy() == last
-        carry = pdf[tail]
-        done = pdf[~tail]
-        if len(done):
-            yield done
-    if carry is not None and len(carry):
-        yield carry
-
-
-def solve_per_sample(rows: DataFrame, solver, dims: int, out_value: str = "coef",
-                     design_arrays: DataFrame | None = None) -> DataFrame:
-    """Run ``solver(pdf) -> coefficients[dims]`` once per sample.
-
-    ``rows`` holds the small per-draw values (scores, weights).  They are
-    hash-partitioned by ``sample_id`` (the only shuffle, of scalar rows), the
-    parameter-sized ``design_arrays(draw, z)`` are attached afterwards by a
-    broadcast join, and rows are sorted by (sample, draw) inside each partition.
-    ``mapInPandas`` then walks complete samples batch by batch (see
-    :func:`complete_samples`): no per-group task or Arrow round trip, and no
-    group larger than one sample's draws is formed.
-    """
-    def run(batches):
-        for frame in complete_samples(batches):
-            ids, outs = [], []
-            for sid, pdf in frame.groupby("sample_id", sort=False):
-                ids.append(np.full(dims, sid, dtype=np.int64))
-                outs.append(np.asarray(solver(pdf), dtype=float))
-            yield pd.DataFrame({"sample_id": np.concatenate(ids),
-                                "cell": np.tile(np.arange(dims, dtype=np.int32), len(ids)),
-                                out_value: np.concatenate(outs)})
-
-    ordered = rows.repartition("sample_id")
-    if design_arrays is not None:
-        ordered = ordered.join(F.broadcast(design_arrays), "draw")
-    ordered = ordered.sortWithinPartitions("sample_id", "draw")
-    return ordered.mapInPandas(run, f"sample_id long, cell int, {out_value} double")
+def spearman_arrays(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """M8 on (samples, n) arrays: ordinal Spearman of each row, ties ranked by place; NaN for n < 2."""
+    n = a.shape[1]
+    if n < 2:
+        return np.full(len(a), np.nan)
+    ranks = []
+    for v in (a, b):
+        rank = np.empty(v.shape, np.int64)
+        np.put_along_axis(rank, np.argsort(v, axis=1, kind="stable"), np.arange(n)[None, :], axis=1)
+        ranks.append(rank)
+    return 1.0 - 6.0 * ((ranks[0] - ranks[1]) ** 2).sum(1) / (n * (float(n) * n - 1.0))
 
 
 # --- E11a Jansen -------------------------------------------------------------------------
@@ -145,6 +134,14 @@ def jansen_total_index(ya: Column, yc: Column, n: int) -> Column:
     return num / F.nullif(F.lit(2.0 * n) * F.var_samp(ya), F.lit(0.0))
 
 
+def jansen_arrays(ya: np.ndarray, yc: np.ndarray) -> np.ndarray:
+    """(samples, cells) total indices from (samples, draws) and (samples, cells, draws) scores; NaN when yA is constant."""
+    n = ya.shape[1]
+    spread = 2.0 * n * ya.var(1, ddof=1) if n > 1 else np.zeros(len(ya))
+    num = ((ya[:, None, :] - yc) ** 2).sum(2)
+    return np.divide(num, spread[:, None], out=np.full(num.shape, np.nan), where=spread[:, None] != 0)
+
+
 # --- E12 HSIC ------------------------------------------------------------------------------
 
 INPUT_RBF_WIDTH = 0.5  # fixed: width of the RBF input kernel
@@ -162,7 +159,7 @@ def input_kernel(kind: str):
 
 
 def output_rbf(y: np.ndarray) -> np.ndarray | None:
-    """RBF kernel of the outputs with width = median (linear interpolation); None if 0."""
+    """RBF kernel of one sample's outputs with width = median (linear interpolation); None if 0."""
     width = float(np.percentile(y, 50.0))
     if width == 0.0:
         return None
@@ -170,18 +167,36 @@ def output_rbf(y: np.ndarray) -> np.ndarray | None:
     return np.exp(-(d * d) / (2.0 * width * width))
 
 
-def hsic_scores(M: np.ndarray, y: np.ndarray, kind: str) -> np.ndarray:
-    """``(1/n) sum (H K_i H) o (H L H)^T`` for every mask coordinate i (K = 1 + k_in)."""
-    n, d = M.shape
-    L = output_rbf(y)
-    if L is None:
-        return np.full(d, np.nan)
-    H = np.eye(n) - 1.0 / n
-    Lc = H @ L @ H
-    k = input_kernel(kind)
-    out = np.empty(d)
-    for i in range(d):
-        col = M[:, i]
-        K = 1.0 + k(col[:, None], col[None, :])
-        out[i] = float(np.sum((H @ K @ H) * Lc.T)) / n
+def centred(k: np.ndarray) -> np.ndarray:
+    """``H K H`` with ``H = I - 1/n``."""
+    return k - k.mean(0) - k.mean(1)[:, None] + k.mean()
+
+
+def hsic_scores(z: np.ndarray, y: np.ndarray, kind: str) -> np.ndarray:
+    """``(1/n) sum (H K_i H) o (H L H)`` for every sample and mask coordinate i (K = 1 + k_in); NaN for a width of 0.
+
+    On a binary mask any kernel is ``a + b (s + s') + g s s'`` with the signs
+    ``s = 2 z - 1``; centring leaves ``g (Hs)(Hs)'``, so the score is the one
+    quadratic form ``g (Hs)' L (Hs) / n``.  For real masks the centred input
+    kernels are tables of the design, made once for all samples of the block.
+    """
+    n, d = z.shape
+    kernel = input_kernel(kind)
+    ls = [output_rbf(row) for row in y]
+    out = np.full((len(y), d), np.nan)
+    some = [i for i, k in enumerate(ls) if k is not None]
+    if not some:
+        return out
+    if np.isin(z, (0.0, 1.0)).all():
+        at = lambda a, b: float(kernel(np.array([[a]]), np.array([[b]]))[0, 0])
+        g = (at(1.0, 1.0) + at(0.0, 0.0) - at(0.0, 1.0) - at(1.0, 0.0)) / 4.0
+        s = 2.0 * z - 1.0
+        s = s - s.mean(0)
+        for i in some:
+            out[i] = g * (s * (ls[i] @ s)).sum(0) / n
+        return out
+    flat = np.stack([centred(ls[i]).reshape(-1) for i in some])
+    for c in range(d):
+        k = centred(1.0 + kernel(z[:, c][:, None], z[:, c][None, :]))
+        out[some, c] = flat @ k.reshape(-1) / n
     return out

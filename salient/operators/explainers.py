@@ -8,25 +8,24 @@ the per-position weight column ``wv[pos]`` and a dot product, so every
 gradient explainer is a per-sample, shuffle-free projection after the logits.
 Averages over paths / noise draws are averages of the coefficient arrays.
 
-Perturbation family (E7-E12) scores designs through :mod:`salient.operators.perturb`.
+The perturbation family (E8-E12) scores designs row by row through
+:mod:`salient.operators.copies`; occlusion (E7) through :mod:`salient.operators.perturb`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import numpy as np
 from salient.functions.arrays import let, to_array
 from salient.functions.hashing import hash_normal
-from salient.operators.designs import binary_design, sobol_ab, sobol_design, uniform_design
-from salient.operators.estimators import (constrained_shap, hsic_scores, jansen_total_index,
-                                          similarity_weights, solve_per_sample, weighted_ridge)
-from salient.operators.masking import (Shape, bicubic_weights, box_blur, grid_cell, patch_positions,
-                                      resize_bicubic)
-from salient.operators.perturb import (BASE_CELL, clean_scores, design_logits, design_scores,
-                                       relative_contributions)
-from salient.operators.scoring import LinearSoftmaxModel, maybe_broadcast, prob_from_relative
+from salient.operators.copies import VALUES, blurred, design_rows, estimate_rows, grid_cells
+from salient.operators.designs import binary_design, replicated_design, sobol_ab, sobol_design, uniform_design
+from salient.operators.estimators import (constrained_shap, hsic_scores, jansen_arrays, similarity_arrays, weighted_ridge)
+from salient.operators.masking import Shape, bicubic_matrix, patch_positions
+from salient.operators.perturb import clean_scores, design_scores, relative_contributions
+from salient.operators.scoring import LinearSoftmaxModel, maybe_broadcast
 
 # Benchmark settings of the explainers (fixed values of the published benchmark).
 SMOOTHGRAD = dict(nb_samples=175, sigma=0.11)
@@ -231,14 +230,6 @@ def _input_rows(samples: DataFrame, targets: DataFrame, shape: Shape) -> DataFra
             .withColumn("pix", (F.col("pos") / F.lit(shape.c)).cast("int")))
 
 
-def _to_positions(cell_values: DataFrame, spark: SparkSession, shape: Shape, cell_of_pix, value: str) -> DataFrame:
-    """Spread ``(sample_id, cell, value)`` over the positions of each cell (broadcast map)."""
-    seg = (spark.range(shape.size).select(F.col("id").cast("int").alias("pos"))
-           .withColumn("cell", cell_of_pix((F.col("pos") / F.lit(shape.c)).cast("int"))))
-    return (cell_values.join(F.broadcast(seg), "cell")
-            .select("sample_id", "pos", F.col(value).alias("e")))
-
-
 def occlusion(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame, shape: Shape,
               patch_size: int = 5, patch_stride: int = 3, occlusion_value: float = 0.0) -> DataFrame:
     """Score drop of sliding patches, averaged over the patches covering a position (0 if none)."""
@@ -260,235 +251,190 @@ def occlusion(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame,
             .agg(F.coalesce(F.sum("v") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("e")))
 
 
-def rise(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame, shape: Shape,
+def _array_rows(samples: DataFrame, targets: DataFrame) -> DataFrame:
+    return samples.select("sample_id", F.col("x").cast("array<double>").alias("x")).join(targets.select("sample_id", "target"), "sample_id")
+
+
+def _long(maps: DataFrame) -> DataFrame:
+    return maps.select("sample_id", F.posexplode("e").alias("pos", "e"))
+
+
+def rise(model, samples: DataFrame, targets: DataFrame, shape: Shape,
          nb_samples: int = 8000, grid_size: int = 10, preservation_probability: float = 0.5,
          mask_value: float = 0.0, seed: int = 0) -> DataFrame:
-    """``map(pos) = sum_k m_k(pos) y_k / sum_k m_k(pos)`` over random cell masks."""
-    spark = samples.sparkSession
-    cell_of = lambda pix: grid_cell(pix, shape, grid_size)
-    rows = _input_rows(samples, targets, shape).withColumn("cell", cell_of(F.col("pix")))
-    design = binary_design(spark, nb_samples, grid_size * grid_size, preservation_probability, seed)
-    contrib = relative_contributions(model, rows, F.lit(float(mask_value)))
-    scores = design_scores(contrib, design.withColumn("drop", F.lit(1.0) - F.col("m")), nb_samples)
-    kept = F.broadcast(design.filter(F.col("m") == 1.0).select("draw", "cell"))
-    times_kept = F.broadcast(kept.groupBy("cell").agg(F.count(F.lit(1)).alias("k")))
-    num = (scores.join(kept, "draw").select("sample_id", "cell", "score")
-           .unionByName(rows.select("sample_id", "cell", F.lit(0.0).alias("score")))
-           .groupBy("sample_id", "cell").agg(F.sum("score").alias("num")))
-    cell_map = (num.join(times_kept, "cell", "left")
-                .select("sample_id", "cell", F.coalesce(F.col("num") / F.col("k"), F.lit(0.0)).alias("v")))
-    return _to_positions(cell_map, spark, shape, cell_of, "v")
-
-
-def _draw_arrays(design: DataFrame, name: str = "z") -> DataFrame:
-    """``(draw, z ARRAY)`` of a design, ordered by cell; broadcast (parameter-sized)."""
-    return F.broadcast(to_array(design, "m", name, keys=("draw",), pos_col="cell"))
-
-
-def _segmented(rows: DataFrame, shape: Shape, grid_size: int | None, segments: list[int] | None):
-    """``(cell_of, number of cells, rows with their cell)`` for a grid, given segments, or single pixels.
-
-    ``segments`` is a parameter of the explainer: one number from 0 on for each
-    of the ``h * w`` pixels.
+    """``map(pos) = sum_k m_k(pos) y_k / sum_k m_k(pos)`` over random cell masks (0 where no mask keeps a cell).
+
+    ``model`` is a linear-softmax model or a batch function (S3), as in all that follow.
+    """
+    design = design_rows(binary_design(samples.sparkSession, nb_samples, grid_size * grid_size, preservation_probability, seed))
+
+    def estimate(y, clean, block):
+        kept = block.z.sum(0)
+        return (np.divide(y @ block.z, kept, out=np.zeros((len(y), len(kept))), where=kept > 0))[:, block.cells]
+
+    return _long(estimate_rows(_array_rows(samples, targets), model, design, estimate, grid_cells(shape, grid_size), mask_value))
+
+
+def _segmented(samples: DataFrame, targets: DataFrame, shape: Shape, grid_size: int | None, segments):
+    """``(rows, cell of every position or None, number of cells)`` for a grid, given segments, or single pixels.
+
+    ``segments`` is one number from 0 on for each of the ``h * w`` pixels, or a
+    table ``(sample_id, pix, cell)`` with a map of its own for every sample; the
+    samples' maps may have different numbers of cells.
     """
+    rows = _array_rows(samples, targets)
+    if isinstance(segments, DataFrame):
+        # one sample's own map, bounded by its size; the most cells of any sample is one number
+        maps = to_array(segments.select("sample_id", "pix", F.col("cell").cast("int").alias("cell")), "cell", "own", pos_col="pix")
+        most = segments.agg(F.max("cell")).first()[0]
+        if most is None:
+            raise ValueError("the segment table is empty")
+        spread = F.flatten(F.transform("own", lambda c: F.array_repeat(c, shape.c)))
+        missing = F.raise_error(F.concat(F.lit("sample "), F.col("sample_id").cast("string"), F.lit(" has no segment map")))
+        rows = rows.join(maps, "sample_id", "left").withColumn("cells", F.when(F.col("own").isNull(), missing).otherwise(spread)).drop("own")
+        return rows, None, int(most) + 1
     if segments is not None:
         if len(segments) != shape.h * shape.w:
             raise ValueError(f"{len(segments)} segment numbers for {shape.h * shape.w} pixels")
-        numbers = F.array(*[F.lit(int(c)) for c in segments])
-        cell_of, dims = (lambda pix: F.element_at(numbers, pix.cast("int") + 1)), max(segments) + 1
-    elif grid_size:
-        cell_of, dims = (lambda pix: grid_cell(pix, shape, grid_size)), grid_size * grid_size
-    else:
-        cell_of, dims = (lambda pix: pix.cast("int")), shape.h * shape.w
-    return cell_of, dims, rows.withColumn("cell", cell_of(F.col("pix")))
+        return rows, np.repeat(np.asarray(segments, int), shape.c), max(segments) + 1
+    if grid_size:
+        return rows, grid_cells(shape, grid_size), grid_size * grid_size
+    return rows, np.repeat(np.arange(shape.h * shape.w), shape.c), shape.h * shape.w
+
 
+def lime_sums(block, ref: float) -> dict[str, np.ndarray]:
+    """Squared distance, norms and product of every copy and its input, from sums over cells."""
+    r, drop = float(ref), 1.0 - block.z.T
+    xx = (block.x ** 2).sum(1)[:, None]
+    return {"sq": block.per_cell((block.x - r) ** 2) @ drop, "xx": xx,
+            "xp": xx + block.per_cell(block.x * r - block.x ** 2) @ drop, "pp": xx + block.per_cell(r * r - block.x ** 2) @ drop}
 
-def lime(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame, shape: Shape,
+
+def lime(model, samples: DataFrame, targets: DataFrame, shape: Shape,
          nb_samples: int = 2000, grid_size: int | None = None, distance_mode: str = "cosine",
          kernel_width: float = 46.0, alpha: float = 2.0, prob: float = 0.5, ref_value: float | None = None,
-         reference_sign: bool = False, seed: int = 0, segments: list[int] | None = None) -> DataFrame:
+         reference_sign: bool = False, seed: int = 0, segments=None, kernel=None) -> DataFrame:
     """Weighted ridge of the target score on binary cell samples (D7 -> D13 -> D10 -> E10a -> E10b).
 
     ``ref_value`` defaults to 0.5 for 3-channel inputs and 0 otherwise.
-    Segments are a g x g grid, or the given segment number of every pixel, or
-    (by default) every pixel by itself, whatever the shape of the input.
+    Segments are a g x g grid, the given segment number of every pixel, a table
+    of maps for each sample, or (by default) every pixel by itself.  ``kernel``,
+    where given, takes the place of the similarity kernel: a function of the arrays
+    ``sq, xx, xp, pp`` (samples x draws).
     """
-    spark = samples.sparkSession
-    cell_of, dims, rows = _segmented(_input_rows(samples, targets, shape), shape, grid_size, segments)
+    rows, cells, dims = _segmented(samples, targets, shape, grid_size, segments)
     ref = ref_value if ref_value is not None else (0.5 if shape.c == 3 else 0.0)
-    design = binary_design(spark, nb_samples, dims, prob, seed)
-    contrib = relative_contributions(model, rows, F.lit(float(ref)))
-    per_draw = _scores_with_sums(contrib, lime_cell_sums(rows, ref),
-                                 design.withColumn("drop", F.lit(1.0) - F.col("m")), nb_samples)
-    fit_rows = similarity_weights(per_draw, distance_mode, kernel_width, reference_sign, keep=("score",))
+    design = design_rows(binary_design(samples.sparkSession, nb_samples, dims, prob, seed))
 
-    def solver(pdf):
-        Z = np.stack(pdf["z"].to_numpy())
-        return weighted_ridge(Z, pdf["score"].to_numpy(), pdf["sim"].to_numpy(), alpha)
+    def estimate(y, clean, block):
+        out, step = [], max(1, VALUES // max(1, block.z.size))
+        sums = lime_sums(block, ref)
+        sim = kernel(**sums) if kernel else similarity_arrays(distance_mode, kernel_width, reference_sign=reference_sign, **sums)
+        for a in range(0, len(y), step):
+            out.append(weighted_ridge(block.z, y[a:a + step], sim[a:a + step], alpha))
+        return np.concatenate(out)[:, block.cells]
 
-    coefs = solve_per_sample(fit_rows, solver, dims, design_arrays=_draw_arrays(design))
-    return _to_positions(coefs, spark, shape, cell_of, "coef")
+    return _long(estimate_rows(rows, model, design, estimate, cells, ref))
 
 
-# Pseudo classes carrying the distance sums of LIME through the design aggregation.
-SUM_CLASSES = {"sq": -2, "xp": -3, "pp": -4, "xx": -5}
+def lime_similarity(samples: DataFrame, shape: Shape, nb_samples: int = 2000, grid_size: int | None = None, distance_mode: str = "cosine",
+                    kernel_width: float = 46.0, prob: float = 0.5, ref_value: float = 0.0, reference_sign: bool = False, seed: int = 0) -> DataFrame:
+    """E10a as a report: ``(sample_id, draw, sim)`` of every LIME draw (no model is asked)."""
+    rows, cells, dims = _segmented(samples, samples.select("sample_id", F.lit(0).alias("target")), shape, grid_size, None)
+    design = design_rows(binary_design(samples.sparkSession, nb_samples, dims, prob, seed))
 
+    def estimate(y, clean, block):
+        return similarity_arrays(distance_mode, kernel_width, reference_sign=reference_sign, **lime_sums(block, ref_value))
 
-def lime_cell_sums(rows: DataFrame, ref: float) -> DataFrame:
-    """Per-cell terms of the distance sums as pseudo-class contributions.
+    sims = estimate_rows(rows, lambda x: np.ones((len(x), 1)), design, estimate, cells, ref_value, name="sim")
+    return sims.select("sample_id", F.posexplode("sim").alias("draw", "sim"))
 
-    Every sum is linear in the drops: ``sq = sum drop*(x-r)^2``,
-    ``x.x' = |x|^2 - sum drop*(x^2 - x r)``, ``|x'|^2 = |x|^2 - sum drop*(x^2 - r^2)``.
-    One aggregation per (sample, cell) feeds all of them; ``|x|^2`` (a window
-    sum over the sample's cells, no extra shuffle) enters once per sample as
-    always-on rows for ``xp``, ``pp`` and ``xx``.
-    """
-    r = F.lit(float(ref))
-    cells = (rows.groupBy("sample_id", "cell")
-             .agg(F.sum((F.col("x") - r) ** 2).alias("sq"),
-                  F.sum(F.col("x") * r - F.col("x") ** 2).alias("xp"),
-                  F.sum(r * r - F.col("x") ** 2).alias("pp"),
-                  F.sum(F.col("x") ** 2).alias("xc")))
-    w = Window.partitionBy("sample_id")
-    cells = (cells.withColumn("xx", F.sum("xc").over(w))
-             .withColumn("first", F.col("cell") == F.min("cell").over(w)))
-    per_cell = [F.struct(F.col("cell").alias("cell"), F.lit(SUM_CLASSES[n]).alias("cls"), F.col(n).alias("c"))
-                for n in ("sq", "xp", "pp")]
-    base = [F.struct(F.lit(BASE_CELL).alias("cell"), F.lit(SUM_CLASSES[n]).alias("cls"), F.col("xx").alias("c"))
-            for n in ("xp", "pp", "xx")]
-    items = F.when(F.col("first"), F.array(*per_cell, *base)).otherwise(F.array(*per_cell))
-    return cells.select("sample_id", F.explode(items).alias("t")).select("sample_id", "t.cell", "t.cls", "t.c")
-
-
-def _scores_with_sums(contrib: DataFrame, sums: DataFrame, design: DataFrame, draws: int) -> DataFrame:
-    """``(sample_id, draw, score, sq, xx, xp, pp)`` from one design aggregation."""
-    z = design_logits(contrib.unionByName(sums), design, draws)
-    real = F.col("cls") >= 0
-    aggs = [(F.lit(1.0) / (F.lit(1.0) + F.coalesce(F.sum(F.when(real, F.exp(F.col("z")))), F.lit(0.0)))).alias("score")]
-    aggs += [F.coalesce(F.sum(F.when(F.col("cls") == k, F.col("z"))), F.lit(0.0)).alias(n) for n, k in SUM_CLASSES.items()]
-    return z.groupBy("sample_id", "draw").agg(*aggs)
-
-
-def kernel_shap(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame, shape: Shape,
+
+def kernel_shap(model, samples: DataFrame, targets: DataFrame, shape: Shape,
                 nb_samples: int = 400, grid_size: int | None = None, ref_value: float = 0.0,
-                seed: int = 0, segments: list[int] | None = None) -> DataFrame:
+                seed: int = 0, segments=None) -> DataFrame:
     """Shapley-kernel weighted regression with the efficiency constraint (segments as in :func:`lime`).
 
     Coalitions are Bernoulli(1/2) over cells; the empty and full coalitions
-    (infinite kernel weight) are scored separately and enter as the
+    (infinite kernel weight) are the last two copies and enter as the
     constraint ``sum(phi) = f(x) - f(empty)``.
     """
     spark = samples.sparkSession
-    cell_of, dims, rows = _segmented(_input_rows(samples, targets, shape), shape, grid_size, segments)
-    coalitions = binary_design(spark, nb_samples, dims, 0.5, seed)
-    ends = _grid_design(spark, [nb_samples, nb_samples + 1], dims).withColumn(
-        "m", F.when(F.col("draw") == nb_samples, 0.0).otherwise(1.0))
-    design = coalitions.unionByName(ends)
-    contrib = relative_contributions(model, rows, F.lit(float(ref_value)))
-    fit_rows = design_scores(contrib, design.withColumn("drop", F.lit(1.0) - F.col("m")), nb_samples + 2)
-
-    def solver(pdf):
-        Z = np.stack(pdf["z"].to_numpy())
-        y = pdf["score"].to_numpy()
-        d = pdf["draw"].to_numpy()
-        f_empty, f_full = y[d == nb_samples][0], y[d == nb_samples + 1][0]
-        body = d < nb_samples
-        return constrained_shap(Z[body], y[body], f_empty, f_full)
+    rows, cells, dims = _segmented(samples, targets, shape, grid_size, segments)
+    ends = (spark.range(2 * dims).select((nb_samples + F.floor(F.col("id") / dims)).cast("int").alias("draw"), (F.col("id") % dims).cast("int").alias("cell"))
+            .withColumn("m", F.when(F.col("draw") == nb_samples, 0.0).otherwise(1.0)))
+    design = design_rows(binary_design(spark, nb_samples, dims, 0.5, seed).unionByName(ends))
 
-    coefs = solve_per_sample(fit_rows, solver, dims, design_arrays=_draw_arrays(design))
-    return _to_positions(coefs, spark, shape, cell_of, "coef")
+    def estimate(y, clean, block):
+        return constrained_shap(block.z[:-2], y[:, :-2], y[:, -2], y[:, -1])[:, block.cells]
 
+    return _long(estimate_rows(rows, model, design, estimate, cells, ref_value))
 
-def _grid_design(spark: SparkSession, draws: list[int], dims: int) -> DataFrame:
-    return (spark.createDataFrame([(d,) for d in draws], "draw INT")
-            .withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(dims - 1)))))
 
-
-def perturbation_rows(rows: DataFrame, shape: Shape, perturbation: str):
-    """D10/D11 for the GSA explainers: ``(rows, replacement)`` for ``x*m + replacement*(1-m)``.
+def _replacement(shape: Shape, perturbation):
+    """D10/D11 for the GSA explainers: what ``x m + replacement (1 - m)`` takes.
 
     ``inpainting`` and ``amplitude`` scale the input by the mask (replacement 0);
-    ``blurring`` replaces dropped cells by the 3x3 box blur of the input.
+    ``blurring`` replaces dropped cells by the 3x3 box blur of the input; a
+    function of a batch of inputs gives any other replacement.
     """
+    if callable(perturbation):
+        return perturbation
     if perturbation in ("inpainting", "amplitude"):
-        return rows, F.lit(0.0)
+        return 0.0
     if perturbation == "blurring":
-        blur = box_blur(rows.select("sample_id", "pos", "x"), shape, 1)
-        return rows.join(blur, ["sample_id", "pos"]), F.col("blur")
-    raise ValueError(f"unknown perturbation {perturbation!r}: inpainting, blurring or amplitude")
+        return lambda x: blurred(x, shape)
+    raise ValueError(f"unknown perturbation {perturbation!r}: inpainting, blurring or amplitude, or a function")
 
 
-def sobol_attribution(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame, shape: Shape,
+def sobol_attribution(model, samples: DataFrame, targets: DataFrame, shape: Shape,
                       grid_size: int = 11, nb_design: int = 32, sampler: str = "sobol", seed: int = 0,
-                      perturbation: str = "inpainting") -> DataFrame:
+                      perturbation="inpainting") -> DataFrame:
     """Total-order Sobol indices of the cells (Jansen), bicubic-resized to the map.
 
-    A and C_i = A with cell i from B are scored (B itself is never used by the
-    estimator, R3).  Copy i of C differs from A in one cell, so its relative
-    logits are ``r_A + (a_i - b_i) * C_i`` with C_i the cell contribution;
-    the per-sample contribution map travels as one small map column.
+    A and C_i = A with cell i from B are scored as one design of
+    ``nb_design * (cells + 1)`` draws (B itself is never used by the estimator, R3).
     """
     if nb_design & (nb_design - 1):
         raise ValueError("nb_design must be a power of two")
     spark = samples.sparkSession
     dims = grid_size * grid_size
-    cell_of = lambda pix: grid_cell(pix, shape, grid_size)
-    rows = _input_rows(samples, targets, shape).withColumn("cell", cell_of(F.col("pix")))
     if sampler == "sobol":
         a, b = sobol_ab(spark, nb_design, dims)
     else:
         a, b = uniform_design(spark, nb_design, dims, seed), uniform_design(spark, nb_design, dims, seed + 1)
-    rows, replacement = perturbation_rows(rows, shape, perturbation)
-    contrib = relative_contributions(model, rows, replacement)
-    za = design_logits(contrib, a.withColumn("drop", F.lit(1.0) - F.col("m")), nb_design)
-    # one map per sample, keyed by cls * dims + cell (classes x cells entries): joined on
-    # sample_id alone, so it meets the design logits in their own partitioning
-    cmap = (contrib.filter(F.col("cell") >= 0)
-            .groupBy("sample_id")
-            .agg(F.map_from_entries(F.collect_list(F.struct((F.col("cls") * dims + F.col("cell")).alias("k"), "c")))
-                 .alias("cm")))
-    delta = (a.select("draw", "cell", F.col("m").alias("ma"))
-             .join(F.broadcast(b.select("draw", "cell", F.col("m").alias("mb"))), ["draw", "cell"])
-             .select("draw", F.col("cell").alias("rep"), (F.col("ma") - F.col("mb")).alias("dl")))
-    ci = F.element_at("cm", F.col("cls") * dims + F.col("rep"))
-    zc = (za.join(cmap, "sample_id")
-          .join(F.broadcast(delta), "draw")
-          .select("sample_id", "draw", "rep", "cls", F.col("z").alias("za"),
-                  (F.col("z") + F.col("dl") * F.coalesce(ci, F.lit(0.0))).alias("zc")))
-    y = zc.groupBy("sample_id", "draw", "rep").agg(prob_from_relative("za").alias("ya"),
-                                                   prob_from_relative("zc").alias("yc"))
-    sti = (y.groupBy("sample_id", F.col("rep").alias("cell"))
-           .agg(jansen_total_index(F.col("ya"), F.col("yc"), nb_design).alias("v")))
-    heat = resize_bicubic(sti, bicubic_weights(spark, grid_size, shape))
-    return heat.select("sample_id", F.col("pix").alias("pos"), F.col("v").alias("e"))
-
-
-def hsic_attribution(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame, shape: Shape,
+    blocks = replicated_design(a, b, dims).where("block <> 'B'")
+    design = design_rows(blocks.select(((F.col("rep") + 1) * nb_design + F.col("draw")).cast("int").alias("draw"), "cell", "m"))
+    resize = bicubic_matrix(grid_size, shape)
+
+    def estimate(y, clean, block):
+        return jansen_arrays(y[:, :nb_design], y[:, nb_design:].reshape(len(y), dims, nb_design)) @ resize.T
+
+    return _long(estimate_rows(_array_rows(samples, targets), model, design, estimate, grid_cells(shape, grid_size), _replacement(shape, perturbation)))
+
+
+def hsic_attribution(model, samples: DataFrame, targets: DataFrame, shape: Shape,
                      grid_size: int = 11, nb_design: int = 500, kernel: str = "binary",
-                     sampler: str = "sobol", seed: int = 0, perturbation: str = "inpainting") -> DataFrame:
+                     sampler: str = "sobol", seed: int = 0, perturbation="inpainting", binary: bool = True) -> DataFrame:
     """HSIC between each cell's mask and the target score, bicubic-resized to the map.
 
-    Binary masks (rounded Sobol points, or hash Bernoulli draws), inpainting
-    perturbation; the n x n kernel products of one sample run in
-    ``applyInPandas`` (the group is that sample's ``nb_design`` draws).
+    Masks are Sobol points or hash uniforms, rounded to 0 and 1 unless
+    ``binary`` is off (for the RBF and Sobolev kernels).  A score that is undefined (output
+    kernel of width 0) is NULL.
     """
     spark = samples.sparkSession
     dims = grid_size * grid_size
-    cell_of = lambda pix: grid_cell(pix, shape, grid_size)
-    rows = _input_rows(samples, targets, shape).withColumn("cell", cell_of(F.col("pix")))
     if sampler == "sobol":
-        design = sobol_design(spark, nb_design, dims, binary=True)
+        masks = sobol_design(spark, nb_design, dims, binary=binary)
     else:
-        design = binary_design(spark, nb_design, dims, 0.5, seed)
-    rows, replacement = perturbation_rows(rows, shape, perturbation)
-    contrib = relative_contributions(model, rows, replacement)
-    fit_rows = design_scores(contrib, design.withColumn("drop", F.lit(1.0) - F.col("m")), nb_design)
-
-    def solver(pdf):
-        return hsic_scores(np.stack(pdf["z"].to_numpy()), pdf["score"].to_numpy(), kernel)
-
-    cells = solve_per_sample(fit_rows, solver, dims, out_value="v", design_arrays=_draw_arrays(design))
-    # an undefined score (output kernel of width 0) is NULL, so that summaries count it as undefined
-    cells = cells.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
-    heat = resize_bicubic(cells, bicubic_weights(spark, grid_size, shape))
-    return heat.select("sample_id", F.col("pix").alias("pos"), F.col("v").alias("e"))
+        masks = binary_design(spark, nb_design, dims, 0.5, seed) if binary else uniform_design(spark, nb_design, dims, seed)
+    design = design_rows(masks)
+    resize = bicubic_matrix(grid_size, shape)
+
+    def estimate(y, clean, block):
+        out, step = [], max(1, VALUES // max(1, nb_design * nb_design))
+        for a in range(0, len(y), step):
+            out.append(hsic_scores(block.z, y[a:a + step], kernel))
+        return np.concatenate(out) @ resize.T
+
+    return _long(estimate_rows(_array_rows(samples, targets), model, design, estimate, grid_cells(shape, grid_size), _replacement(shape, perturbation)))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -160,6 +161,17 @@ def bicubic_weights(spark: SparkSession, grid: int, shape: Shape) -> DataFrame:
     return F.broadcast(spark.createDataFrame(data, "cell INT, pix INT, weight DOUBLE"))
 
 
+def bicubic_matrix(grid: int, shape: Shape) -> np.ndarray:
+    """D14 as a dense matrix (positions x cells) for arrays: the product of the two axes' weights."""
+    axes = []
+    for size in (shape.h, shape.w):
+        m = np.zeros((size, grid))
+        for o, i, wv in _axis_weights(size, grid):
+            m[o, i] += wv
+        axes.append(m)
+    return np.kron(*axes)
+
+
 def resize_bicubic(cell_map: DataFrame, weights: DataFrame, keys=("sample_id",), value: str = "v") -> DataFrame:
     """``(keys, cell, v)`` -> ``(keys, pix, v)``."""
     return (cell_map.join(weights, "cell")

@@ -10,15 +10,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from salient.functions.arrays import channel_reduce, entropy, gini
 from salient.functions.hashing import hash_uniform
+from salient.operators.copies import design_rows, estimate_rows, grid_cells, path_scores
 from salient.operators.designs import off_class, random_grid_mask
-from salient.operators.masking import (Shape, baseline_value, grid_cell, max_perturbed,
-                                       step_thresholds)
-from salient.operators.perturb import clean_scores, design_logits, relative_contributions
+from salient.operators.estimators import spearman_arrays
+from salient.operators.masking import Shape, baseline_value, max_perturbed, step_thresholds
 from salient.operators.scoring import LinearSoftmaxModel, prob_from_relative
 from salient.session import materialize
 
@@ -37,17 +38,21 @@ def metric_triplets(samples: DataFrame, preds: DataFrame, maps: DataFrame,
     """Align (input, prediction, map) by key instead of by position.
 
     ``samples(sample_id, x)``, ``preds(sample_id, pred)``, ``maps(sample_id, e)``.
-    A sample without a prediction or a map is an error (two anti joins on the
-    key, ids only).  ``check=False`` is for inputs known to be complete.
+    A sample without a prediction or a map is an error, raised by the join itself
+    when its row is made: nothing runs while the query is built, and the maps are
+    computed once.  ``check=False`` drops such samples.
     """
-    if check:
-        for name, table in (("prediction", preds), ("explanation", maps)):
-            missing = samples.select("sample_id").join(table.select("sample_id"), "sample_id", "left_anti").count()
-            if missing:
-                raise ValueError(f"{missing} samples have no {name}")
-    return (samples.select("sample_id", "x")
-            .join(preds.select("sample_id", F.col("pred").alias("target")), "sample_id")
-            .join(maps.select("sample_id", "e"), "sample_id"))
+    rows = samples.select("sample_id", "x")
+    for name, table, value in (("prediction", preds, "pred"), ("explanation", maps, "e")):
+        if not check:
+            rows = rows.join(table.select("sample_id", value), "sample_id")
+            continue
+        rows = rows.join(table.select("sample_id", value, F.lit(True).alias("_found")), "sample_id", "left")
+        missing = F.raise_error(F.concat(F.lit("sample "), F.col("sample_id").cast("string"), F.lit(f" has no {name}")))
+        # a null-checked struct keeps the check in the plan, whatever columns are read later
+        rows = rows.select(F.when(F.col("_found").isNull(), missing.cast("bigint")).otherwise(F.col("sample_id")).cast(samples.schema["sample_id"].dataType).alias("sample_id"),
+                           *[c for c in rows.columns if c not in ("sample_id", "_found")])
+    return rows.withColumnRenamed("pred", "target").select("sample_id", "x", "target", "e")
 
 
 # --- M1 / M2 ---------------------------------------------------------------------------
@@ -153,36 +158,33 @@ def ordinal_spearman(df: DataFrame, a: str, b: str, keys=("sample_id",), order:
 
 # --- M7 MuFidelity ----------------------------------------------------------------------
 
-def mu_fidelity(model: LinearSoftmaxModel, triplets: DataFrame, shape: Shape, grid_size: int | None = 8,
+def _metric_rows(triplets: DataFrame, channels: int, baseline) -> tuple[DataFrame, float]:
+    """``(sample_id, x, target, e[, ref])`` with one map value a pixel; a baseline expression becomes the ``ref`` array."""
+    rows = triplets.select("sample_id", F.col("x").cast("array<double>").alias("x"), "target", channel_reduce("e", channels).alias("e"))
+    if baseline is None or isinstance(baseline, (int, float)):
+        return rows, float(baseline or 0.0)
+    return rows.withColumn("ref", F.transform("x", lambda v: baseline_value(baseline, v).cast("double"))), 0.0
+
+
+def mu_fidelity(model, triplets: DataFrame, shape: Shape, grid_size: int | None = 8,
                 subset_percent: float = 0.2, baseline=0.0, nb_samples: int = 200, seed: int = 0) -> DataFrame:
     """M7: Spearman(sum of the map over dropped cells, f(x) - f(x with dropped cells at baseline)).
 
-    One seeded design (D6) serves the whole job.  The attribution mass of a
-    draw rides through the same design join as the logits, as an extra
-    pseudo class, so scores and masses come out of one aggregation.
+    ``model`` is a linear-softmax model or a batch function (S3).  One seeded
+    design (D6) serves the whole job; scores, masses and ranks are arrays of the sample's row.
     """
-    spark = triplets.sparkSession
     grid = grid_size or shape.h
-    rows = _long_triplets(triplets, shape.c).withColumn("cell", grid_cell(F.col("pix"), shape, grid))
-    design = random_grid_mask(spark, grid, subset_percent, nb_samples, seed).withColumn(
-        "drop", F.lit(1.0) - F.col("m"))
-    contrib = relative_contributions(model, rows, baseline_value(baseline, F.col("x")))
-    mass = (rows.filter(F.col("pos") % F.lit(shape.c) == 0)
-            .groupBy("sample_id", "cell").agg(F.sum("e").alias("c"))
-            .select("sample_id", "cell", F.lit(ATTR_CLASS).alias("cls"), "c"))
-    z = design_logits(contrib.unionByName(mass), design, nb_samples)
-    per_draw = (z.groupBy("sample_id", "draw")
-                .agg(F.sum(F.when(F.col("cls") == ATTR_CLASS, F.col("z"))).alias("attr"),
-                     (F.lit(1.0) / (F.lit(1.0) + F.coalesce(
-                         F.sum(F.when(F.col("cls") != ATTR_CLASS, F.exp(F.col("z")))), F.lit(0.0)))).alias("score")))
-    base = clean_scores(contrib).withColumnRenamed("score", "base")
-    pairs = per_draw.join(base, "sample_id").select(
-        "sample_id", F.col("draw").alias("idx"), F.coalesce(F.col("attr"), F.lit(0.0)).alias("attr"),
-        (F.col("base") - F.col("score")).alias("delta"))
-    return ordinal_spearman(pairs, "attr", "delta")
-
-
-ATTR_CLASS = -2  # pseudo class carrying the attribution mass through the design join
+    rows, value = _metric_rows(triplets, shape.c, baseline)
+    design = design_rows(random_grid_mask(triplets.sparkSession, grid, subset_percent, nb_samples, seed))
+    pixel_cells = grid_cells(shape, grid)[::shape.c]
+
+    def estimate(y, clean, block):
+        mass = np.zeros((len(y), block.z.shape[1]))
+        np.add.at(mass.T, pixel_cells, block.e.T)
+        return spearman_arrays(mass @ (1.0 - block.z.T), clean[:, None] - y)[:, None]
+
+    found = estimate_rows(rows, model, design, estimate, grid_cells(shape, grid), value, name="s")
+    return found.select("sample_id", F.element_at("s", 1).alias("score"))
 
 
 # --- M9 SSIM --------------------------------------------------------------------------------
@@ -337,24 +339,12 @@ def subsample_first(df: DataFrame, n: int, key: str = "sample_id") -> DataFrame:
 # --- M3 with a general scorer ---------------------------------------------------------------
 
 def causal_curve_scored(fn, triplets: DataFrame, mode: str = "deletion", baseline=0.0, steps: int = 10,
-                        max_pct: float = 1.0, channels: int = 1, n_features: int | None = None) -> DataFrame:
-    """M3 for any batch scorer ``fn(X[n, d]) -> probs[n, c]`` (S3): the ranked path is
-    materialized as explicit copies (D4) and scored in ``mapInPandas``.
+                        max_pct: float = 1.0, channels: int = 1) -> DataFrame:
+    """M3 for any batch scorer ``fn(X[n, d]) -> probs[n, c]`` (S3): ``(sample_id, k, score)``.
 
-    Each copy is one sample's input at one step (an array bounded by the map
-    size), assembled by a group-by on (sample, step); the linear scorer never
-    needs this path (see :func:`causal_curve`).
+    The copies of the ranked path are made from the sample's row and scored in
+    batches of bounded size (see :func:`salient.operators.copies.path_scores`);
+    the linear scorer never needs this path (see :func:`causal_curve`).
     """
-    from salient.functions.arrays import to_array
-    from salient.operators.masking import prefix_masks
-    from salient.operators.scoring import udf_scorer
-    rows = _long_triplets(triplets, channels)
-    rank = F.dense_rank().over(Window.partitionBy("sample_id").orderBy(F.col("e").desc(), F.col("pix"))) - 1
-    ranked = rows.withColumn("rank", rank).select("sample_id", "pos", "x", "rank")
-    if n_features is None:  # the map size (one scalar read)
-        n_features = triplets.select((F.size("x") / F.lit(channels)).cast("int").alias("n")).first()["n"]
-    copies = prefix_masks(ranked, n_features, steps, mode, baseline, max_pct)
-    arrays = to_array(copies, "v", "x", keys=("sample_id", "k"))
-    scored = udf_scorer(arrays.join(triplets.select("sample_id", "target"), "sample_id"), fn,
-                        keys=("sample_id", "k"))
-    return scored
+    rows, value = _metric_rows(triplets, channels, baseline)
+    return path_scores(rows, fn, mode, steps, max_pct, value, channels).select("sample_id", F.posexplode("ys").alias("k", "score"))

@@ -192,6 +192,14 @@ def numpy_linear_softmax(W: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
     return fn
 
 
+def filesystem(uri: str):
+    """The pyarrow file system and path of a folder in the shared storage, given with its scheme."""
+    import pyarrow.fs as pafs
+    if uri.startswith("file:") and not uri.startswith("file://"):
+        uri = "file://" + uri[5:]
+    return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
+
+
 class SharedLinearSoftmax:
     """A linear-softmax model as a batch function whose weights lie in the shared folder.
 
@@ -212,11 +220,7 @@ class SharedLinearSoftmax:
     def __call__(self, X: np.ndarray) -> np.ndarray:
         if self._fn is None:
             import pyarrow.dataset as ds
-            import pyarrow.fs as pafs
-            uri = self.path
-            if uri.startswith("file:") and not uri.startswith("file://"):
-                uri = "file://" + uri[5:]
-            fs, root = pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
+            fs, root = filesystem(self.path)
             W = np.zeros(self.shape)
             for batch in ds.dataset(root, filesystem=fs, format="parquet", exclude_invalid_files=True).to_batches():
                 cls, pos, w = (batch.column(c).to_numpy() for c in ("cls", "pos", "w"))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from salient.functions.arrays import rounded
 from salient.functions.hashing import sql_normal, sql_uniform
-from salient.operators import estimators as X
 from salient.operators import explainers as E
 from salient.plans import fixtures as fx
 from salient.plans.catalog import long_map, register
@@ -14,6 +13,8 @@ from salient.plans.core_queries import GI_MAP_SQL, SAL_MAP_SQL, _sobol_values_sq
 from salient.plans.oracle import (base_ctes, cell_sql, draw_coef_cte, project_cte, r6,
                                   softmax_probs_cte, softmax_target_cte)
 from salient.operators import designs as D
+from salient.operators.masking import Shape
+from salient.operators.scoring import SharedLinearSoftmax
 from salient.sources.tables import channel_mean
 
 
@@ -121,10 +122,11 @@ def q_occlusion(spark, sf_dir):
     return _run(spark, sf_dir, E.occlusion, shape=fx.MAP, patch_size=5, patch_stride=3, occlusion_value=0.0)
 
 
-RISE_DRAWS, RISE_GRID = 32, 4
+#: The 8x8 maps allow no finer grid than 8 (the benchmark's grids have 10 and 11 cells a side).
+GRID = 8
 
 
-def _masked_scores_sql(name: str, design: str, draws: int, replacement: str = "0.0", grid: int = 4) -> str:
+def _masked_scores_sql(name: str, design: str, draws: int, replacement: str = "0.0", grid: int = GRID) -> str:
     """Target probability of every (sample, draw) copy where cells with m = 0 take ``replacement``."""
     return f"""{name}_d AS ({design}),
 {name}_x AS (SELECT l.sample_id, d.draw, w.cls, sum(w.w * ({replacement} - l.x)) AS dz
@@ -141,80 +143,223 @@ def _design_sql(draws: int, cells: int, expr: str) -> str:
             f"FROM range({draws}) t1(d), range({cells}) t2(c)")
 
 
-RISE_DESIGN = _design_sql(RISE_DRAWS, RISE_GRID ** 2, f"CASE WHEN 0.5 > {sql_uniform(0, 'd', 'c')} THEN 1.0 ELSE 0.0 END")
+def _copy_scores_sql(name: str, replacement: str = "0.0", cells: str = cell_sql(GRID, pix="l.pos")) -> str:
+    """``name(sample_id, draw, score)`` for the copies of the design ``{name}_d(draw, cell, m)``.
+
+    Each (sample, draw, class) logit is the inner product of the draw's drops
+    with the sample's change of logit in each cell; a sample uses as many cells as it has.
+    """
+    return f"""{name}_c AS (SELECT l.sample_id, {cells} AS cell, w.cls, sum(w.w * ({replacement} - l.x)) AS c
+       FROM lx l JOIN wt w ON w.pos = l.pos GROUP BY ALL),
+{name}_cl AS MATERIALIZED (SELECT c.sample_id, c.cls, any_value(z.z) - any_value(m.m) AS z, list(c.c ORDER BY c.cell) AS c, count(*) AS n
+       FROM {name}_c c JOIN zz z USING (sample_id, cls) JOIN zm m USING (sample_id) GROUP BY c.sample_id, c.cls),
+{name}_dl AS MATERIALIZED (SELECT draw, list(1.0 - m ORDER BY cell) AS dr FROM {name}_d GROUP BY draw),
+{name} AS MATERIALIZED (SELECT c.sample_id, d.draw, sum(CASE WHEN c.cls = t.target THEN exp(c.z + list_inner_product(d.dr[1:c.n], c.c)) END)
+              / sum(exp(c.z + list_inner_product(d.dr[1:c.n], c.c))) AS score
+       FROM {name}_cl c JOIN tg t USING (sample_id) CROSS JOIN {name}_dl d GROUP BY c.sample_id, d.draw)"""
+
+
+def _binary_sql(draws: int, cells: int) -> str:
+    return _design_sql(draws, cells, f"CASE WHEN 0.5 > {sql_uniform(0, 'd', 'c')} THEN 1.0 ELSE 0.0 END")
+
+
 RISE_SQL = f"""WITH {base_ctes()},
-{_masked_scores_sql('rs', RISE_DESIGN, RISE_DRAWS)},
-rc AS (SELECT s.sample_id, d.cell, sum(d.m * s.score) / nullif(sum(d.m), 0) AS v
-       FROM rs s JOIN rs_d d USING (draw) GROUP BY s.sample_id, d.cell),
+rs_d AS MATERIALIZED ({_binary_sql(E.RISE['nb_samples'], GRID ** 2)}),
+{_copy_scores_sql('rs')},
+rk AS (SELECT cell, list(m ORDER BY draw) AS m FROM rs_d GROUP BY cell),
+ry AS (SELECT sample_id, list(score ORDER BY draw) AS y FROM rs GROUP BY sample_id),
+rc AS (SELECT y.sample_id, k.cell, list_inner_product(k.m, y.y) / nullif(list_sum(k.m), 0) AS v FROM ry y CROSS JOIN rk k),
 rm AS (SELECT l.sample_id, l.pos, coalesce(c.v, 0.0) AS e
-       FROM lx l LEFT JOIN rc c ON c.sample_id = l.sample_id AND c.cell = {cell_sql(RISE_GRID, pix='l.pos')})
+       FROM lx l LEFT JOIN rc c ON c.sample_id = l.sample_id AND c.cell = {cell_sql(GRID, pix='l.pos')})
 """
 
 
+def _numpy_scorer(mdl):
+    """The scorer as a batch function (a user model, S3); tasks read its weights from the shared folder."""
+    return SharedLinearSoftmax(mdl)
+
+
+def _run_scored(spark, sf_dir, fn, **kw):
+    smp, mdl, tgt = fx.setup(spark, sf_dir)
+    return long_map(fn(_numpy_scorer(mdl), smp, tgt, **kw))
+
+
+RISE = dict(nb_samples=E.RISE["nb_samples"], grid_size=GRID, preservation_probability=0.5, mask_value=E.RISE["mask_value"], seed=0)
+
+
 @register("rise", _maps_sql(RISE_SQL, "rm"))
 def q_rise(spark, sf_dir):
-    """RISE with 32 random 4x4 masks (keep prob 0.5, mask value 0)."""
-    return _run(spark, sf_dir, E.rise, shape=fx.MAP, nb_samples=RISE_DRAWS, grid_size=RISE_GRID,
-                preservation_probability=0.5, mask_value=0.0, seed=0)
+    """RISE with 8,000 random 8x8 masks (keep prob 0.5, mask value 0)."""
+    return _run(spark, sf_dir, E.rise, shape=fx.MAP, **RISE)
 
 
-LIME_DRAWS, LIME_GRID = 64, 4
+@register("rise_udf_scorer", _maps_sql(RISE_SQL, "rm"))
+def q_rise_udf_scorer(spark, sf_dir):
+    """E8 + S3: the same maps with the copies made and scored by a NumPy model."""
+    return _run_scored(spark, sf_dir, E.rise, shape=fx.MAP, **RISE)
 
 
-def _lime_sim_sql(mode: str, width: float) -> str:
-    design = _design_sql(LIME_DRAWS, LIME_GRID ** 2, f"CASE WHEN 0.5 > {sql_uniform(0, 'd', 'c')} THEN 1.0 ELSE 0.0 END")
+LIME_DRAWS = E.LIME["nb_samples"]
+
+
+def _sims_sql(name: str, mode: str, width: float) -> str:
+    """``{name}_w(sample_id, w LIST)``: similarity of every draw of ``{name}_d``, from cells ``{name}_q(sample_id, q LIST, n)`` of squares (reference 0)."""
     if mode == "cosine":
-        dist = "(1.0 - coalesce(xp / nullif(sqrt(xx) * sqrt(pp), 0.0), 0.0))"
+        dist = "(1.0 - coalesce(pp / nullif(sqrt(xx) * sqrt(greatest(pp, 0.0)), 0.0), 0.0))"
     else:
-        dist = "sqrt(greatest(sq, 0.0))"
-    return f"""WITH ld AS ({design}),
+        dist = "sqrt(greatest(xx - pp, 0.0))"
+    return f"""{name}_s AS (SELECT q.sample_id, d.draw, list_sum(q.q) AS xx, list_sum(q.q) - list_inner_product(d.dr[1:q.n], q.q) AS pp
+       FROM {name}_q q CROSS JOIN {name}_dl d),
+{name}_k AS (SELECT sample_id, draw, exp(-({dist} * {dist}) / {max(width * width, 1e-8)!r}) AS sim FROM {name}_s),
+{name}_w AS (SELECT sample_id, CASE WHEN sum(sim) = 0 THEN list(1.0 ORDER BY draw) ELSE list(sim ORDER BY draw) END AS w FROM {name}_k GROUP BY sample_id)"""
+
+
+def _lime_sim_sql(mode: str, width: float) -> str:
+    return f"""WITH ld_d AS ({_binary_sql(LIME_DRAWS, GRID ** 2)}),
+ld_dl AS MATERIALIZED (SELECT draw, list(1.0 - m ORDER BY cell) AS dr FROM ld_d GROUP BY draw),
 lx AS (SELECT vec_id AS sample_id, unnest(generate_series(0, len(embedding) - 1)) AS pos,
               CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
-lc AS (SELECT sample_id, {cell_sql(LIME_GRID)} AS cell, sum(x * x) AS xx FROM lx GROUP BY ALL),
-ls AS (SELECT sample_id, draw, sum((1.0 - m) * xx) AS sq, sum(xx) AS xx, sum(m * xx) AS xp, sum(m * xx) AS pp
-       FROM lc JOIN ld USING (cell) GROUP BY sample_id, draw),
-lk AS (SELECT sample_id, draw, exp(-({dist} * {dist}) / {max(width * width, 1e-8)!r}) AS sim FROM ls)
-SELECT sample_id, draw, {r6('CASE WHEN sum(sim) OVER (PARTITION BY sample_id) = 0 THEN 1.0 ELSE sim END')} AS sim FROM lk"""
+lc AS (SELECT sample_id, {cell_sql(GRID)} AS cell, sum(x * x) AS xx FROM lx GROUP BY ALL),
+ld_q AS MATERIALIZED (SELECT sample_id, list(xx ORDER BY cell) AS q, count(*) AS n FROM lc GROUP BY sample_id),
+{_sims_sql('ld', mode, width)}
+SELECT sample_id, CAST(unnest(range({LIME_DRAWS})) AS INTEGER) AS draw, {r6('unnest(w)')} AS sim FROM ld_w"""
 
 
 def _lime_sim_spark(spark, sf_dir, mode, width):
-    """E10a on the production path: distance sums ride through the design aggregation."""
-    smp, mdl, tgt = fx.setup(spark, sf_dir)
-    rows = (E._input_rows(smp, tgt, fx.MAP)
-            .withColumn("cell", E.grid_cell(F.col("pix"), fx.MAP, LIME_GRID)))
-    design = E.binary_design(spark, LIME_DRAWS, LIME_GRID ** 2, 0.5, 0).withColumn("drop", F.lit(1.0) - F.col("m"))
-    contrib = E.relative_contributions(mdl, rows, F.lit(0.0))
-    sums = E._scores_with_sums(contrib, E.lime_cell_sums(rows, 0.0), design, LIME_DRAWS)
-    return X.similarity_weights(sums, mode, width).select("sample_id", "draw", rounded("sim").alias("sim"))
+    smp, _, _ = fx.setup(spark, sf_dir)
+    sims = E.lime_similarity(smp, fx.MAP, LIME_DRAWS, GRID, mode, width)
+    return sims.select(F.col("sample_id").cast("bigint"), F.col("draw").cast("int"), rounded("sim").alias("sim"))
 
 
 @register("lime_similarity_cosine", _lime_sim_sql("cosine", 0.5))
 def q_lime_similarity_cosine(spark, sf_dir):
-    """Cosine similarity kernel of 64 LIME samples (width 0.5)."""
+    """Cosine similarity kernel of 2,000 LIME samples (width 0.5)."""
     return _lime_sim_spark(spark, sf_dir, "cosine", 0.5)
 
 
 @register("lime_similarity_euclidean", _lime_sim_sql("euclidean", 1.0))
 def q_lime_similarity_euclidean(spark, sf_dir):
-    """Euclidean similarity kernel of 64 LIME samples (width 1.0)."""
+    """Euclidean similarity kernel of 2,000 LIME samples (width 1.0)."""
     return _lime_sim_spark(spark, sf_dir, "euclidean", 1.0)
 
 
-@register("lime")
+def _solved_sql(name: str, rows: str) -> str:
+    """``{name}(sample_id, sol LIST)``: linear systems solved by Gauss-Jordan elimination, one column a step.
+
+    ``rows(sample_id, m)``: the augmented matrix as a list of rows.  The pivots
+    are positive (the systems are positive definite).
+    """
+    return f"""{name}_g(sample_id, k, n, m) AS (
+  SELECT sample_id, 0, len(m), m FROM {rows}
+  UNION ALL
+  SELECT sample_id, k + 1, n, list_transform(m, lambda r, i: CASE WHEN i = k + 1
+           THEN list_transform(r[2:], lambda v: v / r[1])
+           ELSE list_transform(r[2:], lambda v, j: v - r[1] / m[k + 1][1] * m[k + 1][j + 1]) END)
+  FROM {name}_g WHERE k < n),
+{name} AS (SELECT sample_id, list_transform(m, lambda r: r[1]) AS sol FROM {name}_g WHERE k = n)"""
+
+
+def _lime_sql(cells: str, dims: int, draws: int = LIME_DRAWS) -> str:
+    """Weighted ridge per sample: sufficient statistics from inner products over draws, then elimination."""
+    return f"""WITH RECURSIVE {base_ctes()},
+li_d AS MATERIALIZED ({_binary_sql(draws, dims)}),
+{_copy_scores_sql('li', cells=cells)},
+li_e AS (SELECT l.sample_id, {cells} AS cell, sum(l.x * l.x) AS xx FROM lx l GROUP BY ALL),
+li_q AS MATERIALIZED (SELECT sample_id, list(xx ORDER BY cell) AS q, count(*) AS n FROM li_e GROUP BY sample_id),
+{_sims_sql('li', E.LIME['distance_mode'], E.LIME['kernel_width'])},
+ly AS (SELECT sample_id, list(score ORDER BY draw) AS y FROM li GROUP BY sample_id),
+lw AS MATERIALIZED (SELECT sample_id, w, list_transform(w, lambda v, i: v * y[i]) AS wy, list_sum(w) AS s, list_inner_product(w, y) AS sy, n
+       FROM li_w JOIN ly USING (sample_id) JOIN li_q USING (sample_id)),
+zc AS MATERIALIZED (SELECT cell, list(m ORDER BY draw) AS z FROM li_d GROUP BY cell),
+zz2 AS MATERIALIZED (SELECT a.cell AS i, b.cell AS j, list_transform(a.z, lambda v, k: v * b.z[k]) AS zz FROM zc a JOIN zc b ON a.cell <= b.cell),
+wz AS MATERIALIZED (SELECT sample_id, cell, list_inner_product(w, z) AS wz, list_inner_product(wy, z) AS wyz FROM lw CROSS JOIN zc WHERE cell < n),
+gu AS (SELECT sample_id, i, j, list_inner_product(w, zz) AS g FROM lw CROSS JOIN zz2 WHERE j < n),
+gf AS (SELECT sample_id, i, j, g FROM gu UNION ALL SELECT sample_id, j, i, g FROM gu WHERE i < j),
+ga AS (SELECT f.sample_id, f.i, list(f.g - a.wz * b.wz / w.s + CASE WHEN f.i = f.j THEN {float(E.LIME['alpha'])!r} ELSE 0.0 END ORDER BY f.j) AS r,
+              any_value(a.wyz - a.wz * w.sy / w.s) AS b
+       FROM gf f JOIN wz a ON a.sample_id = f.sample_id AND a.cell = f.i JOIN wz b ON b.sample_id = f.sample_id AND b.cell = f.j
+       JOIN lw w ON w.sample_id = f.sample_id GROUP BY f.sample_id, f.i),
+gm AS (SELECT sample_id, list(list_append(r, b) ORDER BY i) AS m FROM ga GROUP BY sample_id),
+{_solved_sql('gs', 'gm')},
+lm AS (SELECT l.sample_id, l.pos, s.sol[{cells} + 1] AS e FROM lx l JOIN gs s USING (sample_id))
+"""
+
+
+LIME_SQL = _lime_sql(cell_sql(GRID, pix="l.pos"), GRID ** 2)
+
+
+@register("lime", _maps_sql(LIME_SQL, "lm"))
 def q_lime(spark, sf_dir):
-    """LIME, 2,000 binary samples over a 4x4 grid, cosine kernel width 46, ridge alpha 2 (solve in
-    mapInPandas; checked against NumPy in the tests)."""
-    return _run(spark, sf_dir, E.lime, shape=fx.MAP, grid_size=LIME_GRID, **E.LIME)
+    """LIME, 2,000 binary samples over an 8x8 grid, cosine kernel width 46, ridge alpha 2."""
+    return _run(spark, sf_dir, E.lime, shape=fx.MAP, grid_size=GRID, **E.LIME)
 
 
-@register("kernel_shap")
+@register("lime_udf_scorer", _maps_sql(LIME_SQL, "lm"))
+def q_lime_udf_scorer(spark, sf_dir):
+    """E10 + S3: the same maps with the copies made and scored by a NumPy model."""
+    return _run_scored(spark, sf_dir, E.lime, shape=fx.MAP, grid_size=GRID, **E.LIME)
+
+
+#: Columns of a sample's own segment grid.
+OWN_GRID = "(2 + l.sample_id % 3)"
+OWN_CELLS = (f"CAST(floor((floor(l.pos / 8) + 0.5) * {OWN_GRID} / 8) * {OWN_GRID} "
+             f"+ floor(((l.pos % 8) + 0.5) * {OWN_GRID} / 8) AS INTEGER)")
+
+
+@register("lime_segments", _maps_sql(_lime_sql(OWN_CELLS, 16), "lm"))
+def q_lime_segments(spark, sf_dir):
+    """E10 + D12: LIME with a segment map of its own for every sample (4, 9 or 16 segments), given as a table."""
+    smp, mdl, tgt = fx.setup(spark, sf_dir)
+    side = F.lit(2) + F.col("sample_id") % 3
+    along = lambda v: F.floor((v + F.lit(0.5)) * side / 8)
+    segments = (smp.select("sample_id", F.explode(F.sequence(F.lit(0), F.lit(fx.MAP.pixels - 1))).alias("pix"))
+                .select("sample_id", "pix", (along(F.floor(F.col("pix") / 8)) * side + along(F.col("pix") % 8)).cast("int").alias("cell")))
+    return long_map(E.lime(mdl, smp, tgt, fx.MAP, segments=segments, **E.LIME))
+
+
+@register("lime_tabular", _maps_sql(_lime_sql("CAST(l.pos AS INTEGER)", 64), "lm"))
+def q_lime_tabular(spark, sf_dir):
+    """E10 + D12: LIME with the identity segment map (every value by itself, as for tables)."""
+    return _run(spark, sf_dir, E.lime, shape=Shape(64, 1, 1), **E.LIME)
+
+
+def _shap_weight_sql(m: int, k: str) -> str:
+    """(m - 1) / (C(m, k) k (m - k)), over its value at the middle, through sums of logarithms."""
+    lc = f"list_sum(list_transform(range(1, CAST({{}} AS BIGINT) + 1), lambda t: ln({m} - CAST({{}} AS DOUBLE) + t) - ln(t)))"
+    mid = m // 2
+    log = lambda x: f"(-coalesce({lc.format(x, x)}, 0.0) - ln({x} * ({m} - {x})))"
+    return f"exp({log(k)} - {log(str(float(mid)))})"
+
+
+def _shap_sql(draws: int, dims: int) -> str:
+    return f"""WITH RECURSIVE {base_ctes()},
+ks_d AS MATERIALIZED ({_binary_sql(draws, dims)}
+  UNION ALL SELECT CAST({draws} + e AS INTEGER), CAST(c AS INTEGER), CAST(e AS DOUBLE) FROM range(2) a(e), range({dims}) b(c)),
+{_copy_scores_sql('ks')},
+kn AS (SELECT draw, sum(m) AS k FROM ks_d WHERE draw < {draws} GROUP BY draw),
+kw AS (SELECT draw, {_shap_weight_sql(dims, 'k')} AS w FROM kn WHERE k > 0 AND k < {dims}),
+kz AS (SELECT d.draw, d.cell, d.m - z.m AS a, z.m AS last, kw.w FROM ks_d d JOIN ks_d z ON z.draw = d.draw AND z.cell = {dims - 1}
+       JOIN kw ON kw.draw = d.draw WHERE d.cell < {dims - 1}),
+ka AS MATERIALIZED (SELECT cell, list(a ORDER BY draw) AS a, list(a * w ORDER BY draw) AS wa, list(last ORDER BY draw) AS last FROM kz GROUP BY cell),
+kg AS (SELECT p.cell AS i, list(list_inner_product(p.wa, q.a) ORDER BY q.cell) AS r FROM ka p CROSS JOIN ka q GROUP BY p.cell),
+ke AS (SELECT sample_id, max(CASE WHEN draw = {draws} THEN score END) AS f0, max(CASE WHEN draw = {draws + 1} THEN score END) AS f1 FROM ks GROUP BY sample_id),
+kt AS MATERIALIZED (SELECT s.sample_id, any_value(e.f1 - e.f0) AS total, list(s.score - e.f0 ORDER BY s.draw) AS y
+       FROM ks s JOIN kw USING (draw) JOIN ke e ON e.sample_id = s.sample_id GROUP BY s.sample_id),
+kr AS (SELECT t.sample_id, a.cell AS i, list_inner_product(a.wa, t.y) - t.total * list_inner_product(a.wa, a.last) AS b FROM kt t CROSS JOIN ka a),
+km AS (SELECT r.sample_id, list(list_append(g.r, r.b) ORDER BY r.i) AS m FROM kr r JOIN kg g ON g.i = r.i GROUP BY r.sample_id),
+{_solved_sql('kv', 'km')},
+kp AS (SELECT v.sample_id, list_append(v.sol, t.total - list_sum(v.sol)) AS sol FROM kv v JOIN kt t USING (sample_id)),
+ke2 AS (SELECT l.sample_id, l.pos, s.sol[{cell_sql(GRID, pix='l.pos')} + 1] AS e FROM lx l JOIN kp s USING (sample_id))
+"""
+
+
+@register("kernel_shap", _maps_sql(_shap_sql(E.KERNEL_SHAP["nb_samples"], GRID ** 2), "ke2"))
 def q_kernel_shap(spark, sf_dir):
-    """KernelShap, 400 coalitions over a 4x4 grid with the efficiency constraint (solve in
-    mapInPandas; checked against NumPy and exact Shapley values in the tests)."""
-    return _run(spark, sf_dir, E.kernel_shap, shape=fx.MAP, grid_size=LIME_GRID, **E.KERNEL_SHAP)
+    """KernelShap, 400 coalitions over an 8x8 grid with the efficiency constraint."""
+    return _run(spark, sf_dir, E.kernel_shap, shape=fx.MAP, grid_size=GRID, **E.KERNEL_SHAP)
 
 
-SOBOL_GRID, SOBOL_N = 4, E.SOBOL["nb_design"]
+SOBOL_GRID, SOBOL_N = GRID, E.SOBOL["nb_design"]
 BLUR_CTE = """bl AS (SELECT a.sample_id, a.pos, avg(b.x) AS blur FROM lx a JOIN lx b ON a.sample_id = b.sample_id
  AND abs(floor(a.pos / 8) - floor(b.pos / 8)) <= 1 AND abs((a.pos % 8) - (b.pos % 8)) <= 1 GROUP BY a.sample_id, a.pos)"""
 
@@ -257,62 +402,74 @@ SOBOL_SQL = _sobol_sql()
 
 @register("sobol", _maps_sql(SOBOL_SQL, "sm"))
 def q_sobol(spark, sf_dir):
-    """E11 + E11a + D8/D9/D14: Sobol total indices (Jansen), 32 Sobol designs on a 4x4 grid."""
+    """E11 + E11a + D8/D9/D14: Sobol total indices (Jansen), 32 Sobol designs on an 8x8 grid."""
     return _run(spark, sf_dir, E.sobol_attribution, shape=fx.MAP, grid_size=SOBOL_GRID, nb_design=SOBOL_N)
 
 
-HSIC_GRID, HSIC_N = 4, 16
+@register("sobol_udf_scorer", _maps_sql(SOBOL_SQL, "sm"))
+def q_sobol_udf_scorer(spark, sf_dir):
+    """E11 + S3: the same maps with the copies made and scored by a NumPy model."""
+    return _run_scored(spark, sf_dir, E.sobol_attribution, shape=fx.MAP, grid_size=SOBOL_GRID, nb_design=SOBOL_N)
+
+
+HSIC_GRID, HSIC_N = GRID, E.HSIC["nb_samples"]
 
 
-def _hsic_sql(kernel: str) -> str:
+def _hsic_sql(kernel: str, binary: bool = True) -> str:
+    """The centred input kernel of every cell and the output kernel of every sample, each as one list of n x n numbers."""
     kern = {
         "binary": "(CASE WHEN a.m = b.m THEN 1.0 ELSE 0.0 END - 0.5)",
         "rbf": "exp(-((a.m - b.m) * (a.m - b.m)) / (2 * 0.25))",
         "sobolev": "((a.m - 0.5) * (b.m - 0.5) + 0.5 * ((a.m - b.m) * (a.m - b.m) - abs(a.m - b.m) + 1.0 / 6.0))",
     }[kernel]
     n = HSIC_N
+    mask = f"CAST(bit_xor(CASE WHEN (t.d >> dn.bit) & 1 = 1 THEN dn.v ELSE 0 END) AS DOUBLE) / {float(1 << D.SOBOL_BITS)}"
     return f"""WITH {base_ctes()},
 {_sobol_values_sql(HSIC_GRID ** 2)},
-hd AS (SELECT CAST(t.d AS INTEGER) AS draw, CAST(dn.cell AS INTEGER) AS cell,
-       round(CAST(bit_xor(CASE WHEN (t.d >> dn.bit) & 1 = 1 THEN dn.v ELSE 0 END) AS DOUBLE) / {float(1 << D.SOBOL_BITS)}) AS m
+hy_d AS MATERIALIZED (SELECT CAST(t.d AS INTEGER) AS draw, CAST(dn.cell AS INTEGER) AS cell, {f'round({mask})' if binary else mask} AS m
        FROM range({n}) t(d), dn GROUP BY t.d, dn.cell),
-{_masked_scores_sql('hy', 'SELECT * FROM hd', n, '0.0', HSIC_GRID)},
-hw AS (SELECT sample_id, quantile_cont(score, 0.5) AS wd FROM hy GROUP BY sample_id),
-hl AS (SELECT a.sample_id, a.draw AS j, b.draw AS l,
-       exp(-((a.score - b.score) * (a.score - b.score)) / (2 * w.wd * w.wd)) AS lv
-       FROM hy a JOIN hy b USING (sample_id) JOIN hw w USING (sample_id) WHERE w.wd <> 0),
-hlc AS (SELECT sample_id, j, l, lv - avg(lv) OVER (PARTITION BY sample_id, j) - avg(lv) OVER (PARTITION BY sample_id, l)
-       + avg(lv) OVER (PARTITION BY sample_id) AS lc FROM hl),
-hk AS (SELECT a.cell, a.draw AS j, b.draw AS l, 1.0 + {kern} AS kv FROM hd a JOIN hd b USING (cell)),
+{_copy_scores_sql('hy')},
+hw AS (SELECT sample_id, quantile_cont(score, 0.5) AS wd, list(score ORDER BY draw) AS y FROM hy GROUP BY sample_id),
+hl AS MATERIALIZED (SELECT sample_id, wd, flatten(list_transform(y, lambda a: list_transform(y, lambda b: exp(-((a - b) * (a - b)) / (2 * wd * wd))))) AS l
+       FROM hw),
+hk AS (SELECT a.cell, a.draw AS j, b.draw AS l, 1.0 + {kern} AS kv FROM hy_d a JOIN hy_d b USING (cell)),
 hkc AS (SELECT cell, j, l, kv - avg(kv) OVER (PARTITION BY cell, j) - avg(kv) OVER (PARTITION BY cell, l)
        + avg(kv) OVER (PARTITION BY cell) AS kc FROM hk),
-hs AS (SELECT c.sample_id, k.cell, sum(k.kc * c.lc) / {float(n)!r} AS v
-       FROM hlc c JOIN hkc k ON k.j = c.l AND k.l = c.j GROUP BY c.sample_id, k.cell),
+hkd AS (SELECT cell, j, l, kc - avg(kc) OVER (PARTITION BY cell) AS kc FROM hkc),  -- takes the rounding error of the means away
+hkl AS MATERIALIZED (SELECT cell, list(kc ORDER BY j, l) AS k FROM hkd GROUP BY cell),
+hs AS (SELECT c.sample_id, k.cell, CASE WHEN c.wd <> 0 THEN list_inner_product(c.l, k.k) / {float(n)!r} END AS v FROM hl c CROSS JOIN hkl k),
 {bicubic_sql(HSIC_GRID, 8)},
 hm AS (SELECT sample_id, pix AS pos, sum(weight * v) AS e FROM hs JOIN bw USING (cell) GROUP BY sample_id, pix)
 """
 
 
+def _hsic(spark, sf_dir, **kw):
+    return _run(spark, sf_dir, E.hsic_attribution, shape=fx.MAP, grid_size=HSIC_GRID, nb_design=HSIC_N, **kw)
+
+
 @register("hsic", _maps_sql(_hsic_sql("binary"), "hm"))
 def q_hsic(spark, sf_dir):
     """E12 + E12a-c: HSIC with the binary input kernel and RBF output kernel (median width),
-    16 rounded Sobol designs on a 4x4 grid."""
-    return _run(spark, sf_dir, E.hsic_attribution, shape=fx.MAP, grid_size=HSIC_GRID, nb_design=HSIC_N,
-                kernel="binary")
+    500 rounded Sobol designs on an 8x8 grid."""
+    return _hsic(spark, sf_dir, kernel="binary")
 
 
 @register("hsic_rbf", _maps_sql(_hsic_sql("rbf"), "hm"))
 def q_hsic_rbf(spark, sf_dir):
     """HSIC with the RBF input kernel (width 0.5)."""
-    return _run(spark, sf_dir, E.hsic_attribution, shape=fx.MAP, grid_size=HSIC_GRID, nb_design=HSIC_N,
-                kernel="rbf")
+    return _hsic(spark, sf_dir, kernel="rbf")
 
 
 @register("hsic_sobolev", _maps_sql(_hsic_sql("sobolev"), "hm"))
 def q_hsic_sobolev(spark, sf_dir):
     """HSIC with the Sobolev (order 1) input kernel."""
-    return _run(spark, sf_dir, E.hsic_attribution, shape=fx.MAP, grid_size=HSIC_GRID, nb_design=HSIC_N,
-                kernel="sobolev")
+    return _hsic(spark, sf_dir, kernel="sobolev")
+
+
+@register("hsic_sobolev_real", _maps_sql(_hsic_sql("sobolev", binary=False), "hm"))
+def q_hsic_sobolev_real(spark, sf_dir):
+    """E12c + D8: HSIC with the Sobolev input kernel on real-valued Sobol points."""
+    return _hsic(spark, sf_dir, kernel="sobolev", binary=False)
 
 
 @register("sobol_blurring", _maps_sql(_sobol_sql(blur=True), "sm"))

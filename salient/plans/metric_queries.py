@@ -81,11 +81,18 @@ mp AS (SELECT s.sample_id, s.draw, coalesce(a.attr, 0.0) AS attr, b.score - s.sc
 
 @register("mu_fidelity", _score_sql(MU_SQL, "sp"))
 def q_mu_fidelity(spark, sf_dir):
-    """M7 + D6 + M8: MuFidelity of gradient x input maps (8x8 grid, p 0.2, 32 draws)."""
+    """M7 + D6 + M8: MuFidelity of gradient x input maps (8x8 grid, p 0.2, 200 draws)."""
     _, mdl, _, _, trip = _triplets(spark, sf_dir, E.gradient_input)
     return per_sample(M.mu_fidelity(mdl, trip, fx.MAP, MU_GRID, 0.2, 0.0, MU_DRAWS, seed=0))
 
 
+@register("mu_fidelity_udf_scorer", _score_sql(MU_SQL, "sp"))
+def q_mu_fidelity_udf_scorer(spark, sf_dir):
+    """M7 + S3: the same scores with the copies made and scored by a NumPy model."""
+    _, mdl, _, _, trip = _triplets(spark, sf_dir, E.gradient_input)
+    return per_sample(M.mu_fidelity(numpy_scorer(mdl), trip, fx.MAP, MU_GRID, 0.2, 0.0, MU_DRAWS, seed=0))
+
+
 # ------------------------------------------------------------------------------- M8
 
 @register("spearman_maps", _score_sql(GI_MAP_SQL + f""",
@@ -215,7 +222,7 @@ def q_deletion_udf_scorer(spark, sf_dir):
     """M3 + M5 + D4 + S3: deletion AUC (200 steps) of gradient x input maps with the path materialized
     and scored by a NumPy model in mapInPandas (the general-scorer path)."""
     _, mdl, _, _, trip = _triplets(spark, sf_dir, E.gradient_input)
-    curve = M.causal_curve_scored(numpy_scorer(mdl), trip, "deletion", 0.0, M.FIDELITY_STEPS, n_features=mdl.n_pos)
+    curve = M.causal_curve_scored(numpy_scorer(mdl), trip, "deletion", 0.0, M.FIDELITY_STEPS)
     return per_sample(M.curve_auc(curve, M.FIDELITY_STEPS))
 
 

@@ -83,8 +83,8 @@ def test_explanations_roundtrip_and_missing(spark, tmp_path):
     assert [(r["sample_id"], r["e"]) for r in back] == [(2, [0.3, 0.4])]
     smp = spark.createDataFrame([(1, [0.0, 0.0]), (3, [0.0, 0.0])], "sample_id BIGINT, x ARRAY<DOUBLE>")
     preds = spark.createDataFrame([(1, 0), (3, 0)], "sample_id BIGINT, pred INT")
-    with pytest.raises(ValueError):
-        M.metric_triplets(smp, preds, T.read_explanations(spark, path), check=True)
+    with pytest.raises(Exception, match="has no explanation"):
+        M.metric_triplets(smp, preds, T.read_explanations(spark, path), check=True).collect()
 
 
 def test_materialize_or_load(spark, tmp_path):
@@ -164,10 +164,22 @@ def test_triplets_without_map_or_prediction_are_an_error(spark):
     smp = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "sample_id long, x array<double>")
     preds, maps = spark.createDataFrame([(1, 0), (2, 0)], "sample_id long, pred int"), spark.createDataFrame([(1, [1.0]), (2, [1.0])], "sample_id long, e array<double>")
     assert M.metric_triplets(smp, preds, maps).count() == 2
-    with pytest.raises(ValueError):
-        M.metric_triplets(smp, preds, maps.where("sample_id = 1"))
-    with pytest.raises(ValueError):
-        M.metric_triplets(smp, preds.where("sample_id = 1"), maps)
+    with pytest.raises(Exception, match="sample 2 has no explanation"):
+        M.metric_triplets(smp, preds, maps.where("sample_id = 1")).collect()
+    with pytest.raises(Exception, match="sample 2 has no prediction"):
+        M.metric_triplets(smp, preds.where("sample_id = 1"), maps).collect()
+    assert M.metric_triplets(smp, preds, maps.where("sample_id = 1"), check=False).count() == 1
+
+
+def test_building_triplets_runs_no_job(spark):
+    smp = spark.createDataFrame([(1, [1.0])], "sample_id long, x array<double>")
+    preds, maps = spark.createDataFrame([(1, 0)], "sample_id long, pred int"), spark.createDataFrame([(1, [1.0])], "sample_id long, e array<double>")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("triplets", "building")
+    trip = M.metric_triplets(smp, preds, maps)
+    assert not tracker.getJobIdsForGroup("triplets")
+    assert trip.collect()[0]["target"] == 0 and tracker.getJobIdsForGroup("triplets")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_no_local_folder_on_a_cluster(spark):

@@ -152,7 +152,7 @@ def test_constrained_shap_exact_on_small_game():
         if 0 < len(s) < m:
             Z.append([1.0 if j in s else 0.0 for j in range(m)])
             y.append(val)
-    phi = X.constrained_shap(np.array(Z), np.array(y), v[frozenset()], v[frozenset(range(m))])
+    phi = X.constrained_shap(np.array(Z), np.array([y]), np.array([v[frozenset()]]), np.array([v[frozenset(range(m))]]))[0]
     exact = []
     for j in range(m):
         tot = 0.0
@@ -223,7 +223,7 @@ def test_hsic_binary_closed_form():
     rng = np.random.default_rng(4)
     M = rng.integers(0, 2, size=(12, 5)).astype(float)
     y = rng.random(12)
-    got = X.hsic_scores(M, y, "binary")
+    got = X.hsic_scores(M, y[None], "binary")[0]
     L = X.output_rbf(y)
     for i in range(5):
         s = 2 * M[:, i] - 1
@@ -242,5 +242,120 @@ def test_hsic_attribution_matches_numpy(spark, inputs):
         R[o, ii] += wv
     for i in range(4):
         y = np.array([softmax(W @ (XS[i] * m[cell]))[T[i]] for m in Mb])
-        sc = X.hsic_scores(Mb, y, "binary")
+        sc = X.hsic_scores(Mb, y[None], "binary")[0]
         assert np.allclose(got[i], (R @ sc.reshape(2, 2) @ R.T).reshape(-1), atol=1e-10)
+
+
+@pytest.mark.parametrize("kind", ["binary", "rbf", "sobolev"])
+def test_hsic_forms_agree(kind):
+    """The quadratic form of binary masks and the tables of real ones equal the definition; a width of 0 is undefined."""
+    rng = np.random.default_rng(9)
+    for M in (rng.integers(0, 2, size=(14, 3)).astype(float), rng.random((14, 3))):
+        ys = np.stack([rng.random(14), np.zeros(14), rng.random(14)])
+        got = X.hsic_scores(M, ys, kind)
+        H = np.eye(14) - 1 / 14
+        k = X.input_kernel(kind)
+        for y, row in zip(ys, got):
+            if not y.any():
+                assert np.isnan(row).all()
+                continue
+            L = X.output_rbf(y)
+            want = [np.sum((H @ (1 + k(M[:, i][:, None], M[:, i][None, :])) @ H) * (H @ L @ H).T) / 14 for i in range(3)]
+            assert np.allclose(row, want, atol=1e-12)
+
+
+# --- any batch function as the model (S3) --------------------------------------------
+
+V = RNG.normal(size=(5, 16))
+U = RNG.normal(size=(3, 5))
+
+
+def network(x):
+    """A small net: nothing about it is linear."""
+    return softmax(np.tanh(x @ V.T) @ U.T)
+
+
+def brute(x, t, masks, cell, ref):
+    return np.array([network((x * m[cell] + ref * (1 - m[cell]))[None])[0][t] for m in masks])
+
+
+CELL = np.array([(r // 2) * 2 + c // 2 for r in range(4) for c in range(4)])
+
+
+@pytest.fixture(params=[1 << 22, 40])
+def held(request, monkeypatch):
+    """All copies at once, and hardly any at once."""
+    from salient.operators import copies
+    monkeypatch.setattr(copies, "VALUES", request.param)
+    monkeypatch.setattr(copies, "KEEP", 10 if request.param == 40 else 1 << 20)
+
+
+def test_batch_functions_equal_the_linear_model(spark, inputs, held):
+    mdl, smp, tgt = inputs
+    fn = lambda x: softmax(x @ W.T)
+    for run in (lambda m: E.rise(m, smp, tgt, SHAPE, nb_samples=20, grid_size=2, mask_value=0.3),
+                lambda m: E.lime(m, smp, tgt, SHAPE, nb_samples=30, grid_size=2, ref_value=0.2),
+                lambda m: E.kernel_shap(m, smp, tgt, SHAPE, nb_samples=30, grid_size=2),
+                lambda m: E.sobol_attribution(m, smp, tgt, SHAPE, grid_size=2, nb_design=8, perturbation="blurring"),
+                lambda m: E.hsic_attribution(m, smp, tgt, SHAPE, grid_size=2, nb_design=16)):
+        assert np.allclose(maps_to_numpy(run(mdl), 4, 16), maps_to_numpy(run(fn), 4, 16), atol=1e-9)
+
+
+def test_explainers_of_a_network_match_rescoring(spark, inputs, held):
+    _, smp, _ = inputs
+    t = np.argmax(network(XS), axis=1)
+    tgt = targets_df(spark, t)
+    m = _design(D.binary_design(spark, 24, 4, 0.5, seed=2), 24, 4)
+    rise = maps_to_numpy(E.rise(network, smp, tgt, SHAPE, nb_samples=24, grid_size=2, mask_value=0.1, seed=2), 4, 16)
+    lime = maps_to_numpy(E.lime(network, smp, tgt, SHAPE, nb_samples=24, grid_size=2, ref_value=0.1, seed=2,
+                                kernel=lambda sq, xx, xp, pp: 1.0 / (1.0 + sq)), 4, 16)
+    half = lambda x: 0.5 * x
+    a, b = D.sobol_ab(spark, 8, 4)
+    A, B = _design(a, 8, 4), _design(b, 8, 4)
+    sobol = maps_to_numpy(E.sobol_attribution(network, smp, tgt, Shape(2, 8, 1), grid_size=2, nb_design=8, perturbation=half), 4, 16)
+    from salient.operators.masking import bicubic_matrix
+    wide = np.array([(r * 2) + c // 4 for r in range(2) for c in range(8)])
+    for i in range(4):
+        y = brute(XS[i], t[i], m, CELL, 0.1)
+        assert np.allclose(rise[i], ((m * y[:, None]).sum(0) / m.sum(0))[CELL], atol=1e-12)
+        w = 1 / (1 + np.array([np.sum((XS[i] - (XS[i] * z[CELL] + 0.1 * (1 - z[CELL]))) ** 2) for z in m]))
+        F1 = np.hstack([m, np.ones((24, 1))])
+        beta = np.linalg.solve(F1.T @ (w[:, None] * F1) + np.diag([2.0] * 4 + [0.0]), F1.T @ (w * y))
+        assert np.allclose(lime[i], beta[:4][CELL], atol=1e-9)
+        ya = brute(XS[i], t[i], A, wide, half(XS[i]))
+        total = []
+        for c in range(4):
+            C = A.copy()
+            C[:, c] = B[:, c]
+            total.append(np.sum((ya - brute(XS[i], t[i], C, wide, half(XS[i]))) ** 2) / (16 * ya.var(ddof=1)))
+        assert np.allclose(sobol[i], bicubic_matrix(2, Shape(2, 8, 1)) @ np.array(total), atol=1e-10)
+
+
+def test_segment_maps_of_each_sample(spark, inputs):
+    mdl, smp, tgt = inputs
+    own = [CELL, np.zeros(16, int), np.arange(16) % 3, np.arange(16)]
+    table = spark.createDataFrame([(i, p, int(c)) for i, cells in enumerate(own) for p, c in enumerate(cells)], "sample_id BIGINT, pix INT, cell INT")
+    got = maps_to_numpy(E.lime(mdl, smp, tgt, SHAPE, nb_samples=40, segments=table, seed=1), 4, 16)
+    shap = maps_to_numpy(E.kernel_shap(mdl, smp.where("sample_id <> 1"), tgt, SHAPE, nb_samples=40, segments=table, seed=1), 4, 16)
+    for i, cells in enumerate(own):
+        one = smp.where(F.col("sample_id") == i)
+        if i:  # a literal map gives the same as the sample's row of the table, whose design begins with the same columns
+            Z = _design(D.binary_design(spark, 40, 16, 0.5, seed=1), 40, 16)[:, :cells.max() + 1]
+            y = np.array([softmax(W @ (XS[i] * z[cells]))[T[i]] for z in Z])
+            xs = np.array([XS[i] * z[cells] for z in Z])
+            norm = np.linalg.norm(XS[i]) * np.linalg.norm(xs, axis=1)
+            cos = np.divide(xs @ XS[i], norm, out=np.zeros(40), where=norm > 0)
+            w = np.exp(-((1 - cos) ** 2) / 46.0 ** 2)
+            A = np.hstack([Z, np.ones((40, 1))])
+            P = np.diag([2.0] * Z.shape[1] + [0.0])
+            beta = np.linalg.solve(A.T @ (w[:, None] * A) + P, A.T @ (w * y))
+            assert np.allclose(got[i], beta[:-1][cells], atol=1e-9)
+        if i == 0:
+            assert got[i][[0, 2, 8, 10]].std() > 0 and len(set(np.round(got[i], 12))) <= 4 and one.count() == 1
+        if i in (0, 2):
+            first = [int(np.flatnonzero(cells == c)[0]) for c in range(cells.max() + 1)]
+            assert shap[i][first].sum() == pytest.approx(softmax(W @ XS[i])[T[i]] - softmax(W @ np.zeros(16))[T[i]], abs=1e-9)
+    with pytest.raises(Exception, match="has no segment map"):
+        E.lime(mdl, smp, tgt, SHAPE, nb_samples=5, segments=table.where("sample_id < 3")).collect()
+    with pytest.raises(ValueError, match="segment numbers"):
+        E.lime(mdl, smp, tgt, SHAPE, nb_samples=5, segments=[0, 1])
