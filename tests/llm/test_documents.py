@@ -347,7 +347,7 @@ def test_language_model(spark, monkeypatch):
 def test_every_round_reads_all_training_tokens(spark, monkeypatch):
     read, plain = [], lm.train_round
     monkeypatch.setattr(lm, "MOST", 3)
-    monkeypatch.setattr(lm, "train_round", lambda events, *rest: (read.append(events.agg({"times": "sum"}).first()[0]), plain(events, *rest))[1])
+    monkeypatch.setattr(lm, "train_round", lambda events, *rest: (read.append(events.agg({"tokens": "sum"}).first()[0]), plain(events, *rest))[1])
     docs = spark.createDataFrame([(i, f"a{i % 7} b c{i % 3}") for i in range(60)], "doc_id long, text string")
     held = sum(r["held_out"] for r in lm.language_model_scores(docs).select("held_out").collect())
     assert 0 < held < 60 and read == [4 * (60 - held)] * lm.ROUNDS
@@ -396,6 +396,13 @@ def test_language_model_of_odd_rows(spark):
     assert lm.language_model_scores(no_docs(spark)).count() == 0
 
 
+def test_events_in_pieces_keep_their_counts():
+    events, times = np.arange(50) * 7, np.arange(50) % 37 * 5 + 1
+    e, n = lm.pieces_of(events, times)
+    assert n.max() <= lm.MOST and n.min() > 0
+    assert {int(k): int(n[e == k].sum()) for k in events} == dict(zip(events.tolist(), times.tolist()))
+
+
 @pytest.mark.parametrize("tokens", [0, 10 ** 6, 10 ** 8, 10 ** 12])
 def test_model_is_a_distribution_and_its_gradient_is_right(tokens):
     rnd = np.random.default_rng(0)
