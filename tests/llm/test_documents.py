@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -291,7 +292,7 @@ def toxic_corpus():
 
 
 def test_toxicity_on_held_out_rows(spark):
-    import zlib
+
     docs, labels = toxic_corpus()
     truth = {i: t for i, _, t in docs}
     got = tox.toxicity(spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
@@ -314,7 +315,7 @@ def test_toxicity_of_odd_rows(spark):
 # ---- language model
 
 def plain_base(docs):
-    import zlib
+
     count, out = Counter(), {}
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     for i, t in docs:
