@@ -99,6 +99,13 @@ class LinearCopies:
     def rows_at_once(self, d: int, cells: int, draws: int) -> int:
         return max(1, VALUES // (self.classes * max(cells, 1) + 2 * d + draws))
 
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        """(n, c): class logits of the inputs."""
+        out = np.zeros((len(x), self.classes))
+        for pos, w in self.weights.tiles():
+            out += x[:, pos] @ w
+        return out
+
     def contributions(self, x: np.ndarray, ref: np.ndarray, target: np.ndarray, cells: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
         """Clean logits (n, c) and cell contributions (n, cells, c), relative to the target class."""
         n, c = len(x), self.classes

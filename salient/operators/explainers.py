@@ -6,7 +6,8 @@ target probability is ``g = W^T a`` with the class coefficients
 sample (length = number of classes); a map is then one broadcast lookup of
 the per-position weight column ``wv[pos]`` and a dot product, so every
 gradient explainer is a per-sample, shuffle-free projection after the logits.
-Averages over paths / noise draws are averages of the coefficient arrays.
+Averages over a path are averages of the coefficient arrays; averages over noise
+draws (E4-E6) need the coefficients' first and second moments only.
 
 The perturbation family (E8-E12) scores designs row by row through
 :mod:`salient.operators.copies`; occlusion (E7) through :mod:`salient.operators.perturb`.
@@ -16,11 +17,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import numpy as np
+import pyarrow as pa
 from salient.functions.arrays import let, to_array
 from salient.functions.hashing import hash_normal
-from salient.operators.copies import VALUES, blurred, design_rows, estimate_rows, grid_cells
+from salient.operators.copies import VALUES, LinearCopies, SharedRows, blurred, design_rows, estimate_rows, grid_cells, rows_of
 from salient.operators.designs import binary_design, replicated_design, sobol_ab, sobol_design, uniform_design
 from salient.operators.estimators import (constrained_shap, hsic_scores, jansen_arrays, similarity_arrays, weighted_ridge)
 from salient.operators.masking import Shape, bicubic_matrix, patch_positions
@@ -161,10 +164,10 @@ def integrated_gradients(model: LinearSoftmaxModel, samples: DataFrame, targets:
 
 def noise_logit_shifts(model: LinearSoftmaxModel, spark: SparkSession, draws: int, sigma: float,
                        n_pos: int, seed: int) -> DataFrame:
-    """``(draw, zeps)``: logit shift ``W eps_k`` of each shared Gaussian noise draw.
+    """``(idx, v)``: logit shifts ``W eps_k`` of each shared Gaussian noise draw, ordered by class.
 
     The design (draws x positions) does not depend on the data; it is generated
-    from hash normals, reduced against the weights and broadcast.
+    from hash normals and reduced against the weights.
     """
     eps = (spark.range(draws * n_pos)
            .select((F.col("id") / F.lit(n_pos)).cast("int").alias("draw"),
@@ -172,53 +175,74 @@ def noise_logit_shifts(model: LinearSoftmaxModel, spark: SparkSession, draws: in
            .withColumn("eps", F.lit(float(sigma)) * hash_normal(seed, F.col("draw"), F.col("pos"))))
     shifts = (eps.join(model.W(), "pos").groupBy("draw", "cls")
               .agg(F.sum(F.col("w") * F.col("eps")).alias("z")))
-    return F.broadcast(to_array(shifts, "z", "zeps", keys=("draw",), pos_col="cls"))
+    return to_array(shifts, "z", "v", keys=("draw",), pos_col="cls").withColumnRenamed("draw", "idx")
 
 
-def _noisy_coefs(model, samples, targets, draws, sigma, seed):
-    spark = samples.sparkSession
-    rows = logit_arrays(model, samples, targets)
-    shifts = noise_logit_shifts(model, spark, draws, sigma, model.n_pos, seed)
-    per_draw = (rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-                .join(shifts, "draw")
-                .withColumn("a", grad_coefs(softmax_array(F.zip_with("zs", "zeps", lambda u, v: u + v)),
-                                            F.col("target"))))
-    return rows, per_draw
+def _noise_maps(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame, draws: int, sigma: float, seed: int, kind: str) -> DataFrame:
+    """The mean, mean square or variance over noise draws of the gradient at every position.
+
+    A draw's gradient is ``W' a_k`` with the class coefficients ``a_k``, so a sample
+    needs the coefficients' first and second moments only: position ``p`` then has
+    ``w_p . mean(a)``, and its mean square is the quadratic form ``w_p' mean(a a') w_p``.
+    """
+    shifts = SharedRows(noise_logit_shifts(model, samples.sparkSession, draws, sigma, model.n_pos, seed), "noise")
+    scorer = LinearCopies(model)
+    c = model.n_classes
+    rows = _array_rows(samples, targets)
+
+    def run(batches):
+        noise = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            noise = shifts.matrix() if noise is None else noise
+            d = len(batch.column("x")[0])
+            step = max(1, VALUES // (c * c + 2 * d))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                x, target = rows_of(part.column("x")).astype(np.float64), part.column("target").to_numpy().astype(np.int64)
+                z, n = scorer.logits(x), len(x)
+                first, second = np.zeros((n, c)), np.zeros((n, c, c))
+                block = max(1, VALUES // max(1, n * c))
+                for k in range(0, draws, block):
+                    p = z[:, None, :] + noise[k:k + block]
+                    p = np.exp(p - p.max(2, keepdims=True))
+                    p /= p.sum(2, keepdims=True)
+                    own = p[np.arange(n), :, target]
+                    a = -own[:, :, None] * p
+                    a[np.arange(n), :, target] += own
+                    first += a.sum(1)
+                    if kind != "mean":
+                        second += np.matmul(a.transpose(0, 2, 1), a)
+                first, second = first / draws, second / draws
+                if kind == "variance":
+                    second -= first[:, :, None] * first[:, None, :]
+                out = np.empty((n, d))
+                for pos, w in scorer.weights.tiles():
+                    out[:, pos] = first @ w.T if kind == "mean" else np.maximum((np.matmul(w, second) * w).sum(2), 0.0)
+                offsets = pa.array(np.arange(n + 1, dtype=np.int32) * d, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("sample_id"), pa.ListArray.from_arrays(offsets, pa.array(out.reshape(-1)))], ["sample_id", "e"])
+
+    schema = T.StructType([rows.schema["sample_id"], T.StructField("e", T.ArrayType(T.DoubleType()))])
+    return _long(rows.mapInArrow(run, schema))
 
 
 def smoothgrad(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame,
                nb_samples: int = 175, sigma: float = 0.11, seed: int = 0) -> DataFrame:
     """Mean gradient under N(0, sigma^2) input noise (one shared noise design)."""
-    rows, per_draw = _noisy_coefs(model, samples, targets, nb_samples, sigma, seed)
-    mean_a = (per_draw.select("sample_id", F.posexplode("a").alias("cls", "a"))
-              .groupBy("sample_id", "cls").agg(F.avg("a").alias("a")))
-    coef = to_array(mean_a, "a", "coef", pos_col="cls")
-    return project(model, rows.join(coef, "sample_id"), "coef", F.col("g"))
-
-
-def _per_draw_gradients(model, samples, per_draw):
-    n_pos = model.n_pos
-    g = (per_draw.select("sample_id", "draw", "a",
-                         F.explode(F.sequence(F.lit(0), F.lit(n_pos - 1))).alias("pos"))
-         .join(weights_by_pos(model), "pos")
-         .select("sample_id", "pos", dot(F.col("a"), F.col("wv")).alias("g")))
-    return g
+    return _noise_maps(model, samples, targets, nb_samples, sigma, seed, "mean")
 
 
 def squaregrad(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame,
                nb_samples: int = 194, sigma: float = 0.63, seed: int = 0) -> DataFrame:
     """E5: mean squared gradient under noise."""
-    _, per_draw = _noisy_coefs(model, samples, targets, nb_samples, sigma, seed)
-    g = _per_draw_gradients(model, samples, per_draw)
-    return g.groupBy("sample_id", "pos").agg(F.avg(F.col("g") * F.col("g")).alias("e"))
+    return _noise_maps(model, samples, targets, nb_samples, sigma, seed, "square")
 
 
 def vargrad(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame,
             nb_samples: int = 100, sigma: float = 0.62, seed: int = 0) -> DataFrame:
     """Population variance of the gradient under noise."""
-    _, per_draw = _noisy_coefs(model, samples, targets, nb_samples, sigma, seed)
-    g = _per_draw_gradients(model, samples, per_draw)
-    return g.groupBy("sample_id", "pos").agg(F.var_pop("g").alias("e"))
+    return _noise_maps(model, samples, targets, nb_samples, sigma, seed, "variance")
 
 
 # --- perturbation family ------------------------------------------------------------------

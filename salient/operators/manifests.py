@@ -1,8 +1,8 @@
 """Dataset manifests as table jobs.
 
 The benchmark starts from recognition, caption and detection manifests.  Each
-step is a DataFrame transformation: listings are path tables, label maps are
-window ranks over distinct labels, pairing is an equi-join, unmatched items are
+step is a DataFrame transformation: listings are path tables, label maps number
+distinct labels range by range, pairing is an equi-join, unmatched items are
 anti joins, ranks within a data key (captions and objects of one image) come
 from :func:`rank_within_key`, which splits a hot key over several tasks, and
 sinks are ordinary writers (only a nested output record groups one image's
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from salient.functions.hashing import hash_uniform
 from salient.session import materialize, partitions_for
+from salient.sources.json_arrays import read_json_array
 
 # Fixed values of the manifest tools.
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "JPEG")
@@ -81,14 +82,22 @@ def url_paths(pages: DataFrame) -> DataFrame:
 
 def label_index(labels: DataFrame, col: str = "label", excludes=()) -> DataFrame:
     """K2: ``(raw_label, label_id)``: all-numeric names map to their own integer, otherwise
-    sorted order 0..n-1.  One row per class; a window over the distinct labels."""
+    sorted order 0..n-1.
+
+    One row per class.  The order is numbered piece by piece of its range
+    (:func:`rank_within_key`), and whether all names are numbers is one value
+    joined to every row, so that no task sees all classes.
+    """
     d = labels.select(F.col(col).alias("raw_label")).distinct()
     if excludes:
         d = d.filter(~F.col("raw_label").isin(list(excludes)))
-    numeric = F.min(F.when(F.col("raw_label").rlike("^[0-9]+$"), 1).otherwise(0)).over(Window.partitionBy())
-    rank = F.dense_rank().over(Window.orderBy("raw_label")) - 1
-    return d.select("raw_label", F.when(numeric == 1, F.col("raw_label").cast("int"))
-                    .otherwise(rank.cast("int")).alias("label_id"))
+    d = d.withColumn("_all", F.lit(0))
+    numbers = d.groupBy("_all").agg(F.min(F.when(F.col("raw_label").rlike("^[0-9]+$"), 1).otherwise(0)).alias("_numbers"))
+    numbers = numbers.select(F.col("_all").alias("_one"), "_numbers")
+    ranked = rank_within_key(d, "_all", "raw_label", out="_rn")
+    return (ranked.join(F.broadcast(numbers), F.col("_all") == F.col("_one"))  # one row
+            .select("raw_label", F.when(F.col("_numbers") == 1, F.expr("try_cast(raw_label as int)"))
+                    .otherwise((F.col("_rn") - 1).cast("int")).alias("label_id")))
 
 
 # --- K3 / K4 recognition ------------------------------------------------------------------
@@ -101,8 +110,8 @@ def hash_split(df: DataFrame, key: str, test_fraction: float, seed: int = SPLIT_
 
 def recognition_manifest(train: DataFrame, test: DataFrame | None = None, test_fraction: float = 0.0,
                          path_col: str = "path", image_col: str | None = None,
-                         check: bool = True) -> tuple[DataFrame, DataFrame]:
-    """K3: ``(split, image, label)`` rows and ``(num_classes, indices_2_labels)``.
+                         check: bool = True, base_path: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """K3: ``(split, image, label)`` rows, the info row ``(num_classes, base_path)`` and the classes ``(label_id, raw_label)``.
 
     The class of an image is the parent folder of ``path_col``; ``image_col``
     (default: the path) is the image key.  The label index (one row per class)
@@ -126,9 +135,8 @@ def recognition_manifest(train: DataFrame, test: DataFrame | None = None, test_f
     else:
         rows = tr.withColumn("split", F.lit("train"))
     out = rows.join(index, "raw_label").select("split", "image", F.col("label_id").alias("label"))
-    info = index.agg(F.count(F.lit(1)).alias("num_classes"),
-                     F.map_from_entries(F.collect_list(F.struct("label_id", "raw_label"))).alias("indices_2_labels"))
-    return out, info
+    info = index.agg(F.count(F.lit(1)).alias("num_classes")).select("num_classes", F.lit(base_path).alias("base_path"))
+    return out, info, index.select("label_id", "raw_label")
 
 
 # --- K5-K7 captions -----------------------------------------------------------------------
@@ -140,7 +148,10 @@ def parse_caption_rows(raw: DataFrame, image_col: str = "image", caption_col: st
 
 
 def read_captions(spark: SparkSession, path: str, fmt: str = "tsv") -> DataFrame:
-    """K5: read captions from TSV (``image#k<TAB>caption``), a JSON list or COCO JSON."""
+    """K5: ``(image, caption, line)`` from TSV (``image#k<TAB>caption``), a JSON list or COCO JSON; ``line`` orders the captions.
+
+    JSON files are read by byte ranges (:func:`salient.sources.json_arrays.read_json_array`).
+    """
     if fmt == "tsv":
         # order within a file: its blocks by their start, the lines of a block as read
         raw = (spark.read.option("sep", "\t").option("quote", "").schema("_c0 STRING, _c1 STRING").csv(path)
@@ -148,16 +159,13 @@ def read_captions(spark: SparkSession, path: str, fmt: str = "tsv") -> DataFrame
                        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                                 F.monotonically_increasing_id().alias("at")).alias("line")))
         return parse_caption_rows(raw)
+    order = F.struct("file", "place").alias("line")
     if fmt == "json":
-        raw = spark.read.option("multiLine", True).json(path)
-        return raw.select(F.col("image"), F.col("caption"), F.monotonically_increasing_id().alias("line"))
+        return read_json_array(spark, path, "image string, caption string").select("image", "caption", order)
     if fmt == "coco":
-        raw = spark.read.option("multiLine", True).json(path)
-        images = raw.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"),
-                                                                    F.col("i.file_name").alias("image"))
-        anns = raw.select(F.posexplode("annotations").alias("line", "a")).select(
-            "line", F.col("a.image_id").alias("image_id"), F.col("a.caption").alias("caption"))
-        return anns.join(images, "image_id").select("image", "caption", "line")
+        images = read_json_array(spark, path, "id long, file_name string", "images").select(F.col("id").alias("image_id"), F.col("file_name").alias("image"))
+        anns = read_json_array(spark, path, "image_id long, caption string", "annotations")
+        return anns.join(images, "image_id").select("image", "caption", order)
     raise ValueError(f"unknown caption format {fmt!r}")
 
 
@@ -227,6 +235,25 @@ def caption_manifest_lines(train: DataFrame, test: DataFrame, base_path: str = "
     return info.unionByName(fmt(train, 1)).unionByName(marker).unionByName(fmt(test, 3))
 
 
+def caption_manifest(train: DataFrame, test: DataFrame | None = None, base_path: str = "") -> tuple[DataFrame, DataFrame]:
+    """K7 (JSON, the default form): records ``(split, rn, image_pos, image, caption)`` in manifest order ``(rn, image_pos)``, and the info row.
+
+    Sets matched from separate caption files, or from the embedded ``train`` and
+    ``test`` captions of one, are given apart; without a test set there are no test records.
+    """
+    def part(df, split):
+        return df.select(F.lit(split).alias("split"), F.col("rn").cast("bigint").alias("rn"), F.col("image_pos").cast("bigint").alias("image_pos"), "image", "caption")
+    rows = part(train, "train") if test is None else part(train, "train").unionByName(part(test, "test"))
+    return rows, train.sparkSession.range(1).select(F.lit(base_path).alias("base_path"))
+
+
+def write_caption_json(rows: DataFrame, info: DataFrame, path: str) -> None:
+    """K7 sink (JSON): the records of each split as JSON lines in manifest order over the files (range-partitioned sort), and the info record."""
+    (rows.repartitionByRange("split", "rn", "image_pos").sortWithinPartitions("split", "rn", "image_pos")
+     .write.mode("overwrite").partitionBy("split").json(f"{path}/rows"))
+    info.coalesce(1).write.mode("overwrite").json(f"{path}/info")
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     """Sink for manifest lines, globally ordered (range-partitioned sort, then text files)."""
     lines.orderBy("section", "rn", "image_pos").select("line").write.mode("overwrite").text(path)
@@ -260,15 +287,54 @@ def read_box_text(spark: SparkSession, path: str) -> DataFrame:
     return parse_box_text(files)
 
 
+BOX_NUMBERS = ("v1", "v2", "v3", "v4")
+
+
+def box_lines(lines: DataFrame, path_col: str = "path", order_col: str = "ln", text_col: str = "value") -> DataFrame:
+    """K9, long form: ``(path, obj_idx, label, v1..v4)`` from the lines of label files ``label v1 v2 v3 v4``.
+
+    Blank lines are no objects.  Objects are numbered in line order by
+    :func:`rank_within_key`, so a file with very many lines is never one task's.
+    """
+    said = lines.select(F.col(path_col).alias("path"), F.col(order_col).alias("_o"), F.trim(F.col(text_col)).alias("t")).where("t <> ''")
+    parts = F.split("t", " ")
+    ranked = rank_within_key(said, "path", "_o", out="_rn")
+    return ranked.select("path", (F.col("_rn") - 1).cast("int").alias("obj_idx"), parts[0].alias("label"),
+                         *[F.get(parts, F.lit(i + 1)).cast("double").alias(c) for i, c in enumerate(BOX_NUMBERS)])
+
+
+def read_box_lines(spark: SparkSession, path: str) -> DataFrame:
+    """K9 reader, long form: files are read line by line, a large one by several tasks; order is file block, then line as read."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"),
+                                         F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("ln"))
+    return box_lines(lines)
+
+
+def convert_box_columns(objects: DataFrame, fmt: str = "yxyx", columns=BOX_NUMBERS) -> DataFrame:
+    """K12, long form: the four numbers of every object as ``top, lft, bottom, rgt``."""
+    box = convert_box(F.array(*columns), fmt)
+    return objects.select("*", *[F.element_at(box, i + 1).alias(c) for i, c in enumerate(COCO_BOX)]).drop(*[c for c in columns if c not in COCO_BOX])
+
+
 COCO_BOX = ("top", "lft", "bottom", "rgt")
 
 
-def coco_objects(images: DataFrame, annotations: DataFrame, target_ids: list[int] | None = None) -> DataFrame:
+def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """K10 reader: ``(images, annotations, categories)`` of annotation files, read by byte ranges; ``ann_order`` is the file's order."""
+    images = read_json_array(spark, path, "id long, file_name string, width double, height double", "images").withColumnRenamed("id", "image_id").drop("file", "place")
+    anns = (read_json_array(spark, path, "image_id long, category_id int, bbox array<double>, iscrowd int", "annotations")
+            .withColumn("ann_order", F.struct("file", "place")).drop("file", "place"))
+    return images, anns, read_json_array(spark, path, "id int, name string", "categories").select("id", "name").distinct()
+
+
+def coco_objects(images: DataFrame, annotations: DataFrame, target_ids: list[int] | None = None,
+                 listing: DataFrame | None = None) -> DataFrame:
     """K10, long form: one row per kept object,
     ``(image_id, image, obj_idx, label, top, lft, bottom, rgt)`` with the box normalized to 0..1.
 
     Crowd annotations and categories outside ``target_ids`` are dropped and
-    image sizes come from a join on ``image_id``.  The object number follows
+    image sizes come from a join on ``image_id``.  With ``listing(image)`` only images
+    listed there count, and ``image`` is the listed path whose last part is the file name.  The object number follows
     ``(ann_order, label, box)`` within the image and comes from
     :func:`rank_within_key`, so an image with a huge share of the annotations
     is never gathered in one task.
@@ -277,7 +343,11 @@ def coco_objects(images: DataFrame, annotations: DataFrame, target_ids: list[int
     if target_ids is not None:
         ann = ann.filter(F.col("category_id").isin(list(target_ids)))
     ann = ann.filter(~F.coalesce(F.col("iscrowd").cast("boolean"), F.lit(False)))
-    j = ann.join(images.select("image_id", F.col("file_name").alias("image"), "width", "height"), "image_id")
+    sized = images.select("image_id", F.col("file_name").alias("image"), "width", "height")
+    if listing is not None:
+        paths = listing.groupBy(basename(F.col("image")).alias("_name")).agg(F.min("image").alias("_path"))
+        sized = sized.join(paths, F.col("image") == F.col("_name")).select("image_id", F.col("_path").alias("image"), "width", "height")
+    j = ann.join(sized, "image_id")
     x, y, w, h = (F.element_at("bbox", i) for i in (1, 2, 3, 4))
     coords = [y / F.col("height"), x / F.col("width"), (y + h) / F.col("height"), (x + w) / F.col("width")]
     rows = j.select("image_id", "image", "ann_order", F.col("category_id").alias("label"),
@@ -369,8 +439,7 @@ def encode_box_labels(objects: DataFrame, train_filter: Column | None = None) ->
         out = objects.withColumn("label", F.transform("label", lambda v: v.cast("int")))
         n_classes = F.max("label_id") + 1
     else:
-        index = labels.select("raw_label", (F.dense_rank().over(Window.orderBy("raw_label")) - 1)
-                              .cast("int").alias("label_id"))
+        index = label_index(labels, "raw_label")
         # written once: both branches below must see the same numbers
         rows = materialize(objects.withColumn("_rec", F.monotonically_increasing_id()))
         ids = (rows.select("_rec", F.posexplode("label").alias("li", "raw_label")).join(index, "raw_label", "left")
@@ -383,6 +452,67 @@ def encode_box_labels(objects: DataFrame, train_filter: Column | None = None) ->
     return out.select(*objects.columns), info
 
 
+# --- K14 detection manifest -----------------------------------------------------------------
+
+def detection_classes(train: DataFrame, categories: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """K13, long form: classes ``(raw_label, label_id)`` and one row ``(num_classes)`` from training objects ``(label)``.
+
+    Category numbers of an annotation file, and labels that are all digits, keep
+    their own value, and there are the largest + 1 classes; other labels are
+    numbered in sorted order.
+    """
+    if categories is not None:
+        classes = categories.select(F.col("name").alias("raw_label"), F.col("id").cast("int").alias("label_id"))
+        return classes, classes.agg((F.max("label_id") + 1).cast("bigint").alias("num_classes"))
+    said = train.where("label is not null").select(F.col("label").alias("raw_label"))
+    classes = label_index(said, "raw_label")
+    own = F.min(F.when(F.col("raw_label").rlike("^[0-9]+$"), 1).otherwise(0)) == 1
+    return classes, classes.agg(F.when(own, F.max("label_id") + 1).otherwise(F.count(F.lit(1))).cast("bigint").alias("num_classes"))
+
+
+def detection_manifest(images: DataFrame, objects: DataFrame, test_images: DataFrame | None = None, test_objects: DataFrame | None = None,
+                       test_fraction: float = 0.0, categories: DataFrame | None = None, box_format: str | None = None,
+                       base_path: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows ``(split, image, obj_idx, label, top, lft, bottom, rgt)``, the info row ``(num_classes, base_path)`` and the classes.
+
+    ``images(image)`` lists all images, ``objects(image, obj_idx, label, ...)`` their
+    objects, from either source: annotation files (:func:`coco_objects`, with ``categories``; boxes
+    are ``top, lft, bottom, rgt``) or a folder of label files (:func:`label_dir_objects`;
+    boxes are ``v1..v4`` in ``box_format``, labels are text).  Images without
+    objects are backgrounds: one row without object.  The test set is given, or
+    (``test_fraction``) split off by the image's hash; its text labels are numbered by the training
+    classes, unknown ones are -1.
+    """
+    def part(listed, found):
+        found = found.select("image", "obj_idx", "label", *(BOX_NUMBERS if box_format else COCO_BOX))
+        if box_format:
+            found = convert_box_columns(found, box_format)
+        return add_background_rows(listed.select("image").distinct(), found, "image")
+
+    rows = part(images, objects)
+    if test_images is not None:
+        test = part(test_images, objects if test_objects is None else test_objects)
+        rows = rows.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    else:
+        rows = hash_split(rows, "image", test_fraction) if test_fraction > 0 else rows.withColumn("split", F.lit("train"))
+    classes, number = detection_classes(rows.where("split = 'train'"), categories)
+    if categories is None:
+        index = classes.select(F.col("raw_label").alias("label"), "label_id")
+        rows = rows.join(index, "label", "left").withColumn("label", F.when(F.col("label").isNotNull(), F.coalesce("label_id", F.lit(-1))))
+    out = rows.select("split", "image", "obj_idx", F.col("label").cast("int").alias("label"), *COCO_BOX)
+    return out, number.select("num_classes", F.lit(base_path).alias("base_path")), classes
+
+
+def label_dir_objects(images: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """K8 + K9: ``(image, obj_idx, label, v1..v4)`` of the images that have a label file, and the images that have none.
+
+    ``lines`` is ``(path, obj_idx, label, v1..v4)`` from :func:`box_lines`; a file
+    belongs to the images of its stem.
+    """
+    matched, missing = match_label_files(images, lines.select("path").distinct())
+    return matched.join(lines, F.col("label_path") == F.col("path")).drop("label_path", "path"), missing
+
+
 # --- K15 ordinal labels ---------------------------------------------------------------------
 
 def assign_labels_by_ordinal(files: DataFrame, label_lines: DataFrame,
@@ -402,14 +532,22 @@ def assign_labels_by_ordinal(files: DataFrame, label_lines: DataFrame,
 
 # --- manifest sinks -------------------------------------------------------------------------
 
-def write_manifest_json(rows: DataFrame, info: DataFrame, path: str) -> None:
+def write_manifest_json(rows: DataFrame, info: DataFrame, path: str, classes: DataFrame | None = None) -> None:
     """K3/K14 sink: manifest rows as JSON lines partitioned by split, plus a one-row info record.
 
-    Rows are written in parallel (one file per task); the info record (class
-    count and index map, one entry per class) goes to ``path/info``.
+    Rows are written in parallel (one file per task); the info record goes to
+    ``path/info``, the classes, one record each, to ``path/classes``.
     """
     rows.write.mode("overwrite").partitionBy("split").json(f"{path}/rows")
     info.coalesce(1).write.mode("overwrite").json(f"{path}/info")
+    if classes is not None:
+        classes.write.mode("overwrite").json(f"{path}/classes")
+
+
+def nested_objects(rows: DataFrame) -> DataFrame:
+    """K14 records: ``(split, image, label[], bbox[][])``, one for each image, as the output format nests an image's objects."""
+    o = F.array_sort(F.collect_list(F.when(F.col("obj_idx").isNotNull(), F.struct("obj_idx", "label", F.array(*COCO_BOX).alias("box")))))
+    return rows.groupBy("split", "image").agg(o.alias("o")).select("split", "image", F.transform("o", lambda v: v["label"]).alias("label"), F.transform("o", lambda v: v["box"]).alias("bbox"))
 
 
 def read_manifest_json(spark: SparkSession, path: str, schema: str) -> DataFrame:

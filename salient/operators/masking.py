@@ -151,14 +151,25 @@ def _axis_weights(n_out: int, n_in: int) -> list[tuple[int, int, float]]:
 def bicubic_weights(spark: SparkSession, grid: int, shape: Shape) -> DataFrame:
     """Static sparse map ``(cell, pix, weight)`` for a g x g -> H x W bicubic resize.
 
-    The table depends on (g, H, W) only (at most 16 entries per output pixel)
-    and is broadcast; a resize is then a join on ``cell`` and ``sum(weight*v)``.
+    Made by tasks from a range: every output pixel has four taps an axis, those
+    beyond the border count for the border cell.  A resize is a join on ``cell`` and ``sum(weight*v)``.
     """
-    rows = _axis_weights(shape.h, grid)
-    cols = _axis_weights(shape.w, grid)
-    data = [(ri * grid + ci, ro * shape.w + co, float(rw * cw))
-            for ro, ri, rw in rows for co, ci, cw in cols]
-    return F.broadcast(spark.createDataFrame(data, "cell INT, pix INT, weight DOUBLE"))
+    tap = spark.range(shape.pixels * 16)
+    pix, t = F.floor(F.col("id") / 16), F.col("id") % 16
+
+    def axis(out, n_out: int, k):
+        src = (out + F.lit(0.5)) * F.lit(float(grid)) / F.lit(float(n_out)) - F.lit(0.5)
+        at = F.floor(src) - 1 + k
+        d = F.abs(src - at)
+        a = KEYS_A
+        near = F.lit(a + 2.0) * d * d * d - F.lit(a + 3.0) * d * d + F.lit(1.0)
+        far = F.lit(a) * d * d * d - F.lit(5.0 * a) * d * d + F.lit(8.0 * a) * d - F.lit(4.0 * a)
+        return F.greatest(F.least(at, F.lit(grid - 1)), F.lit(0)), F.when(d <= 1, near).when(d < 2, far).otherwise(0.0)
+
+    r, wr = axis(F.floor(pix / shape.w), shape.h, F.floor(t / 4))
+    c, wc = axis(pix % shape.w, shape.w, t % 4)
+    taps = tap.select((r * grid + c).cast("int").alias("cell"), pix.cast("int").alias("pix"), (wr * wc).alias("weight"))
+    return taps.groupBy("cell", "pix").agg(F.sum("weight").alias("weight")).where("weight <> 0")
 
 
 def bicubic_matrix(grid: int, shape: Shape) -> np.ndarray:

@@ -29,9 +29,9 @@ from salient.session import ensure_checkpoint_dir, scratch_path
 BROADCAST_ROWS = 4_000_000  # ~100 MB of (cls, pos, w) rows
 
 
-def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+def maybe_broadcast(df: DataFrame, rows: int, limit: int | None = None) -> DataFrame:
     """Broadcast only a side whose row count is known and under the limit."""
-    return F.broadcast(df) if rows <= limit else df
+    return F.broadcast(df) if rows <= (BROADCAST_ROWS if limit is None else limit) else df
 
 
 class LinearSoftmaxModel:

@@ -38,7 +38,15 @@ def targets(mdl: LinearSoftmaxModel, smp: DataFrame) -> DataFrame:
     return predictions(mdl, smp).select("sample_id", F.col("pred").alias("target"))
 
 
-_PREPARED: dict[tuple[str, str], tuple] = {}
+_PREPARED: dict[tuple, tuple] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple:
+    """What tells a table from itself after a change: bytes, files, and the time of the last change of its folder (or file)."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    held = files.getContentSummary(hadoop)
+    return path, held.getLength(), held.getFileCount(), files.getFileStatus(hadoop).getModificationTime()
 
 
 def setup(spark: SparkSession, sf_dir: str):
@@ -48,9 +56,10 @@ def setup(spark: SparkSession, sf_dir: str):
     then reused by every explainer and metric run), the scorer and the
     (input, prediction) table are built once per input folder and Spark
     application and checkpointed; later queries of the same application read
-    the written tables.  Explanation maps are never shared between queries.
+    the written tables while the input stays as it was.  Explanation maps are
+    never shared between queries.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, *_state(spark, f"{sf_dir}/embeddings.parquet"))
     if key not in _PREPARED:
         smp = samples(spark, sf_dir)
         mdl = model(smp)

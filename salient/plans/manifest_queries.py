@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from salient.functions.arrays import rounded
@@ -9,6 +10,7 @@ from salient.functions.hashing import sql_uniform
 from salient.operators import manifests as K
 from salient.plans import fixtures as fx
 from salient.plans.catalog import register
+from salient.session import scratch_path
 
 # --- shared fixture views -----------------------------------------------------------
 
@@ -53,17 +55,17 @@ SELECT CASE WHEN {sql_uniform(42, 'url')} < 0.2 THEN 'test' ELSE 'train' END AS
 FROM p JOIN ix USING (raw_label)""")
 def q_recognition_manifest(spark, sf_dir):
     """K3 + K4: (split, image, label) with label = parent folder, 20 % hashed test split."""
-    rows, _ = K.recognition_manifest(_listing(spark, sf_dir), test_fraction=0.2, path_col="path", image_col="url")
+    rows, _, _ = K.recognition_manifest(_listing(spark, sf_dir), test_fraction=0.2, path_col="path", image_col="url")
     return rows
 
 
 @register("recognition_info", f"""
-SELECT CAST(count(*) AS BIGINT) AS num_classes FROM
+SELECT CAST(count(*) AS BIGINT) AS num_classes, '/data' AS base_path FROM
 (SELECT DISTINCT regexp_extract(path, '([^/]*)/[^/]*$', 1) FROM ({PATHS_SQL}))""")
 def q_recognition_info(spark, sf_dir):
-    """K3: manifest info (number of classes)."""
-    _, info = K.recognition_manifest(_listing(spark, sf_dir), path_col="path", image_col="url")
-    return info.select(F.col("num_classes").cast("bigint"))
+    """K3: manifest info (number of classes, base path)."""
+    _, info, _ = K.recognition_manifest(_listing(spark, sf_dir), path_col="path", image_col="url", base_path="/data")
+    return info.select(F.col("num_classes").cast("bigint"), "base_path")
 
 
 @register("train_test_split", f"""
@@ -90,6 +92,33 @@ def q_read_captions(spark, sf_dir):
     return _caption_rows(spark, sf_dir)
 
 
+def _json_files(rows, head: str, tail: str, name: str):
+    """Rows of JSON texts ``(json)`` as files that each hold one JSON document: the task's rows between ``head`` and ``tail``."""
+    def lines(batches):
+        first = True
+        for batch in batches:
+            texts = batch.column("json").to_pylist()
+            if texts:
+                yield pa.RecordBatch.from_arrays([pa.array([(head if first and not i else ",") + t for i, t in enumerate(texts)])], ["value"])
+                first = False
+        if not first:
+            yield pa.RecordBatch.from_arrays([pa.array([tail])], ["value"])
+
+    path = scratch_path(rows.sparkSession, name)
+    rows.mapInArrow(lines, "value string").write.text(path)
+    return path
+
+
+@register("read_captions_json", """
+SELECT 'img_' || conv_id || '.jpg' AS image, text AS caption, count(*) AS n FROM conversations GROUP BY ALL""")
+def q_read_captions_json(spark, sf_dir):
+    """K5: caption files that are JSON lists, written from the conversations and read by byte ranges."""
+    conv = fx.table(spark, sf_dir, "conversations")
+    image = F.concat(F.lit("img_"), F.col("conv_id").cast("string"), F.lit(".jpg"))
+    path = _json_files(conv.select(F.to_json(F.struct(image.alias("image"), F.col("text").alias("caption"))).alias("json")), "[", "]", "captions-json")
+    return K.read_captions(spark, path, "json").groupBy("image", "caption").agg(F.count("*").alias("n"))
+
+
 def _matched(spark, sf_dir):
     conv = fx.table(spark, sf_dir, "conversations")
     images = (conv.select("conv_id").distinct()
@@ -122,19 +151,36 @@ def q_caption_manifest(spark, sf_dir):
     return K.caption_manifest_lines(m.filter(F.col("split") == "train"), m.filter(F.col("split") == "test"))
 
 
+@register("caption_manifest_json", f"""
+WITH m AS ({MATCHED_SQL}),
+s AS (SELECT *, CASE WHEN {sql_uniform(42, 'image')} < 0.25 THEN 'test' ELSE 'train' END AS split FROM m)
+SELECT split, row_number() OVER (PARTITION BY split ORDER BY rn, image_pos) AS pos, image, caption FROM s""")
+def q_caption_manifest_json(spark, sf_dir):
+    """K7 sink (JSON): caption records written in manifest order and read back with their place in each split."""
+    m = K.hash_split(_matched(spark, sf_dir), "image", 0.25)
+    rows, info = K.caption_manifest(m.where("split = 'train'"), m.where("split = 'test'"), "/data")
+    path = scratch_path(spark, "captions-manifest")
+    K.write_caption_json(rows, info, path)
+    back = (spark.read.schema("split STRING, rn BIGINT, image_pos BIGINT, image STRING, caption STRING").json(f"{path}/rows")
+            .withColumn("at", F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())))
+    # the place as the files tell it, not as the columns rn and image_pos do
+    return K.rank_within_key(back, "split", "at", out="pos").select("split", F.col("pos").cast("bigint").alias("pos"), "image", "caption")
+
+
 # --- detection --------------------------------------------------------------------------
 
 STEM_SQL = "regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '')"
 
 
 def _label_files(spark, sf_dir):
-    docs = fx.table(spark, sf_dir, "documents")
+    """A label file for every labelled document, named by its number."""
+    docs = fx.table(spark, sf_dir, "labels")
     return docs.select(F.concat(F.lit("labels/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
 
 
 @register("match_label_files", f"""
 SELECT p.path AS image, 'labels/' || d.doc_id || '.txt' AS label_path
-FROM ({PATHS_SQL}) p JOIN documents d ON CAST(d.doc_id AS VARCHAR) = {STEM_SQL.replace('path', 'p.path')}""")
+FROM ({PATHS_SQL}) p JOIN labels d ON CAST(d.doc_id AS VARCHAR) = {STEM_SQL.replace('path', 'p.path')}""")
 def q_match_label_files(spark, sf_dir):
     """K8: images paired with label files by file stem."""
     matched, _ = K.match_label_files(_listing(spark, sf_dir).select(F.col("path").alias("image")),
@@ -144,7 +190,7 @@ def q_match_label_files(spark, sf_dir):
 
 @register("unmatched_images", f"""
 SELECT p.path AS image FROM ({PATHS_SQL}) p
-WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE CAST(d.doc_id AS VARCHAR) = {STEM_SQL.replace('path', 'p.path')})""")
+WHERE NOT EXISTS (SELECT 1 FROM labels d WHERE CAST(d.doc_id AS VARCHAR) = {STEM_SQL.replace('path', 'p.path')})""")
 def q_unmatched_images(spark, sf_dir):
     """K8 report: images without a label file (anti join)."""
     _, missing = K.match_label_files(_listing(spark, sf_dir).select(F.col("path").alias("image")),
@@ -201,13 +247,10 @@ def _fmt_sql(fmt: str) -> str:
 def q_convert_boxes(spark, sf_dir):
     """Every box of K9 converted from each of the 6 source formats to [top, left, bottom, right]."""
     objs = K.parse_box_text(_box_files(spark, sf_dir))
-    out = None
-    for f in K.BOX_FORMATS:
-        c = K.convert_boxes(objs, f).select("path", F.lit(f).alias("fmt"), F.posexplode("bbox").alias("obj_idx", "b"))
-        c = c.select("path", "fmt", F.col("obj_idx").cast("int"),
-                     *[rounded(F.element_at("b", i)).alias(f"b{i}") for i in (1, 2, 3, 4)])
-        out = c if out is None else out.unionByName(c)
-    return out
+    each = F.posexplode("bbox").alias("obj_idx", "b")
+    forms = F.explode(F.array(*[F.struct(F.lit(f).alias("fmt"), K.convert_box(F.col("b"), f).alias("b")) for f in K.BOX_FORMATS])).alias("f")
+    out = objs.select("path", each).select("path", "obj_idx", forms)
+    return out.select("path", "f.fmt", F.col("obj_idx").cast("int"), *[rounded(F.element_at("f.b", i)).alias(f"b{i}") for i in (1, 2, 3, 4)])
 
 
 @register("encode_box_labels", f"""
@@ -283,10 +326,77 @@ SELECT CASE WHEN {sql_uniform(42, 'i.image')} < 0.2 THEN 'test' ELSE 'train' END
 FROM im i LEFT JOIN ob o USING (image)""")
 def q_detection_manifest(spark, sf_dir):
     """Detection manifest rows (split, image, objects) incl. backgrounds, 20 % hashed test split."""
-    images, anns, _ = _coco(spark, sf_dir)
-    full = K.add_background_rows(images.select("image_id", F.col("file_name").alias("image")),
-                                 K.coco_objects(images, anns))
-    return _objects_out(K.hash_split(full, "image", 0.2), "split")
+    return _objects_out(_detection(spark, sf_dir)[0], "split")
+
+
+def _detection(spark, sf_dir):
+    images, anns, cats = _coco(spark, sf_dir)
+    return K.detection_manifest(images.select(F.col("file_name").alias("image")), K.coco_objects(images, anns), test_fraction=0.2, categories=cats, base_path="/data")
+
+
+@register("detection_info", """
+SELECT CAST(max(ascii(l_returnflag)) + 1 AS BIGINT) AS num_classes, '/data' AS base_path FROM lineitem""")
+def q_detection_info(spark, sf_dir):
+    """Manifest info: the largest category number + 1, and the base path."""
+    return _detection(spark, sf_dir)[1]
+
+
+@register("coco_boxes_file", f"""WITH {COCO_SQL.replace("o_orderkey || '.jpg' AS image", "'set/' || o_orderkey || '.jpg' AS image").replace("FROM orders", "FROM orders WHERE o_orderstatus <> 'P'").replace("l_tax = 0.0)", "l_tax = 0.0) AND l_returnflag <> 'R'")}
+SELECT image, obj_idx, label, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in ('top', 'lft', 'bottom', 'rgt'))} FROM ob""")
+def q_coco_boxes_file(spark, sf_dir):
+    """Annotation files (JSON documents) read by byte ranges; only listed images and the wanted categories."""
+    images, anns, cats = _coco(spark, sf_dir)
+    head = images.join(fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image_id"), "o_orderstatus"), "image_id")
+    records = [images.select(F.col("image_id").alias("id"), "file_name", "width", "height"), anns.drop("ann_order"), cats]
+    # a line's number orders an order's annotations: files are written in that order
+    box = [F.element_at("bbox", i) for i in (2, 1, 4, 3)]
+    records[1] = anns.repartitionByRange("image_id").sortWithinPartitions("image_id", "ann_order", "category_id", *box).drop("ann_order")
+    found = []
+    for rows, field, place in zip(records, ("images", "annotations", "categories"), range(3)):
+        path = _json_files(rows.select(F.to_json(F.struct(*rows.columns)).alias("json")), f'{{"info": {{"{field}": [1, "]"]}}, "{field}": [', "]}", f"coco-{field}")
+        found.append(K.read_coco(spark, path)[place])
+    listing = head.where("o_orderstatus <> 'P'").select(F.concat(F.lit("set/"), "file_name").alias("image"))
+    wanted = [ord(c) for c in "AN"]
+    return _objects_out(K.coco_objects(found[0], found[1], wanted, listing))
+
+
+LABEL_LINES_SQL = f"""
+im AS (SELECT 'images/' || o_orderkey || '.jpg' AS image, 'labels/' || o_orderkey || '.txt' AS path, o_orderkey FROM orders),
+sp AS (SELECT *, CASE WHEN {sql_uniform(42, 'image')} < 0.2 THEN 'test' ELSE 'train' END AS split FROM im),
+li AS (SELECT l_orderkey, 'part' || l_partkey AS label,
+              CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_discount, l_tax) - 1 AS INTEGER) AS obj_idx,
+              l_linenumber AS x, l_quantity AS y, l_discount AS w, l_tax AS h FROM lineitem),
+ix AS (SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS label_id FROM (
+         SELECT DISTINCT label FROM li JOIN sp ON o_orderkey = l_orderkey WHERE split = 'train'))"""
+
+
+def _label_lines(spark, sf_dir):
+    """Label files of the orders: a line an item, ``label x y w h``."""
+    li = fx.table(spark, sf_dir, "lineitem")
+    text = F.concat_ws(" ", F.concat(F.lit("part"), "l_partkey"), *[F.col(c).cast("string") for c in ("l_linenumber", "l_quantity", "l_discount", "l_tax")])
+    return li.select(F.concat(F.lit("labels/"), F.col("l_orderkey").cast("string"), F.lit(".txt")).alias("path"),
+                     F.struct("l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax").alias("ln"), text.alias("value"))
+
+
+def _label_manifest(spark, sf_dir):
+    images = fx.table(spark, sf_dir, "orders").select(F.concat(F.lit("images/"), F.col("o_orderkey").cast("string"), F.lit(".jpg")).alias("image"))
+    objects, _ = K.label_dir_objects(images, K.box_lines(_label_lines(spark, sf_dir)))
+    return K.detection_manifest(images, objects, test_fraction=0.2, box_format="xywh", base_path="data")
+
+
+@register("detection_manifest_labels", f"""WITH {LABEL_LINES_SQL}
+SELECT s.split, s.image, l.obj_idx, CASE WHEN l.label IS NOT NULL THEN coalesce(ix.label_id, -1) END AS label,
+       round(l.y, 6) + 0.0 AS top, round(CAST(l.x AS DOUBLE), 6) + 0.0 AS lft, round(l.y + l.h, 6) + 0.0 AS bottom, round(l.x + l.w, 6) + 0.0 AS rgt
+FROM sp s LEFT JOIN li l ON l.l_orderkey = s.o_orderkey LEFT JOIN ix USING (label)""")
+def q_detection_manifest_labels(spark, sf_dir):
+    """K14 + K8 + K9 + K12 + K13: the manifest from a folder of label files; labels only met in the test split are -1."""
+    return _objects_out(_label_manifest(spark, sf_dir)[0], "split")
+
+
+@register("detection_classes", f"""WITH {LABEL_LINES_SQL} SELECT label AS raw_label, label_id FROM ix""")
+def q_detection_classes(spark, sf_dir):
+    """K13 + K2: classes of the label folder's training part, numbered in sorted order without a single task."""
+    return _label_manifest(spark, sf_dir)[2]
 
 
 ORD_NAME_SQL = "'ILSVRC2012_val_' || lpad(CAST(doc_id + 1 AS VARCHAR), 8, '0') || '.JPEG'"
@@ -329,10 +439,9 @@ SELECT CASE WHEN {sql_uniform(42, 'url')} < 0.2 THEN 'test' ELSE 'train' END AS
 FROM p JOIN ix USING (raw_label)""")
 def q_recognition_manifest_json(spark, sf_dir):
     """K3 sink: the recognition manifest written as JSON lines (split folders + info) and read back."""
-    from salient.session import scratch_path
-    rows, info = K.recognition_manifest(_listing(spark, sf_dir), test_fraction=0.2, path_col="path", image_col="url")
+    rows, info, classes = K.recognition_manifest(_listing(spark, sf_dir), test_fraction=0.2, path_col="path", image_col="url")
     path = scratch_path(spark, "recognition")
-    K.write_manifest_json(rows, info, path)
+    K.write_manifest_json(rows, info, path, classes)
     return K.read_manifest_json(spark, path, "image STRING, label INT, split STRING").select("split", "image", "label")
 
 
@@ -344,7 +453,6 @@ UNION ALL SELECT 'TEST' || chr(9) || 'TEST'
 UNION ALL SELECT image || chr(9) || regexp_replace(regexp_replace(caption, chr(9), ' ', 'g'), chr(10), '', 'g') FROM s""")
 def q_caption_manifest_tsv(spark, sf_dir):
     """K7 sink: caption manifest lines written as globally ordered text and read back."""
-    from salient.session import scratch_path
     m = K.hash_split(_matched(spark, sf_dir), "image", 0.25)
     lines = K.caption_manifest_lines(m.filter(F.col("split") == "train"), m.filter(F.col("split") == "test"))
     path = scratch_path(spark, "captions")
@@ -358,14 +466,9 @@ SELECT CASE WHEN {sql_uniform(42, 'i.image')} < 0.2 THEN 'test' ELSE 'train' END
 FROM im i LEFT JOIN ob o USING (image)""")
 def q_detection_manifest_json(spark, sf_dir):
     """K14 sink: the detection manifest (objects nested per image) written as JSON lines by split and read back."""
-    from salient.session import scratch_path
-    images, anns, cats = _coco(spark, sf_dir)
-    objs, i2l = K.coco_boxes(images, anns, cats)
-    full = K.hash_split(K.add_backgrounds(images.select("image_id", F.col("file_name").alias("image")), objs,
-                                          "image_id"), "image", 0.2)
-    info = i2l.select(F.size("indices_2_labels").alias("num_categories"), "indices_2_labels")
+    rows, info, classes = _detection(spark, sf_dir)
     path = scratch_path(spark, "detection")
-    K.write_manifest_json(full.select("split", "image", "label", "bbox"), info, path)
+    K.write_manifest_json(K.nested_objects(rows), info, path, classes)
     back = K.read_manifest_json(spark, path, "image STRING, label ARRAY<INT>, bbox ARRAY<ARRAY<DOUBLE>>, split STRING")
     o = back.select("split", "image", F.posexplode_outer(F.arrays_zip("label", "bbox")).alias("obj_idx", "o"))
     return o.select("split", "image", F.col("obj_idx").cast("int"), F.col("o.label").cast("int").alias("label"),

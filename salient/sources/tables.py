@@ -7,8 +7,11 @@ read by partition pruning instead of building a path.
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -58,17 +61,54 @@ def read_explanations(spark: SparkSession, path: str, model: str | None = None,
     return df
 
 
+#: Names the finished build of a prepared table.
+PREPARED = "PREPARED"
+
+
 def materialize_or_load(spark: SparkSession, path: str, build: Callable[[], DataFrame] | None) -> DataFrame:
-    """P5: reuse a prepared table if present, else build and save it, else fail."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as exc:
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
+    """P5: reuse a prepared table if present, else build and save it, else fail.
+
+    Each build is written to a folder of its own below ``path``; when it is
+    complete the file ``PREPARED``, made only if it is not there yet, names it.  What
+    an interrupted build left is not named and never read, and of two builders
+    at once the first to finish is the one that both read.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    marker = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{PREPARED}")
+    files = marker.getFileSystem(conf)
+
+    def named() -> str | None:
+        for _ in range(50):
+            if not files.exists(marker):
+                return None
+            stream = files.open(marker)
+            try:
+                name = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            if name.endswith("\n"):  # the other builder has closed it
+                return name.strip()
+            time.sleep(0.1)
+        raise TimeoutError(f"{marker.toString()} was never completed")
+
+    found = named()
+    if found is None:
         if build is None:
             raise FileNotFoundError(f"no prepared table at {path} and nothing to build it from")
-    build().write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+        own = f"build-{uuid.uuid4().hex[:12]}"
+        build().write.mode("errorifexists").parquet(f"{path.rstrip('/')}/{own}")
+        try:
+            stream = files.create(marker, False)
+            try:
+                stream.write(bytearray(f"{own}\n", "utf-8"))
+            finally:
+                stream.close()
+            found = own
+        except Py4JJavaError:  # another builder was first
+            found = named()
+            if found is None:
+                raise
+    return spark.read.parquet(f"{path.rstrip('/')}/{found}")
 
 
 def coverage_matrix(maps: DataFrame) -> DataFrame:

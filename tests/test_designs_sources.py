@@ -74,6 +74,29 @@ def test_predictions_and_udf_scorer(spark):
         assert udf[i] == pytest.approx(lin[i], abs=1e-12)
 
 
+def test_interrupted_and_second_builds(spark, tmp_path):
+    path = str(tmp_path / "prep")
+    # what a build left that was interrupted while it wrote
+    spark.range(3).write.parquet(path + "/build-left")
+    with pytest.raises(FileNotFoundError):
+        T.materialize_or_load(spark, path, None)
+
+    def failing():
+        raise RuntimeError("interrupted")
+
+    with pytest.raises(RuntimeError):
+        T.materialize_or_load(spark, path, failing)
+    assert T.materialize_or_load(spark, path, lambda: spark.range(5)).count() == 5
+
+    def slow():  # another builder finishes while this one builds
+        assert T.materialize_or_load(spark, other, lambda: spark.range(7)).count() == 7
+        return spark.range(8)
+
+    other = str(tmp_path / "two")
+    assert T.materialize_or_load(spark, other, slow).count() == 7
+    assert T.materialize_or_load(spark, other, None).count() == 7
+
+
 def test_explanations_roundtrip_and_missing(spark, tmp_path):
     maps = spark.createDataFrame([(1, [0.1, 0.2], "m", "e1"), (2, [0.3, 0.4], "m", "e2")],
                                  "sample_id BIGINT, e ARRAY<DOUBLE>, model STRING, explainer STRING")
@@ -188,3 +211,14 @@ def test_no_local_folder_on_a_cluster(spark):
     far = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
     with pytest.raises(ValueError):
         ensure_checkpoint_dir(far)
+
+
+def test_changed_input_is_prepared_anew(spark, tmp_path):
+    from salient.plans import fixtures as fx
+    path = str(tmp_path / "sf")
+    rows = lambda n: spark.createDataFrame([(i, [float(i), 1.0], i % 2) for i in range(n)], "vec_id long, embedding array<float>, label int")
+    rows(4).write.parquet(f"{path}/embeddings.parquet")
+    first = fx.setup(spark, path)
+    assert fx.setup(spark, path)[0] is not None and first[0].count() == 4 and fx.setup(spark, path)[1] is first[1]
+    rows(6).write.mode("overwrite").parquet(f"{path}/embeddings.parquet")
+    assert fx.setup(spark, path)[0].count() == 6

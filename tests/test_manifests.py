@@ -37,7 +37,7 @@ def test_recognition_manifest_unknown_test_label(spark):
     test = spark.createDataFrame([("t/c/3.jpg",)], "path STRING")
     with pytest.raises(KeyError):
         K.recognition_manifest(train, test)
-    rows, info = K.recognition_manifest(train, spark.createDataFrame([("t/b/9.jpg",)], "path STRING"))
+    rows, info, classes = K.recognition_manifest(train, spark.createDataFrame([("t/b/9.jpg",)], "path STRING"))
     assert sorted((r["split"], r["label"]) for r in rows.collect()) == [("test", 1), ("train", 0), ("train", 1)]
     assert info.first()["num_classes"] == 2
 
@@ -154,8 +154,8 @@ def test_caption_readers(spark, tmp_path):
     coco.write_text(json.dumps({"images": [{"id": 1, "file_name": "a.jpg"}, {"id": 2, "file_name": "b.jpg"}],
                                 "annotations": [{"image_id": 2, "caption": "bb"}, {"image_id": 1, "caption": "aa"},
                                                 {"image_id": 2, "caption": "bb2"}]}))
-    got = sorted((r["image"], r["caption"], r["line"]) for r in K.read_captions(spark, str(coco), "coco").collect())
-    assert got == [("a.jpg", "aa", 1), ("b.jpg", "bb", 0), ("b.jpg", "bb2", 2)]
+    got = [(r["image"], r["caption"]) for r in K.read_captions(spark, str(coco), "coco").orderBy("line").collect()]
+    assert got == [("b.jpg", "bb"), ("a.jpg", "aa"), ("b.jpg", "bb2")]
 
 
 def test_read_box_text_files(spark, tmp_path):
@@ -202,3 +202,111 @@ def test_images_with_one_basename(spark):
     got = sorted((r["image"], r["caption"], r["rn"]) for r in K.match_captions(images, caps).collect())
     assert got == [("y/i.jpg", "one", 1), ("y/i.jpg", "two", 2), ("z/j.jpg", "three", 1)]
     assert [tuple(r) for r in K.duplicate_images(images).collect()] == [("i.jpg", 2, "y/i.jpg")]
+
+
+# --- JSON arrays by byte ranges ----------------------------------------------------------
+
+TRICKY = ["", "plain", '"', "\\", '\\"', "[", "]", "{", "},", ",", '"items": [', '"items"', "é中🙂", "\n\t", "\\\\\\", 'a\\"]}', " "]
+
+
+def json_file(path, rng, field):
+    import json
+    items = [{"id": i, "name": "".join(rng.choice(TRICKY) for _ in range(rng.randint(0, 6))), "box": [float(i), 0.5] * rng.randint(0, 2)} for i in range(rng.randint(0, 60))]
+    if field is None:
+        doc = items
+    else:
+        doc = {"info": {"items": [1, {"items": ["]"]}], "note": '"items": [{"id": 7}]'}, "others": [{"id": -1, "items": [{"id": -2}]}], "items": items, "after": [{"id": -3}], "x": None}
+    path.write_text(json.dumps(doc, indent=rng.choice([None, 2]), ensure_ascii=rng.random() < 0.5), encoding="utf-8")
+    return [(i["id"], i["name"], i["box"]) for i in items]
+
+
+@pytest.mark.parametrize("field,range_bytes", [("items", 7), ("items", 100), ("items", 1 << 20), (None, 11), (None, 64)])
+def test_json_arrays_are_read_whole(spark, tmp_path, field, range_bytes):
+    import random
+    from salient.sources.json_arrays import read_json_array
+    rng = random.Random(range_bytes)
+    want = {f"f{k}.json": json_file(tmp_path / f"f{k}.json", rng, field) for k in range(3)}
+    if range_bytes < 20:  # few bytes a range, and so many ranges: one short file
+        want = {"s.json": []}
+        (tmp_path / "one").mkdir()
+        for k in range(50):
+            want["s.json"] = json_file(tmp_path / "one" / "s.json", rng, field)
+            if 300 < (tmp_path / "one" / "s.json").stat().st_size < 1200:
+                break
+    folder = tmp_path / "one" if range_bytes < 20 else tmp_path
+    rows = read_json_array(spark, str(folder), "id long, name string, box array<double>", field, range_bytes).orderBy("file", "place").collect()
+    got = {name: [(r["id"], r["name"], r["box"]) for r in rows if r["file"].endswith(name)] for name in want}
+    assert got == want and len(rows) == sum(map(len, want.values()))
+
+
+def test_json_arrays_that_are_not_there(spark, tmp_path):
+    from salient.sources.json_arrays import read_json_array
+    (tmp_path / "a.json").write_text('{"other": [{"id": 1}], "items": null}')
+    (tmp_path / "b.json").write_text('{"items": []}')
+    (tmp_path / "c.json").write_text("")
+    assert read_json_array(spark, str(tmp_path), "id long", "items").count() == 0
+    assert read_json_array(spark, str(tmp_path), "id long").count() == 0
+    with pytest.raises(FileNotFoundError):
+        read_json_array(spark, str(tmp_path / "none"), "id long")
+
+
+def test_coco_files_listing_and_targets(spark, tmp_path):
+    import json
+    doc = {"images": [{"id": i, "file_name": f"{i}.jpg", "width": 10, "height": 20} for i in (1, 2, 3)],
+           "annotations": [{"image_id": 1, "category_id": c, "bbox": [1, 2, 3, 4], "iscrowd": int(c == 9)} for c in (5, 6, 9)]
+           + [{"image_id": 2, "category_id": 5, "bbox": [0, 0, 10, 20]}, {"image_id": 3, "category_id": 6, "bbox": [0, 0, 1, 1]}],
+           "categories": [{"id": 5, "name": "car"}, {"id": 9, "name": "bus"}]}
+    (tmp_path / "ann.json").write_text(json.dumps(doc))
+    images, anns, cats = K.read_coco(spark, str(tmp_path / "ann.json"))
+    listing = spark.createDataFrame([("set/1.jpg",), ("set/3.jpg",), ("set/4.jpg",)], "image string")
+    objs = K.coco_objects(images, anns, [5, 9], listing)
+    assert [(r["image"], r["obj_idx"], r["label"], r["top"], r["rgt"]) for r in objs.collect()] == [("set/1.jpg", 0, 5, 0.1, 0.4)]
+    rows, info, classes = K.detection_manifest(listing, objs, categories=cats, base_path="/b")
+    assert tuple(info.first()) == (10, "/b")  # the largest category number + 1
+    assert sorted((r["image"], r["label"]) for r in rows.collect()) == [("set/1.jpg", 5), ("set/3.jpg", None), ("set/4.jpg", None)]
+    assert sorted(tuple(r) for r in classes.collect()) == [("bus", 9), ("car", 5)]
+
+
+def test_detection_manifest_from_label_files(spark, tmp_path):
+    d = tmp_path / "labels"
+    d.mkdir()
+    (d / "a.txt").write_text("dog 1 2 3 4\n\ncat 0 0 2 2\n")
+    (d / "b.txt").write_text("cat 5 5 1 1\n")
+    (d / "t.txt").write_text("emu 1 1 1 1\ncat 2 2 2 2\n")
+    images = spark.createDataFrame([("i/a.jpg",), ("i/b.png",), ("i/c.jpg",)], "image string")
+    test = spark.createDataFrame([("i/t.jpg",), ("i/u.jpg",)], "image string")
+    lines = K.read_box_lines(spark, str(d))
+    objs, missing = K.label_dir_objects(images, lines)
+    assert [r["image"] for r in missing.collect()] == ["i/c.jpg"]
+    tobjs, _ = K.label_dir_objects(test, lines)
+    rows, info, classes = K.detection_manifest(images, objs, test, tobjs, box_format="xywh", base_path="b")
+    got = sorted(((r["split"], r["image"], -1 if r["obj_idx"] is None else r["obj_idx"], r["label"], r["top"], r["rgt"]) for r in rows.collect()), key=str)
+    assert got == sorted([("train", "i/a.jpg", 0, 1, 2.0, 4.0), ("train", "i/a.jpg", 1, 0, 0.0, 2.0), ("train", "i/b.png", 0, 0, 5.0, 6.0), ("train", "i/c.jpg", -1, None, None, None),
+                          ("test", "i/t.jpg", 0, -1, 1.0, 2.0), ("test", "i/t.jpg", 1, 0, 2.0, 4.0), ("test", "i/u.jpg", -1, None, None, None)], key=str)
+    assert tuple(info.first()) == (2, "b") and sorted(tuple(r) for r in classes.collect()) == [("cat", 0), ("dog", 1)]
+    digits = spark.createDataFrame([("i/a.jpg", 0, "7", 0.0, 0.0, 1.0, 1.0), ("i/a.jpg", 1, "3", 0.0, 0.0, 1.0, 1.0)], "image string, obj_idx int, label string, v1 double, v2 double, v3 double, v4 double")
+    rows, info, _ = K.detection_manifest(images, digits, box_format="yxyx")
+    assert info.first()["num_classes"] == 8 and sorted(r["label"] for r in rows.where("obj_idx is not null").collect()) == [3, 7]
+    nested = {r["image"]: (r["label"], r["bbox"]) for r in K.nested_objects(rows).collect()}
+    assert nested["i/a.jpg"][0] == [7, 3] and nested["i/b.png"] == ([], [])
+
+
+def test_label_index_is_no_single_task(spark):
+    labels = spark.createDataFrame([(f"c{i:04d}",) for i in range(500)], "label string")
+    out = K.label_index(labels)
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["raw_label"]: r["label_id"] for r in out.collect()} == {f"c{i:04d}": i for i in range(500)}
+
+
+def test_caption_manifest_json(spark, tmp_path):
+    import json
+    train = spark.createDataFrame([(f"{i}.jpg", f"c{i} {k}", k, i) for k in (1, 2) for i in range(40)], "image string, caption string, rn int, image_pos long")
+    test = spark.createDataFrame([("t.jpg", "t\t\"x\"", 1, 0)], "image string, caption string, rn int, image_pos long")
+    rows, info = K.caption_manifest(train.repartition(5), test, "/b")
+    path = str(tmp_path / "out")
+    K.write_caption_json(rows, info, path)
+    read = lambda split: [json.loads(line) for f in sorted(os.listdir(f"{path}/rows/split={split}")) if f.startswith("part-") for line in open(f"{path}/rows/split={split}/{f}")]
+    assert [(r["image"], r["caption"]) for r in read("train")] == [(f"{i}.jpg", f"c{i} {k}") for k in (1, 2) for i in range(40)]
+    assert [(r["image"], r["caption"]) for r in read("test")] == [("t.jpg", "t\t\"x\"")]
+    assert spark.read.json(f"{path}/info").first()["base_path"] == "/b"
+    assert K.caption_manifest(train)[0].select("split").distinct().collect()[0]["split"] == "train"
