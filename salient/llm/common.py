@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from salient.session import ensure_checkpoint_dir, scratch_path, ship_package
 
@@ -17,17 +18,16 @@ _U = np.uint64
 
 
 #: Batches between Spark and its Python workers: texts can be long, and every stage of buffers and arrays
-#: multiplies a batch's bytes.  Each is set unless the session has a value other than Spark's default.
-BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b"),
-           "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2500")}
+#: multiplies a batch's bytes.  Each is set where the session has no value of its own.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "8388608b", "spark.sql.execution.arrow.maxRecordsPerBatch": "2500"}
 
 
 def prepare(spark: SparkSession) -> None:
     """Shared folder registered, the package shipped to the Python workers, and batches of texts kept small."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
-    for key, (default, value) in BATCHES.items():
-        if spark.conf.get(key, default) == default:
+    for key, value in BATCHES.items():
+        if not spark.conf._jconf.contains(key):
             spark.conf.set(key, value)
 
 
@@ -61,6 +61,12 @@ def row_key() -> list[Column]:
     return [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(7), "doc_id").alias("k2")]
 
 
+def with_row(df: DataFrame, *fields: tuple[str, str]) -> T.StructType:
+    """Schema of a function's rows: the struct column ``row`` of ``df``, whatever its fields are called, and the new ``fields`` (name, type)."""
+    new = [T.StructField(name, T.StructType.fromDDL(f"x {kind}")["x"].dataType) for name, kind in fields]
+    return T.StructType([T.StructField("row", df.schema["row"].dataType), *new])
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -68,12 +74,17 @@ def text_or_empty(name: str = "text") -> Column:
 # ---------------------------------------------------------------------------
 # ranges of ids
 
+ROW = 64
+
+
 def range_starts(df: DataFrame, key: str, weight: Column, target: int = 8 << 20) -> list[int]:
     """First keys of consecutive ranges of about ``target`` bytes each, every one an existing key.
 
-    Only keys and weights are read.  The driver gets one row for each fine
+    Only keys and weights are read; a row weighs ``ROW`` bytes besides, so that
+    rows without text count too.  The driver gets one row for each fine
     range (four to a final range, at most 2^20).
     """
+    weight = weight + F.lit(ROW)
     total = df.agg(F.sum(weight), F.count(key)).first()
     if not total[1]:
         return [-(1 << 63)]

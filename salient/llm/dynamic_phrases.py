@@ -400,12 +400,25 @@ def phrase_counts(docs: DataFrame, most: int = 3, threshold: int = 10, shards: i
 
     def texts(batches):
         held = [_load(p) for p in paths]
+        found: list[pa.Table] = []
+
+        def summed() -> pa.Table:
+            table = pa.concat_tables(found).group_by(["len", "lang", "phrase"]).aggregate([("cnt", "sum")])
+            return table.rename_columns(["len", "lang", "phrase", "cnt"])
+
         for batch in batches:
             data, offsets = arrow_bytes(batch.column("text"))
             langs = batch.column("lang")
             for seg, borders, i, old in _segments(data, offsets):
                 for n, phrase, lang, count in _count(seg, borders, langs.slice(i, len(borders) - 1), old, most, held, None, shards):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(count), n, np.int32)), lang, phrase, pa.array(count.astype(np.int64))], ["len", "lang", "phrase", "cnt"])
+                    found.append(pa.table([pa.array(np.full(len(count), n, np.int32)), lang, phrase, pa.array(count.astype(np.int64))], ["len", "lang", "phrase", "cnt"]))
+                if sum(t.num_rows for t in found) > HELD // 2:
+                    found[:] = [summed()]
+                    if found[0].num_rows > HELD // 4:
+                        yield from found.pop().to_batches(1 << 14)
+        if found:
+            yield from summed().to_batches(1 << 14)
+        pa.default_memory_pool().release_unused()
 
     # the frequent phrases' texts, counted once more by the texts themselves; length 0: all words of a language
     found = all_rows.select("lang", "text").mapInArrow(texts, "len int, lang string, phrase string, cnt long")

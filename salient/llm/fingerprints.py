@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salient.llm.common import arrow_bytes, bucket_of, prepare, range_starts, shingle_hashes, text_or_empty, word_hashes
+from salient.llm.common import arrow_bytes, bucket_of, prepare, range_starts, shingle_hashes, text_or_empty, with_row, word_hashes
 
 K = 64
+#: Words of a part of a long text.
+PART = 1 << 16
 _TOP = float(1 << 64)
 
 
@@ -63,20 +65,29 @@ def unpack(text: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(text), ">u8").astype(np.uint64)
 
 
-def sketches(column: pa.Array, k: int = K) -> Iterator[tuple[np.ndarray, int]]:
-    """(sketch, exact number of distinct shingles) of each text of a column."""
+def sketches(column: pa.Array, k: int = K) -> Iterator[np.ndarray]:
+    """The sketch of each text of a column.
+
+    A long text is cut into parts of ``PART`` words that overlap by four words, so
+    that every shingle lies in one; the parts' sketches are merged.
+    """
     data, offsets = arrow_bytes(column)
     for a in range(0, len(column), 256):
         o = offsets[a:a + 257]
         words, bounds = word_hashes(data, o)
         for i in range(len(o) - 1):
-            sh = shingle_hashes(words[bounds[i]:bounds[i + 1]])
-            yield sketch(sh, k), len(sh)
+            own = words[bounds[i]:bounds[i + 1]]
+            out = sketch(shingle_hashes(own[:PART]), k)
+            for at in range(PART - 4, len(own) - 4, PART - 4):
+                out = merge(out, sketch(shingle_hashes(own[at:at + PART]), k), k)
+            yield out
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", k: int = K) -> DataFrame:
     """``df`` with ``fingerprint`` and ``n_shingles`` for the text column (null: empty).
 
+    ``n_shingles`` is the sketch's estimate of the number of distinct shingles (exact below ``k``).
+
     Columns of these names in ``df`` are replaced.  Rows, ties and repeats stay as they are.
     """
     prepare(df.sparkSession)
@@ -85,12 +96,11 @@ def with_fingerprint(df: DataFrame, text: str = "text", k: int = K) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            found = [(pack(s), n) for s, n in sketches(batch.column("t"), k)]
+            found = [(pack(s), distinct_shingles(s, k)) for s in sketches(batch.column("t"), k)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([x for x, _ in found], pa.string()),
-                                              pa.array([n for _, n in found], pa.int64())], ["row", "fingerprint", "n_shingles"])
+                                              pa.array([n for _, n in found], pa.float64())], ["row", "fingerprint", "n_shingles"])
 
-    schema = f"row {keep.schema['row'].dataType.simpleString()}, fingerprint string, n_shingles long"
-    return keep.mapInArrow(run, schema).select("row.*", "fingerprint", "n_shingles")
+    return keep.mapInArrow(run, with_row(keep, ("fingerprint", "string"), ("n_shingles", "double"))).select("row.*", "fingerprint", "n_shingles")
 
 
 def merge_fingerprints(df: DataFrame, by: list[str], fingerprint: str = "fingerprint", k: int = K, salts: int = 64) -> DataFrame:
@@ -141,6 +151,9 @@ def edit_with_next(rows: Iterator[tuple[int, str]]) -> Iterator[tuple[int, str,
 def neighbour_fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     """Fingerprint of each text and of its text edited with the next document's.
 
+    ``near_*`` is the resemblance, ``in_*`` the containment of the text's shingles in the
+    edited or next text, ``n_shingles`` the number of distinct shingles, all estimated from the sketches.
+
     Documents are ordered by ``doc_id`` (null first; equal ids by text).  Each
     range of ids also gets a copy of the first document of the following range,
     and the last range that of the first, so every row meets its successor in
@@ -170,7 +183,8 @@ def neighbour_fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
             yield _measured(group, k)
 
     return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
-                                 "edited_fingerprint string, near_edited double, near_next double, n_shingles long")
+                                 "edited_fingerprint string, near_edited double, near_next double, n_shingles double, "
+                                 "in_edited double, in_next double")
 
 
 def _edited(batches, first: str, n: int):
@@ -209,18 +223,20 @@ def _measured(group, k: int) -> pa.RecordBatch:
     texts = [r[1] for r in group] + [r[2] for r in group] + ([group[-1][3]] if group else [])
     found = list(sketches(pa.array(texts, pa.large_string()), k))
     m = len(group)
-    own, edited = [s for s, _ in found[:m]], [s for s, _ in found[m:2 * m]]
-    after = own[1:] + [s for s, _ in found[2 * m:]]
+    own, edited = found[:m], found[m:2 * m]
+    after = own[1:] + found[2 * m:]
     after = [a if i + 1 == m or group[i][3] is group[i + 1][1] or group[i][3] == group[i + 1][1]
-             else next(sketches(pa.array([group[i][3]], pa.large_string()), k))[0] for i, a in enumerate(after)]
+             else next(sketches(pa.array([group[i][3]], pa.large_string()), k)) for i, a in enumerate(after)]
     return pa.RecordBatch.from_arrays([
         pa.array([r[0] for r in group], pa.int64()), pa.array([len(r[1]) for r in group], pa.int64()),
         pa.array([hashlib.sha256(r[2].encode()).hexdigest() for r in group], pa.string()),
         pa.array([pack(s) for s in own], pa.string()), pa.array([pack(s) for s in edited], pa.string()),
         pa.array([resemblance(a, b, k) for a, b in zip(own, edited)], pa.float64()),
         pa.array([resemblance(a, b, k) for a, b in zip(own, after)], pa.float64()),
-        pa.array([n for _, n in found[:m]], pa.int64()),
-    ], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_shingles"])
+        pa.array([distinct_shingles(s, k) for s in own], pa.float64()),
+        pa.array([containment(a, b, k) for a, b in zip(own, edited)], pa.float64()),
+        pa.array([containment(a, b, k) for a, b in zip(own, after)], pa.float64()),
+    ], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_shingles", "in_edited", "in_next"])
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salient.llm.common import StretchCache, arrow_bytes, is_plain, prepare, stretches, text_or_empty
+from salient.llm.common import StretchCache, arrow_bytes, is_plain, prepare, stretches, text_or_empty, with_row
 
 MARK = "▁"
 PART_BYTES = 2 << 20
@@ -223,7 +223,7 @@ def encode_spans(df: DataFrame, model: str, text: str = "text") -> DataFrame:
             cols = [pa.array([getattr(e, n).astype(np.int32) for e in found], pa.list_(pa.int32())) for n in new]
             yield pa.RecordBatch.from_arrays([batch.column("row"), *cols], ["row", *new])
 
-    schema = f"row {keep.schema['row'].dataType.simpleString()}, ids array<int>, starts array<int>, ends array<int>"
+    schema = with_row(keep, *[(n, "array<int>") for n in new])
     return keep.mapInArrow(run, schema).select("row.*", *new)
 
 
@@ -238,7 +238,7 @@ def decode_ids(df: DataFrame, model: str, ids: str = "ids", to: str = "decoded")
             enc = piece_encoder(model)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([enc.full.decode(i) if i else "" for i in batch.column("i").to_pylist()], pa.string())], ["row", to])
 
-    return keep.mapInArrow(run, f"row {keep.schema['row'].dataType.simpleString()}, `{to}` string").select("row.*", to)
+    return keep.mapInArrow(run, with_row(keep, (to, "string"))).select("row.*", f"`{to}`")
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:

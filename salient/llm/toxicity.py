@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salient.llm.common import fold, prepare, text_or_empty, written
+from salient.llm.common import fold, prepare, text_or_empty, written, with_row
 
 #: Hashed words, beginnings and endings.
 DIMS = 1 << 20
@@ -235,7 +235,7 @@ def score_texts(df: DataFrame, model: PuModel, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores, pa.float64())], ["row", "score"])
         pa.default_memory_pool().release_unused()
 
-    return keep.mapInArrow(run, f"row {keep.schema['row'].dataType.simpleString()}, score double").select("row.*", "score")
+    return keep.mapInArrow(run, with_row(keep, ("score", "double"))).select("row.*", "score")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

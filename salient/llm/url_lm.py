@@ -1,30 +1,32 @@
 """URL filter by a character language-model ratio.
 
-Two smoothed variable-order Markov models are counted over the characters of
-URLs: one for accepted, one for rejected URLs (those that a rule decides).
-Contexts of length 0 to ``MAX_ORDER`` are hashed into a table of fixed size, so
-the model's size does not depend on the number of URLs.  Each order is smoothed
-by the next lower one (Witten-Bell).  A URL's score is the difference of its two
-log-likelihoods divided by its number of symbols; the threshold is calibrated
-on a fold of the rule-decided URLs which the models have not seen.
+Two smoothed variable-order Markov models are counted over the bytes of URLs:
+one for accepted, one for rejected URLs (those that a rule decides).  A context
+is the last 0 to ``MAX_ORDER`` bytes themselves, so none is taken for another, and the
+tables grow with the contexts that the corpus holds.  They lie in the shared
+folder, where each task reads them.  Each order is smoothed by the next lower
+one (Witten-Bell).  A URL's score is the difference of its two log-likelihoods
+divided by its number of symbols; the threshold is calibrated on a fold of the
+rule-decided URLs which the models have not seen.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salient.llm.common import arrow_bytes, prepare
+from salient.llm.common import arrow_bytes, filesystem, prepare
+from salient.session import scratch_path
 
 #: Longest context.
 MAX_ORDER = 4
-#: Hashed contexts of each order; with 128 symbols, 5 orders and 2 models at most 5.2 million counts.
-CONTEXTS = 1 << 12
-SYMBOLS = 128
+#: The 256 bytes, and 0 for the border before and after a URL; bits of a symbol in a key.
+SYMBOLS, BITS = 257, 9
 #: Score bins used by the calibration (width 0.01 nats a symbol).
 BINS, BIN_WIDTH = 2001, 0.01
 
@@ -70,66 +72,74 @@ def _symbols(urls: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = arrow_bytes(urls)
     length = np.diff(offsets)
     start = np.concatenate([[0], np.cumsum(length + MAX_ORDER + 1)])[:-1] + MAX_ORDER
-    out = np.zeros(int((length + MAX_ORDER + 1).sum()), np.uint8)
+    out = np.zeros(int((length + MAX_ORDER + 1).sum()), np.int64)
     if len(length):
-        body = data[int(offsets[0]):int(offsets[-1])] & 127
-        body = np.where(body == 0, 1, body)
-        out[np.repeat(start - (offsets[:-1] - offsets[0]), length) + np.arange(len(body))] = body
+        body = data[int(offsets[0]):int(offsets[-1])]
+        out[np.repeat(start - (offsets[:-1] - offsets[0]), length) + np.arange(len(body))] = body.astype(np.int64) + 1
     return out, length + 1
 
 
-def _cells(urls: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """For each order the cells of (context, symbol) and of the context at each predicted symbol; symbols by URL."""
+def _keys(urls: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each order the key of (context, symbol) at each predicted symbol (the context's key is it without the last BITS bits); symbols by URL."""
     s, count = _symbols(urls)
     first = np.cumsum(count + MAX_ORDER) - count
     at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    pairs, contexts = [], []
-    h = np.zeros(len(at), np.uint64)
+    keys, context = [], np.zeros(len(at), np.int64)
     for order in range(MAX_ORDER + 1):
         if order:
-            h = h * np.uint64(0x9E3779B97F4A7C15) + s[at - order] + np.uint64(1)
-        ctx = ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)).astype(np.int64) % CONTEXTS if order else np.zeros(len(at), np.int64)
-        ctx += order * CONTEXTS
-        contexts.append(ctx)
-        pairs.append(ctx * SYMBOLS + s[at])
-    return pairs, contexts, count
+            context = context | (s[at - order] << (BITS * (order - 1)))
+        keys.append((((order << (BITS * MAX_ORDER)) | context) << BITS) | s[at])
+    return keys, count
 
 
 @dataclass
 class UrlModel:
-    """Counts of both models (index 0 rejected, 1 accepted) and the calibrated threshold."""
+    """Counts of both models (0 rejected, 1 accepted) by key, and the calibrated threshold.
 
-    pair: np.ndarray
-    threshold: float = 0.0
+    ``path`` is the folder of the tables; a process reads them when it first scores.
+    """
 
-    def __post_init__(self):
-        table = self.pair.reshape(2, (MAX_ORDER + 1) * CONTEXTS, SYMBOLS)
-        self.total = table.sum(2)
-        self.kinds = (table > 0).sum(2)
+    path: str | None
+    threshold: float = 0.0
+    held: tuple | None = field(default=None, repr=False, compare=False)
 
     def __getstate__(self):
-        """Only the counts above 0 travel to the workers."""
-        flat = self.pair.reshape(-1)
-        cell = np.flatnonzero(flat)
-        return cell.astype(np.int32), flat[cell], self.threshold
-
-    def __setstate__(self, state):
-        cell, n, self.threshold = state
-        self.pair = np.zeros(2 * (MAX_ORDER + 1) * CONTEXTS * SYMBOLS, np.int64)
-        self.pair[cell] = n
-        self.pair = self.pair.reshape(2, -1)
-        self.__post_init__()
+        return {"path": self.path, "threshold": self.threshold, "held": None}
+
+    def _tables(self) -> tuple:
+        if self.held is None:
+            parts = []
+            for name, columns in (("pairs", ("n0", "n1")), ("contexts", ("n0", "n1", "t0", "t1"))):
+                if self.path is None:
+                    parts.append((np.zeros(0, np.int64), np.zeros((len(columns), 0))))
+                    continue
+                files, root = filesystem(f"{self.path}/{name}")
+                table = pq.read_table(root, filesystem=files)
+                key = table.column("key").to_numpy()
+                order = np.argsort(key)
+                parts.append((key[order], np.stack([table.column(c).to_numpy()[order].astype(np.float64) for c in columns])))
+            self.held = tuple(parts)
+        return self.held
 
     def scores(self, urls: pa.Array) -> np.ndarray:
         """(log P accepted - log P rejected) / symbols; 0 for an empty URL only if both models agree."""
-        pairs, contexts, count = _cells(urls)
-        ratio = np.zeros(int(count.sum()))
-        for k, sign in ((1, 1.0), (0, -1.0)):
-            p = np.full(len(ratio), 1.0 / SYMBOLS)
-            for pair, ctx in zip(pairs, contexts):
-                n, t = self.total[k][ctx], self.kinds[k][ctx]
-                p = np.where(n > 0, (self.pair[k][pair] + t * p) / np.maximum(n + t, 1), p)
-            ratio += sign * np.log(p)
+        keys, count = _keys(urls)
+        (pair_key, pair), (context_key, context) = self._tables()
+
+        def found(table: np.ndarray, values: np.ndarray, want: np.ndarray) -> np.ndarray:
+            if not len(table):
+                return np.zeros((len(values), len(want)))
+            distinct, place = np.unique(want, return_inverse=True)
+            spot = np.minimum(np.searchsorted(table, distinct), len(table) - 1)
+            return np.where(table[spot] == distinct, values[:, spot], 0.0)[:, place]
+
+        p = np.full((2, int(count.sum())), 1.0 / SYMBOLS)
+        for key in keys:
+            c = found(pair_key, pair, key)
+            n0, n1, t0, t1 = found(context_key, context, key >> BITS)
+            n, t = np.stack([n0, n1]), np.stack([t0, t1])
+            p = np.where(n > 0, (c + t * p) / np.maximum(n + t, 1), p)
+        ratio = np.log(p[1]) - np.log(p[0])
         return np.add.reduceat(ratio, np.cumsum(count) - count) / count if len(count) else np.zeros(0)
 
 
@@ -137,34 +147,33 @@ def train_url_model(labelled: DataFrame) -> UrlModel:
     """Count and calibrate from ``labelled(url, accepted boolean)``.
 
     Every labelled URL is used: one fifth (by hash of the URL) for calibration,
-    the rest for the counts.  What reaches the driver is bounded by the tables'
-    sizes: at most 2 * 5 * CONTEXTS * SYMBOLS counts and 2 * BINS bins.  Without
-    labelled URLs of either kind the threshold is 0.
+    the rest for the counts.  The tables are written to the shared folder; the
+    driver gets 2 * BINS numbers at most.  A task that scores holds the tables: 50
+    bytes for each distinct run of up to ``MAX_ORDER + 1`` bytes in the counted
+    URLs.  Without labelled URLs of either kind the threshold is 0.
     """
     rows = labelled.where(F.col("url").isNotNull()).select(
         F.col("url").cast("string").alias("url"), F.col("accepted").cast("int").alias("k"),
         (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("calibrate"))
 
     def count(batches):
-        size = (MAX_ORDER + 1) * CONTEXTS * SYMBOLS
-        sums = np.zeros(2 * size, np.int64)
         for batch in batches:
             kind = np.asarray(batch.column("k").to_numpy(zero_copy_only=False))
             for k in (0, 1):
                 urls = batch.column("url").filter(pa.array(kind == k))
                 if len(urls):
-                    pairs, _, _ = _cells(urls)
-                    for cells in pairs:
-                        found, n = np.unique(cells, return_counts=True)
-                        sums[found + k * size] += n
-        cell = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(sums[cell], pa.int64())], ["cell", "n"])
-
-    counted = (rows.where(~F.col("calibrate")).select("url", "k").mapInArrow(count, "cell long, n long")
-               .groupBy("cell").agg(F.sum("n").alias("n")).toPandas())
-    pair = np.zeros(2 * (MAX_ORDER + 1) * CONTEXTS * SYMBOLS, np.int64)
-    pair[counted["cell"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    model = UrlModel(pair.reshape(2, -1))
+                    key, n = np.unique(np.concatenate(_keys(urls)[0]), return_counts=True)
+                    counts = [pa.array(n.astype(np.int64)), pa.array(np.zeros(len(n), np.int64))]
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *(counts if k == 0 else counts[::-1])], ["key", "n0", "n1"])
+
+    path = scratch_path(labelled.sparkSession, "url-model")
+    counted = rows.where(~F.col("calibrate")).select("url", "k").mapInArrow(count, "key long, n0 long, n1 long")
+    counted.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).write.parquet(f"{path}/pairs")
+    pairs = labelled.sparkSession.read.schema("key long, n0 long, n1 long").parquet(f"{path}/pairs")
+    (pairs.groupBy(F.shiftright("key", BITS).alias("key"))
+     .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count_if(F.col("n0") > 0).alias("t0"), F.count_if(F.col("n1") > 0).alias("t1"))
+     .write.parquet(f"{path}/contexts"))
+    model = UrlModel(path)
 
     def bins(batches):
         for batch in batches:
@@ -172,17 +181,22 @@ def train_url_model(labelled: DataFrame) -> UrlModel:
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(b, pa.int64())], ["k", "bin"])
 
     found = (rows.where("calibrate").select("url", "k").mapInArrow(bins, "k int, bin long")
-             .groupBy("k", "bin").count().toPandas())
+             .groupBy("k", "bin").count().collect())
     share = np.zeros((2, BINS))
-    for k, b, n in found.itertuples(index=False):
-        share[int(k), int(b) + BINS // 2] += n
-    if share.sum(1).min() > 0:
-        share /= share.sum(1, keepdims=True)
-        # at threshold i, rejected URLs below it and accepted ones from it on are right
-        right = np.concatenate([[0], np.cumsum(share[0])]) + 1 - np.concatenate([[0], np.cumsum(share[1])])
-        best = np.flatnonzero(right >= right.max() - 1e-12)
-        model.threshold = float((best[0] + best[-1]) / 2 - BINS // 2 - 0.5) * BIN_WIDTH
-    return model
+    for r in found:
+        share[r["k"], r["bin"] + BINS // 2] += r["count"]
+    return UrlModel(path, best_threshold(share))
+
+
+def best_threshold(share: np.ndarray) -> float:
+    """The middle of the thresholds that put most of both kinds right, each kind counting as one; 0 if a kind is missing."""
+    if share.sum(1).min() <= 0:
+        return 0.0
+    share = share / share.sum(1, keepdims=True)
+    # at threshold i, rejected URLs below it and accepted ones from it on are right
+    right = np.concatenate([[0], np.cumsum(share[0])]) + 1 - np.concatenate([[0], np.cumsum(share[1])])
+    best = np.flatnonzero(right >= right.max() - 1e-12)
+    return float((best[0] + best[-1]) / 2 - BINS // 2 - 0.5) * BIN_WIDTH
 
 
 def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
@@ -190,7 +204,8 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> Data
 
     Null or without ``://``: host and path empty and no rule fits; the models
     then judge the text as it is (null like empty).  An empty table gives an
-    empty result.  Repeated rows stay; other columns of ``pages`` are not read.
+    empty result.  Repeated rows stay; other columns of ``pages`` are not read.  A URL
+    of any length is judged whole; a task holds about 100 bytes for each of its bytes.
     """
     prepare(pages.sparkSession)
     host, path = url_host(F.coalesce(F.col("url"), F.lit(""))), url_path(F.coalesce(F.col("url"), F.lit("")))

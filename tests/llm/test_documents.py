@@ -312,6 +312,56 @@ def test_toxicity_of_odd_rows(spark):
     assert tox.toxicity(no_docs(spark), labels).count() == 0
 
 
+def test_toxicity_scores_equal_the_plain_model(spark, monkeypatch):
+    """Scores from the model's weights, feature by feature; learned from the training fold alone."""
+    kept, plain = [], tox.train_toxicity
+    monkeypatch.setattr(tox, "train_toxicity", lambda *a: (kept.append(plain(*a)), kept[-1])[1])
+    rnd = random.Random(5)
+    good, bad = [f"fine{i}" for i in range(40)], [f"nasty{i}" for i in range(12)]
+    docs, labels = [], []
+    for i in range(600):
+        ws = [rnd.choice(good) for _ in range(rnd.randint(1, 30))] + ([rnd.choice(bad) for _ in range(3)] if i % 6 == 0 else [])
+        rnd.shuffle(ws)
+        docs.append((i, " ".join(ws)))
+        if i % 2 == 0:
+            labels.append((i, int(i % 6 == 0)))
+    docs += [(9001, None), (9002, ""), docs[0]]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    got = tox.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    model, = kept
+    place = {int(f): k for k, f in enumerate(model.features)}
+    for r in got:
+        found = sorted({place[int(f)] for f in tox.text_features(r["text"] or "", {}) if int(f) in place})
+        want = sum(1 / (1 + math.exp(-(b + sum(w[k] for k in found)))) for w, b in zip(model.weights, model.bias)) / len(model.bias)
+        assert abs(r["score"] - want) < 1e-9 and r["predicted"] == int(want >= tox.THRESHOLD) and r["held_out"] == held(r["doc_id"])
+    other = [(i, t if held(i) else 0) for i, t in labels if held(i)]
+    flipped = [(i, 1 - t if held(i) else t) for i, t in labels]  # labels of held-out documents are never learned from
+    assert other and sorted(tuple(r) for r in tox.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(flipped, "doc_id long, toxic int")).collect()) == sorted(map(tuple, got))
+    out = [r for r in got if r["held_out"] and r["doc_id"] < 9000]
+    assert sum((r["doc_id"] % 6 == 0) == (r["predicted"] == 1) for r in out) >= 0.95 * len(out)
+
+
+def plain_risk(w, b, pos, unl, prior):
+    """The non-negative risk estimate, text by text."""
+    loss = lambda z, sign: math.log1p(math.exp(-sign * z))
+    z = lambda row: b + sum(w[k] for k in row)
+    positive = prior * sum(loss(z(r), 1) for r in pos) / len(pos)
+    negative = sum(loss(z(r), -1) for r in unl) / len(unl) - prior * sum(loss(z(r), -1) for r in pos) / len(pos)
+    return positive + max(0.0, negative)
+
+
+def test_members_minimise_the_risk():
+    rnd = np.random.default_rng(2)
+    rows = lambda n, p: [np.flatnonzero(rnd.random(6) < p) for _ in range(n)]
+    pos, unl = rows(60, [0.9, 0.7, 0.2, 0.5, 0.1, 0.3]), rows(160, [0.2, 0.2, 0.3, 0.5, 0.4, 0.3]) + rows(40, [0.9, 0.7, 0.2, 0.5, 0.1, 0.3])
+    w, b = tox.train_member(pos, unl, 6, 0.2)
+    best = plain_risk(w, b, pos, unl, 0.2)
+    assert best < plain_risk(np.zeros(6), math.log(0.25), pos, unl, 0.2)
+    for _ in range(30):
+        step = rnd.normal(0, 0.3, 7)
+        assert plain_risk(w + step[:6], b + step[6], pos, unl, 0.2) > best - 2e-3
+
+
 # ---- language model
 
 def plain_base(docs):
@@ -435,6 +485,65 @@ def test_model_is_a_distribution_and_its_gradient_is_right(tokens):
 
 # ---- fingerprints
 
+def plain_fingerprint(text, k=64):
+    """The k smallest distinct shingle hashes, with the words' hashes put together in plain Python."""
+    ws = words(text)
+    if not ws:
+        return []
+    h, _ = common.word_hashes(*common.arrow_bytes(pa.array([" ".join(w.decode() for w in ws)])))
+    h, n, top = h.tolist(), min(5, len(ws)), (1 << 64) - 1
+
+    def mixed(x):
+        x ^= x >> 33
+        x = x * 0xFF51AFD7ED558CCD & top
+        x ^= x >> 29
+        x = x * 0xC4CEB9FE1A85EC53 & top
+        return x ^ (x >> 32)
+
+    out = set()
+    for i in range(len(h) - n + 1):
+        x = 0
+        for w in h[i:i + n]:
+            x = (x * 0xA24BAED4963EE407 + w) & top
+        out.add(mixed((x + n) & top))
+    return sorted(out)[:k], len(out)
+
+
+def plain_likeness(a, b, k=64):
+    union = sorted(set(a) | set(b))[:k]
+    return 1.0 if not union else sum(x in a and x in b for x in union) / len(union)
+
+
+@pytest.mark.parametrize("part", [1 << 16, 12])
+def test_fingerprints_equal_the_plain_ones(spark, monkeypatch, part):
+    monkeypatch.setattr(fp, "PART", part)
+    docs = odd_docs(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
+    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+    got = {r["doc_id"]: r for r in fp.neighbour_fingerprints(docs).collect()}
+    plain = {t: plain_fingerprint(t) or ([], 0) for _, t in rows}
+    for at, (i, t) in enumerate(rows):
+        after = rows[(at + 1) % len(rows)][1]
+        cut = len(t) // 4
+        edited = plain_fingerprint(t[:len(t) - cut] + after[:cut]) or ([], 0)
+        own, n = plain[t]
+        r = got[i]
+        assert fp.unpack(r["fingerprint"]).tolist() == own and fp.unpack(r["edited_fingerprint"]).tolist() == edited[0]
+        assert abs(r["near_edited"] - plain_likeness(own, edited[0])) < 1e-12 and abs(r["near_next"] - plain_likeness(own, plain[after][0])) < 1e-12
+        assert r["n_shingles"] == n if n < 64 else abs(r["n_shingles"] - n) < 0.6 * n
+        both = set(own) & set(edited[0])
+        if n < 64 and edited[1] < 64:  # sketches that hold everything are exact
+            assert abs(r["in_edited"] - (len(both) / n if n else 1.0)) < 1e-9
+
+
+def test_column_names_of_any_kind(spark):
+    import public_tokenizers
+    from salient.llm import sentencepiece_spans as sps
+    docs = spark.createDataFrame([(1, "a b c d e f", 3, "x"), (2, None, 4, None)], "doc_id long, text string, `my-col` int, `a.b c` string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    for df in (fp.with_fingerprint(docs), tox.toxicity(docs, labels), sps.encode_spans(docs, public_tokenizers.path("piece_bpe_32k.model"))):
+        assert {(r["my-col"], r["a.b c"]) for r in df.collect()} == {(3, "x"), (4, None)}
+
+
 def test_neighbours(spark, monkeypatch):
     monkeypatch.setattr(fp, "range_starts", lambda df, key, weight: common.range_starts(df, key, weight, 3000))
     docs = odd_docs(spark).where("doc_id is not null or text is not null")

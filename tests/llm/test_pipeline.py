@@ -116,6 +116,6 @@ def test_stages_of_odd_rows(spark, folder, make):
 
 
 def test_queries_are_registered_and_read_whole_tables():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
     for q in QUERIES.values():
         assert "limit(" not in inspect.getsource(q) and "sample(" not in inspect.getsource(q)

@@ -1,10 +1,13 @@
 import base64
 import hashlib
 import io
+import random
+import math
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from salient.llm import url_lm, warc
 from salient.session import scratch_path
@@ -49,8 +52,55 @@ def test_no_urls(spark):
 
 
 def test_untrained_models_agree():
-    model = url_lm.UrlModel(pair=np.zeros((2, (url_lm.MAX_ORDER + 1) * url_lm.CONTEXTS * url_lm.SYMBOLS), "int64"))
-    assert model.scores(pa.array(["http://x/", ""])).tolist() == [0.0, 0.0]
+    assert url_lm.UrlModel(None).scores(pa.array(["http://x/", ""])).tolist() == [0.0, 0.0]
+
+
+def plain_score(url, counts):
+    """Witten-Bell models over byte strings, symbol by symbol."""
+    raw = [None] * url_lm.MAX_ORDER + list(url.encode()) + [None]
+    total = 0.0
+    for i in range(url_lm.MAX_ORDER, len(raw)):
+        both = []
+        for seen in counts:
+            p = 1 / url_lm.SYMBOLS
+            for order in range(url_lm.MAX_ORDER + 1):
+                after = seen.get(tuple(raw[i - order:i]), {})
+                n, t = sum(after.values()), len(after)
+                if n:
+                    p = (after.get(raw[i], 0) + t * p) / (n + t)
+            both.append(math.log(p))
+        total += both[1] - both[0]
+    return total / (len(raw) - url_lm.MAX_ORDER)
+
+
+def test_verdicts_equal_the_plain_models(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdeé%") for _ in range(rnd.randint(1, 5)))
+    urls = [f"http://{word()}.example.{rnd.choice(['org', 'com', 'net'])}/{rnd.choice(['en', 'fr', 'de', 'es'])}/{word()}{rnd.randint(0, 30)}" for _ in range(400)]
+    urls += ["", None, "no host", "http://x.net/" + "long/" * 5000, "http://ünï.net/ß", urls[0]]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_lm.url_verdicts(df).collect()}
+    part = {r["page_id"]: r["c"] for r in df.select("page_id", F.expr("pmod(xxhash64(url), 5) = 0").alias("c")).collect()}
+    decided = {i: r["verdict"] == "allow" for i, r in got.items() if r["rule"] is not None}
+    counts = [{}, {}]
+    for i, accepted in decided.items():
+        if not part[i]:
+            raw = [None] * url_lm.MAX_ORDER + list(urls[i].encode()) + [None]
+            for at in range(url_lm.MAX_ORDER, len(raw)):
+                for order in range(url_lm.MAX_ORDER + 1):
+                    after = counts[accepted].setdefault(tuple(raw[at - order:at]), {})
+                    after[raw[at]] = after.get(raw[at], 0) + 1
+    score = {i: plain_score(u or "", counts) for i, u in enumerate(urls)}
+    assert all(abs(got[i]["score"] - s) < 1e-9 for i, s in score.items())
+    # the threshold: of all bin borders the middle of those that put most right
+    half = url_lm.BINS // 2
+    bins = [[max(-half, min(half, round(score[i] / url_lm.BIN_WIDTH))) for i, a in decided.items() if part[i] and a == kind] for kind in (False, True)]
+    value = {c: sum(b < c for b in bins[0]) / len(bins[0]) + sum(b >= c for b in bins[1]) / len(bins[1]) for c in range(-half, half + 2)}
+    best = [c for c, v in value.items() if v >= max(value.values()) - 1e-12]
+    threshold = ((best[0] + best[-1]) / 2 - 0.5) * url_lm.BIN_WIDTH
+    for i, r in got.items():
+        if r["rule"] is None:
+            assert r["verdict"] == ("allow" if score[i] >= threshold else "block") or abs(score[i] - threshold) < 1e-9
 
 
 def test_archives_round_trip(spark):
