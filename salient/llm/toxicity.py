@@ -213,6 +213,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame) -> PuModel:
             pos.append(at)
         if drawn:
             unl.append(at)
+    for rows in (pos, unl):  # the same members whatever the order in which rows arrive
+        rows.sort(key=lambda r: r.tobytes())
     return learn(chosen, pos, unl, (n_pos or 0) / max(n, 1))
 
 
