@@ -15,18 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from salient.llm.common import _LOWER, arrow_bytes, hash_runs, mix, prepare, row_key, text_or_empty
+from salient.llm.common import _LOWER, arrow_bytes, hash_runs, mix, prepare, row_key, text_or_empty, written
 
 #: Tokens in a window; items with fewer have one window of their own length (templates at least MIN_TOKENS).
 WINDOW = 8
 MIN_TOKENS = 3
 #: Share of an item's windows that a document must hold.
 MIN_COVERAGE = 0.5
-#: log2 bits of the filter of benchmark windows that every task gets (2 MB whatever the benchmark's size).
-FILTER_BITS = 24
+#: Bits of the filter of benchmark windows that every task gets: for each window, at least, and at most (64 MB; a fuller
+#: filter only lets more windows pass to the join).
+FILTER_SHARE, FILTER_LEAST, FILTER_MOST = 64, 1 << 16, 1 << 29
 SEGMENT = 1 << 20
 
 WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
@@ -186,21 +187,28 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def window_filter(bench: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """A bit set of the benchmark's window hashes, of fixed size, and the window lengths that occur."""
+    """A bit set of the benchmark's window hashes, of a size that follows their number, and the window lengths that occur."""
+    size = min(FILTER_MOST, max(FILTER_LEAST, 1 << (FILTER_SHARE * bench.count()).bit_length()))
+
     def run(batches):
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        spots: list[np.ndarray] = []
         sizes: set[int] = set()
         for batch in batches:
-            h = batch.column("h").to_numpy().view(np.uint64)
-            bits[h >> _U(64 - FILTER_BITS)] = True
+            spots.append(np.unique(_spot(batch.column("h").to_numpy().view(np.uint64), size)))
             sizes |= set(batch.column("n").to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary()), pa.array([sorted(sizes)], pa.list_(pa.int32()))], ["bits", "sizes"])
+        if spots:
+            yield pa.RecordBatch.from_arrays([pa.array([np.unique(np.concatenate(spots)).astype(np.uint32).tobytes()], pa.binary()),
+                                              pa.array([sorted(sizes)], pa.list_(pa.int32()))], ["spots", "sizes"])
 
-    total, sizes = np.zeros(1 << (FILTER_BITS - 3), np.uint8), set()
-    for r in bench.select("h", "n").coalesce(8).mapInArrow(run, "bits binary, sizes array<int>").collect():
-        total |= np.frombuffer(bytes(r["bits"]), np.uint8)
+    total, sizes = np.zeros(size, bool), set()
+    for r in bench.select("h", "n").mapInArrow(run, "spots binary, sizes array<int>").toLocalIterator():
+        total[np.frombuffer(bytes(r["spots"]), np.uint32)] = True
         sizes |= set(r["sizes"])
-    return total, sorted(sizes)
+    return np.packbits(total), sorted(sizes)
+
+
+def _spot(h: np.ndarray, size: int) -> np.ndarray:
+    return (h >> _U(65 - size.bit_length())).astype(np.int64)
 
 
 def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
@@ -210,7 +218,7 @@ def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> Dat
     one row however often the document holds them.
     """
     def passes(w):
-        top = (w >> _U(64 - FILTER_BITS)).astype(np.int64)
+        top = _spot(w, 8 * len(bits))
         return ((bits[top >> 3] >> (7 - (top & 7)).astype(np.uint8)) & 1).astype(bool)
 
     def run(batches):
@@ -274,6 +282,24 @@ def counted_windows(lines: DataFrame) -> DataFrame:
     return lines.mapInArrow(run, ", ".join(f"{c} {lines.schema[c].dataType.simpleString()}" for c in kept) + ", ipos array<int>, typed array<int>, changed boolean")
 
 
+def rare_windows(bench: DataFrame, min_coverage: float) -> DataFrame:
+    """(item_id, h): for each item the hashes of its rarest windows, of which a copy must hold at least one.
+
+    A copy holds ``min_coverage`` of the item's windows, or of those with a usable
+    template; so with the windows in order of how many items have them, it holds
+    one of the first ``all - least + 1``.  Windows that many items share, as a common stem, come
+    last and join only where most of an item is made of such.
+    """
+    often = bench.groupBy("h").agg(F.count_distinct("item_id").alias("f"))
+    spots = bench.join(often, "h").groupBy("item_id", "pos", "usable", "item_windows", "typed_windows").agg(F.max("f").alias("f"))
+    order = Window.partitionBy("item_id").orderBy("f", "pos")
+    typed = Window.partitionBy("item_id").orderBy(F.desc("usable"), "f", "pos")
+    most = lambda n: F.col(n) - F.ceil(F.col(n) * min_coverage - 1e-9) + 1
+    first = (spots.withColumn("r", F.row_number().over(order)).withColumn("rt", F.row_number().over(typed))
+             .where((F.col("r") <= most("item_windows")) | (F.col("usable") & (F.col("rt") <= most("typed_windows")))))
+    return bench.select("item_id", "pos", "h").join(first.select("item_id", "pos"), ["item_id", "pos"]).select("item_id", "h").distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """(k1, k2, doc_id, item_id, n_windows, item_windows, coverage, slots_changed) of the copies found.
 
@@ -287,15 +313,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MI
     texts, and items without a letter or digit, have no windows; items of one or
     two tokens are found verbatim only.
     Equal rows are one document here.  Every window of every document is looked
-    up in a filter of fixed size; only those it passes are shuffled.
+    up in a filter of the benchmark's windows; only those it passes are shuffled.
+    Documents meet the items of whose rare windows they hold one, and the pairs'
+    other windows are then joined by document and hash.  A task holds a few arrays of eight bytes for
+    each token of a text.
     """
     prepare(docs.sparkSession)
-    bench = benchmark_windows(benchmark)
+    bench = written(benchmark_windows(benchmark), "benchmark-windows")
     bits, sizes = window_filter(bench)
-    hits = document_windows(docs, bits, sizes)
+    hits = written(document_windows(docs, bits, sizes).distinct(), "window-hits")
     items = bench.select("item_id", F.col("pos").alias("ipos"), "h", F.col("slots").alias("islots"), "usable", "item_windows", "typed_windows").distinct()
     pair = ["k1", "k2", "doc_id", "item_id", "item_windows", "typed_windows"]
-    lines = (hits.distinct().join(items, "h").groupBy(*pair, (F.col("pos") - F.col("ipos")).alias("shift"))
+    met = hits.join(rare_windows(bench, min_coverage), "h").select("k1", "k2", "item_id").distinct()
+    lines = (met.join(items, "item_id").join(hits, ["k1", "k2", "h"]).groupBy(*pair, (F.col("pos") - F.col("ipos")).alias("shift"))
              .agg(F.collect_list(F.struct("ipos", "islots", "slots", "usable")).alias("found")))
     both = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
     found = (counted_windows(lines).where(F.size("ipos") > 0).groupBy(*pair)

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -247,6 +248,75 @@ def test_verbatim_copies_do_not_depend_on_typing(spark):
     assert copies_found(spark, texts, items) == {(22, 7): True, (23, 9): False}
 
 
+def plain_copies(docs, items, window=8, least=0.5):
+    """Every document against every item, by tokens."""
+    def read(text):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        _, kind, start, end = decontam.plain_tokens(raw, 0, len(raw))
+        toks = []
+        for a, b in zip(start, end):
+            t = raw[a:b].tobytes().decode("utf-8", "replace")
+            toks.append("".join(c.lower() if c in string.ascii_uppercase or "À" <= c <= "Þ" and c != "×" else c for c in t))
+        return toks, kind.tolist()
+
+    out = {}
+    texts = {i: read(t) for i, t in docs}
+    for item, text in items:
+        it, ik = read(text)
+        n = min(window, len(it))
+        if not n:
+            continue
+        spots = range(len(it) - n + 1)
+        usable = {p for p in spots if n >= 3 and 2 * sum(k == 0 for k in ik[p:p + n]) >= n}
+        value = lambda toks, kinds, p: [f"{k}:{t.lower()}" for t, k in zip(toks[p:p + n], kinds[p:p + n]) if k]
+        shape = lambda toks, kinds, p: [(k, t if k == 0 else "") for t, k in zip(toks[p:p + n], kinds[p:p + n])]
+        for doc, (dt, dk) in texts.items():
+            held, changed = set(), False
+            for p in spots:
+                if any(dt[q:q + n] == it[p:p + n] for q in range(len(dt) - n + 1)):
+                    held.add(p)
+            for shift in range(-len(it), len(dt) + 1):
+                found = [p for p in sorted(usable) if 0 <= p + shift <= len(dt) - n and shape(it, ik, p) == shape(dt, dk, p + shift)
+                         and 2 * sum(k == 0 for k in dk[p + shift:p + shift + n]) >= n]
+                pairs = [(value(it, ik, p), value(dt, dk, p + shift)) for p in found]
+                for p, good, (a, b) in zip(found, decontam.agreeing(pairs), pairs):
+                    if good:
+                        held.add(p)
+                        changed |= a != b
+            share = max(len(held) / len(spots), len(held & usable) / len(usable) if usable else 0)
+            if share >= least:
+                out[(doc, item)] = (share, changed)
+    return out
+
+
+def test_copies_equal_all_comparisons(spark):
+    rnd = random.Random(12)
+    plain_words = [f"w{c}{d}" for c in "abcdef" for d in "ghijk"]
+    some = lambda n: [rnd.choice(plain_words) if rnd.random() < 0.75 else rnd.choice(["Paris", "Rome", "Oslo", "7", "12.5", "1,000", "km", "kg"]) for _ in range(n)]
+    stem = some(12)
+    items = [(i, " ".join((stem if i % 2 else some(rnd.randint(1, 12))) + some(rnd.randint(0, 14)))) for i in range(40)]
+    docs = []
+    for i in range(120):
+        ws = some(rnd.randint(0, 30))
+        for _ in range(rnd.randint(0, 2)):
+            part = rnd.choice(items)[1].split(" ")
+            a = rnd.randint(0, len(part) - 1)
+            part = part[:len(part) - a // 2] if rnd.random() < 0.5 else part[a // 2:]
+            if rnd.random() < 0.5:
+                part = [{"Paris": "Lima", "7": "9", "kg": "mg"}.get(w, w) for w in part]
+            if rnd.random() < 0.3 and part:
+                part[rnd.randrange(len(part))] = "Quito"
+            at = rnd.randint(0, len(ws))
+            ws = ws[:at] + part + ws[at:]
+        docs.append((i, " ".join(ws)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["coverage"], r["slots_changed"]) for r in decontam.contaminated(d, b).collect()}
+    want = plain_copies(docs, items)
+    assert {k: round(v[0], 9) for k, v in got.items()} == {k: round(v[0], 9) for k, v in want.items()}
+    assert {k for k, v in got.items() if v[1]} == {k for k, v in want.items() if v[1]} and 20 < len(want) < len(docs) * len(items) / 4
+
+
 def test_values_that_conflict_with_most_windows_do_not_count():
     same, new, odd = (["2:paris", "1:9"],) * 2, (["2:paris"], ["2:rome"]), (["2:paris"], ["2:oslo"])
     assert decontam.agreeing([same, new, new, odd]) == [True, True, True, False]
@@ -317,14 +387,15 @@ def test_toxicity_scores_equal_the_plain_model(spark, monkeypatch):
     kept, plain = [], tox.train_toxicity
     monkeypatch.setattr(tox, "train_toxicity", lambda *a: (kept.append(plain(*a)), kept[-1])[1])
     rnd = random.Random(5)
-    good, bad = [f"fine{i}" for i in range(40)], [f"nasty{i}" for i in range(12)]
+    letters = lambda abc, n: "".join(rnd.choice(abc) for _ in range(n))
+    good, bad = ["w" + letters("abcdefghij", 5) for _ in range(2000)], ["bad" + letters("klmnop", 3) for _ in range(40)]
     docs, labels = [], []
-    for i in range(600):
-        ws = [rnd.choice(good) for _ in range(rnd.randint(1, 30))] + ([rnd.choice(bad) for _ in range(3)] if i % 6 == 0 else [])
+    for i in range(1200):
+        ws = [rnd.choice(good) for _ in range(rnd.randint(20, 90))] + ([rnd.choice(bad) for _ in range(5)] if i % 8 == 0 else [])
         rnd.shuffle(ws)
         docs.append((i, " ".join(ws)))
-        if i % 2 == 0:
-            labels.append((i, int(i % 6 == 0)))
+        if i % 3:
+            labels.append((i, int(i % 8 == 0)))
     docs += [(9001, None), (9002, ""), docs[0]]
     held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
     got = tox.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
@@ -336,9 +407,10 @@ def test_toxicity_scores_equal_the_plain_model(spark, monkeypatch):
         assert abs(r["score"] - want) < 1e-9 and r["predicted"] == int(want >= tox.THRESHOLD) and r["held_out"] == held(r["doc_id"])
     other = [(i, t if held(i) else 0) for i, t in labels if held(i)]
     flipped = [(i, 1 - t if held(i) else t) for i, t in labels]  # labels of held-out documents are never learned from
-    assert other and sorted(tuple(r) for r in tox.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(flipped, "doc_id long, toxic int")).collect()) == sorted(map(tuple, got))
+    again = tox.toxicity(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(flipped, "doc_id long, toxic int")).collect()
+    assert other and sorted((r["doc_id"], round(r["score"], 9)) for r in again) == sorted((r["doc_id"], round(r["score"], 9)) for r in got)
     out = [r for r in got if r["held_out"] and r["doc_id"] < 9000]
-    assert sum((r["doc_id"] % 6 == 0) == (r["predicted"] == 1) for r in out) >= 0.95 * len(out)
+    assert sum((r["doc_id"] % 8 == 0) == (r["predicted"] == 1) for r in out) >= 0.95 * len(out)
 
 
 def plain_risk(w, b, pos, unl, prior):
@@ -531,7 +603,7 @@ def test_fingerprints_equal_the_plain_ones(spark, monkeypatch, part):
         assert abs(r["near_edited"] - plain_likeness(own, edited[0])) < 1e-12 and abs(r["near_next"] - plain_likeness(own, plain[after][0])) < 1e-12
         assert r["n_shingles"] == n if n < 64 else abs(r["n_shingles"] - n) < 0.6 * n
         both = set(own) & set(edited[0])
-        if n < 64 and edited[1] < 64:  # sketches that hold everything are exact
+        if n < 64 and edited[1] < 64 and len(set(own) | set(edited[0])) <= 64:  # sketches that hold everything are exact
             assert abs(r["in_edited"] - (len(both) / n if n else 1.0)) < 1e-9
 
 
