@@ -42,7 +42,7 @@ _SEGMENT = 1 << 20
 MIN_SLOTS, MAX_SLOTS = 1 << 16, 1 << 27
 _RANGES = 64
 #: Text whose phrases' hashes make one range of sums, and sums that a task holds before it deals them out.
-RANGE_BYTES, HELD = 16 << 20, 1 << 19
+RANGE_BYTES, HELD = 16 << 20, 1 << 18
 _NEVER = 255
 
 _SPACE = np.zeros(256, bool)
@@ -83,19 +83,18 @@ def _slots(h: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
 _LOADED: dict[str, np.ndarray] = {}
 
 
-def _load(path: str | None) -> np.ndarray | None:
-    """The slots written at ``path``; a worker keeps those of the current step."""
-    if path is None:
-        return None
-    if path not in _LOADED:
-        if len(_LOADED) > 3:
-            _LOADED.clear()
-        files, root = filesystem(path)
-        table = pq.read_table(root, filesystem=files, columns=["part", "slots"])
-        order = np.argsort(table.column("part").to_numpy())
-        parts = table.column("slots").to_pylist()
-        _LOADED[path] = np.frombuffer(b"".join(parts[i] for i in order), np.uint8)
-    return _LOADED[path]
+def _load(paths: list[str | None]) -> list[np.ndarray | None]:
+    """The slots written at each of ``paths``; a worker keeps these and drops those of earlier steps."""
+    for old in set(_LOADED) - set(paths):
+        del _LOADED[old]
+    for path in paths:
+        if path is not None and path not in _LOADED:
+            files, root = filesystem(path)
+            table = pq.read_table(root, filesystem=files, columns=["part", "slots"])
+            order = np.argsort(table.column("part").to_numpy())
+            parts = table.column("slots")
+            _LOADED[path] = np.concatenate([np.frombuffer(parts[int(i)].as_buffer(), np.uint8) for i in order])
+    return [_LOADED.get(path) for path in paths]
 
 
 def _write_slots(spark: SparkSession, reached: DataFrame, name: str, step: int, old: str | None, slots: int) -> str:
@@ -280,7 +279,7 @@ def _scan(shard: DataFrame, step: int, most: int, paths: list[str | None], shard
     bounds = np.arange(1, ranges, dtype=_U) * _U((1 << 64) // ranges)
 
     def run(batches):
-        reached = [_load(p) for p in paths]
+        reached = _load(paths)
         held: dict[int, tuple[list, list]] = {}
         size = 0
 
@@ -306,6 +305,7 @@ def _scan(shard: DataFrame, step: int, most: int, paths: list[str | None], shard
                 if size > HELD:
                     yield from flush()
                     size = 0
+            pa.default_memory_pool().release_unused()
         yield from flush()
         pa.default_memory_pool().release_unused()
 
@@ -399,7 +399,7 @@ def phrase_counts(docs: DataFrame, most: int = 3, threshold: int = 10, shards: i
         step += 1
 
     def texts(batches):
-        held = [_load(p) for p in paths]
+        held = _load(paths)
         found: list[pa.Table] = []
 
         def summed() -> pa.Table:
@@ -412,10 +412,11 @@ def phrase_counts(docs: DataFrame, most: int = 3, threshold: int = 10, shards: i
             for seg, borders, i, old in _segments(data, offsets):
                 for n, phrase, lang, count in _count(seg, borders, langs.slice(i, len(borders) - 1), old, most, held, None, shards):
                     found.append(pa.table([pa.array(np.full(len(count), n, np.int32)), lang, phrase, pa.array(count.astype(np.int64))], ["len", "lang", "phrase", "cnt"]))
-                if sum(t.num_rows for t in found) > HELD // 2:
+                if sum(t.num_rows for t in found) > HELD:
                     found[:] = [summed()]
-                    if found[0].num_rows > HELD // 4:
+                    if found[0].num_rows > HELD // 2:
                         yield from found.pop().to_batches(1 << 14)
+            pa.default_memory_pool().release_unused()
         if found:
             yield from summed().to_batches(1 << 14)
         pa.default_memory_pool().release_unused()
