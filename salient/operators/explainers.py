@@ -254,10 +254,16 @@ def _input_rows(samples: DataFrame, targets: DataFrame, shape: Shape) -> DataFra
             .withColumn("pix", (F.col("pos") / F.lit(shape.c)).cast("int")))
 
 
-def occlusion(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame, shape: Shape,
+def occlusion(model, samples: DataFrame, targets: DataFrame, shape: Shape,
               patch_size: int = 5, patch_stride: int = 3, occlusion_value: float = 0.0) -> DataFrame:
-    """Score drop of sliding patches, averaged over the patches covering a position (0 if none)."""
+    """Score drop of sliding patches, averaged over the patches covering a position (0 if none).
+
+    ``model`` is a linear-softmax model (patches are cells of a join) or a batch
+    function (S3: the copies are made from the row, a block of patches at a time).
+    """
     spark = samples.sparkSession
+    if not isinstance(model, LinearSoftmaxModel):
+        return _occluded(model, samples, targets, shape, patch_size, patch_stride, occlusion_value)
     rows = _input_rows(samples, targets, shape)
     patches = patch_positions(spark, shape, patch_size, patch_stride)
     n_patches = len(range(0, shape.h - patch_size + 1, patch_stride)) * len(range(0, shape.w - patch_size + 1, patch_stride))
@@ -275,6 +281,43 @@ def occlusion(model: LinearSoftmaxModel, samples: DataFrame, targets: DataFrame,
             .agg(F.coalesce(F.sum("v") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("e")))
 
 
+class PatchMasks:
+    """The keep values of sliding patches over the positions, made for the patches asked for (a design too large to hold)."""
+
+    def __init__(self, shape: Shape, size: int, stride: int):
+        self.rows, self.cols = (np.arange(0, n - size + 1, stride) for n in (shape.h, shape.w))
+        self.size, self.full = size, shape
+        self.shape = (len(self.rows) * len(self.cols), shape.size)
+
+    def matrix(self) -> "PatchMasks":
+        return self
+
+    def __len__(self) -> int:
+        return self.shape[0]
+
+    def __getitem__(self, k: np.ndarray) -> np.ndarray:
+        r0, c0 = self.rows[k // len(self.cols)], self.cols[k % len(self.cols)]
+        r, c = np.arange(self.full.h), np.arange(self.full.w)
+        inside = (((r >= r0[:, None]) & (r < r0[:, None] + self.size))[:, :, None] & ((c >= c0[:, None]) & (c < c0[:, None] + self.size))[:, None, :])
+        return np.repeat(1.0 - inside.reshape(len(k), -1), self.full.c, axis=1)
+
+
+def _occluded(fn, samples: DataFrame, targets: DataFrame, shape: Shape, size: int, stride: int, value: float) -> DataFrame:
+    masks = PatchMasks(shape, size, stride)
+
+    def estimate(y, clean, block):
+        total, covered = np.zeros((len(y), shape.size)), np.zeros(shape.size)
+        step = max(1, VALUES // shape.size)
+        for a in range(0, len(masks), step):
+            k = np.arange(a, min(a + step, len(masks)))
+            inside = 1.0 - masks[k]
+            total += (clean[:, None] - y[:, k]) @ inside
+            covered += inside.sum(0)
+        return np.divide(total, covered, out=np.zeros(total.shape), where=covered > 0)
+
+    return _long(estimate_rows(_array_rows(samples, targets), fn, masks, estimate, np.arange(shape.size), value))
+
+
 def _array_rows(samples: DataFrame, targets: DataFrame) -> DataFrame:
     return samples.select("sample_id", F.col("x").cast("array<double>").alias("x")).join(targets.select("sample_id", "target"), "sample_id")
 
@@ -326,33 +369,43 @@ def _segmented(samples: DataFrame, targets: DataFrame, shape: Shape, grid_size:
     return rows, np.repeat(np.arange(shape.h * shape.w), shape.c), shape.h * shape.w
 
 
-def lime_sums(block, ref: float) -> dict[str, np.ndarray]:
+def lime_sums(block) -> dict[str, np.ndarray]:
     """Squared distance, norms and product of every copy and its input, from sums over cells."""
-    r, drop = float(ref), 1.0 - block.z.T
-    xx = (block.x ** 2).sum(1)[:, None]
-    return {"sq": block.per_cell((block.x - r) ** 2) @ drop, "xx": xx,
-            "xp": xx + block.per_cell(block.x * r - block.x ** 2) @ drop, "pp": xx + block.per_cell(r * r - block.x ** 2) @ drop}
+    x, r, drop = block.x, block.ref, 1.0 - block.z.T
+    xx = (x ** 2).sum(1)[:, None]
+    return {"sq": block.per_cell((x - r) ** 2) @ drop, "xx": xx,
+            "xp": xx + block.per_cell(x * r - x ** 2) @ drop, "pp": xx + block.per_cell(r * r - x ** 2) @ drop}
+
+
+def _channel_values(value, shape: Shape):
+    """A replacement given as one number, as one a channel, or as a function of a batch of inputs."""
+    if callable(value) or isinstance(value, (int, float)):
+        return value
+    if len(value) != shape.c:
+        raise ValueError(f"{len(value)} reference values for {shape.c} channels")
+    one = np.tile(np.asarray(value, float), shape.h * shape.w)
+    return lambda x: np.broadcast_to(one, x.shape)
 
 
 def lime(model, samples: DataFrame, targets: DataFrame, shape: Shape,
          nb_samples: int = 2000, grid_size: int | None = None, distance_mode: str = "cosine",
-         kernel_width: float = 46.0, alpha: float = 2.0, prob: float = 0.5, ref_value: float | None = None,
+         kernel_width: float = 46.0, alpha: float = 2.0, prob: float = 0.5, ref_value=None,
          reference_sign: bool = False, seed: int = 0, segments=None, kernel=None) -> DataFrame:
     """Weighted ridge of the target score on binary cell samples (D7 -> D13 -> D10 -> E10a -> E10b).
 
-    ``ref_value`` defaults to 0.5 for 3-channel inputs and 0 otherwise.
-    Segments are a g x g grid, the given segment number of every pixel, a table
+    ``ref_value`` is a number, one for each channel, or a function of a batch of
+    inputs; it defaults to 0.5 for 3-channel inputs and 0 otherwise.  Segments are a g x g grid, the given segment number of every pixel, a table
     of maps for each sample, or (by default) every pixel by itself.  ``kernel``,
     where given, takes the place of the similarity kernel: a function of the arrays
     ``sq, xx, xp, pp`` (samples x draws).
     """
     rows, cells, dims = _segmented(samples, targets, shape, grid_size, segments)
-    ref = ref_value if ref_value is not None else (0.5 if shape.c == 3 else 0.0)
+    ref = _channel_values(ref_value if ref_value is not None else (0.5 if shape.c == 3 else 0.0), shape)
     design = design_rows(binary_design(samples.sparkSession, nb_samples, dims, prob, seed))
 
     def estimate(y, clean, block):
         out, step = [], max(1, VALUES // max(1, block.z.size))
-        sums = lime_sums(block, ref)
+        sums = lime_sums(block)
         sim = kernel(**sums) if kernel else similarity_arrays(distance_mode, kernel_width, reference_sign=reference_sign, **sums)
         for a in range(0, len(y), step):
             out.append(weighted_ridge(block.z, y[a:a + step], sim[a:a + step], alpha))
@@ -368,7 +421,7 @@ def lime_similarity(samples: DataFrame, shape: Shape, nb_samples: int = 2000, gr
     design = design_rows(binary_design(samples.sparkSession, nb_samples, dims, prob, seed))
 
     def estimate(y, clean, block):
-        return similarity_arrays(distance_mode, kernel_width, reference_sign=reference_sign, **lime_sums(block, ref_value))
+        return similarity_arrays(distance_mode, kernel_width, reference_sign=reference_sign, **lime_sums(block))
 
     sims = estimate_rows(rows, lambda x: np.ones((len(x), 1)), design, estimate, cells, ref_value, name="sim")
     return sims.select("sample_id", F.posexplode("sim").alias("draw", "sim"))

@@ -147,10 +147,11 @@ def parse_caption_rows(raw: DataFrame, image_col: str = "image", caption_col: st
                       F.col(caption_col).alias("caption"), "line")
 
 
-def read_captions(spark: SparkSession, path: str, fmt: str = "tsv") -> DataFrame:
+def read_captions(spark: SparkSession, path: str, fmt: str = "tsv", field: str | None = None) -> DataFrame:
     """K5: ``(image, caption, line)`` from TSV (``image#k<TAB>caption``), a JSON list or COCO JSON; ``line`` orders the captions.
 
-    JSON files are read by byte ranges (:func:`salient.sources.json_arrays.read_json_array`).
+    JSON files are read by byte ranges (:func:`salient.sources.json_arrays.read_json_array`);
+    ``field`` names the list of an object that holds several (``train`` and ``test`` captions in one file).
     """
     if fmt == "tsv":
         # order within a file: its blocks by their start, the lines of a block as read
@@ -161,7 +162,7 @@ def read_captions(spark: SparkSession, path: str, fmt: str = "tsv") -> DataFrame
         return parse_caption_rows(raw)
     order = F.struct("file", "place").alias("line")
     if fmt == "json":
-        return read_json_array(spark, path, "image string, caption string").select("image", "caption", order)
+        return read_json_array(spark, path, "image string, caption string", field).select("image", "caption", order)
     if fmt == "coco":
         images = read_json_array(spark, path, "id long, file_name string", "images").select(F.col("id").alias("image_id"), F.col("file_name").alias("image"))
         anns = read_json_array(spark, path, "image_id long, caption string", "annotations")

@@ -38,7 +38,10 @@ class LinearSoftmaxModel:
     """Table-driven classifier with a softmax head (the model of S2)."""
 
     def __init__(self, weights: DataFrame, tau: float = 10.0):
-        self.weights = weights
+        # The layer table is written once to the shared checkpoint folder: the model's
+        # own weights, and those of its randomized versions, come from it.
+        ensure_checkpoint_dir(weights.sparkSession)
+        weights = self.weights = weights.checkpoint(eager=True)
         self.tau = float(tau)
         cls_layer = weights.filter(F.col("cls") >= 0).select("cls", "pos", "w")
         scales = (weights.filter(F.col("cls") < 0)
@@ -49,7 +52,6 @@ class LinearSoftmaxModel:
         # The effective weights are the model: computed once and written to the
         # shared checkpoint folder, so every later join reads a small table
         # instead of recomputing it from the inputs (and survives lost executors).
-        ensure_checkpoint_dir(weights.sparkSession)
         self._W = W.checkpoint(eager=True)
         shape = self._W.agg(F.count_distinct("cls").alias("c"), F.count_distinct("pos").alias("d"),
                             F.count(F.lit(1)).alias("n")).first()

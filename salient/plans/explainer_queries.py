@@ -122,6 +122,12 @@ def q_occlusion(spark, sf_dir):
     return _run(spark, sf_dir, E.occlusion, shape=fx.MAP, patch_size=5, patch_stride=3, occlusion_value=0.0)
 
 
+@register("occlusion_udf_scorer", _maps_sql(OCCLUSION_SQL, "om"))
+def q_occlusion_udf_scorer(spark, sf_dir):
+    """E7 + S3: the same maps with the copies made and scored by a NumPy model."""
+    return _run_scored(spark, sf_dir, E.occlusion, shape=fx.MAP, patch_size=5, patch_stride=3, occlusion_value=0.0)
+
+
 #: The 8x8 maps allow no finer grid than 8 (the benchmark's grids have 10 and 11 cells a side).
 GRID = 8
 

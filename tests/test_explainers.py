@@ -293,7 +293,9 @@ def held(request, monkeypatch):
 def test_batch_functions_equal_the_linear_model(spark, inputs, held):
     mdl, smp, tgt = inputs
     fn = lambda x: softmax(x @ W.T)
-    for run in (lambda m: E.rise(m, smp, tgt, SHAPE, nb_samples=20, grid_size=2, mask_value=0.3),
+    for run in (lambda m: E.occlusion(m, smp, tgt, SHAPE, patch_size=2, patch_stride=1, occlusion_value=0.3),
+                lambda m: E.occlusion(m, smp, tgt, Shape(2, 4, 2), patch_size=2, patch_stride=1),
+                lambda m: E.rise(m, smp, tgt, SHAPE, nb_samples=20, grid_size=2, mask_value=0.3),
                 lambda m: E.lime(m, smp, tgt, SHAPE, nb_samples=30, grid_size=2, ref_value=0.2),
                 lambda m: E.kernel_shap(m, smp, tgt, SHAPE, nb_samples=30, grid_size=2),
                 lambda m: E.sobol_attribution(m, smp, tgt, SHAPE, grid_size=2, nb_design=8, perturbation="blurring"),
@@ -359,3 +361,21 @@ def test_segment_maps_of_each_sample(spark, inputs):
         E.lime(mdl, smp, tgt, SHAPE, nb_samples=5, segments=table.where("sample_id < 3")).collect()
     with pytest.raises(ValueError, match="segment numbers"):
         E.lime(mdl, smp, tgt, SHAPE, nb_samples=5, segments=[0, 1])
+
+
+def test_lime_reference_of_each_channel(spark, inputs):
+    mdl, smp, tgt = inputs
+    shape = Shape(2, 4, 2)
+    got = maps_to_numpy(E.lime(mdl, smp, tgt, shape, nb_samples=30, grid_size=2, distance_mode="euclidean", kernel_width=2.0, ref_value=[0.1, -0.4], seed=3), 4, 16)
+    cells = np.repeat(np.array([(r * 2) + c // 2 for r in range(2) for c in range(4)]), 2)
+    ref = np.tile([0.1, -0.4], 8)
+    Z = _design(D.binary_design(spark, 30, 4, 0.5, seed=3), 30, 4)
+    for i in range(4):
+        xs = np.array([XS[i] * z[cells] + ref * (1 - z[cells]) for z in Z])
+        y = np.array([softmax(W @ x)[T[i]] for x in xs])
+        w = np.exp(-np.sum((xs - XS[i]) ** 2, axis=1) / 4.0)
+        A = np.hstack([Z, np.ones((30, 1))])
+        beta = np.linalg.solve(A.T @ (w[:, None] * A) + np.diag([2.0] * 4 + [0.0]), A.T @ (w * y))
+        assert np.allclose(got[i], beta[:4][cells], atol=1e-9)
+    with pytest.raises(ValueError, match="reference values"):
+        E.lime(mdl, smp, tgt, shape, nb_samples=5, grid_size=2, ref_value=[0.1])

@@ -150,6 +150,9 @@ def test_caption_readers(spark, tmp_path):
     js.write_text(json.dumps([{"image": "x/a.jpg", "caption": "c1"}, {"image": "x/b.jpg", "caption": "c2"}]))
     got = sorted((r["image"], r["caption"]) for r in K.read_captions(spark, str(js), "json").collect())
     assert got == [("x/a.jpg", "c1"), ("x/b.jpg", "c2")]
+    both = tmp_path / "both.json"
+    both.write_text(json.dumps({"train": [{"image": "a.jpg", "caption": "t"}], "test": [{"image": "b.jpg", "caption": "u"}]}))
+    assert [r["caption"] for r in K.read_captions(spark, str(both), "json", "test").collect()] == ["u"]
     coco = tmp_path / "coco.json"
     coco.write_text(json.dumps({"images": [{"id": 1, "file_name": "a.jpg"}, {"id": 2, "file_name": "b.jpg"}],
                                 "annotations": [{"image_id": 2, "caption": "bb"}, {"image_id": 1, "caption": "aa"},
