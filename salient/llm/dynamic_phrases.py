@@ -192,7 +192,7 @@ def _count(seg: np.ndarray, borders: np.ndarray, langs: pa.Array, held: int, mos
     """The phrases of one segment; ``langs`` are its documents' languages.
 
     In a step: (length, hashes, counts) of the active phrases.  With ``step`` None:
-    (length, texts, languages, counts) of those whose slots in ``reached`` say that
+    (length, texts, languages, counts, hashes) of those whose slots in ``reached`` say that
     they are frequent, and with length 0 the number of all words of each language.
     """
     low = _LOWER[seg]
@@ -222,7 +222,7 @@ def _count(seg: np.ndarray, borders: np.ndarray, langs: pa.Array, held: int, mos
     if step is None:
         fresh = np.bincount(lang[np.arange(len(lang)) >= held], minlength=len(coded.dictionary))
         spoken = np.flatnonzero(fresh)
-        yield 0, pa.array([""] * len(spoken)), coded.dictionary.take(pa.array(spoken)).cast(pa.string()), fresh[spoken]
+        yield 0, pa.array([""] * len(spoken)), coded.dictionary.take(pa.array(spoken)).cast(pa.string()), fresh[spoken], np.zeros(len(spoken), _U)
 
     # occurrences of the current length: place of the first word, number of the phrase
     at = np.arange(len(code))
@@ -247,7 +247,7 @@ def _count(seg: np.ndarray, borders: np.ndarray, langs: pa.Array, held: int, mos
         elif len(some):
             parts = [names.take(pa.array(code[rep[some] + j])) for j in range(n)]
             phrase = parts[0] if n == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
-            yield n, phrase.cast(pa.string()), coded.dictionary.take(pa.array(lang[rep[some]])).cast(pa.string()), found[some]
+            yield n, phrase.cast(pa.string()), coded.dictionary.take(pa.array(lang[rep[some]])).cast(pa.string()), found[some], h[some]
         if n == most or slots is None:
             return
         when = first_at[number]
@@ -268,10 +268,15 @@ def _count(seg: np.ndarray, borders: np.ndarray, langs: pa.Array, held: int, mos
             active = (start <= step) & (step < start + shards)
 
 
+def _kind(most: int):
+    """The smallest type of counts up to ``most``."""
+    return np.min_scalar_type(most)
+
+
 def _merged(h: list[np.ndarray], c: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes in order and the sums of their counts, up to ``most``."""
     keys, place = np.unique(np.concatenate(h), return_inverse=True)
-    return keys, np.minimum(np.bincount(place, weights=np.concatenate(c), minlength=len(keys)), most).astype(np.int32)
+    return keys, np.minimum(np.bincount(place, weights=np.concatenate(c), minlength=len(keys)), most).astype(_kind(most))
 
 
 def _scan(shard: DataFrame, step: int, most: int, paths: list[str | None], shards: int, ranges: int, threshold: int) -> DataFrame:
@@ -312,6 +317,14 @@ def _scan(shard: DataFrame, step: int, most: int, paths: list[str | None], shard
     return shard.mapInArrow(run, "n int, part int, h binary, c binary")
 
 
+def _packed(table: pa.Table) -> bytes:
+    """A table as compressed bytes of the Arrow stream format."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
 _STATE = "h binary, c binary, reached binary, n int, part int"
 
 
@@ -321,17 +334,19 @@ def _add(rows: DataFrame, old: str | None, threshold: int, path: str) -> DataFra
     The sums so far are read where they are merged and not shuffled again.  A range's arrays are of
     bounded size, since the number of ranges follows the input.
     """
+    kind = _kind(threshold)
+
     def merge(table: pa.Table) -> pa.Table:
         n, part = table.column("n")[0].as_py(), table.column("part")[0].as_py()
-        h0, c0 = np.zeros(0, _U), np.zeros(0, np.int32)
+        h0, c0 = np.zeros(0, _U), np.zeros(0, kind)
         if old is not None:
             files, root = filesystem(f"{old}/n={n}/part={part}")
             for f in files.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
                 if f.path.endswith(".parquet"):
                     held = pq.ParquetFile(files.open_input_file(f.path)).read(columns=["h", "c"])
-                    h0, c0 = np.frombuffer(held.column("h")[0].as_buffer(), _U), np.frombuffer(held.column("c")[0].as_buffer(), np.int32)
-        h, c = _merged([h0, *(np.frombuffer(x.as_buffer(), _U) for x in table.column("h"))], [c0, *(np.frombuffer(x.as_buffer(), np.int32) for x in table.column("c"))], threshold)
-        before = np.zeros(len(h), np.int32)
+                    h0, c0 = np.frombuffer(held.column("h")[0].as_buffer(), _U), np.frombuffer(held.column("c")[0].as_buffer(), kind)
+        h, c = _merged([h0, *(np.frombuffer(x.as_buffer(), _U) for x in table.column("h"))], [c0, *(np.frombuffer(x.as_buffer(), kind) for x in table.column("c"))], threshold)
+        before = np.zeros(len(h), kind)
         before[np.searchsorted(h, h0)] = c0
         now = h[(c >= threshold) & (before < threshold)]
         return pa.table({"h": pa.array([h.tobytes()], pa.binary()), "c": pa.array([c.tobytes()], pa.binary()), "reached": pa.array([now.tobytes()], pa.binary()),
@@ -398,32 +413,44 @@ def phrase_counts(docs: DataFrame, most: int = 3, threshold: int = 10, shards: i
         state = now
         step += 1
 
+    bounds = np.arange(1, ranges, dtype=_U) * _U((1 << 64) // ranges)
+    key = ["len", "lang", "phrase"]
+
     def texts(batches):
         held = _load(paths)
         found: list[pa.Table] = []
 
-        def summed() -> pa.Table:
-            table = pa.concat_tables(found).group_by(["len", "lang", "phrase"]).aggregate([("cnt", "sum")])
-            return table.rename_columns(["len", "lang", "phrase", "cnt"])
+        def dealt():
+            table = pa.concat_tables(found).group_by([*key, "h"]).aggregate([("cnt", "sum")]).rename_columns([*key, "h", "cnt"])
+            found.clear()
+            part = np.searchsorted(bounds, table.column("h").to_numpy(), "right")
+            order = np.argsort(part, kind="stable")
+            table = table.drop_columns(["h"]).take(pa.array(order))
+            cuts = np.searchsorted(part[order], np.arange(ranges + 1))
+            spans = [(i, x, y) for i, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if y > x]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in spans], pa.int32()), pa.array([_packed(table.slice(x, y - x)) for _, x, y in spans], pa.binary())], ["part", "rows"])
 
         for batch in batches:
             data, offsets = arrow_bytes(batch.column("text"))
             langs = batch.column("lang")
             for seg, borders, i, old in _segments(data, offsets):
-                for n, phrase, lang, count in _count(seg, borders, langs.slice(i, len(borders) - 1), old, most, held, None, shards):
-                    found.append(pa.table([pa.array(np.full(len(count), n, np.int32)), lang, phrase, pa.array(count.astype(np.int64))], ["len", "lang", "phrase", "cnt"]))
+                for n, phrase, lang, count, h in _count(seg, borders, langs.slice(i, len(borders) - 1), old, most, held, None, shards):
+                    found.append(pa.table([pa.array(np.full(len(count), n, np.int32)), lang, phrase, pa.array(count.astype(np.int64)), pa.array(h)], [*key, "cnt", "h"]))
                 if sum(t.num_rows for t in found) > HELD:
-                    found[:] = [summed()]
-                    if found[0].num_rows > HELD // 2:
-                        yield from found.pop().to_batches(1 << 14)
+                    yield from dealt()
             pa.default_memory_pool().release_unused()
         if found:
-            yield from summed().to_batches(1 << 14)
+            yield from dealt()
         pa.default_memory_pool().release_unused()
 
-    # the frequent phrases' texts, counted once more by the texts themselves; length 0: all words of a language
-    found = all_rows.select("lang", "text").mapInArrow(texts, "len int, lang string, phrase string, cnt long")
-    counts = written(found.groupBy("len", "lang", "phrase").agg(F.sum("cnt").alias("cnt")).where((F.col("cnt") >= threshold) | (F.col("len") == 0)), "phrases-frequent")
+    def whole(table: pa.Table) -> pa.Table:
+        rows = pa.concat_tables([pa.ipc.open_stream(r.as_buffer()).read_all() for r in table.column("rows")])
+        rows = rows.group_by(key).aggregate([("cnt", "sum")]).rename_columns([*key, "cnt"])
+        return rows.filter(pc.or_(pc.greater_equal(rows.column("cnt"), threshold), pc.equal(rows.column("len"), 0)))
+
+    # the frequent phrases' texts, counted once more by the texts themselves, in ranges of hashes; length 0: all words of a language
+    found = all_rows.select("lang", "text").mapInArrow(texts, "part int, rows binary")
+    counts = written(found.groupBy("part").applyInArrow(whole, "len int, lang string, phrase string, cnt long"), "phrases-frequent")
     for used in (state, path):
         drop_scratch(spark, used)
     return counts.where("len > 0"), counts.where("len = 0").select("lang", F.col("cnt").alias("n"))

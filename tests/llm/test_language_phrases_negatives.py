@@ -156,7 +156,7 @@ def test_long_texts_are_cut_between_words(monkeypatch):
     got, hashed = Counter(), Counter()
     for seg, borders, i, held in dp._segments(data, offsets):
         part = langs.slice(i, len(borders) - 1)
-        for n, phrases, _, counts in dp._count(seg, borders, part, held, 3, [slots] * 3, None, 1):
+        for n, phrases, _, counts, _ in dp._count(seg, borders, part, held, 3, [slots] * 3, None, 1):
             for phrase, c in zip(phrases.to_pylist(), counts):
                 got[(n, phrase)] += c
         for step in (0, 1):
