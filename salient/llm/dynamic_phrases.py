@@ -43,6 +43,8 @@ MIN_SLOTS, MAX_SLOTS = 1 << 16, 1 << 27
 _RANGES = 64
 #: Text whose phrases' hashes make one range of sums, and sums that a task holds before it deals them out.
 RANGE_BYTES, HELD = 16 << 20, 1 << 18
+#: Groups of frequent texts for each range of hashes (a text takes more room than a hash).
+TEXT_GROUPS = 4
 _NEVER = 255
 
 _SPACE = np.zeros(256, bool)
@@ -413,7 +415,8 @@ def phrase_counts(docs: DataFrame, most: int = 3, threshold: int = 10, shards: i
         state = now
         step += 1
 
-    bounds = np.arange(1, ranges, dtype=_U) * _U((1 << 64) // ranges)
+    groups = TEXT_GROUPS * ranges
+    bounds = np.arange(1, groups, dtype=_U) * _U((1 << 64) // groups)
     key = ["len", "lang", "phrase"]
 
     def texts(batches):
@@ -426,7 +429,7 @@ def phrase_counts(docs: DataFrame, most: int = 3, threshold: int = 10, shards: i
             part = np.searchsorted(bounds, table.column("h").to_numpy(), "right")
             order = np.argsort(part, kind="stable")
             table = table.drop_columns(["h"]).take(pa.array(order))
-            cuts = np.searchsorted(part[order], np.arange(ranges + 1))
+            cuts = np.searchsorted(part[order], np.arange(groups + 1))
             spans = [(i, x, y) for i, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if y > x]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in spans], pa.int32()), pa.array([_packed(table.slice(x, y - x)) for _, x, y in spans], pa.binary())], ["part", "rows"])
 
@@ -446,6 +449,7 @@ def phrase_counts(docs: DataFrame, most: int = 3, threshold: int = 10, shards: i
     def whole(table: pa.Table) -> pa.Table:
         rows = pa.concat_tables([pa.ipc.open_stream(r.as_buffer()).read_all() for r in table.column("rows")])
         rows = rows.group_by(key).aggregate([("cnt", "sum")]).rename_columns([*key, "cnt"])
+        pa.default_memory_pool().release_unused()
         return rows.filter(pc.or_(pc.greater_equal(rows.column("cnt"), threshold), pc.equal(rows.column("len"), 0)))
 
     # the frequent phrases' texts, counted once more by the texts themselves, in ranges of hashes; length 0: all words of a language
