@@ -97,8 +97,8 @@ def _json_files(rows, head: str, tail: str, name: str):
     def lines(batches):
         first = True
         for batch in batches:
-            texts = batch.column("json").to_pylist()
-            if texts:
+            for a in range(0, batch.num_rows, 1024):
+                texts = batch.column("json").slice(a, 1024).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([(head if first and not i else ",") + t for i, t in enumerate(texts)])], ["value"])
                 first = False
         if not first:

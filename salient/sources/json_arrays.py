@@ -7,12 +7,15 @@ but a range changes that state in a way that can be found without knowing it: th
 number of quotes decides about strings, and the brackets outside strings, for
 either answer, about the depth.  A first pass over the ranges returns these
 numbers, a second finds where the wanted array ends, a third emits its elements.
+A task goes through its range piece by piece and keeps the places of quotes and
+brackets of one piece, and the element that is not yet complete.
 The driver holds a few numbers a range.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +27,25 @@ from salient.operators.scoring import filesystem
 from salient.session import qualified
 
 RANGE_BYTES = 32 << 20
+#: Bytes of a range looked at together; a task holds a few times as much, whatever the range's size.
+PIECE_BYTES = 1 << 20
+
+#: What every byte does to the depth, outside strings.
+STEP = np.zeros(256, np.int8)
+STEP[[0x5B, 0x7B]], STEP[[0x5D, 0x7D]] = 1, -1
 
 
 def _unescaped_quotes(data: np.ndarray, slashes: int) -> np.ndarray:
     """Places of the quotes that open or close a string; ``slashes`` backslashes stand before the data."""
     at = np.flatnonzero(data == 0x22)
+    after = (at == 0) | (data[np.maximum(at - 1, 0)] == 0x5C)
+    if not after.any():
+        return at
+    plain = np.flatnonzero(data != 0x5C)
+    before = np.searchsorted(plain, at[after])
+    last = np.where(before > 0, plain[np.maximum(before - 1, 0)], -1)
     keep = np.ones(len(at), bool)
-    for i in np.flatnonzero((at == 0) | (data[np.maximum(at - 1, 0)] == 0x5C)):
-        n, p = 0, int(at[i])
-        while p - n > 0 and data[p - n - 1] == 0x5C:
-            n += 1
-        if n == p:
-            n += slashes
-        keep[i] = n % 2 == 0
+    keep[after] = (at[after] - 1 - last + np.where(last < 0, slashes, 0)) % 2 == 0
     return at[keep]
 
 
@@ -53,15 +62,31 @@ def _slashes_before(file, at: int) -> int:
     return n
 
 
-def _steps(data: np.ndarray, slashes: int, inside: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(+1, -1 or 0 for every byte that opens or closes something outside strings, whether each byte is inside a string)."""
-    quotes = np.zeros(len(data), np.int32)
-    quotes[_unescaped_quotes(data, slashes)] = 1
-    text = ((np.cumsum(quotes) - quotes + inside) % 2).astype(bool)
-    step = np.zeros(len(data), np.int8)
-    step[((data == 0x5B) | (data == 0x7B)) & ~text] = 1
-    step[((data == 0x5D) | (data == 0x7D)) & ~text] = -1
-    return step, text
+def _pieces(file, start: int, end: int, size: int, more: int = 0) -> Iterator[tuple[int, bytes, bytes, np.ndarray]]:
+    """(place, text, the text and up to ``more`` bytes after it, places of its quotes) of a stretch, piece by piece."""
+    slashes = _slashes_before(file, start)
+    while start < end:
+        wide = file.read_at(min(start + size, end) - start + more, start)
+        text = wide[:min(start + size, end) - start]
+        if not text:
+            return
+        yield start, text, wide, _unescaped_quotes(np.frombuffer(text, np.uint8), slashes)
+        run = len(text) - len(text.rstrip(b"\\"))
+        slashes = run if run < len(text) else slashes + run
+        start += len(text)
+
+
+def _brackets(data: np.ndarray, quotes: np.ndarray, inside: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The brackets outside strings: their places, +1 or -1 each, and the depth after each (from 0 before the data)."""
+    step = STEP[data]
+    at = np.flatnonzero(step)
+    at = at[(np.searchsorted(quotes, at) + inside) % 2 == 0]
+    return at, step[at], np.cumsum(step[at], dtype=np.int64)
+
+
+def _depths(at: np.ndarray, depth: np.ndarray, places) -> np.ndarray:
+    """The depth at places, from the brackets at ``at`` and the depth after each."""
+    return np.concatenate([[0], depth])[np.searchsorted(at, places, side="right")]
 
 
 def _each(spark: SparkSession, ranges: list[tuple], schema: str, work) -> DataFrame:
@@ -78,7 +103,8 @@ def _each(spark: SparkSession, ranges: list[tuple], schema: str, work) -> DataFr
     return rows.repartition(max(1, len(ranges)), "path", "start").mapInArrow(run, schema)
 
 
-def read_json_array(spark: SparkSession, path: str, schema: str, field: str | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read_json_array(spark: SparkSession, path: str, schema: str, field: str | None = None, range_bytes: int = RANGE_BYTES,
+                    piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """The elements of the array in ``field`` of each file's object (or of the file's own top-level array) below ``path``.
 
     Columns are ``schema`` (of one element, a record), and ``file`` and ``place``, by which
@@ -100,22 +126,22 @@ def read_json_array(spark: SparkSession, path: str, schema: str, field: str | No
     key = re.compile(rb'"' + re.escape(field.encode()) + rb'"\s*:\s*\[') if field is not None else None
 
     def count(file, r):
-        data = np.frombuffer(file.read_at(r["end"] - r["start"], r["start"]), np.uint8)
-        slashes = _slashes_before(file, r["start"])
-        deltas, found = [], []
-        for inside in (False, True):
-            step, text = _steps(data, slashes, inside)
-            depth = np.cumsum(step, dtype=np.int64)
-            deltas.append(int(depth[-1]))
-            hits = []
-            if key is not None:
-                # a name cut by the range's end is read a little further
-                more = bytes(data) + file.read_at(min(len(field) * 6 + 4096, r["size"] - r["end"]), r["end"])
-                hits = [(r["start"] + m.end() - 1, int(depth[m.start()])) for m in key.finditer(more) if m.start() < len(data) and not text[m.start()]]
-            found.append(hits)
-        quotes = len(_unescaped_quotes(data, slashes))
+        # both answers to whether the range begins inside a string; a name cut by a piece's end is read a little further
+        deltas, places, depths, quotes = [0, 0], [[], []], [[], []], 0
+        for start, text, wide, said in _pieces(file, r["start"], r["end"], piece_bytes, 0 if key is None else len(field) * 6 + 4096):
+            data = np.frombuffer(text, np.uint8)
+            names = [] if key is None else [(m.start(), start + m.end() - 1) for m in key.finditer(wide) if m.start() < len(text)]
+            for begun in (0, 1):
+                inside = (begun + quotes) % 2
+                at, _, depth = _brackets(data, said, inside)
+                for m, place in names:
+                    if (int(np.searchsorted(said, m)) + inside) % 2 == 0:
+                        places[begun].append(place)
+                        depths[begun].append(deltas[begun] + int(_depths(at, depth, m)))
+                deltas[begun] += int(depth[-1]) if len(depth) else 0
+            quotes += len(said)
         yield pa.RecordBatch.from_pylist([{"path": r["path"], "start": r["start"], "quotes": quotes, "out": deltas[0], "in": deltas[1],
-                                           "places": [[p for p, _ in f] for f in found], "depths": [[d for _, d in f] for f in found]}],
+                                           "places": places, "depths": depths}],
                                          schema=pa.schema([("path", pa.string()), ("start", pa.int64()), ("quotes", pa.int64()), ("out", pa.int64()), ("in", pa.int64()),
                                                            ("places", pa.list_(pa.list_(pa.int64()))), ("depths", pa.list_(pa.list_(pa.int64())))]))
 
@@ -144,35 +170,52 @@ def read_json_array(spark: SparkSession, path: str, schema: str, field: str | No
         return spark.createDataFrame([], kind)
 
     def close(file, r):
-        data = np.frombuffer(file.read_at(r["end"] - r["start"], r["start"]), np.uint8)
-        step, _ = _steps(data, _slashes_before(file, r["start"]), r["inside"])
-        depth = r["depth"] + np.cumsum(step, dtype=np.int64)
-        ends = np.flatnonzero((depth < level) & (step < 0) & (np.arange(len(data)) + r["start"] > r["first"]))
-        yield pa.RecordBatch.from_pylist([{"path": r["path"], "last": r["start"] + int(ends[0])}] if len(ends) else [], schema=pa.schema([("path", pa.string()), ("last", pa.int64())]))
+        inside, deep, found = r["inside"], r["depth"], []
+        for start, text, _, said in _pieces(file, r["start"], r["end"], piece_bytes):
+            at, step, depth = _brackets(np.frombuffer(text, np.uint8), said, inside)
+            ends = at[(deep + depth < level) & (step < 0) & (at + start > r["first"])]
+            if len(ends):
+                found = [{"path": r["path"], "last": start + int(ends[0])}]
+                break
+            inside, deep = (inside + len(said)) % 2, deep + (int(depth[-1]) if len(depth) else 0)
+        yield pa.RecordBatch.from_pylist(found, schema=pa.schema([("path", pa.string()), ("last", pa.int64())]))
 
     lasts = {r["path"]: r["last"] for r in _each(spark, ranges, "path string, last long", close).groupBy("path").agg(F.min("last").alias("last")).collect()}
     ranges = [(*r[:7], lasts.get(r[0], r[1])) for r in ranges if r[2] < lasts.get(r[0], r[1])]
 
     def elements(file, r):
         end = min(r["end"], r["last"])
-        slashes = _slashes_before(file, r["start"])
-        want, text = end, b""
-        while True:  # read on until the last element that begins here is complete
-            text = text + file.read_at(want - (r["start"] + len(text)), r["start"] + len(text))
+        inside, deep = r["inside"], r["depth"]
+        begun, held = None, []  # the element that is still open: its place, and the parts of its text so far
+
+        def batch(found):
+            found = [(p, t.decode("utf-8")) for p, t in found if t]
+            return pa.RecordBatch.from_arrays([pa.array([r["path"]] * len(found), pa.string()), pa.array([p for p, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())], ["file", "place", "json"])
+
+        for start, text, _, said in _pieces(file, r["start"], r["last"], piece_bytes):  # read on until the last element that begins here is complete
             data = np.frombuffer(text, np.uint8)
-            step, strings = _steps(data, slashes, r["inside"])
-            depth = r["depth"] + np.cumsum(step, dtype=np.int64)
-            at = np.arange(len(data)) + r["start"]
-            cuts = np.flatnonzero(((data == 0x2C) & ~strings & (depth == level) & (at > r["first"])) | (at == r["first"]))
-            if want >= r["last"] or (len(cuts) and at[cuts[-1]] >= end):
-                break
-            want = min(r["last"], want + max(65536, want - r["start"]))
-        stops = np.append(cuts[1:], len(data)) if want >= r["last"] else cuts[1:]
-        found = [(r["start"] + int(c), text[c + 1:e].strip()) for c, e in zip(cuts, stops) if r["start"] + c < end]
-        found = [(p, t.decode("utf-8")) for p, t in found if t]
-        for a in range(0, len(found), 4096):
-            part = found[a:a + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array([r["path"]] * len(part), pa.string()), pa.array([p for p, _ in part], pa.int64()), pa.array([t for _, t in part], pa.string())], ["file", "place", "json"])
+            at, _, depth = _brackets(data, said, inside)
+            commas = np.flatnonzero(data == 0x2C)
+            commas = commas[(commas + start > r["first"]) & ((np.searchsorted(said, commas) + inside) % 2 == 0)]
+            cuts = commas[deep + _depths(at, depth, commas) == level]
+            if start <= r["first"] < start + len(text):
+                cuts = np.concatenate([[r["first"] - start], cuts])
+            inside, deep = (inside + len(said)) % 2, deep + (int(depth[-1]) if len(depth) else 0)
+            if not len(cuts):
+                if begun is not None:
+                    held.append(text)
+                elif start + len(text) >= end:
+                    return
+                continue
+            cuts = cuts.tolist()
+            found = [] if begun is None else [(begun, b"".join([*held, text[:cuts[0]]]).strip())]
+            found += [(start + a, text[a + 1:b].strip()) for a, b in zip(cuts, cuts[1:]) if start + a < end]
+            yield batch(found)
+            if start + cuts[-1] >= end:
+                return
+            begun, held = start + cuts[-1], [text[cuts[-1] + 1:]]
+        if begun is not None:
+            yield batch([(begun, b"".join(held).strip())])
 
     texts = _each(spark, ranges, "file string, place long, json string", elements)
     return texts.select("file", "place", F.from_json("json", schema).alias("e")).select("file", "place", "e.*")
