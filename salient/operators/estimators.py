@@ -172,31 +172,79 @@ def centred(k: np.ndarray) -> np.ndarray:
     return k - k.mean(0) - k.mean(1)[:, None] + k.mean()
 
 
-def hsic_scores(z: np.ndarray, y: np.ndarray, kind: str) -> np.ndarray:
-    """``(1/n) sum (H K_i H) o (H L H)`` for every sample and mask coordinate i (K = 1 + k_in); NaN for a width of 0.
+#: Doubles of the pair tables worked on at once (8 MB), and of those kept for all samples of a task.
+PAIR_VALUES, PAIRS_KEPT = 1 << 20, 1 << 23
+#: Samples scored together against a table of pairs.
+PAIR_SAMPLES = 64
+
+
+class InputKernels:
+    """E12c for a design: the centred kernels of all its coordinates, one row for each pair of draws, in tables of bounded size.
+
+    A pair ``j < l`` stands for ``(l, j)`` too and counts twice.  The tables are
+    made once where they are few, else again for each use.
+    """
+
+    def __init__(self, z: np.ndarray, kind: str):
+        self.z, self.kernel = z, input_kernel(kind)
+        n, d = z.shape
+        self.means = np.zeros((n, d))  # of each row of 1 + k_in
+        step = max(1, PAIR_VALUES // max(1, n * d))
+        for a in range(0, n, step):
+            self.means[a:a + step] = (1.0 + self.kernel(z[a:a + step, None, :], z[None, :, :])).mean(1)
+        self._kept = [] if n * (n + 1) // 2 * d <= PAIRS_KEPT else None
+
+    def tables(self):
+        """(first draws, second draws, (pairs, coordinates) centred kernels times how often the pair counts)."""
+        if self._kept:
+            yield from self._kept
+            return
+        n, d = self.z.shape
+        rows = max(1, PAIR_VALUES // max(1, n * max(d, PAIR_SAMPLES)))
+        mean = self.means.mean(0)
+        for a in range(0, n, rows):
+            many = n - np.arange(a, min(a + rows, n))
+            i = np.repeat(np.arange(a, a + len(many)), many)
+            j = i + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+            k = 1.0 + self.kernel(self.z[i], self.z[j]) - self.means[i] - self.means[j] + mean
+            k[i != j] *= 2.0
+            if self._kept is not None:
+                self._kept.append((i, j, k))
+            yield i, j, k
+
+
+def hsic_scores(z: np.ndarray, y: np.ndarray, kind: str, kernels: InputKernels | None = None) -> np.ndarray:
+    """``(1/n) sum (H K_i H) o L`` for every sample and mask coordinate i (K = 1 + k_in); NaN for a width of 0.
 
     On a binary mask any kernel is ``a + b (s + s') + g s s'`` with the signs
     ``s = 2 z - 1``; centring leaves ``g (Hs)(Hs)'``, so the score is the one
-    quadratic form ``g (Hs)' L (Hs) / n``.  For real masks the centred input
-    kernels are tables of the design, made once for all samples of the block.
+    quadratic form ``g (Hs)' L (Hs) / n``.  For real masks the output kernels of some samples, pair by
+    pair, are multiplied by the tables of the centred input kernels (``kernels``, where the caller keeps them).
     """
     n, d = z.shape
-    kernel = input_kernel(kind)
-    ls = [output_rbf(row) for row in y]
     out = np.full((len(y), d), np.nan)
-    some = [i for i, k in enumerate(ls) if k is not None]
-    if not some:
-        return out
     if np.isin(z, (0.0, 1.0)).all():
+        kernel = input_kernel(kind)
         at = lambda a, b: float(kernel(np.array([[a]]), np.array([[b]]))[0, 0])
         g = (at(1.0, 1.0) + at(0.0, 0.0) - at(0.0, 1.0) - at(1.0, 0.0)) / 4.0
         s = 2.0 * z - 1.0
         s = s - s.mean(0)
-        for i in some:
-            out[i] = g * (s * (ls[i] @ s)).sum(0) / n
+        for i, row in enumerate(y):
+            k = output_rbf(row)
+            if k is not None:
+                out[i] = g * (s * (k @ s)).sum(0) / n
         return out
-    flat = np.stack([centred(ls[i]).reshape(-1) for i in some])
-    for c in range(d):
-        k = centred(1.0 + kernel(z[:, c][:, None], z[:, c][None, :]))
-        out[some, c] = flat @ k.reshape(-1) / n
+    width = np.percentile(y, 50.0, axis=1) if len(y) else np.zeros(0)
+    some = np.flatnonzero(width != 0.0)
+    if len(some):
+        kernels = InputKernels(z, kind) if kernels is None else kernels
+    for a in range(0, len(some), PAIR_SAMPLES):
+        part = some[a:a + PAIR_SAMPLES]
+        scores, total, spread = y[part], np.zeros((len(part), d)), (-2.0 * width[part] ** 2)[:, None]
+        for i, j, k in kernels.tables():
+            v = scores[:, i] - scores[:, j]
+            v *= v
+            v /= spread
+            total += np.exp(v, out=v) @ k
+        out[part] = total / n
     return out

@@ -25,7 +25,7 @@ from salient.functions.arrays import let, to_array
 from salient.functions.hashing import hash_normal
 from salient.operators.copies import VALUES, LinearCopies, SharedRows, blurred, design_rows, estimate_rows, grid_cells, rows_of
 from salient.operators.designs import binary_design, replicated_design, sobol_ab, sobol_design, uniform_design
-from salient.operators.estimators import (constrained_shap, hsic_scores, jansen_arrays, similarity_arrays, weighted_ridge)
+from salient.operators.estimators import (InputKernels, constrained_shap, hsic_scores, jansen_arrays, similarity_arrays, weighted_ridge)
 from salient.operators.masking import Shape, bicubic_matrix, patch_positions
 from salient.operators.perturb import clean_scores, design_scores, relative_contributions
 from salient.operators.scoring import LinearSoftmaxModel, maybe_broadcast
@@ -508,10 +508,12 @@ def hsic_attribution(model, samples: DataFrame, targets: DataFrame, shape: Shape
     design = design_rows(masks)
     resize = bicubic_matrix(grid_size, shape)
 
+    kernels = None  # of the design, made once in a task
+
     def estimate(y, clean, block):
-        out, step = [], max(1, VALUES // max(1, nb_design * nb_design))
-        for a in range(0, len(y), step):
-            out.append(hsic_scores(block.z, y[a:a + step], kernel))
-        return np.concatenate(out) @ resize.T
+        nonlocal kernels
+        if not binary and kernels is None:
+            kernels = InputKernels(block.z, kernel)
+        return hsic_scores(block.z, y, kernel, kernels) @ resize.T
 
     return _long(estimate_rows(_array_rows(samples, targets), model, design, estimate, grid_cells(shape, grid_size), _replacement(shape, perturbation)))
