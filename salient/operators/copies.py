@@ -33,8 +33,8 @@ from salient.operators.masking import Shape, max_perturbed
 from salient.operators.scoring import LinearSoftmaxModel, filesystem
 from salient.session import scratch_path
 
-#: Doubles of copies, logits or contributions held at once (32 MB).
-VALUES = 1 << 22
+#: Doubles of copies, logits or contributions held at once (8 MB; a step holds several such arrays).
+VALUES = 1 << 20
 #: Doubles of a table that a worker keeps; a larger one is read again for each batch.
 KEEP = 1 << 23
 
