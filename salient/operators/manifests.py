@@ -4,7 +4,7 @@ The benchmark starts from recognition, caption and detection manifests.  Each
 step is a DataFrame transformation: listings are path tables, label maps number
 distinct labels range by range, pairing is an equi-join, unmatched items are
 anti joins, ranks within a data key (captions and objects of one image) come
-from :func:`rank_within_key`, which splits a hot key over several tasks, and
+from :func:`rank_within_key`, which splits a large key over several tasks, and
 sinks are ordinary writers (only a nested output record groups one image's
 objects, or one label file's lines).  Nothing is gathered on the driver.  Label indices and image tables are data-derived, so they get no
 broadcast hint: Spark's size check (and AQE at run time) picks the join.
@@ -13,6 +13,7 @@ broadcast hint: Spark's size check (and AQE at run time) picks the join.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -91,7 +92,8 @@ def label_index(labels: DataFrame, col: str = "label", excludes=()) -> DataFrame
     d = labels.select(F.col(col).alias("raw_label")).distinct()
     if excludes:
         d = d.filter(~F.col("raw_label").isin(list(excludes)))
-    d = d.withColumn("_all", F.lit(0))
+    # one row a class, written once: what the labels come from is not worked out for each use
+    d = materialize(d).withColumn("_all", F.lit(0))
     numbers = d.groupBy("_all").agg(F.min(F.when(F.col("raw_label").rlike("^[0-9]+$"), 1).otherwise(0)).alias("_numbers"))
     numbers = numbers.select(F.col("_all").alias("_one"), "_numbers")
     ranked = rank_within_key(d, "_all", "raw_label", out="_rn")
@@ -170,9 +172,50 @@ def read_captions(spark: SparkSession, path: str, fmt: str = "tsv", field: str |
     raise ValueError(f"unknown caption format {fmt!r}")
 
 
-def rank_within_key(df: DataFrame, key: str, order: str, out: str = "rn",
-                    partitions: int | None = None) -> DataFrame:
-    """``row_number() over (partition by key order by order)`` without a key in one task.
+#: Rows of one key that a single task ranks; a key with more is ranked by ranges.
+HEAVY_ROWS = 1 << 17
+#: Heavy keys told apart by their hashes; where there are more, all rows are ranked by ranges.
+HEAVY_KEYS = 10000
+
+
+def by_key(df: DataFrame, key: str, n: int | None) -> DataFrame:
+    """``df`` dealt by ``key`` over ``n`` partitions, or left to Spark where ``n`` is None."""
+    return df.repartition(n, key) if n else df
+
+
+def rank_within_key(df: DataFrame, key: str, order: str, out: str = "rn", partitions: int | None = None,
+                    heavy_rows: int = HEAVY_ROWS, build: Callable[[DataFrame, int | None], DataFrame] | None = None) -> DataFrame:
+    """``row_number() over (partition by key order by order)`` without a large key in one task.
+
+    Rows are counted by the hash of their key first.  Keys of at most ``heavy_rows`` rows are
+    ranked by the window itself: one shuffle, or none where the rows lie by key
+    already; the others go through :func:`rank_by_ranges`.  A large input is dealt over as many
+    partitions as its size asks for.  Rows whose key is null are left out, and ties in
+    ``order`` get distinct, arbitrary numbers.
+
+    ``build(rows, n)``, where given, makes the rows to be ranked from those of ``df``
+    (a join on the key, say), lying by key over ``n`` partitions if ``n`` is a number.
+    """
+    build = build or (lambda rows, n: by_key(rows, key, n))
+    df = df.where(F.col(key).isNotNull())
+    name = F.xxhash64(key)
+    large = df.groupBy(name.alias("_h")).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > heavy_rows).select("_h")
+    heavy = [r["_h"] for r in large.limit(HEAVY_KEYS + 1).collect()]
+    if len(heavy) > HEAVY_KEYS:
+        return rank_by_ranges(build(df, None), key, order, out, partitions)
+    spark = df.sparkSession
+    n = partitions_for(build(df, None), 2)
+    # a small input is left to Spark, which joins its partitions at run time
+    n = max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))) if n > 2 * spark.sparkContext.defaultParallelism else None
+    number = F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("bigint")
+    if not heavy:
+        return build(df, n).withColumn(out, number)
+    split = build(df.where(name.isin(heavy)), None)
+    return build(df.where(~name.isin(heavy)), n).withColumn(out, number).unionByName(rank_by_ranges(split, key, order, out, partitions))
+
+
+def rank_by_ranges(df: DataFrame, key: str, order: str, out: str = "rn", partitions: int | None = None) -> DataFrame:
+    """:func:`rank_within_key` where a key may have any share of the rows.
 
     Rows are range-partitioned on ``(key, order)``, so a key holding a large
     share of the rows spans several partitions.  Each (partition, key) piece is
@@ -348,13 +391,15 @@ def coco_objects(images: DataFrame, annotations: DataFrame, target_ids: list[int
     if listing is not None:
         paths = listing.groupBy(basename(F.col("image")).alias("_name")).agg(F.min("image").alias("_path"))
         sized = sized.join(paths, F.col("image") == F.col("_name")).select("image_id", F.col("_path").alias("image"), "width", "height")
-    j = ann.join(sized, "image_id")
     x, y, w, h = (F.element_at("bbox", i) for i in (1, 2, 3, 4))
     coords = [y / F.col("height"), x / F.col("width"), (y + h) / F.col("height"), (x + w) / F.col("width")]
-    rows = j.select("image_id", "image", "ann_order", F.col("category_id").alias("label"),
-                    *[c.alias(n) for c, n in zip(coords, COCO_BOX)])
-    rows = rows.withColumn("_o", F.struct("ann_order", "label", *COCO_BOX))
-    ranked = rank_within_key(rows, "image_id", "_o", out="_rn")
+
+    def boxes(found: DataFrame, n: int | None) -> DataFrame:
+        j = by_key(found, "image_id", n).join(by_key(sized, "image_id", n), "image_id")
+        return (j.select("image_id", "image", "ann_order", F.col("category_id").alias("label"), *[c.alias(n) for c, n in zip(coords, COCO_BOX)])
+                .withColumn("_o", F.struct("ann_order", "label", *COCO_BOX)))
+
+    ranked = rank_within_key(ann, "image_id", "_o", out="_rn", build=boxes)
     return ranked.select("image_id", "image", (F.col("_rn") - 1).cast("int").alias("obj_idx"), "label", *COCO_BOX)
 
 
@@ -380,7 +425,7 @@ def coco_boxes(images: DataFrame, annotations: DataFrame, categories: DataFrame,
 def add_background_rows(images: DataFrame, objects: DataFrame, key: str = "image_id") -> DataFrame:
     """K11, long form: images with no object get one row with NULL object fields (anti join + union)."""
     cols = [c for c in objects.columns if c in images.columns]
-    bg = images.select(*cols).join(objects.select(key), key, "left_anti")
+    bg = images.select(*cols).join(objects.select(key).distinct(), key, "left_anti")
     fill = [F.lit(None).cast(t).alias(c) for c, t in objects.dtypes if c not in cols]
     return objects.unionByName(bg.select(*cols, *fill))
 

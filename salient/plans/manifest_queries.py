@@ -315,9 +315,7 @@ def q_add_backgrounds(spark, sf_dir):
     images, anns, _ = _coco(spark, sf_dir)
     full = K.add_background_rows(images.select("image_id", F.col("file_name").alias("image")),
                                  K.coco_objects(images, anns))
-    return (full.groupBy("image_id").agg(F.max("image").alias("image"),
-                                         F.count("obj_idx").cast("bigint").alias("n_objects"))
-            .select("image", "n_objects"))
+    return full.groupBy("image").agg(F.count("obj_idx").cast("bigint").alias("n_objects"))
 
 
 @register("detection_manifest", f"""WITH {COCO_SQL}
