@@ -86,7 +86,7 @@ def label_index(labels: DataFrame, col: str = "label", excludes=()) -> DataFrame
     sorted order 0..n-1.
 
     One row per class.  The order is numbered piece by piece of its range
-    (:func:`rank_within_key`), and whether all names are numbers is one value
+    (:func:`rank_by_ranges`), and whether all names are numbers is one value
     joined to every row, so that no task sees all classes.
     """
     d = labels.select(F.col(col).alias("raw_label")).distinct()
@@ -96,7 +96,7 @@ def label_index(labels: DataFrame, col: str = "label", excludes=()) -> DataFrame
     d = materialize(d).withColumn("_all", F.lit(0))
     numbers = d.groupBy("_all").agg(F.min(F.when(F.col("raw_label").rlike("^[0-9]+$"), 1).otherwise(0)).alias("_numbers"))
     numbers = numbers.select(F.col("_all").alias("_one"), "_numbers")
-    ranked = rank_within_key(d, "_all", "raw_label", out="_rn")
+    ranked = rank_by_ranges(d, "_all", "raw_label", out="_rn")
     return (ranked.join(F.broadcast(numbers), F.col("_all") == F.col("_one"))  # one row
             .select("raw_label", F.when(F.col("_numbers") == 1, F.expr("try_cast(raw_label as int)"))
                     .otherwise((F.col("_rn") - 1).cast("int")).alias("label_id")))
