@@ -90,8 +90,13 @@ def _depths(at: np.ndarray, depth: np.ndarray, places) -> np.ndarray:
 
 
 def _each(spark: SparkSession, ranges: list[tuple], schema: str, work) -> DataFrame:
-    """``work(file, path, range row)`` on every range ``(path, start, end, ...)``, a task or more each."""
-    rows = spark.createDataFrame(ranges, "path string, size long, start long, end long, inside boolean, depth long, first long, last long")
+    """``work(file, path, range row)`` on every range ``(path, start, end, ...)``, a task each.
+
+    The ranges are dealt without a shuffle: after one, Spark takes the few bytes of the ranges for the size of what
+    is read from them, and joins broadcast whole files through the driver.  So the size is unknown until the rows are shuffled.
+    """
+    dealt = spark.sparkContext.parallelize(ranges, max(1, len(ranges)))
+    rows = spark.createDataFrame(dealt, "path string, size long, start long, end long, inside boolean, depth long, first long, last long")
 
     def run(batches):
         for batch in batches:
@@ -100,7 +105,7 @@ def _each(spark: SparkSession, ranges: list[tuple], schema: str, work) -> DataFr
                 with files.open_input_file(path) as file:
                     yield from work(file, r)
 
-    return rows.repartition(max(1, len(ranges)), "path", "start").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str, field: str | None = None, range_bytes: int = RANGE_BYTES,
